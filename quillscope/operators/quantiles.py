@@ -7,7 +7,8 @@ the rows of the still-open value interval per (group, equal-width bucket) with a
 map-side-combined aggregate, then a tiny table of bucket counts (groups x 1,024)
 locates the bucket holding rank k. The interval shrinks to that bucket's observed
 [min, max]; it is exact once min == max. Each round is one scan; doubles converge
-in a few rounds and repeated values converge at once.
+in a few rounds and repeated values converge at once. A located bucket of at most
+``COLLECT_MAX`` values is sorted directly (a bounded group), so typical data needs one round.
 """
 
 from __future__ import annotations
@@ -17,18 +18,15 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1024
 MAX_ROUNDS = 40
-BROADCAST_ROWS = 200_000  # interval tables up to this many rows are broadcast (counted first)
-
-
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+COLLECT_MAX = 50_000  # a located bucket with at most this many values is sorted in one task
+BROADCAST_ROWS = 200_000  # interval tables are broadcast only when the target count is below this
 
 
 def order_statistics(long: DataFrame, keys: list[str], value: str, targets: DataFrame) -> DataFrame:
     """k-th smallest non-null ``value`` per group.
 
     ``targets`` has ``keys`` + ``k`` (1-based rank, 1 <= k <= n). Returns ``keys, k, kth``.
-    ``long`` should be persisted by the caller: it is scanned once per round.
+    ``long`` should be persisted by the caller: it is scanned once or twice per round.
     """
     vals = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(
         *keys, F.col(value).cast("double").alias("_v")
@@ -41,45 +39,65 @@ def order_statistics(long: DataFrame, keys: list[str], value: str, targets: Data
         .withColumn("_below", F.lit(0).cast("bigint"))
         .cache()
     )
-    done_parts: list[DataFrame] = []
+    small_targets = state.count() <= BROADCAST_ROWS
+
+    def bucket_of(a: F.Column, b: F.Column) -> F.Column:
+        return F.least(F.lit(BUCKETS - 1), F.floor((F.col("_v") - a) / (b - a) * BUCKETS).cast("int"))
+
+    parts: list[DataFrame] = [
+        state.where(F.col("_a") == F.col("_b")).select(*keys, "k", F.col("_a").alias("kth"))
+    ]
+    open_ = state.where(F.col("_a") < F.col("_b"))
     for _ in range(MAX_ROUNDS):
-        # state tables are tiny (groups x targets) and stay cached until the result is built
-        done_parts.append(
-            state.where(F.col("_a") == F.col("_b")).select(*keys, "k", F.col("_a").alias("kth"))
-        )
-        open_ = state.where(F.col("_a") < F.col("_b"))
-        if open_.isEmpty():
-            break
         intervals = open_.select(*keys, "_a", "_b").distinct()
-        joined = vals.join(_maybe_broadcast(intervals), keys).where(
-            (F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b"))
-        )
-        width = F.col("_b") - F.col("_a")
-        bucket = F.least(
-            F.lit(BUCKETS - 1),
-            F.floor((F.col("_v") - F.col("_a")) / width * BUCKETS).cast("int"),
-        )
-        hist = joined.groupBy(*keys, "_a", "_b", bucket.alias("_bk")).agg(
+        if small_targets:
+            intervals = F.broadcast(intervals)
+        inside = vals.join(intervals, keys).where((F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b")))
+        hist = inside.groupBy(*keys, "_a", "_b", bucket_of(F.col("_a"), F.col("_b")).alias("_bk")).agg(
             F.count("*").alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx")
         )
+        # bucket tables are at most targets x 1,024 rows
         w = Window.partitionBy(*keys, "_a", "_b").orderBy("_bk")
         hist = hist.withColumn("_cum", F.sum("_c").over(w))
-        # target rank k falls in the bucket where below + cum - c < k <= below + cum
-        nxt = open_.join(hist, keys + ["_a", "_b"]).where(
-            (F.col("_below") + F.col("_cum") - F.col("_c") < F.col("k"))
-            & (F.col("k") <= F.col("_below") + F.col("_cum"))
+        # rank k lies in the bucket where below + cum - c < k <= below + cum
+        located = (
+            open_.join(hist, keys + ["_a", "_b"])
+            .where(
+                (F.col("_below") + F.col("_cum") - F.col("_c") < F.col("k"))
+                & (F.col("k") <= F.col("_below") + F.col("_cum"))
+            )
+            .withColumn("_below2", F.col("_below") + F.col("_cum") - F.col("_c"))
+            .cache()
+        )
+        parts.append(located.where(F.col("_mn") == F.col("_mx")).select(*keys, "k", F.col("_mn").alias("kth")))
+        small = located.where((F.col("_mn") < F.col("_mx")) & (F.col("_c") <= COLLECT_MAX))
+        buckets = small.select(*keys, "_a", "_b", "_bk").distinct()
+        if small_targets:
+            buckets = F.broadcast(buckets)
+        gathered = (
+            vals.join(buckets, keys)
+            .where(
+                (F.col("_v") >= F.col("_a"))
+                & (F.col("_v") <= F.col("_b"))
+                & (bucket_of(F.col("_a"), F.col("_b")) == F.col("_bk"))
+            )
+            .groupBy(*keys, "_a", "_b", "_bk")
+            .agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+        )
+        parts.append(
+            small.join(gathered, keys + ["_a", "_b", "_bk"]).select(
+                *keys, "k", F.element_at("_vs", (F.col("k") - F.col("_below2")).cast("int")).alias("kth")
+            )
+        )
+        open_ = located.where((F.col("_mn") < F.col("_mx")) & (F.col("_c") > COLLECT_MAX)).select(
+            *keys, "k", F.col("_mn").alias("_a"), F.col("_mx").alias("_b"), F.col("_below2").alias("_below")
         )
-        state = nxt.select(
-            *keys,
-            "k",
-            F.col("_mn").alias("_a"),
-            F.col("_mx").alias("_b"),
-            (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
-        ).cache()
+        if open_.isEmpty():
+            break
     else:
         raise RuntimeError("order_statistics did not converge")
-    out = done_parts[0]
-    for p in done_parts[1:]:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 

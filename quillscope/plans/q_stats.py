@@ -251,8 +251,8 @@ e AS (SELECT doc_id, log_y - a - b * log_x AS e FROM lgx, fit)"""
 @register(
     "ols_residuals",
     sql=f"""WITH {RESID_SQL}, m AS (SELECT count(*) AS n, avg(pow(e, 2)) AS m2, avg(pow(e, 3)) AS m3, avg(pow(e, 4)) AS m4 FROM e),
-    k AS (SELECT n, {_sdiv('m3', 'pow(m2, 1.5)')} AS skew, {_sdiv('m4', 'm2 * m2')} AS kurtosis FROM m)
-    SELECT skew, kurtosis, n / 6.0 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4) AS jarque_bera FROM k""",
+    kk AS (SELECT n, {_sdiv("m3", "pow(m2, 1.5)")} AS skew, {_sdiv('m4', 'm2 * m2')} AS kurtosis FROM m)
+    SELECT skew, kurtosis, n / 6.0 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4) AS jarque_bera FROM kk""",
     doubles=("skew", "kurtosis", "jarque_bera"),
 )
 def ols_residuals(spark: SparkSession, d: str) -> DataFrame:
