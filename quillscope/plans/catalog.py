@@ -1,3 +1,3 @@
 """Importing this module registers every query (Spark builder + oracle SQL)."""
 
-from quillscope.plans import q_prep, q_stats, q_text  # noqa: F401
+from quillscope.plans import q_learn, q_prep, q_stats, q_stream, q_text  # noqa: F401
