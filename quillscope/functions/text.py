@@ -20,6 +20,13 @@ WS = (
 )
 # --- end of fixed values ---
 
+# the same set as literal characters (for btrim)
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 WORD_RE = f"[^{WS}]+"
 WS_RUN_RE = f"[{WS}]+"
 NONBLANK_RE = f"[^{WS}]"
@@ -126,11 +133,16 @@ def _is_noun(tok: Column, prev: Column) -> Column:
     return ~is_function_word(tok) & (suffix | proper)
 
 
+def previous_tokens(t: Column) -> Column:
+    """[NULL, t1, ..., t(n-1)]: the token before each position, aligned with ``t``."""
+    return F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
+
+
 def noun_count(t: Column) -> Column:
-    # filter's index is 0-based; element_at is 1-based, so element_at(t, i) is the previous token
-    return F.size(
-        F.filter(t, lambda x, i: _is_noun(x, F.when(i > 0, F.element_at(t, i))))
-    ).cast("bigint")
+    # the array is paired with its shifted copy outside the lambda: a lambda that indexes
+    # back into ``t`` would re-evaluate the whole token array once per element
+    flags = F.zip_with(t, previous_tokens(t), lambda x, p: F.when(_is_noun(x, p), 1).otherwise(0))
+    return F.aggregate(flags, F.lit(0).cast("bigint"), lambda acc, f: acc + f)
 
 
 def noun_ratio(t: Column, nouns: Column | None = None) -> Column:
@@ -174,7 +186,7 @@ def avg_sent_len_char(s: Column) -> Column:
     total = F.aggregate(
         s,
         F.lit(0).cast("bigint"),
-        lambda acc, p: acc + F.length(F.regexp_replace(p, TRIM_RE, "")).cast("bigint"),
+        lambda acc, p: acc + F.length(F.btrim(p, F.lit(WS_CHARS))).cast("bigint"),
     )
     return _ratio(total, F.size(s))
 

@@ -95,13 +95,24 @@ def outlier_columns(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Row-for-row barrier: a one-element ``inline`` (Generate).
+
+    The optimizer pushes a filter through a projection by inlining the projected
+    expressions, so a filter on a token-array column would tokenize every text a
+    second time (and run below any exchange). Predicates on a generator's output
+    stay above it, so the arrays below are computed once.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def remove_outliers(df: DataFrame, text: str = "text", allow_outliers: bool = False) -> DataFrame:
     """Keep rows with token_count <= 768, no '[' prefix and avg word length <= 120."""
     out = with_tokens(df, text)
     if allow_outliers:
         return out
-    tc = X.token_count(F.col("_t"))
-    return out.where(X.is_kept(text, tc, F.col("avg_word_length")))
+    out = materialize(out.withColumn("_tc", X.token_count(F.col("_t"))))
+    return out.where(X.is_kept(text, F.col("_tc"), F.col("avg_word_length"))).drop("_tc")
 
 
 def extended_features(

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscope.session import cut
+
 BUCKETS = 1024
 MAX_ROUNDS = 40
 COLLECT_MAX = 50_000  # a located bucket with at most this many values is sorted in one task
@@ -32,12 +34,10 @@ def order_statistics(long: DataFrame, keys: list[str], value: str, targets: Data
         *keys, F.col(value).cast("double").alias("_v")
     )
     bounds = vals.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    state = (
-        targets.select(*keys, "k")
-        .distinct()
-        .join(bounds, keys)
-        .withColumn("_below", F.lit(0).cast("bigint"))
-        .cache()
+    # per-round tables have one row per target: written to the shared checkpoint folder so
+    # every round starts from a short plan and survives executor loss
+    state = cut(
+        targets.select(*keys, "k").distinct().join(bounds, keys).withColumn("_below", F.lit(0).cast("bigint"))
     )
     small_targets = state.count() <= BROADCAST_ROWS
 
@@ -60,14 +60,13 @@ def order_statistics(long: DataFrame, keys: list[str], value: str, targets: Data
         w = Window.partitionBy(*keys, "_a", "_b").orderBy("_bk")
         hist = hist.withColumn("_cum", F.sum("_c").over(w))
         # rank k lies in the bucket where below + cum - c < k <= below + cum
-        located = (
+        located = cut(
             open_.join(hist, keys + ["_a", "_b"])
             .where(
                 (F.col("_below") + F.col("_cum") - F.col("_c") < F.col("k"))
                 & (F.col("k") <= F.col("_below") + F.col("_cum"))
             )
             .withColumn("_below2", F.col("_below") + F.col("_cum") - F.col("_c"))
-            .cache()
         )
         parts.append(located.where(F.col("_mn") == F.col("_mx")).select(*keys, "k", F.col("_mn").alias("kth")))
         small = located.where((F.col("_mn") < F.col("_mx")) & (F.col("_c") <= COLLECT_MAX))
@@ -117,13 +116,15 @@ def quantiles_type7(long: DataFrame, keys: list[str], value: str, probs: dict[st
                 F.ceil(h).cast("bigint").alias("hi"),
             )
         )
-    spec = counts.select(*keys, F.explode(F.array(*pos)).alias("s")).select(*keys, "s.*").cache()
-    ks = spec.select(*keys, F.col("lo").alias("k")).unionByName(spec.select(*keys, F.col("hi").alias("k")))
-    stats = order_statistics(vals, keys, value, ks).cache()
-    lo = stats.select(*keys, F.col("k").alias("lo"), F.col("kth").alias("x_lo"))
-    hi = stats.select(*keys, F.col("k").alias("hi"), F.col("kth").alias("x_hi"))
-    res = spec.join(lo, keys + ["lo"]).join(hi, keys + ["hi"])
-    res = res.select(
+    spec = cut(counts.select(*keys, F.explode(F.array(*pos)).alias("s")).select(*keys, "s.*"))
+    ends = spec.select(
+        *keys, "q", "h", "lo", F.explode(F.array(F.col("lo"), F.col("hi"))).alias("k")
+    )
+    stats = order_statistics(vals, keys, value, ends.select(*keys, "k"))
+    j = ends.join(stats, keys + ["k"]).groupBy(*keys, "q", "h", "lo").agg(
+        F.min("kth").alias("x_lo"), F.max("kth").alias("x_hi")
+    )
+    res = j.select(
         *keys,
         "q",
         (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias("_qv"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillscope.functions import tails
 from quillscope.operators import quantiles, ranking
+from quillscope.session import cut
 
 CLASS_NAMES = {0: "Human", 1: "AI"}
 
@@ -138,7 +139,7 @@ def feature_ranking(tc: DataFrame, exclude: list[str] = ("sentiment_label",)) ->
 def class_summary(long: DataFrame) -> DataFrame:
     """min, Q1, median, mean, Q3, max per (feature, label), NULLs removed (R type-7 quantiles)."""
     keys = ["feature", "label"]
-    vals = long.where(F.col("value").isNotNull()).persist()
+    vals = cut(long.where(F.col("value").isNotNull()).select(*keys, "value"))
     q = quantiles.quantiles_type7(vals, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     m = vals.groupBy(*keys).agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max")
@@ -149,7 +150,7 @@ def class_summary(long: DataFrame) -> DataFrame:
 def boxplot_stats(long: DataFrame) -> DataFrame:
     """Tukey hinges (fivenum), whiskers at the extreme values within 1.5 hinge spreads, outlier count."""
     keys = ["feature", "label"]
-    vals = long.where(F.col("value").isNotNull()).persist()
+    vals = cut(long.where(F.col("value").isNotNull()).select(*keys, "value"))
     n = vals.groupBy(*keys).agg(F.count("*").alias("n"))
     n4 = F.floor((F.col("n") + 3) / 2) / 2.0
     spec = n.select(
@@ -161,25 +162,19 @@ def boxplot_stats(long: DataFrame) -> DataFrame:
         (F.col("n") + 1 - F.ceil(n4)).cast("bigint").alias("u2"),
         F.floor((F.col("n") + 1) / 2.0).cast("bigint").alias("m1"),
         F.ceil((F.col("n") + 1) / 2.0).cast("bigint").alias("m2"),
-    ).cache()
-    ks = None
-    for c in ["l1", "l2", "u1", "u2", "m1", "m2"]:
-        part = spec.select(*keys, F.col(c).alias("k"))
-        ks = part if ks is None else ks.unionByName(part)
-    stats = quantiles.order_statistics(vals, keys, "value", ks).cache()
-
-    def at(c: str) -> DataFrame:
-        return stats.select(*keys, F.col("k").alias(c), F.col("kth").alias(f"x_{c}"))
-
-    h = spec
-    for c in ["l1", "l2", "u1", "u2", "m1", "m2"]:
-        h = h.join(at(c), keys + [c])
-    h = h.select(
+    )
+    names = ["l1", "l2", "u1", "u2", "m1", "m2"]
+    spec = cut(spec)
+    ranks = spec.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("pos"), F.col(c).alias("k")) for c in names])).alias("_r"))
+    ranks = ranks.select(*keys, "_r.pos", "_r.k")
+    stats = quantiles.order_statistics(vals, keys, "value", ranks.select(*keys, "k"))
+    x = ranks.join(stats, keys + ["k"]).groupBy(*keys).pivot("pos", names).agg(F.first("kth"))
+    h = spec.select(*keys, "n").join(x, keys).select(
         *keys,
         "n",
-        ((F.col("x_l1") + F.col("x_l2")) / 2).alias("lower_hinge"),
-        ((F.col("x_m1") + F.col("x_m2")) / 2).alias("median"),
-        ((F.col("x_u1") + F.col("x_u2")) / 2).alias("upper_hinge"),
+        ((F.col("l1") + F.col("l2")) / 2).alias("lower_hinge"),
+        ((F.col("m1") + F.col("m2")) / 2).alias("median"),
+        ((F.col("u1") + F.col("u2")) / 2).alias("upper_hinge"),
     )
     spread = F.col("upper_hinge") - F.col("lower_hinge")
     h = h.withColumns({"lo_fence": F.col("lower_hinge") - 1.5 * spread, "hi_fence": F.col("upper_hinge") + 1.5 * spread})
@@ -219,7 +214,7 @@ def density_grid(long: DataFrame, points: int = 512, cut: float = 3.0) -> DataFr
     cells x points per group however many rows there are.
     """
     keys = ["feature", "label"]
-    vals = long.where(F.col("value").isNotNull()).persist()
+    vals = cut(long.where(F.col("value").isNotNull()).select(*keys, "value"))
     q = quantiles.quantiles_type7(vals, keys, "value", {"q1": 0.25, "q3": 0.75})
     m = vals.groupBy(*keys).agg(
         F.count("*").alias("n"),

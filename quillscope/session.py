@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "quillscope") -> SparkSession:
@@ -51,3 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (eager).
+
+    Used before iterative or many-branch work on a derived table: later plans start
+    from the written data (small plans, no re-analysis of the upstream pipeline) and a
+    lost executor does not force recomputation of the upstream text processing.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
