@@ -72,6 +72,10 @@ def lexicon_rows() -> list[tuple[str, str]]:
     return sorted(seen.items())
 
 
+# shortest token the suffix rule can match: two letters + the shortest suffix
+MIN_NOUN_SUFFIX_LEN = 2 + min(len(x) for x in NOUN_SUFFIXES.split())
+
+
 def noun_suffix_regex() -> str:
     alts = "|".join(NOUN_SUFFIXES.split())
     return r"^[\p{L}\p{M}]{2,}(" + alts + r")s?$"

@@ -60,18 +60,24 @@ def _ratio(num: Column, den: Column) -> Column:
 
 # ---------------------------------------------------------------- words
 def words(text: Column | str) -> Column:
-    """Whitespace-separated words, like Python ``str.split()`` (no empty strings)."""
-    return F.regexp_extract_all(_c(text), F.lit(WORD_RE), 0)
+    """Whitespace-separated words, like Python ``str.split()`` (no empty strings).
 
+    Trim, then split on whitespace runs: a positive-class split is several times
+    faster than extracting matches of the negated class.
+    """
+    trimmed = F.btrim(_c(text), F.lit(WS_CHARS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WS_RUN_RE))
 
-def word_chars(text: Column | str) -> Column:
-    """Total code points over all words = length of the text without whitespace."""
-    return F.length(F.regexp_replace(_c(text), WS_RUN_RE, ""))
+
+def word_chars(text: Column | str, w: Column | None = None) -> Column:
+    """Total code points over all words = length of the words joined."""
+    w = words(text) if w is None else w
+    return F.length(F.array_join(w, ""))
 
 
 def avg_word_length(text: Column | str, w: Column | None = None) -> Column:
     w = words(text) if w is None else w
-    return _ratio(word_chars(text), F.size(w))
+    return _ratio(word_chars(text, w), F.size(w))
 
 
 def vocab_size(w: Column) -> Column:
@@ -124,12 +130,9 @@ def func_word_count(t: Column) -> Column:
 
 
 def _is_noun(tok: Column, prev: Column) -> Column:
-    suffix = F.lower(tok).rlike(lexicon.noun_suffix_regex())
-    proper = (
-        tok.rlike(r"^\p{Lu}\p{Ll}")
-        & prev.isNotNull()
-        & ~prev.isin(lexicon.sentence_end_tokens())
-    )
+    # cheap tests first: And/Or short-circuit, so most tokens never reach a regex
+    suffix = (F.length(tok) >= lexicon.MIN_NOUN_SUFFIX_LEN) & F.lower(tok).rlike(lexicon.noun_suffix_regex())
+    proper = prev.isNotNull() & ~prev.isin(lexicon.sentence_end_tokens()) & tok.rlike(r"^\p{Lu}\p{Ll}")
     return ~is_function_word(tok) & (suffix | proper)
 
 

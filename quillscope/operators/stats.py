@@ -55,6 +55,32 @@ def class_moments(wide: DataFrame, features: list[str], label: str = "label") ->
     return g.select(label, F.explode(F.array(*rows)).alias("_s")).select(label, "_s.*")
 
 
+def two_class_moments(wide: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """One row per feature with class-0 (human) and class-1 (AI) n, mean, var.
+
+    A single global aggregate with class-conditional inputs (partial aggregation on
+    every task, one tiny final merge); the features table is read once.
+    """
+    aggs = []
+    for f in features:
+        for c in (0, 1):
+            v = F.when(F.col(label) == c, F.col(f).cast("double"))
+            aggs += [
+                F.count(v).alias(f"{f}__n{c}"),
+                F.avg(v).alias(f"{f}__mean{c}"),
+                F.var_samp(v).alias(f"{f}__var{c}"),
+            ]
+    g = wide.agg(*aggs)
+    rows = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            *[F.col(f"{f}__{m}{c}").alias(f"{m}{c}") for c in (0, 1) for m in ("n", "mean", "var")],
+        )
+        for f in features
+    ]
+    return g.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
+
+
 def two_class(moments: DataFrame, label: str = "label") -> DataFrame:
     """One row per feature with class-0 (human) and class-1 (AI) moments side by side."""
     a = moments.where(F.col(label) == 0).select(
@@ -206,7 +232,7 @@ def histogram(long: DataFrame, bins: int = 40) -> DataFrame:
     )
 
 
-def density_grid(long: DataFrame, points: int = 512, cut: float = 3.0) -> DataFrame:
+def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per (feature, label) on ``points`` grid points.
 
     Bandwidth is R's nrd0: 0.9 * min(sd, IQR / 1.34) * n^-0.2. Values are linearly
@@ -233,7 +259,7 @@ def density_grid(long: DataFrame, points: int = 512, cut: float = 3.0) -> DataFr
     )
     p = p.withColumn("bw", 0.9 * lo * F.pow(F.col("n").cast("double"), -0.2))
     p = p.withColumns(
-        {"g0": F.col("vmin") - cut * F.col("bw"), "g1": F.col("vmax") + cut * F.col("bw")}
+        {"g0": F.col("vmin") - bw_cut * F.col("bw"), "g1": F.col("vmax") + bw_cut * F.col("bw")}
     ).withColumn("dx", (F.col("g1") - F.col("g0")) / (points - 1)).cache()
     u = (F.col("value") - F.col("g0")) / F.col("dx")
     j = F.floor(u).cast("bigint")

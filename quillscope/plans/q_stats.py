@@ -20,7 +20,7 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tc(spark: SparkSession, d: str) -> DataFrame:
-    return stats.two_class(stats.class_moments(extended(spark, d), FEATS))
+    return stats.two_class_moments(extended(spark, d), FEATS)
 
 
 # ---------------------------------------------------------------- SQL building blocks
