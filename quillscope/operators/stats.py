@@ -294,6 +294,15 @@ def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0) -> Dat
 
 
 # ------------------------------------------------------------------ correlation & regression
+def sufficiency(n: Column, min_rows: int) -> Column:
+    """Data-sufficiency guard: 'empty' (n = 0), 'insufficient' (n <= min_rows) or 'ok'."""
+    return (
+        F.when(n == 0, F.lit("empty"))
+        .when(n <= min_rows, F.lit("insufficient"))
+        .otherwise(F.lit("ok"))
+    )
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.na.drop("any", subset=[x, y])
     return d.agg(F.count("*").alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
@@ -338,6 +347,7 @@ def ols_fit(d: DataFrame, x: str = "log_x", y: str = "log_y") -> DataFrame:
     ll = -n / 2 * (F.log(F.lit(2 * 3.141592653589793)) + F.log(_div(ssr, n)) + 1)
     return s.select(
         F.col("n").cast("bigint").alias("n"),
+        sufficiency(F.col("n"), 0).alias("status"),
         "slope",
         "intercept",
         "r2",

@@ -57,6 +57,17 @@ def features_long(spark: SparkSession, d: str) -> DataFrame:
     return _long(spark, d).groupBy("feature", "label").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+@register(
+    "features_long_named",
+    sql=f"""WITH {LONG_SQL} SELECT CASE WHEN label = 0 THEN 'Human' WHEN label = 1 THEN 'AI' END AS label_name,
+    feature, count(*)::BIGINT AS n, avg(value) AS mean FROM lg GROUP BY ALL""",
+    doubles=("mean",),
+)
+def features_long_named(spark: SparkSession, d: str) -> DataFrame:
+    lg = _long(spark, d).withColumn("label_name", stats.class_name(F.col("label")))
+    return lg.groupBy("label_name", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
 @register("distinct_features", sql=f"WITH {LONG_SQL} SELECT DISTINCT feature FROM lg")
 def distinct_features(spark: SparkSession, d: str) -> DataFrame:
     return _long(spark, d).select("feature").distinct()
@@ -235,7 +246,7 @@ OLS_COLS = ("slope", "intercept", "r2", "adj_r2", "se_slope", "se_intercept", "f
       regr_syy(log_y, log_x) AS syy, regr_sxy(log_y, log_x) AS sxy, regr_avgx(log_y, log_x) AS xbar FROM lgx),
     t AS (SELECT *, syy - slope * sxy AS ssr FROM s),
     u AS (SELECT *, {_sdiv('ssr', 'n - 2')} AS s2, -n / 2 * (ln(2 * pi()) + ln({_sdiv('ssr', 'n')}) + 1) AS ll FROM t)
-    SELECT n::BIGINT AS n, slope, intercept, r2, 1 - (1 - r2) * {_sdiv('n - 1', 'n - 2')} AS adj_r2,
+    SELECT n::BIGINT AS n, CASE WHEN n = 0 THEN 'empty' ELSE 'ok' END AS status, slope, intercept, r2, 1 - (1 - r2) * {_sdiv('n - 1', 'n - 2')} AS adj_r2,
       sqrt({_sdiv('s2', 'sxx')}) AS se_slope, sqrt(s2 * ({_sdiv('1', 'n')} + {_sdiv('xbar * xbar', 'sxx')})) AS se_intercept,
       {_sdiv('slope * sxy', 's2')} AS f_stat, ll AS log_lik, -2 * ll + 4 AS aic, -2 * ll + 2 * ln(n) AS bic FROM u""",
     doubles=OLS_COLS,
@@ -300,8 +311,9 @@ _D2 = _det3("s0", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2")
     s AS (SELECT count(*)::DOUBLE AS s0, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4,
                  sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2 FROM tr),
     fit AS (SELECT {_sdiv(_D0, _D)} AS intercept, {_sdiv(_D1, _D)} AS coef_x, {_sdiv(_D2, _D)} AS coef_x2 FROM s),
-    r AS (SELECT count(*)::BIGINT AS n_test, 1 - {_sdiv('sum(pow(y - (intercept + coef_x * x + coef_x2 * x * x), 2))', 'var_pop(y) * count(*)')} AS r2_test FROM te, fit)
-    SELECT intercept, coef_x, coef_x2, n_test, r2_test FROM fit, r""",
+    r AS (SELECT count(*)::BIGINT AS n_test, 1 - {_sdiv('sum(pow(y - (intercept + coef_x * x + coef_x2 * x * x), 2))', 'var_pop(y) * count(*)')} AS r2_test FROM te, fit),
+    st AS (SELECT CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) <= 5 THEN 'insufficient' ELSE 'ok' END AS status FROM pr)
+    SELECT status, intercept, coef_x, coef_x2, n_test, r2_test FROM fit, r, st""",
     doubles=("intercept", "coef_x", "coef_x2", "r2_test"),
 )
 def poly_regression(spark: SparkSession, d: str) -> DataFrame:
@@ -310,6 +322,7 @@ def poly_regression(spark: SparkSession, d: str) -> DataFrame:
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     fit = stats.poly2_fit(train, X_COL, Y_COL).cache()
-    return fit.crossJoin(stats.r2_score(test, fit, X_COL, Y_COL)).select(
-        "intercept", "coef_x", "coef_x2", "n_test", "r2_test"
+    status = e.agg(stats.sufficiency(F.count("*"), 5).alias("status"))
+    return fit.crossJoin(stats.r2_score(test, fit, X_COL, Y_COL)).crossJoin(status).select(
+        "status", "intercept", "coef_x", "coef_x2", "n_test", "r2_test"
     )

@@ -255,3 +255,18 @@ def extended_features(spark: SparkSession, d: str) -> DataFrame:
 )
 def extended_conversations(spark: SparkSession, d: str) -> DataFrame:
     return FE.extended_features(tables.conversation_corpus(spark, d)).select(*EXT_COLS)
+
+
+# ------------------------------------------------------------------ W2 / X15: most frequent adjacent pairs
+@register(
+    "bigram_top",
+    sql=f"""WITH t AS (SELECT {S.tokens()} AS _t FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT unnest({S.bigrams()}) AS bg FROM t)
+    SELECT replace(bg, chr(1), ' ') AS bigram, count(*)::BIGINT AS n FROM b GROUP BY bg ORDER BY n DESC, bg LIMIT 20""",
+)
+def bigram_top(spark: SparkSession, d: str) -> DataFrame:
+    # a top-k report: the limit is the operator (planned as a distributed take-ordered)
+    docs = tables.load(spark, d, "documents").where(F.col("text").isNotNull())
+    bg = docs.select(F.explode(X.bigrams(X.tokens("text"))).alias("bg"))
+    top = bg.groupBy("bg").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("bg")).limit(20)
+    return top.select(F.replace("bg", F.lit(X.BIGRAM_SEP), F.lit(" ")).alias("bigram"), "n")

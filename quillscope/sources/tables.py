@@ -106,10 +106,18 @@ def write_partitioned(df: DataFrame, path: str, *cols: str) -> None:
     df.write.mode("overwrite").partitionBy(*cols).parquet(path)
 
 
-def read_models(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """Weight tables from several glob patterns; the file path becomes the model id."""
+def read_models(spark: SparkSession, patterns: list[str], root_depth: int = 3) -> DataFrame:
+    """Weight tables from several glob patterns, concatenated; each matched path is a model.
+
+    Every model folder is its own (partitioned) table, so files are listed recursively
+    and the model id is the folder ``root_depth`` levels above the data file.
+    """
     frames = [
-        spark.read.parquet(p).withColumn("model_path", F.col("_metadata.file_path")) for p in patterns
+        spark.read.option("recursiveFileLookup", "true")
+        .parquet(p)
+        .withColumn("model_path", F.col("_metadata.file_path"))
+        .withColumn("model", F.element_at(F.split("model_path", "/"), -(root_depth + 1)))
+        for p in patterns
     ]
     out = frames[0]
     for f in frames[1:]:
