@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from quillscope.operators import ranking
 
 
-def _in_head(id_col: str, seed: int) -> F.Column:
+def _in_head(id_col: str, seed: int, hk: F.Column | None = None, idk: F.Column | None = None) -> F.Column:
+    hk = F.col("_hk") if hk is None else hk
+    idk = F.col("_idk") if idk is None else idk
     h = ranking.hash_key(id_col, seed)
-    return (h < F.col("_hk")) | ((h == F.col("_hk")) & (F.col(id_col) <= F.col("_idk")))
+    return (h < hk) | ((h == hk) & (F.col(id_col) <= idk))
 
 
 def split_random(df: DataFrame, id_col: str = "doc_id", test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split`` in {train, test}; test = the first ceil(fraction * n) rows in hash order."""
-    th = ranking.kth_hash(df, id_col, seed, F.ceil(F.lit(test_fraction) * F.count("*")))
-    out = df.join(F.broadcast(th), F.lit(True), "left")  # one-row threshold
-    split = F.when(F.col("_hk").isNotNull() & _in_head(id_col, seed), F.lit("test")).otherwise(F.lit("train"))
-    return out.withColumn("split", split).drop("_hk", "_idk")
+    th = ranking.kth_hash(df, id_col, seed, F.ceil(F.lit(test_fraction) * F.count("*"))).first()
+    # the threshold is one (hash, id) pair, found by bucket counts + one bucket; it enters the
+    # plan as two literals, so the split itself is a plain filterable projection
+    if th is None:  # empty input
+        return df.withColumn("split", F.lit("train"))
+    head = _in_head(id_col, seed, F.lit(th["_hk"]), F.lit(th["_idk"]))
+    return df.withColumn("split", F.when(head, F.lit("test")).otherwise(F.lit("train")))
 
 
 def split_stratified(
@@ -77,13 +82,16 @@ def minmax_fit(train: DataFrame, cols: list[str]) -> DataFrame:
 
 def minmax_apply(df: DataFrame, fit: DataFrame, cols: list[str], suffix: str = "_s") -> DataFrame:
     """(x - min) / (max - min); a constant column maps to 0; no clipping (val may leave [0, 1])."""
-    j = df.crossJoin(F.broadcast(fit))  # one-row scaler
-    for c in cols:
-        lo, hi = F.col(f"{c}__min"), F.col(f"{c}__max")
-        j = j.withColumn(
-            f"{c}{suffix}", F.coalesce(F.try_divide(F.col(c).cast("double") - lo, hi - lo), F.lit(0.0))
-        )
-    return j.drop(*[f"{c}__{m}" for c in cols for m in ("min", "max")])
+    s = ranking.one_row(fit)  # the fitted scaler is one row: a scalar subquery
+    return df.withColumns(
+        {
+            f"{c}{suffix}": F.coalesce(
+                F.try_divide(F.col(c).cast("double") - s[f"{c}__min"], s[f"{c}__max"] - s[f"{c}__min"]),
+                F.lit(0.0),
+            )
+            for c in cols
+        }
+    )
 
 
 def label_struct(df: DataFrame, main: str = "label", aux: list[str] = ("aux1_s", "aux2_s")) -> DataFrame:

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,25 @@ HASH_PREFIX = 3  # hex digits -> 16**3 = 4,096 buckets
 RANK_BUCKETS = 1024
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row aggregate as a scalar subquery struct (evaluated once, no join)."""
+    return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
+
+
+def range_buckets(df: DataFrame, value: str, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """Adds ``out``: a monotone bucket of ``value`` with near-equal row counts.
+
+    Cut points are approximate quantiles (at most ``buckets - 1`` numbers reach the
+    driver); rows are placed by binary search in the JVM (``Bucketizer``).
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * buckets))))
+    splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
+    tmp = f"{out}__d"
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return b.transform(df.withColumn(tmp, F.col(value).cast("double"))).drop(tmp)
+
+
 def hash_key(id_col: Column | str, seed: int) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
@@ -61,7 +81,7 @@ def kth_hash(df: DataFrame, id_col: str, seed: int, k_col: Column, by: list[str]
     # <= 4,096 bucket rows per group
     wcum = Window.partitionBy(*by).orderBy("_bk") if by else Window.orderBy("_bk")
     cum = sizes.withColumn("_cum", F.sum("_bn").over(wcum))
-    cum = cum.join(ks, by) if by else cum.crossJoin(ks)
+    cum = cum.join(ks, by) if by else cum.withColumn("_k", ks.select("_k").scalar())
     target = cum.where((F.col("_cum") - F.col("_bn") < F.col("_k")) & (F.col("_k") <= F.col("_cum"))).select(
         *by, "_bk", (F.col("_k") - (F.col("_cum") - F.col("_bn"))).alias("_kin")
     )
@@ -75,12 +95,7 @@ def kth_hash(df: DataFrame, id_col: str, seed: int, k_col: Column, by: list[str]
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds ``out`` = tie-averaged 1-based rank of non-null ``value`` (rows with NULL get NULL)."""
     d = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    probs = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    cuts = d.agg(F.percentile_approx(value, probs, 10000).alias("_cuts"))
-    v = F.col(value)
-    bucketed = d.crossJoin(F.broadcast(cuts)).withColumn(
-        "_bk", F.size(F.filter(F.col("_cuts"), lambda c: c < v))
-    ).drop("_cuts")
+    bucketed = range_buckets(d, value, "_bk")
     sizes = bucketed.groupBy("_bk").agg(F.sum("_c").alias("_bn"))
     offsets = sizes.select("_bk", (F.sum("_bn").over(Window.orderBy("_bk")) - F.col("_bn")).alias("_off"))
     w = Window.partitionBy("_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -363,9 +363,8 @@ def ols_fit(d: DataFrame, x: str = "log_x", y: str = "log_y") -> DataFrame:
 
 def ols_residual_stats(d: DataFrame, fit: DataFrame, x: str = "log_x", y: str = "log_y") -> DataFrame:
     """Residual skew, kurtosis, Jarque-Bera (second pass; the fit is a one-row broadcast)."""
-    r = d.crossJoin(F.broadcast(fit.select("slope", "intercept"))).select(
-        (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("e")
-    )
+    f = ranking.one_row(fit.select("slope", "intercept"))
+    r = d.select((F.col(y) - f["intercept"] - f["slope"] * F.col(x)).alias("e"))
     m = r.agg(
         F.count("*").alias("n"),
         F.avg(F.pow("e", 2)).alias("m2"),
@@ -388,13 +387,10 @@ def durbin_watson(d: DataFrame, fit: DataFrame, order_col: str, x: str = "log_x"
     ``lag`` runs inside a bucket and the first row of each bucket takes its predecessor
     from the previous non-empty bucket's last row (a bucket-sized table).
     """
-    r = d.crossJoin(F.broadcast(fit.select("slope", "intercept"))).select(
-        order_col, (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).alias("e")
-    )
-    probs = [i / ranking.RANK_BUCKETS for i in range(1, ranking.RANK_BUCKETS)]
-    cuts = r.agg(F.percentile_approx(order_col, probs, 10000).alias("_cuts"))
+    f = ranking.one_row(fit.select("slope", "intercept"))
+    r = d.select(order_col, (F.col(y) - f["intercept"] - f["slope"] * F.col(x)).alias("e"))
     oc = F.col(order_col)
-    r = r.crossJoin(F.broadcast(cuts)).withColumn("_bk", F.size(F.filter(F.col("_cuts"), lambda c: c < oc))).drop("_cuts")
+    r = ranking.range_buckets(r, order_col, "_bk")
     w = Window.partitionBy("_bk").orderBy(order_col)
     r = r.withColumn("_prev", F.lag("e").over(w))
     inner = r.agg(
@@ -407,8 +403,9 @@ def durbin_watson(d: DataFrame, fit: DataFrame, order_col: str, x: str = "log_x"
     # one row per bucket (<= 1,024): the ordered window is over bucket ends only
     ends = ends.withColumn("prev_last", F.lag("last_e").over(Window.orderBy("_bk")))
     cross = ends.agg(F.sum(F.pow(F.col("first_e") - F.col("prev_last"), 2)).alias("num_x"))
-    return inner.crossJoin(cross).select(
-        _div(F.coalesce(F.col("num_in"), F.lit(0.0)) + F.coalesce(F.col("num_x"), F.lit(0.0)), F.col("den")).alias(
+    num_x = cross.select("num_x").scalar()
+    return inner.select(
+        _div(F.coalesce(F.col("num_in"), F.lit(0.0)) + F.coalesce(num_x, F.lit(0.0)), F.col("den")).alias(
             "durbin_watson"
         )
     )
@@ -441,9 +438,9 @@ def poly2_fit(train: DataFrame, x: str, y: str) -> DataFrame:
 
 def r2_score(test: DataFrame, fit: DataFrame, x: str, y: str) -> DataFrame:
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
-    pred = F.col("intercept") + F.col("coef_x") * X + F.col("coef_x2") * X * X
-    j = test.crossJoin(F.broadcast(fit))
-    m = j.agg(
+    f = ranking.one_row(fit)
+    pred = f["intercept"] + f["coef_x"] * X + f["coef_x2"] * X * X
+    m = test.agg(
         F.sum(F.pow(Y - pred, 2)).alias("sse"),
         F.var_pop(Y).alias("vp"),
         F.count("*").alias("n"),

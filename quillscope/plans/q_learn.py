@@ -279,10 +279,9 @@ def encode(df: DataFrame, key: str, text: str = "text", max_len: int | None = No
 
 def pad(enc: DataFrame, key: str) -> DataFrame:
     """Pad to the longest row of the table and add the attention mask (max is a 1-row aggregate)."""
-    m = enc.agg(F.max(F.size("ids")).alias("_m"))
-    j = enc.crossJoin(F.broadcast(m))
-    fill = F.col("_m") - F.size("ids")
-    return j.select(
+    m = enc.agg(F.max(F.size("ids"))).scalar()
+    fill = m - F.size("ids")
+    return enc.select(
         key,
         F.concat("ids", F.array_repeat(F.lit(PAD), fill)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), fill)).alias("attention_mask"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.operators import features as FE
-from quillscope.operators import prep, stats
+from quillscope.operators import prep, ranking, stats
 from quillscope.plans import sqltext as S
 from quillscope.plans.q_text import extended
 from quillscope.plans.registry import register
@@ -322,7 +322,13 @@ def poly_regression(spark: SparkSession, d: str) -> DataFrame:
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     fit = stats.poly2_fit(train, X_COL, Y_COL).cache()
-    status = e.agg(stats.sufficiency(F.count("*"), 5).alias("status"))
-    return fit.crossJoin(stats.r2_score(test, fit, X_COL, Y_COL)).crossJoin(status).select(
-        "status", "intercept", "coef_x", "coef_x2", "n_test", "r2_test"
+    status = e.agg(stats.sufficiency(F.count("*"), 5)).scalar()
+    f = ranking.one_row(fit)
+    return stats.r2_score(test, fit, X_COL, Y_COL).select(
+        status.alias("status"),
+        f["intercept"].alias("intercept"),
+        f["coef_x"].alias("coef_x"),
+        f["coef_x2"].alias("coef_x2"),
+        "n_test",
+        "r2_test",
     )
