@@ -48,42 +48,40 @@ def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def basic_features(df: DataFrame, text: str = "text", mode: str = "literal") -> DataFrame:
+    """Input columns + the seven word/punctuation features (two projections)."""
+    keep = [F.col(c) for c in df.columns]
     w = F.col("_w")
-    out = with_words(non_null_text(df, text), text)
-    out = out.withColumns(
-        {
-            "avg_word_length": X.avg_word_length(text, w),
-            "vocab_size": X.vocab_size(w),
-            "word_density": X.word_density(w),
-        }
+    out = non_null_text(df, text).select(*keep, X.words(text).alias("_w"))
+    density = X.word_density(w)
+    return out.select(
+        *keep,
+        X.avg_word_length(text, w).alias("avg_word_length"),
+        X.vocab_size(w).alias("vocab_size"),
+        density.alias("word_density"),
+        density.alias("lexical_diversity"),
+        X.question_count(text, mode).alias("question_count"),
+        X.exclamation_count(text).alias("exclamation_count"),
+        X.ellipsis_count(text, mode).alias("ellipsis_count"),
     )
-    return out.withColumns(
-        {
-            "lexical_diversity": F.col("word_density"),
-            "question_count": X.question_count(text, mode),
-            "exclamation_count": X.exclamation_count(text),
-            "ellipsis_count": X.ellipsis_count(text, mode),
-        }
-    ).drop("_w")
 
 
 def english_features(df: DataFrame, text: str = "text", keep_tokens: bool = False) -> DataFrame:
     """Seven linguistic features. Expects ``_t`` (tokens) or computes it."""
-    out = df if "_t" in df.columns else with_tokens(df, text)
-    t = F.col("_t")
-    out = out.withColumn("_s", X.sentences(text)).withColumn("noun_count", X.noun_count(t))
-    out = out.withColumns(
-        {
-            "func_word_count": X.func_word_count(t),
-            "noun_ratio": X.noun_ratio(t, F.col("noun_count")),
-            "token_repetition_count": X.token_repetition_count(t),
-            "bigram_repetition_count": X.bigram_repetition_count(t),
-            "avg_sent_len_word": X.avg_sent_len_word(t, F.col("_s")),
-            "avg_sent_len_char": X.avg_sent_len_char(F.col("_s")),
-        }
-    )
-    drop = ["_s"] if keep_tokens else ["_s", "_t"]
-    return out.drop(*drop)
+    base = [c for c in df.columns if c != "_t"]
+    src = df if "_t" in df.columns else with_tokens(df, text)
+    t, sents = F.col("_t"), F.col("_s")
+    out = src.select(*base, "_t", X.sentences(text).alias("_s"))
+    nouns = X.noun_count(t)
+    cols = [
+        X.func_word_count(t).alias("func_word_count"),
+        nouns.alias("noun_count"),
+        X.noun_ratio(t, nouns).alias("noun_ratio"),
+        X.token_repetition_count(t).alias("token_repetition_count"),
+        X.bigram_repetition_count(t).alias("bigram_repetition_count"),
+        X.avg_sent_len_word(t, sents).alias("avg_sent_len_word"),
+        X.avg_sent_len_char(sents).alias("avg_sent_len_char"),
+    ]
+    return out.select(*base, *(["_t"] if keep_tokens else []), *cols)
 
 
 def outlier_columns(df: DataFrame, text: str = "text") -> DataFrame:
@@ -108,11 +106,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def remove_outliers(df: DataFrame, text: str = "text", allow_outliers: bool = False) -> DataFrame:
     """Keep rows with token_count <= 768, no '[' prefix and avg word length <= 120."""
-    out = with_tokens(df, text)
     if allow_outliers:
-        return out
-    out = materialize(out.withColumn("_tc", X.token_count(F.col("_t"))))
-    return out.where(X.is_kept(text, F.col("_tc"), F.col("avg_word_length"))).drop("_tc")
+        return with_tokens(df, text)
+    tok = X.tokens(text)
+    out = df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns], tok.alias("_t")))))
+    kept = out.where(X.is_kept(text, X.token_count(F.col("_t")), F.col("avg_word_length")))
+    return kept
 
 
 def extended_features(

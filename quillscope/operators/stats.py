@@ -217,7 +217,8 @@ def boxplot_stats(long: DataFrame) -> DataFrame:
 
 def histogram(long: DataFrame, bins: int = 40) -> DataFrame:
     """Equal-width bins over the two-class range of each feature, maximum in the last bin."""
-    vals = long.where(F.col("value").isNotNull())
+    # two passes (ranges, then bins): read a checkpoint, not the text pipeline twice
+    vals = cut(long.where(F.col("value").isNotNull()).select("feature", "label", "value"))
     rng = vals.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
@@ -310,7 +311,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, id_col: str = "doc_id") -> DataFrame:
     """Spearman rho = Pearson correlation of tie-averaged ranks (ranks without a global window)."""
-    d = df.select(id_col, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop("any")
+    d = cut(df.select(id_col, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop("any"))
     d = ranking.average_rank(d, "_x", "_rx")
     d = ranking.average_rank(d, "_y", "_ry")
     return d.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))

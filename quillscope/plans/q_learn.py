@@ -13,6 +13,7 @@ from quillscope.operators import learn as LN
 from quillscope.operators import prep
 from quillscope.plans import sqltext as S
 from quillscope.plans.registry import register
+from quillscope.session import cut
 from quillscope.sources import tables
 
 W = {m: LN.fixed_weights(k) for k, m in enumerate(LN.MODEL_NAMES, start=1)}
@@ -36,7 +37,7 @@ def train_rows(spark: SparkSession, d: str) -> DataFrame:
         F.col("avg_word_length").alias("aux1"),
         X.func_word_count(X.tokens("text")).alias("aux2"),
     )
-    f = f.persist()
+    f = cut(f)  # the scaler is fitted on and applied to the same rows
     fit = prep.minmax_fit(f, ["aux1", "aux2"])
     return prep.minmax_apply(f, fit, ["aux1", "aux2"])
 
@@ -406,7 +407,7 @@ def loss_history(spark: SparkSession, d: str) -> DataFrame:
 @register("model_ablation")
 def model_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Four trainings (main, +aux1, +aux2, +both), scored on held-out rows, then paired t-tests."""
-    t = prep.split_random(_train_table(spark, d), "doc_id", 0.2, 42).persist()
+    t = cut(prep.split_random(_train_table(spark, d), "doc_id", 0.2, 42))
     train_t, test_t = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     specs = {"main": "1.0", "aux1": "1.0,0.5", "aux2": "1.0,,0.5", "aux12": "1.0,0.5,0.5"}
     long = None

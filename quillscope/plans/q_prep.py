@@ -11,7 +11,7 @@ from quillscope.operators import prep
 from quillscope.plans import sqltext as S
 from quillscope.plans.q_text import extended, labelled
 from quillscope.plans.registry import register
-from quillscope.session import scratch_path
+from quillscope.session import cut, scratch_path
 from quillscope.sources import tables
 
 L = S.LABELLED
@@ -175,7 +175,7 @@ MINMAX_SQL = f"""{TRAIN_SQL},
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
     s = prep.split_random(labelled(spark, d))
     ext = prep.training_table(FE.extended_features(s)).join(s.select("doc_id", "split"), "doc_id")
-    ext = ext.persist()
+    ext = cut(ext.drop("text"))
     fit = prep.minmax_fit(ext.where(F.col("split") == "train"), ["aux1", "aux2"])
     return prep.minmax_apply(ext, fit, ["aux1", "aux2"])
 

@@ -10,6 +10,7 @@ from quillscope.operators import prep, ranking, stats
 from quillscope.plans import sqltext as S
 from quillscope.plans.q_text import extended
 from quillscope.plans.registry import register
+from quillscope.session import cut
 
 FEATS = FE.NUMERIC_FEATURES
 X_COL, Y_COL = "avg_word_length", "func_word_count"
@@ -267,7 +268,7 @@ e AS (SELECT doc_id, log_y - a - b * log_x AS e FROM lgx, fit)"""
     doubles=("skew", "kurtosis", "jarque_bera"),
 )
 def ols_residuals(spark: SparkSession, d: str) -> DataFrame:
-    inp = stats.log_log_input(extended(spark, d), X_COL, Y_COL).persist()
+    inp = cut(stats.log_log_input(extended(spark, d), X_COL, Y_COL).select("doc_id", "log_x", "log_y"))
     return stats.ols_residual_stats(inp, stats.ols_fit(inp))
 
 
@@ -278,7 +279,7 @@ def ols_residuals(spark: SparkSession, d: str) -> DataFrame:
     doubles=("durbin_watson",),
 )
 def durbin_watson(spark: SparkSession, d: str) -> DataFrame:
-    inp = stats.log_log_input(extended(spark, d), X_COL, Y_COL).persist()
+    inp = cut(stats.log_log_input(extended(spark, d), X_COL, Y_COL).select("doc_id", "log_x", "log_y"))
     return stats.durbin_watson(inp, stats.ols_fit(inp), "doc_id")
 
 
@@ -317,7 +318,7 @@ _D2 = _det3("s0", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2")
     doubles=("intercept", "coef_x", "coef_x2", "r2_test"),
 )
 def poly_regression(spark: SparkSession, d: str) -> DataFrame:
-    e = extended(spark, d).na.drop("any", subset=[X_COL, Y_COL]).persist()
+    e = cut(extended(spark, d).na.drop("any", subset=[X_COL, Y_COL]).select("doc_id", X_COL, Y_COL))
     split = prep.split_random(e, "doc_id", test_fraction=0.2, seed=42)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")

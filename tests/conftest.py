@@ -19,7 +19,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
         # tests only: a scratch folder; on a cluster the deployment names a shared one
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="qs-test-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="qs-test-"))
     yield s
