@@ -3,23 +3,35 @@
 * ``hash_key``: deterministic pseudo-random order ``md5(concat(id, ':', seed))``;
   identical in Spark and DuckDB, so splits and shuffles are reproducible.
 * ``global_position``: 1-based position in hash order. Rows are bucketed on the
-  first three hex digits of the hash (4,096 near-equal buckets), bucket sizes are
-  prefix-summed on a 4,096-row table, and ``row_number`` runs only inside a bucket.
-* ``kth_hash``: the hash value at a given position, found from bucket counts plus
-  one bucket, so a split is a plain ``hash <= threshold`` filter.
+  first four hex digits of the hash (65,536 near-equal buckets: about 1.5 M rows per
+  bucket at 1e11 rows), bucket sizes are prefix-summed on a table of at most 65,536
+  rows, and ``row_number`` runs only inside a bucket.
+* ``kth_hash``: the hash value at a given position, found by narrowing hash prefixes
+  (three more hex digits per round) until the bucket holding the position has at most
+  ``BUCKET_ROWS`` rows, then one ``row_number`` inside that bucket. Exact, and the
+  sorted work per group is bounded however large the group is.
 * ``average_rank``: tie-averaged rank of a value column. Ties collapse first
   (group by value), value ranges come from approximate quantiles of the distinct
-  values, so no bucket holds a hot value twice.
+  values, so no bucket holds a hot value twice; the bucket count grows with the
+  number of distinct values.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_PREFIX = 3  # hex digits -> 16**3 = 4,096 buckets
-RANK_BUCKETS = 1024
+from quillscope.session import cut
+
+HASH_PREFIX = 3  # hex digits added per kth_hash round -> 4,096 sub-buckets
+POSITION_PREFIX = 4  # global_position buckets: 16**4 = 65,536
+HASH_LEN = 32  # hex digits of an md5
+RANK_BUCKETS = 1024  # fewest range buckets
+BUCKET_ROWS = 1_000_000  # most rows one window bucket (one task) is meant to sort
+BROADCAST_ROWS = 200_000  # per-group target tables are broadcast below this many rows
 
 
 def one_row(df: DataFrame) -> Column:
@@ -27,12 +39,21 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
 
 
-def range_buckets(df: DataFrame, value: str, out: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def bucket_count(n: int) -> int:
+    """Range buckets for ``n`` rows: at least ``RANK_BUCKETS``, at most ``BUCKET_ROWS`` rows each."""
+    return max(RANK_BUCKETS, math.ceil(n / BUCKET_ROWS))
+
+
+def range_buckets(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
     """Adds ``out``: a monotone bucket of ``value`` with near-equal row counts.
 
-    Cut points are approximate quantiles (at most ``buckets - 1`` numbers reach the
-    driver); rows are placed by binary search in the JVM (``Bucketizer``).
+    Cut points are approximate quantiles (``buckets - 1`` numbers reach the driver:
+    about 1e5 at 1e11 rows); rows are placed by binary search in the JVM
+    (``Bucketizer``). ``df`` should be persisted: it is counted (when ``buckets`` is
+    not given) and scanned for the quantile sketch before the caller's pass.
     """
+    if buckets is None:
+        buckets = bucket_count(df.count())
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * buckets))))
     splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
@@ -46,15 +67,15 @@ def hash_key(id_col: Column | str, seed: int) -> Column:
     return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
 
 
-def _bucket(h: Column) -> Column:
-    return F.substring(h, 1, HASH_PREFIX)
+def _bucket(h: Column, digits: int = POSITION_PREFIX) -> Column:
+    return F.substring(h, 1, digits)
 
 
 def global_position(df: DataFrame, id_col: str, seed: int, out: str = "pos") -> DataFrame:
     """Adds ``out`` = 1-based position in (hash, id) order and ``_h`` the hash."""
     h = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_bk", _bucket(F.col("_h")))
     sizes = h.groupBy("_bk").agg(F.count("*").alias("_bn"))
-    # at most 4,096 rows: the one-partition window here is over bucket sizes, not rows
+    # at most 65,536 rows: the one-partition window here is over bucket sizes, not rows
     offsets = sizes.select(
         "_bk", (F.sum("_bn").over(Window.orderBy("_bk")) - F.col("_bn")).alias("_off")
     )
@@ -70,31 +91,54 @@ def kth_hash(df: DataFrame, id_col: str, seed: int, k_col: Column, by: list[str]
     """Per group of ``by``: the (hash, id) key ``(_hk, _idk)`` at 1-based position k in hash order.
 
     ``k_col`` is an aggregate over the group (e.g. ``ceil(0.2 * count(*))``). Groups with
-    k = 0 get no row. Work: one bucket-count aggregate plus a row_number inside the one
-    hash bucket per group that holds position k.
+    k = 0 get no row. Each round counts the rows of the still-open hash prefix per
+    (group, prefix + 3 hex digits) -- a map-side-combined aggregate of at most 4,096 rows
+    per group -- and locates the sub-bucket holding position k. md5 is uniform, so a
+    round divides the open rows by about 4,096: one round up to ~4e9 rows per group, two
+    beyond. The last step numbers the rows of one bucket per group (``BUCKET_ROWS`` at most,
+    unless one id is repeated that often).
     """
-    by = list(by)
-    h = df.select(*by, F.col(id_col).alias("_id"), hash_key(id_col, seed).alias("_h"))
-    h = h.withColumn("_bk", _bucket(F.col("_h")))
-    sizes = h.groupBy(*by, "_bk").agg(F.count("*").alias("_bn"))
-    ks = df.groupBy(*by).agg(k_col.alias("_k"))
-    # <= 4,096 bucket rows per group
-    wcum = Window.partitionBy(*by).orderBy("_bk") if by else Window.orderBy("_bk")
-    cum = sizes.withColumn("_cum", F.sum("_bn").over(wcum))
-    cum = cum.join(ks, by) if by else cum.withColumn("_k", ks.select("_k").scalar())
-    target = cum.where((F.col("_cum") - F.col("_bn") < F.col("_k")) & (F.col("_k") <= F.col("_cum"))).select(
-        *by, "_bk", (F.col("_k") - (F.col("_cum") - F.col("_bn"))).alias("_kin")
+    keys = list(by) or ["_g"]
+    src = df if by else df.withColumn("_g", F.lit(0))
+    h = src.select(*keys, F.col(id_col).alias("_id"), hash_key(id_col, seed).alias("_h"))
+    ks = src.groupBy(*keys).agg(k_col.cast("bigint").alias("_k"))
+    # one row per group: the hash prefix located so far and the rank still to find inside it
+    target = cut(ks.where(F.col("_k") >= 1).select(*keys, F.lit("").alias("_p"), F.col("_k").alias("_kin")))
+    small = target.count() <= BROADCAST_ROWS
+    plen = 0
+    while True:
+        tgt = F.broadcast(target) if small else target
+        open_rows = h.join(tgt.select(*keys, "_p"), keys).where(F.substring("_h", 1, plen) == F.col("_p"))
+        plen = min(HASH_LEN, plen + HASH_PREFIX)
+        sizes = open_rows.groupBy(*keys, F.substring("_h", 1, plen).alias("_bk")).agg(F.count("*").alias("_bn"))
+        # <= 4,096 sub-bucket rows per group
+        cum = sizes.withColumn("_cum", F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bk")))
+        located = cut(
+            cum.join(tgt.select(*keys, "_kin"), keys)
+            .where((F.col("_cum") - F.col("_bn") < F.col("_kin")) & (F.col("_kin") <= F.col("_cum")))
+            .select(*keys, F.col("_bk").alias("_p"), (F.col("_kin") - (F.col("_cum") - F.col("_bn"))).alias("_kin"), "_bn")
+        )
+        biggest = located.agg(F.max("_bn")).first()[0]
+        target = located.select(*keys, "_p", "_kin")
+        if biggest is None or biggest <= BUCKET_ROWS or plen >= HASH_LEN:
+            break
+    tgt = F.broadcast(target) if small else target
+    w = Window.partitionBy(*keys).orderBy("_h", "_id")
+    inside = (
+        h.join(tgt, keys)
+        .where(F.substring("_h", 1, plen) == F.col("_p"))
+        .withColumn("_rn", F.row_number().over(w))
     )
-    w = Window.partitionBy(*by, "_bk").orderBy("_h", "_id")
-    inside = h.join(F.broadcast(target), by + ["_bk"]).withColumn("_rn", F.row_number().over(w))
     return inside.where(F.col("_rn") == F.col("_kin")).select(
-        *by, F.col("_h").alias("_hk"), F.col("_id").alias("_idk")
+        *list(by), F.col("_h").alias("_hk"), F.col("_id").alias("_idk")
     )
 
 
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds ``out`` = tie-averaged 1-based rank of non-null ``value`` (rows with NULL get NULL)."""
-    d = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    # distinct values with their multiplicity; written once, read by the count, the
+    # quantile sketch and the bucketing below
+    d = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")))
     bucketed = range_buckets(d, value, "_bk")
     sizes = bucketed.groupBy("_bk").agg(F.sum("_c").alias("_bn"))
     offsets = sizes.select("_bk", (F.sum("_bn").over(Window.orderBy("_bk")) - F.col("_bn")).alias("_off"))

@@ -32,11 +32,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (a static setting of the cluster).
 
     Falls back to a directory already given to ``SparkContext.setCheckpointDir``; only
-    when neither exists (local tests) is a scratch folder created and registered.
+    when neither exists and the master is local (tests) is a scratch folder created and
+    registered. A cluster without a shared folder is an error: a machine-local folder
+    would not survive the loss of the executor that wrote it.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (cluster checkpoints)")
         root = tempfile.mkdtemp(prefix="quillscope-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

@@ -76,6 +76,33 @@ def test_global_position_and_splits(spark):
         assert set(st[(st.split == "test") & (st.label == lab)].doc_id) == want
 
 
+def test_kth_hash_narrowing_rounds(spark, monkeypatch):
+    # a tiny bucket bound forces several prefix-narrowing rounds, one group holds most rows
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 3)
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id").withColumn(
+        "label", F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)
+    )
+    h = ids.select("doc_id", "label", ranking.hash_key("doc_id", 7).alias("h")).toPandas()
+    h = h.sort_values(["h", "doc_id"]).reset_index(drop=True)
+    for k in (1, 2, 1234, 6000):
+        got = ranking.kth_hash(ids, "doc_id", 7, F.lit(k)).collect()
+        assert [(r._hk, r._idk) for r in got] == [(h.h[k - 1], h.doc_id[k - 1])]
+    st = prep.split_stratified(ids, "doc_id", "label", 0.3, 7).toPandas()
+    for lab, grp in h.groupby("label"):
+        want = set(grp.doc_id[: math.ceil(0.3 * len(grp))])
+        assert set(st[(st.split == "test") & (st.label == lab)].doc_id) == want
+
+
+def test_rank_buckets_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 2)
+    assert ranking.bucket_count(10_000) == 5000
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 3000, 4000).astype(float)
+    pdf = pd.DataFrame({"id": np.arange(len(v)), "value": v})
+    got = ranking.average_rank(spark.createDataFrame(pdf), "value", "r").toPandas().set_index("id").r.sort_index()
+    assert np.allclose(got.to_numpy(), pdf.set_index("id").value.rank(method="average").sort_index().to_numpy())
+
+
 def test_split_empty_and_tiny(spark):
     one = spark.createDataFrame([(1, 0)], "doc_id long, label int")
     assert [r.split for r in prep.split_random(one).collect()] == ["test"]
