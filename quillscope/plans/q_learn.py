@@ -3,11 +3,12 @@ training and sentiment (SURVEY §2.3, §2.6 X22-X24, §2.7 A12 A17-A24, §2.9)."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.functions import text as X
 from quillscope.operators import evaluate as EV
+from quillscope.operators.encoding import CLS, PAD, SEP, UNK, VOCAB_SIZE, encode, pad  # noqa: F401
 from quillscope.operators import features as FE
 from quillscope.operators import learn as LN
 from quillscope.operators import prep
@@ -17,8 +18,6 @@ from quillscope.session import cut
 from quillscope.sources import tables
 
 W = {m: LN.fixed_weights(k) for k, m in enumerate(LN.MODEL_NAMES, start=1)}
-PAD, UNK, CLS, SEP = 0, 1, 2, 3
-VOCAB_SIZE = 30000
 TRUNCATE = 16
 
 
@@ -251,44 +250,6 @@ def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X22-X24 encodings
-def vocabulary(corpus_tokens: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
-    """Token -> id by descending frequency (ties by token); ids start after the 4 special ids.
-
-    ``size`` is the vocabulary size (the limit is the feature); the ranked table has at
-    most ``size`` rows, so the window and the broadcast below are bounded by it.
-    """
-    counts = corpus_tokens.groupBy("token").agg(F.count("*").alias("c"))
-    top = counts.orderBy(F.col("c").desc(), F.col("token")).limit(size)
-    return top.select("token", (F.row_number().over(Window.orderBy(F.col("c").desc(), F.col("token"))) + SEP).alias("id"))
-
-
-def encode(df: DataFrame, key: str, text: str = "text", max_len: int | None = None, size: int = VOCAB_SIZE) -> DataFrame:
-    """``ids`` = [CLS] + token ids (unknown -> UNK) + [SEP], truncated to ``max_len`` in total."""
-    tok = df.select(key, X.tokens(text).alias("_t"))
-    if max_len is not None:
-        tok = tok.withColumn("_t", F.slice("_t", 1, max(max_len - 2, 0)))
-    flat = tok.select(key, F.posexplode("_t").alias("pos", "token"))
-    vocab = vocabulary(df.select(F.explode(X.tokens(text)).alias("token")), size)
-    j = flat.join(F.broadcast(vocab), "token", "left").select(key, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    seq = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    ids = F.concat(F.array(F.lit(CLS)), F.transform("_s", lambda s: s["id"]).cast("array<int>"), F.array(F.lit(SEP)))
-    # rows without tokens still get [CLS, SEP]
-    return tok.select(key).join(seq, key, "left").select(
-        key, F.coalesce(ids, F.array(F.lit(CLS), F.lit(SEP))).cast("array<int>").alias("ids")
-    )
-
-
-def pad(enc: DataFrame, key: str) -> DataFrame:
-    """Pad to the longest row of the table and add the attention mask (max is a 1-row aggregate)."""
-    m = enc.agg(F.max(F.size("ids"))).scalar()
-    fill = m - F.size("ids")
-    return enc.select(
-        key,
-        F.concat("ids", F.array_repeat(F.lit(PAD), fill)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), fill)).alias("attention_mask"),
-    )
-
-
 def _enc_sql(max_len: int | None) -> str:
     sl = f"[1:{max(max_len - 2, 0)}]" if max_len is not None else ""
     return f"""vt AS (SELECT unnest({S.tokens()}) AS token FROM benchmark WHERE text IS NOT NULL),
