@@ -56,16 +56,23 @@ def score_linear(arr: Column, weights: list[float]) -> Column:
     return sigmoid(dot(arr, weights))
 
 
-def score_models(df: DataFrame, emb: str = "embedding", keep: list[str] = ("doc_id", "label")) -> DataFrame:
-    """Long scores ``(keep..., model, prob)``: all models in one projection, then unpivot.
+def score_models_wide(df: DataFrame, emb: str = "embedding", keep: list[str] = ("doc_id", "label")) -> DataFrame:
+    """Scores of every fixed model side by side (one column per model) in one projection.
 
-    No join: the four fixed models are literal arrays, so each row is read once.
+    This is the score matrix itself: no pivot and no shuffle. Each row is read once.
     """
-    wide = df.select(
+    return df.select(
         *keep,
         *[score_linear(F.col(emb), fixed_weights(k)).alias(m) for k, m in enumerate(MODEL_NAMES, start=1)],
     )
-    return wide.unpivot(list(keep), MODEL_NAMES, "model", "prob")
+
+
+def score_models(df: DataFrame, emb: str = "embedding", keep: list[str] = ("doc_id", "label")) -> DataFrame:
+    """Long scores ``(keep..., model, prob)``: all models in one projection, then unpivot.
+
+    No join: the four fixed models are literal arrays, so each row is read once.
+    """
+    return score_models_wide(df, emb, keep).unpivot(list(keep), MODEL_NAMES, "model", "prob")
 
 
 # ------------------------------------------------------------------ losses

@@ -141,7 +141,8 @@ def eval_metrics_by_model(spark: SparkSession, d: str) -> DataFrame:
     doubles=tuple(LN.MODEL_NAMES),
 )
 def compare_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return EV.score_matrix(_scores(spark, d), LN.MODEL_NAMES)
+    # all models score in one projection, so the matrix needs no pivot (no shuffle)
+    return LN.score_models_wide(train_rows(spark, d), keep=["doc_id"])
 
 
 @register(
@@ -150,7 +151,7 @@ def compare_matrix(spark: SparkSession, d: str) -> DataFrame:
     doubles=tuple(LN.MODEL_NAMES),
 )
 def compare_matrix_labelled(spark: SparkSession, d: str) -> DataFrame:
-    return EV.score_matrix(_scores(spark, d), LN.MODEL_NAMES, with_label=True)
+    return LN.score_models_wide(train_rows(spark, d), keep=["doc_id", "label"])
 
 
 _PAIRS = [(a, b) for i, a in enumerate(LN.MODEL_NAMES) for b in LN.MODEL_NAMES[i + 1 :]]
@@ -163,7 +164,7 @@ SELECT first, second, count(d)::BIGINT AS n, avg(d) AS mean_diff, avg(d) / (stdd
 
 @register("paired_t", sql=PAIRED_SQL, doubles=("mean_diff", "t", "df"))
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
-    return EV.paired_t(EV.score_matrix(_scores(spark, d), LN.MODEL_NAMES), LN.MODEL_NAMES)
+    return EV.paired_t(LN.score_models_wide(train_rows(spark, d), keep=["doc_id"]), LN.MODEL_NAMES)
 
 
 @register("paired_t_pvalues")

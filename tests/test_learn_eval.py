@@ -79,3 +79,16 @@ def test_asymmetric_loss_nonnegative(spark):
     df = spark.createDataFrame([(0.0, 1), (1.0, 0), (0.5, 1), (0.9, 0)], "p double, y int")
     vals = [r.l for r in df.select(LN.asymmetric_loss_terms(F.col("p"), F.col("y")).alias("l")).collect()]
     assert all(v >= 0 and math.isfinite(v) for v in vals)
+
+
+def test_pivoted_long_scores_equal_wide_projection(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, int(i % 2), [float(v) for v in rng.normal(size=LN.EMBED_DIM)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, embedding array<double>")
+    wide = {r.doc_id: r for r in LN.score_models_wide(df).collect()}
+    piv = EV.score_matrix(LN.score_models(df), LN.MODEL_NAMES, with_label=True).collect()
+    assert len(piv) == len(wide)
+    for r in piv:
+        for m in LN.MODEL_NAMES:
+            assert math.isclose(r[m], wide[r.doc_id][m])
+        assert r.label == wide[r.doc_id].label
