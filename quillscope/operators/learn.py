@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from quillscope.session import scratch_path
 
 EMBED_DIM = 64
+TREE_FAN_IN = 64  # gradient vectors merged directly by the final task at most
 TRUNK = 256
 HEAD = 128
 NUM_AUX = 2
@@ -342,9 +343,20 @@ def _distributed_grad(batch: DataFrame, net: Net, wvec: list[float]) -> tuple[np
             yield pd.DataFrame({"g": [g_sum.tolist()], "l": [l_sum.tolist()], "n": [n]})
 
     per = batch.mapInPandas(part, _GRAD_SCHEMA)
-    red = per.select(array_to_vector("g").alias("g"), array_to_vector("l").alias("l"), "n").agg(
-        Summarizer.sum(F.col("g")).alias("g"), Summarizer.sum(F.col("l")).alias("l"), F.sum("n").alias("n")
-    )
+    vec = per.select(array_to_vector("g").alias("g"), array_to_vector("l").alias("l"), "n")
+
+    def total(df: DataFrame, *keys: Column) -> DataFrame:
+        return df.groupBy(*keys).agg(
+            Summarizer.sum(F.col("g")).alias("g"), Summarizer.sum(F.col("l")).alias("l"), F.sum("n").alias("n")
+        )
+
+    parts = batch.rdd.getNumPartitions()
+    if parts > TREE_FAN_IN:
+        # one model-sized vector per input partition: merge them in about sqrt(parts) tasks
+        # first, so no single task reads every partition's vector (a tree reduction)
+        fan = max(2, math.isqrt(parts))
+        vec = total(vec, F.pmod(F.spark_partition_id(), F.lit(fan)).alias("_r")).drop("_r")
+    red = total(vec)
     row = red.select(vector_to_array("g").alias("g"), vector_to_array("l").alias("l"), "n").first()
     bc.unpersist()
     if row is None or row["n"] is None:

@@ -92,3 +92,19 @@ def test_pivoted_long_scores_equal_wide_projection(spark):
         for m in LN.MODEL_NAMES:
             assert math.isclose(r[m], wide[r.doc_id][m])
         assert r.label == wide[r.doc_id].label
+
+
+def test_tree_gradient_reduction_equals_direct(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [
+        (i, [float(v) for v in rng.normal(size=LN.EMBED_DIM)], float(i % 2), [float(rng.uniform()), float(rng.uniform())])
+        for i in range(64)
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>, main double, aux array<double>").repartition(8)
+    net = LN.Net.init(0, [True, True])
+    w = [1.0, 0.5, 0.5]
+    g1, l1, n1 = LN._distributed_grad(df, net, w)
+    monkeypatch.setattr(LN, "TREE_FAN_IN", 1)  # 8 partitions > 1: merged in sqrt(8) tasks first
+    g2, l2, n2 = LN._distributed_grad(df, net, w)
+    assert n1 == n2 == 64
+    assert np.allclose(g1, g2) and np.allclose(l1, l2)
