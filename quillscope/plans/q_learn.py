@@ -18,7 +18,9 @@ from quillscope.session import cut
 from quillscope.sources import tables
 
 W = {m: LN.fixed_weights(k) for k, m in enumerate(LN.MODEL_NAMES, start=1)}
-TRUNCATE = 16
+# --- fixed values: encoder input limit (tokens, special tokens included) ---
+TRUNCATE = 512
+# --- end of fixed values ---
 
 
 # ------------------------------------------------------------------ train_rows
@@ -239,61 +241,63 @@ def epoch_loss(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ M8
 @register(
     "softmax_argmax",
-    sql="""WITH lg AS (SELECT vec_id, CAST(embedding[1:5] AS DOUBLE[]) AS z FROM embeddings)
+    sql="""WITH lg AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings)
     SELECT vec_id, (list_position(z, list_max(z)) - 1)::BIGINT AS arg,
       1.0 / list_reduce(list_transform(z, lambda v: exp(v - list_max(z))), lambda a, b: a + b) AS p_max FROM lg""",
     doubles=("p_max",),
 )
 def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
-    e = tables.load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 5).cast("array<double>").alias("z"))
+    # the whole encoder output vector is the logit vector
+    e = tables.load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
     arg, pmax = LN.softmax_argmax(F.col("z"))
     return e.select("vec_id", arg.alias("arg"), pmax.alias("p_max"))
 
 
 # ------------------------------------------------------------------ X22-X24 encodings
-def _enc_sql(max_len: int | None) -> str:
+def _enc_sql(max_len: int | None, table: str = "documents", key: str = "doc_id") -> str:
     sl = f"[1:{max(max_len - 2, 0)}]" if max_len is not None else ""
-    return f"""vt AS (SELECT unnest({S.tokens()}) AS token FROM benchmark WHERE text IS NOT NULL),
+    return f"""vt AS (SELECT unnest({S.tokens()}) AS token FROM {table} WHERE text IS NOT NULL),
     vc AS (SELECT token, count(*) AS c FROM vt GROUP BY token),
     vocab AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) + {SEP} AS id FROM vc QUALIFY row_number() OVER (ORDER BY c DESC, token) <= {VOCAB_SIZE}),
-    tk AS (SELECT item_id, ({S.tokens()}){sl} AS t FROM benchmark WHERE text IS NOT NULL),
-    fl AS (SELECT item_id, unnest(t) AS token, unnest(generate_series(1, len(t))) AS pos FROM tk),
-    sq AS (SELECT fl.item_id, list(coalesce(v.id, {UNK}) ORDER BY pos) AS s FROM fl LEFT JOIN vocab v USING (token) GROUP BY fl.item_id),
-    enc AS (SELECT tk.item_id, [{CLS}] || coalesce(sq.s, []) || [{SEP}] AS ids FROM tk LEFT JOIN sq USING (item_id))"""
+    tk AS (SELECT {key}, ({S.tokens()}){sl} AS t FROM {table} WHERE text IS NOT NULL),
+    fl AS (SELECT {key}, unnest(t) AS token, unnest(generate_series(1, len(t))) AS pos FROM tk),
+    sq AS (SELECT fl.{key}, list(coalesce(v.id, {UNK}) ORDER BY pos) AS s FROM fl LEFT JOIN vocab v USING (token) GROUP BY fl.{key}),
+    enc AS (SELECT tk.{key}, [{CLS}] || coalesce(sq.s, []) || [{SEP}] AS ids FROM tk LEFT JOIN sq USING ({key}))"""
 
 
-def _bench(spark: SparkSession, d: str) -> DataFrame:
-    return tables.load(spark, d, "benchmark").where(F.col("text").isNotNull())
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The whole document corpus (vocabulary fitted on it, every text encoded in full)."""
+    return tables.load(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
 
 
 @register(
     "encode_ids",
-    sql=f"WITH {_enc_sql(None)} SELECT item_id, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids_text FROM enc",
+    sql=f"WITH {_enc_sql(None)} SELECT doc_id, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids_text FROM enc",
 )
 def encode_ids(spark: SparkSession, d: str) -> DataFrame:
-    e = encode(_bench(spark, d), "item_id")
-    return e.select("item_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids_text"))
+    e = encode(_corpus(spark, d), "doc_id")
+    return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids_text"))
 
 
 @register(
     "truncate_ids",
-    sql=f"WITH {_enc_sql(TRUNCATE)} SELECT item_id, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids_text FROM enc",
+    sql=f"WITH {_enc_sql(TRUNCATE)} SELECT doc_id, len(ids)::BIGINT AS n_ids, array_to_string(ids, ' ') AS ids_text FROM enc",
 )
 def truncate_ids(spark: SparkSession, d: str) -> DataFrame:
-    e = encode(_bench(spark, d), "item_id", max_len=TRUNCATE)
-    return e.select("item_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids_text"))
+    e = encode(_corpus(spark, d), "doc_id", max_len=TRUNCATE)
+    return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids_text"))
 
 
 @register(
     "pad_mask",
-    sql=f"""WITH {_enc_sql(TRUNCATE * 4)}, m AS (SELECT max(len(ids)) AS m FROM enc)
-    SELECT item_id, array_to_string(ids || list_transform(range(m - len(ids)), lambda i: 0), ' ') AS input_ids,
+    sql=f"""WITH {_enc_sql(TRUNCATE)}, m AS (SELECT max(len(ids)) AS m FROM enc)
+    SELECT doc_id, array_to_string(ids || list_transform(range(m - len(ids)), lambda i: 0), ' ') AS input_ids,
       array_to_string(list_transform(range(len(ids)), lambda i: 1) || list_transform(range(m - len(ids)), lambda i: 0), ' ') AS attention_mask
     FROM enc, m""",
 )
 def pad_mask(spark: SparkSession, d: str) -> DataFrame:
-    p = pad(encode(_bench(spark, d), "item_id", max_len=TRUNCATE * 4), "item_id")
-    return p.select("item_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"))
+    p = pad(encode(_corpus(spark, d), "doc_id", max_len=TRUNCATE), "doc_id")
+    return p.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"))
 
 
 # ------------------------------------------------------------------ M1 / M5 / M3 / M9 / S7 / S8 / S10 / M7 / J2 / M11

@@ -112,6 +112,37 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------ X1 / X9 / X20 on markup and short items
+def _token_profile_sql(table: str, key: str, column: str) -> str:
+    return f"""SELECT {key}, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(t) + {X.SPECIAL_TOKENS} AS BIGINT) AS token_count,
+    CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, t[1] AS first_token, t[-1] AS last_token
+    FROM (SELECT {key}, {S.tokens(column)} AS t, {S.words(column)} AS w FROM {table} WHERE {column} IS NOT NULL)"""
+
+
+def _token_profile(df: DataFrame, key: str, column: str) -> DataFrame:
+    t = df.where(F.col(column).isNotNull()).select(key, X.tokens(column).alias("t"), X.words(column).alias("w"))
+    return t.select(
+        key,
+        F.size("t").cast("bigint").alias("n_tokens"),
+        X.token_count(F.col("t")).alias("token_count"),
+        F.size("w").cast("bigint").alias("n_words"),
+        F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"),
+        F.try_element_at("t", F.lit(1)).alias("first_token"),
+        F.try_element_at("t", F.lit(-1)).alias("last_token"),
+    )
+
+
+@register("tokens_pages", sql=_token_profile_sql("pages", "page_id", "html"))
+def tokens_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Tokenizer and word split over raw HTML pages (markup, entities, scripts), whole pages."""
+    return _token_profile(tables.load(spark, d, "pages"), "page_id", "html")
+
+
+@register("tokens_benchmark", sql=_token_profile_sql("benchmark", "item_id", "text"))
+def tokens_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    return _token_profile(tables.load(spark, d, "benchmark"), "item_id", "text")
+
+
 # ------------------------------------------------------------------ X10 / J7: part-of-speech histogram
 @register(
     "pos_histogram",
