@@ -21,7 +21,8 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extended(spark: SparkSession, d: str, allow_outliers: bool = False) -> DataFrame:
-    return FE.extended_features(labelled(spark, d), allow_outliers=allow_outliers)
+    """The labelled extended feature table (no text column)."""
+    return tables.features_then_labels(spark, d, lambda df: FE.extended_features(df, allow_outliers=allow_outliers))
 
 
 # ------------------------------------------------------------------ S1

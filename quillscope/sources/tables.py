@@ -49,17 +49,50 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+# label rows (doc_id, label: 16 bytes) broadcast at most: ~32 MB per executor
+LABEL_BROADCAST_ROWS = 2_000_000
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+
+
+def labels_broadcastable(spark: SparkSession, sf_dir: str) -> bool:
+    """True when the label table is proven small (its row count comes from Parquet footers)."""
+    return load(spark, sf_dir, "labels").count() <= LABEL_BROADCAST_ROWS
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents JOIN labels USING (doc_id), label := quality (the two-class corpus).
 
-    Both sides are keyed on doc_id; the planner picks broadcast (AQE, measured size)
-    or sort-merge join, so no side is broadcast on an unchecked size.
+    A label table of proven small size is broadcast, so documents are filtered where
+    they are read and no text moves. Above the bound both sides shuffle on doc_id; callers
+    that only need per-document results use ``features_then_labels`` instead, which moves
+    feature rows rather than text.
     """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    labs = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    labs = label_rows(spark, sf_dir)
+    if labels_broadcastable(spark, sf_dir):
+        labs = F.broadcast(labs)
     return docs.join(labs, "doc_id", "inner")
 
 
+def features_then_labels(spark: SparkSession, sf_dir: str, per_document) -> DataFrame:
+    """``per_document(documents)`` joined to the labels, without the text column.
+
+    ``per_document`` maps a ``(doc_id, text[, label])`` table to per-document rows and
+    must not depend on the label (feature extraction does not). With a small label table
+    the documents are filtered first (broadcast join, less feature work); with a large one
+    the features run narrowly on every document and only their small rows are shuffled
+    to meet the labels -- the text itself never crosses the network.
+    """
+    if labels_broadcastable(spark, sf_dir):
+        return per_document(labelled(spark, sf_dir)).drop("text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    feats = per_document(docs).drop("text")
+    return feats.join(label_rows(spark, sf_dir), "doc_id", "inner")
+
+
 def conversation_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as a second two-class corpus: user = 0 (human), assistant = 1."""
     conv = load(spark, sf_dir, "conversations")
