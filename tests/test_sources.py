@@ -58,3 +58,20 @@ def test_stream_equals_batch(spark):
     assert len(r.prob_text.split(".")[1]) == 4
     assert (r.prob >= 0.5) == (r.verdict == "likely AI-generated")
     assert streamed.where(F.col("vec_id").isNull()).count() == 0
+
+
+def test_features_then_labels_paths_agree(spark, monkeypatch):
+    from quillscope.operators import features as FE
+    from quillscope.sources import tables
+
+    def feats(df):
+        return FE.basic_features(df)
+
+    small = tables.features_then_labels(spark, "/root/testdata/sf0.001", feats)
+    monkeypatch.setattr(tables, "LABEL_BROADCAST_ROWS", 0)  # the large-label path
+    large = tables.features_then_labels(spark, "/root/testdata/sf0.001", feats)
+    assert "text" not in small.columns and "text" not in large.columns
+    cols = sorted(small.columns)
+    a = sorted(tuple(r) for r in small.select(*cols).collect())
+    b = sorted(tuple(r) for r in large.select(*cols).collect())
+    assert a == b and len(a) == 87
