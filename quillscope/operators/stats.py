@@ -162,10 +162,21 @@ def feature_ranking(tc: DataFrame, exclude: list[str] = ("sentiment_label",)) ->
 
 
 # ------------------------------------------------------------------ order statistics
-def class_summary(long: DataFrame) -> DataFrame:
+def _values(long: DataFrame, keys: list[str], persisted: bool) -> DataFrame:
+    """Non-null ``(keys..., value)`` rows, read more than once below.
+
+    ``persisted=True`` says ``long`` already starts from written data (e.g. an unpivot over
+    a checkpointed wide table, 14x fewer rows to write than the long form); otherwise the
+    long rows are checkpointed here so the text pipeline is not recomputed per pass.
+    """
+    v = long.where(F.col("value").isNotNull()).select(*keys, "value")
+    return v if persisted else cut(v)
+
+
+def class_summary(long: DataFrame, persisted: bool = False) -> DataFrame:
     """min, Q1, median, mean, Q3, max per (feature, label), NULLs removed (R type-7 quantiles)."""
     keys = ["feature", "label"]
-    vals = cut(long.where(F.col("value").isNotNull()).select(*keys, "value"))
+    vals = _values(long, keys, persisted)
     q = quantiles.quantiles_type7(vals, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     m = vals.groupBy(*keys).agg(
         F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max")
@@ -173,10 +184,10 @@ def class_summary(long: DataFrame) -> DataFrame:
     return m.join(q, keys).select(*keys, "min", "q1", "median", "mean", "q3", "max")
 
 
-def boxplot_stats(long: DataFrame) -> DataFrame:
+def boxplot_stats(long: DataFrame, persisted: bool = False) -> DataFrame:
     """Tukey hinges (fivenum), whiskers at the extreme values within 1.5 hinge spreads, outlier count."""
     keys = ["feature", "label"]
-    vals = cut(long.where(F.col("value").isNotNull()).select(*keys, "value"))
+    vals = _values(long, keys, persisted)
     n = vals.groupBy(*keys).agg(F.count("*").alias("n"))
     n4 = F.floor((F.col("n") + 3) / 2) / 2.0
     spec = n.select(
@@ -215,10 +226,10 @@ def boxplot_stats(long: DataFrame) -> DataFrame:
     )
 
 
-def histogram(long: DataFrame, bins: int = 40) -> DataFrame:
+def histogram(long: DataFrame, bins: int = 40, persisted: bool = False) -> DataFrame:
     """Equal-width bins over the two-class range of each feature, maximum in the last bin."""
-    # two passes (ranges, then bins): read a checkpoint, not the text pipeline twice
-    vals = cut(long.where(F.col("value").isNotNull()).select("feature", "label", "value"))
+    # two passes (ranges, then bins): read written data, not the text pipeline twice
+    vals = _values(long, ["feature", "label"], persisted)
     rng = vals.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
@@ -233,7 +244,7 @@ def histogram(long: DataFrame, bins: int = 40) -> DataFrame:
     )
 
 
-def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0) -> DataFrame:
+def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0, persisted: bool = False) -> DataFrame:
     """Gaussian kernel density per (feature, label) on ``points`` grid points.
 
     Bandwidth is R's nrd0: 0.9 * min(sd, IQR / 1.34) * n^-0.2. Values are linearly
@@ -243,7 +254,7 @@ def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0) -> Dat
     groups: no row pairs are emitted and no data row reaches Python.
     """
     keys = ["feature", "label"]
-    vals = cut(long.where(F.col("value").isNotNull()).select(*keys, "value"))
+    vals = _values(long, keys, persisted)
     q = quantiles.quantiles_type7(vals, keys, "value", {"q1": 0.25, "q3": 0.75})
     m = vals.groupBy(*keys).agg(
         F.count("*").alias("n"),
