@@ -31,7 +31,7 @@ POSITION_PREFIX = 4  # global_position buckets: 16**4 = 65,536
 HASH_LEN = 32  # hex digits of an md5
 RANK_BUCKETS = 1024  # fewest range buckets
 BUCKET_ROWS = 1_000_000  # most rows one window bucket (one task) is meant to sort
-BROADCAST_ROWS = 200_000  # per-group target tables are broadcast below this many rows
+BROADCAST_ROWS = 200_000  # small tables (targets, distinct-value ranks) are broadcast below this many rows
 
 
 def one_row(df: DataFrame) -> Column:
@@ -139,7 +139,8 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     # distinct values with their multiplicity; written once, read by the count, the
     # quantile sketch and the bucketing below
     d = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")))
-    bucketed = range_buckets(d, value, "_bk")
+    n_distinct = d.count()
+    bucketed = range_buckets(d, value, "_bk", bucket_count(n_distinct))
     sizes = bucketed.groupBy("_bk").agg(F.sum("_c").alias("_bn"))
     offsets = sizes.select("_bk", (F.sum("_bn").over(Window.orderBy("_bk")) - F.col("_bn")).alias("_off"))
     w = Window.partitionBy("_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -152,4 +153,9 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
             + (F.col("_c") - 1) / 2.0
         ).alias(out),
     )
+    if n_distinct <= BROADCAST_ROWS:
+        # one row per distinct value, proven small: no shuffle of the rows, and a value
+        # holding a third of all rows cannot skew a join partition
+        return df.join(F.broadcast(ranks), value, "left")
+    # many distinct values: a shuffled join; AQE's skew-join split handles a hot value
     return df.join(ranks, value, "left")

@@ -95,6 +95,7 @@ def test_kth_hash_narrowing_rounds(spark, monkeypatch):
 
 def test_rank_buckets_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)  # shuffled join of the ranks
     assert ranking.bucket_count(10_000) == 5000
     rng = np.random.default_rng(5)
     v = rng.integers(0, 3000, 4000).astype(float)
