@@ -125,15 +125,32 @@ def is_function_word(tok: Column) -> Column:
     return F.lower(tok).isin(lexicon.function_words())
 
 
-def func_word_count(t: Column) -> Column:
-    return F.size(F.filter(t, is_function_word)).cast("bigint")
+# token classes: 0 other, 1 function word, 2 suffix noun, 3 capitalised (a proper noun
+# unless it opens a sentence)
+FUNC, SUFFIX_NOUN, CAPITALISED = 1, 2, 3
 
 
-def _is_noun(tok: Column, prev: Column) -> Column:
-    # cheap tests first: And/Or short-circuit, so most tokens never reach a regex
-    suffix = (F.length(tok) >= lexicon.MIN_NOUN_SUFFIX_LEN) & F.lower(tok).rlike(lexicon.noun_suffix_regex())
-    proper = prev.isNotNull() & ~prev.isin(lexicon.sentence_end_tokens()) & tok.rlike(r"^\p{Lu}\p{Ll}")
-    return ~is_function_word(tok) & (suffix | proper)
+def token_classes(t: Column) -> Column:
+    """One class code per token; lower-casing and the lexicon lookup run once per token.
+
+    Cheap tests first: CASE branches short-circuit, so most tokens never reach a regex.
+    """
+
+    def code(x: Column) -> Column:
+        lx = F.lower(x)
+        return (
+            F.when(lx.isin(lexicon.function_words()), FUNC)
+            .when((F.length(x) >= lexicon.MIN_NOUN_SUFFIX_LEN) & lx.rlike(lexicon.noun_suffix_regex()), SUFFIX_NOUN)
+            .when(x.rlike(r"^\p{Lu}\p{Ll}"), CAPITALISED)
+            .otherwise(0)
+        )
+
+    return F.transform(t, code)
+
+
+def func_word_count(t: Column, k: Column | None = None) -> Column:
+    k = token_classes(t) if k is None else k
+    return F.size(F.filter(k, lambda c: c == FUNC)).cast("bigint")
 
 
 def previous_tokens(t: Column) -> Column:
@@ -141,11 +158,18 @@ def previous_tokens(t: Column) -> Column:
     return F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
 
 
-def noun_count(t: Column) -> Column:
-    # the array is paired with its shifted copy outside the lambda: a lambda that indexes
+def noun_count(t: Column, k: Column | None = None) -> Column:
+    """Suffix nouns plus capitalised tokens that follow a token other than a sentence end."""
+    k = token_classes(t) if k is None else k
+    # the codes are paired with the shifted tokens outside the lambda: a lambda that indexes
     # back into ``t`` would re-evaluate the whole token array once per element
-    flags = F.zip_with(t, previous_tokens(t), lambda x, p: F.when(_is_noun(x, p), 1).otherwise(0))
-    return F.aggregate(flags, F.lit(0).cast("bigint"), lambda acc, f: acc + f)
+    ends = lexicon.sentence_end_tokens()
+
+    def is_noun(c: Column, prev: Column) -> Column:
+        proper = (c == CAPITALISED) & prev.isNotNull() & ~prev.isin(ends)
+        return F.when((c == SUFFIX_NOUN) | proper, 1).otherwise(0)
+
+    return F.aggregate(F.zip_with(k, previous_tokens(t), is_noun), F.lit(0).cast("bigint"), lambda acc, f: acc + f)
 
 
 def noun_ratio(t: Column, nouns: Column | None = None) -> Column:
@@ -158,9 +182,12 @@ def token_repetition_count(t: Column) -> Column:
 
 
 def bigrams(t: Column) -> Column:
-    """Adjacent token pairs as 'a<SEP>b' strings; empty for fewer than two tokens."""
-    pairs = F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: F.concat(a, F.lit(BIGRAM_SEP), b))
-    return F.filter(pairs, lambda p: p.isNotNull())
+    """Adjacent token pairs as 'a<SEP>b' strings; empty for fewer than two tokens.
+
+    Two equal-length slices are zipped, so no padding NULL needs filtering afterwards.
+    """
+    n1 = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, n1), F.slice(t, 2, n1), lambda a, b: F.concat(a, F.lit(BIGRAM_SEP), b))
 
 
 def bigram_repetition_count(t: Column) -> Column:

@@ -69,11 +69,12 @@ def english_features(df: DataFrame, text: str = "text", keep_tokens: bool = Fals
     """Seven linguistic features. Expects ``_t`` (tokens) or computes it."""
     base = [c for c in df.columns if c != "_t"]
     src = df if "_t" in df.columns else with_tokens(df, text)
-    t, sents = F.col("_t"), F.col("_s")
-    out = src.select(*base, "_t", X.sentences(text).alias("_s"))
-    nouns = X.noun_count(t)
+    t, sents, k = F.col("_t"), F.col("_s"), F.col("_k")
+    # token arrays, their class codes and the sentences are projected once; every feature reads them
+    out = src.select(*base, "_t", X.sentences(text).alias("_s"), X.token_classes(t).alias("_k"))
+    nouns = X.noun_count(t, k)
     cols = [
-        X.func_word_count(t).alias("func_word_count"),
+        X.func_word_count(t, k).alias("func_word_count"),
         nouns.alias("noun_count"),
         X.noun_ratio(t, nouns).alias("noun_ratio"),
         X.token_repetition_count(t).alias("token_repetition_count"),
