@@ -1,6 +1,6 @@
 """Scoring, losses and multi-task training as distributed Spark jobs.
 
-* Linear heads and the fixed reference models are native array expressions
+* Linear heads and the four fixed-weight models are native array expressions
   (``zip_with`` + ``aggregate``), so scoring stays in whole-stage JVM code.
 * The multi-head network (shared trunk -> main head + optional aux heads) runs in
   ``mapInPandas``: each task loads the weights once (broadcast variable) and
