@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillscope.session import ship_package
+
 DECIMALS = 6
 
 
@@ -51,6 +53,7 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     entry = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)  # executors import this package for the Python-side operators
         return round_doubles(entry.build(spark, sf_dir))
 
     run.__name__ = name

@@ -28,6 +28,36 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by executor Python workers (once per application).
+
+    Pandas/Arrow UDFs and ``mapInPandas`` functions of this package are pickled by
+    reference, so workers import ``quillscope``. The package is zipped on the driver and
+    handed to ``SparkContext.addPyFile``, which distributes it with the application; no
+    executor needs the source tree or a particular working directory.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    zip_path = os.path.join(tempfile.mkdtemp(prefix="quillscope-pyfiles-"), "quillscope.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (a static setting of the cluster).
 

@@ -31,3 +31,31 @@ FAST = [
 def test_oracle_sf0001(spark, name):
     ok, msg = compare(spark, duck(SF001), SF001, name, E.queries()[name], E.oracle_sql()[name])
     assert ok, msg
+
+
+# builders that run whole trainings / ML fits while building (their plans read small results)
+TRAINING = {
+    "sentiment", "sentiment_attach", "model_ablation", "train_multitask", "validation_loss",
+    "train_checkpoints", "loss_history", "checkpoint_heads",
+}
+
+
+def test_no_cartesian_product_in_any_plan(spark):
+    """Scale check: no query plans a cartesian product or a nested-loop join."""
+    bad = {}
+    for name, fn in E.queries().items():
+        if name in TRAINING:
+            continue
+        plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
+
+
+def test_python_workers_import_the_shipped_package(spark):
+    """Python-side operators run in workers that import the package shipped with addPyFile."""
+    from quillscope.session import _SHIPPED
+
+    E.queries()["density_grid"](spark, SF001).count()
+    assert spark.sparkContext.applicationId in _SHIPPED
