@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscope.operators import ranking
+from quillscope.session import cut
 
 
 def _in_head(id_col: str, seed: int, hk: F.Column | None = None, idk: F.Column | None = None) -> F.Column:
@@ -35,9 +36,11 @@ def split_stratified(
     df: DataFrame, id_col: str = "doc_id", label: str = "label", test_fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Per-class split: test = first ceil(fraction * n_class) rows of each class in hash order."""
-    th = ranking.kth_hash(df, id_col, seed, F.ceil(F.lit(test_fraction) * F.count("*")), by=[label])
-    # one row per class: bounded broadcast
-    out = df.join(F.broadcast(th), label, "left")
+    th = cut(ranking.kth_hash(df, id_col, seed, F.ceil(F.lit(test_fraction) * F.count("*")), by=[label]))
+    # one row per class: broadcast once the class count is checked
+    if th.count() <= ranking.BROADCAST_ROWS:
+        th = F.broadcast(th)
+    out = df.join(th, label, "left")
     split = F.when(F.col("_hk").isNotNull() & _in_head(id_col, seed), F.lit("test")).otherwise(F.lit("train"))
     return out.withColumn("split", split).drop("_hk", "_idk")
 
