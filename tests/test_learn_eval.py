@@ -108,3 +108,20 @@ def test_tree_gradient_reduction_equals_direct(spark, monkeypatch):
     g2, l2, n2 = LN._distributed_grad(df, net, w)
     assert n1 == n2 == 64
     assert np.allclose(g1, g2) and np.allclose(l1, l2)
+
+
+def test_encode_edges(spark):
+    from quillscope.operators import encoding as EN
+
+    df = spark.createDataFrame(
+        [(1, ""), (2, "a a b"), (3, "c a d b e"), (4, "   ")], "doc_id long, text string"
+    )
+    # vocabulary of 2: 'a' (3 uses) -> 4, 'b' (2 uses) -> 5; everything else is UNK
+    got = {r.doc_id: r.ids for r in EN.encode(df, "doc_id", size=2).collect()}
+    C, S, U = EN.CLS, EN.SEP, EN.UNK
+    assert got == {1: [C, S], 2: [C, 4, 4, 5, S], 3: [C, U, 4, U, 5, U, S], 4: [C, S]}
+    cut4 = {r.doc_id: r.ids for r in EN.encode(df, "doc_id", max_len=4, size=2).collect()}
+    assert cut4[3] == [C, U, 4, S] and cut4[2] == [C, 4, 4, S]
+    padded = {r.doc_id: (r.input_ids, r.attention_mask) for r in EN.pad(EN.encode(df, "doc_id", size=2), "doc_id").collect()}
+    assert padded[1] == ([C, S] + [EN.PAD] * 5, [1, 1] + [0] * 5)
+    assert all(len(v[0]) == 7 for v in padded.values())
