@@ -255,7 +255,7 @@ def train(
     accumulation_steps: int = 1,
     checkpoint: bool = True,
 ) -> TrainResult:
-    """AdamW training of the multi-head network on a cached ``(doc_id, embedding, main, aux)`` table.
+    """AdamW training of the multi-head network on a ``(doc_id, embedding, main, aux)`` table.
 
     Each epoch re-deals rows to ``batches_per_epoch`` batches by a per-epoch hash;
     each step is one distributed gradient job. With ``accumulation_steps`` k,
@@ -268,7 +268,7 @@ def train(
         if on and not net.aux[i]:
             raise ValueError(f"model has no head for auxiliary task {i + 1}")
     wvec = [0.0 if w is None else float(w) for w in weights]
-    data = table.select("doc_id", "embedding", F.col("main").cast("double").alias("main"), "aux").cache()
+    data = table.select("doc_id", "embedding", F.col("main").cast("double").alias("main"), "aux")
     theta = net.flat()
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     b1, b2, eps, wd = 0.9, 0.999, 1e-8, 0.01
@@ -276,8 +276,13 @@ def train(
     history: list[dict] = []
     ckpt_root = scratch_path(spark, f"checkpoints-{run}") if checkpoint else None
     for epoch in range(epochs):
-        dealt = data.withColumn(
-            "_b", F.pmod(F.xxhash64("doc_id", F.lit(seed * 1000 + epoch)), F.lit(batches_per_epoch))
+        # rows are dealt to batches by a per-epoch hash and sorted by batch inside each
+        # partition (no shuffle); the in-memory cache keeps min/max per cached batch, so a
+        # step's ``_b == b`` filter skips the other batches instead of scanning the table
+        dealt = (
+            data.withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed * 1000 + epoch)), F.lit(batches_per_epoch)))
+            .sortWithinPartitions("_b")
+            .cache()
         )
         ep_loss, pending, pending_n = [], np.zeros_like(theta), 0
         for b in range(batches_per_epoch):
@@ -306,9 +311,9 @@ def train(
             vg = _validation_losses(val, net.unflat(theta), wvec)
             rec["val_total"] = float((vg * np.asarray(wvec)).sum())
         history.append(rec)
+        dealt.unpersist()
         if ckpt_root:
             save_checkpoint(spark, net.unflat(theta), f"{ckpt_root}", run, epoch)
-    data.unpersist()
     return TrainResult(net.unflat(theta), history, ckpt_root)
 
 
