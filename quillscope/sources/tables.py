@@ -57,9 +57,16 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
+_LABEL_ROWS: dict[tuple[str, str], int] = {}
+
+
 def labels_broadcastable(spark: SparkSession, sf_dir: str) -> bool:
-    """True when the label table is proven small (its row count comes from Parquet footers)."""
-    return load(spark, sf_dir, "labels").count() <= LABEL_BROADCAST_ROWS
+    """True when the label table is proven small (its row count comes from Parquet footers,
+    read once per application and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _LABEL_ROWS:
+        _LABEL_ROWS[key] = load(spark, sf_dir, "labels").count()
+    return _LABEL_ROWS[key] <= LABEL_BROADCAST_ROWS
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
