@@ -69,8 +69,9 @@ def union_classes(*frames: DataFrame) -> DataFrame:
 
 
 def training_table(ext: DataFrame) -> DataFrame:
-    """text, label, aux1 = avg_word_length, aux2 = func_word_count (projection + rename)."""
-    return ext.select("doc_id", "text", "label", "avg_word_length", "func_word_count").withColumnsRenamed(
+    """text (when present), label, aux1 = avg_word_length, aux2 = func_word_count (projection + rename)."""
+    text = ["text"] if "text" in ext.columns else []
+    return ext.select("doc_id", *text, "label", "avg_word_length", "func_word_count").withColumnsRenamed(
         {"avg_word_length": "aux1", "func_word_count": "aux2"}
     )
 

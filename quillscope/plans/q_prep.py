@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.functions import text as X
-from quillscope.operators import features as FE
 from quillscope.operators import prep
 from quillscope.plans import sqltext as S
 from quillscope.plans.q_text import extended, labelled
@@ -134,9 +133,14 @@ def split_partition_counts(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, label, row_number() OVER (ORDER BY {_hash_sql(42)}, doc_id)::BIGINT AS pos FROM t""",
 )
 def test_set_final(spark: SparkSession, d: str) -> DataFrame:
-    s = prep.split_random(labelled(spark, d))
-    test = s.where(F.col("split") == "test")
-    ok = test.where(X.token_count(X.tokens("text")) <= X.TOKEN_LIMIT).select("doc_id", "text", "label")
+    # the split needs ids and labels only; token counts are per-document values, so no text
+    # has to travel to the labels
+    s = prep.split_random(tables.labelled_ids(spark, d))
+    test = s.where(F.col("split") == "test").select("doc_id")
+    counts = tables.features_then_labels(
+        spark, d, lambda df: df.withColumn("token_count", X.token_count(X.tokens("text")))
+    )
+    ok = counts.join(test, "doc_id").where(F.col("token_count") <= X.TOKEN_LIMIT).select("doc_id", "label")
     both = prep.union_classes(ok.where(F.col("label") == 1), ok.where(F.col("label") == 0))
     return prep.shuffle(both, "doc_id", 42).select("doc_id", "label", F.col("pos").cast("bigint").alias("pos"))
 
@@ -149,8 +153,13 @@ TRAIN_SQL = f"""WITH {S.extended_cte()},
 
 
 def _train_ext(spark: SparkSession, d: str) -> DataFrame:
-    s = prep.split_random(labelled(spark, d))
-    return FE.extended_features(s.where(F.col("split") == "train"))
+    """Training-split rows of the labelled feature table (no text column).
+
+    The split needs ids and labels only; the features come from ``features_then_labels``,
+    so text is never shuffled to meet the labels.
+    """
+    train = prep.split_random(tables.labelled_ids(spark, d)).where(F.col("split") == "train").select("doc_id")
+    return extended(spark, d).join(train, "doc_id")
 
 
 @register(
@@ -173,9 +182,9 @@ MINMAX_SQL = f"""{TRAIN_SQL},
 
 
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    s = prep.split_random(labelled(spark, d))
-    ext = prep.training_table(FE.extended_features(s)).join(s.select("doc_id", "split"), "doc_id")
-    ext = cut(ext.drop("text"))
+    # split on ids and labels, features from ``extended`` (no text moves to the labels)
+    s = prep.split_random(tables.labelled_ids(spark, d)).select("doc_id", "split")
+    ext = cut(prep.training_table(extended(spark, d)).join(s, "doc_id"))
     fit = prep.minmax_fit(ext.where(F.col("split") == "train"), ["aux1", "aux2"])
     return prep.minmax_apply(ext, fit, ["aux1", "aux2"])
 

@@ -84,11 +84,21 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labs, "doc_id", "inner")
 
 
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, label)`` of the labelled corpus: the same rows as ``labelled`` without the
+    text, so the join moves keys only (enough for splits and class counts)."""
+    docs = load(spark, sf_dir, "documents").select("doc_id")
+    labs = label_rows(spark, sf_dir)
+    if labels_broadcastable(spark, sf_dir):
+        labs = F.broadcast(labs)
+    return docs.join(labs, "doc_id", "inner")
+
+
 def features_then_labels(spark: SparkSession, sf_dir: str, per_document) -> DataFrame:
     """``per_document(documents)`` joined to the labels, without the text column.
 
-    ``per_document`` maps a ``(doc_id, text[, label])`` table to per-document rows and
-    must not depend on the label (feature extraction does not). With a small label table
+    ``per_document`` maps a ``(doc_id, text[, label])`` table to per-document rows, keeps
+    the input columns, and must not depend on the label (feature extraction does not). With a small label table
     the documents are filtered first (broadcast join, less feature work); with a large one
     the features run narrowly on every document and only their small rows are shuffled
     to meet the labels -- the text itself never crosses the network.
