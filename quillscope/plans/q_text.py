@@ -67,7 +67,7 @@ SELECT doc_id, label, avg_word_length, vocab_size, word_density, lexical_diversi
 
 @register("basic_features", sql=BASIC_SQL, doubles=BASIC_D)
 def basic_features(spark: SparkSession, d: str) -> DataFrame:
-    return FE.basic_features(labelled(spark, d)).select("doc_id", "label", *FE.BASIC_FEATURES)
+    return tables.features_then_labels(spark, d, FE.basic_features).select("doc_id", "label", *FE.BASIC_FEATURES)
 
 
 @register(
@@ -239,8 +239,10 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     WHERE {S.token_count('t')} <= {X.TOKEN_LIMIT}""",
 )
 def token_limit_filter(spark: SparkSession, d: str) -> DataFrame:
-    lab = labelled(spark, d).where(F.col("text").isNotNull())
-    return lab.where(X.token_count(X.tokens("text")) <= X.TOKEN_LIMIT).select("doc_id", "label")
+    def kept(df: DataFrame) -> DataFrame:
+        return df.where(F.col("text").isNotNull() & (X.token_count(X.tokens("text")) <= X.TOKEN_LIMIT))
+
+    return tables.features_then_labels(spark, d, kept).select("doc_id", "label")
 
 
 # ------------------------------------------------------------------ P9 / P10 / J5
@@ -249,8 +251,9 @@ def token_limit_filter(spark: SparkSession, d: str) -> DataFrame:
     sql=f"WITH {S.extended_cte()} SELECT doc_id, label FROM k",
 )
 def outlier_filter(spark: SparkSession, d: str) -> DataFrame:
-    b = FE.basic_features(labelled(spark, d))
-    return FE.remove_outliers(b).select("doc_id", "label")
+    # the token array is dropped before any join: only ids (and labels) move
+    kept = tables.features_then_labels(spark, d, lambda df: FE.remove_outliers(FE.basic_features(df)).drop("_t"))
+    return kept.select("doc_id", "label")
 
 
 @register(
@@ -259,7 +262,7 @@ def outlier_filter(spark: SparkSession, d: str) -> DataFrame:
     SELECT coalesce({S.reason()}, 'kept') AS reason, label, count(*)::BIGINT AS n FROM _bt GROUP BY ALL""",
 )
 def outlier_reasons(spark: SparkSession, d: str) -> DataFrame:
-    b = FE.outlier_columns(FE.basic_features(labelled(spark, d)))
+    b = tables.features_then_labels(spark, d, lambda df: FE.outlier_columns(FE.basic_features(df)).drop("_t"))
     return b.groupBy(F.coalesce(F.col("reason"), F.lit("kept")).alias("reason"), "label").agg(
         F.count("*").alias("n")
     )
