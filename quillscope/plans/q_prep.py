@@ -136,11 +136,11 @@ def test_set_final(spark: SparkSession, d: str) -> DataFrame:
     # the split needs ids and labels only; token counts are per-document values, so no text
     # has to travel to the labels
     s = prep.split_random(tables.labelled_ids(spark, d))
-    test = s.where(F.col("split") == "test").select("doc_id")
+    test = cut(s.where(F.col("split") == "test").select("doc_id", "label"))
     counts = tables.features_then_labels(
-        spark, d, lambda df: df.withColumn("token_count", X.token_count(X.tokens("text")))
+        spark, d, lambda df: df.withColumn("token_count", X.token_count(X.tokens("text"))), labels=test
     )
-    ok = counts.join(test, "doc_id").where(F.col("token_count") <= X.TOKEN_LIMIT).select("doc_id", "label")
+    ok = counts.where(F.col("token_count") <= X.TOKEN_LIMIT).select("doc_id", "label")
     both = prep.union_classes(ok.where(F.col("label") == 1), ok.where(F.col("label") == 0))
     return prep.shuffle(both, "doc_id", 42).select("doc_id", "label", F.col("pos").cast("bigint").alias("pos"))
 

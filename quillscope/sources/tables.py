@@ -94,20 +94,27 @@ def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labs, "doc_id", "inner")
 
 
-def features_then_labels(spark: SparkSession, sf_dir: str, per_document) -> DataFrame:
+def features_then_labels(
+    spark: SparkSession, sf_dir: str, per_document, labels: DataFrame | None = None
+) -> DataFrame:
     """``per_document(documents)`` joined to the labels, without the text column.
 
     ``per_document`` maps a ``(doc_id, text[, label])`` table to per-document rows, keeps
-    the input columns, and must not depend on the label (feature extraction does not). With a small label table
-    the documents are filtered first (broadcast join, less feature work); with a large one
+    the input columns, and must not depend on the label (feature extraction does not).
+    ``labels`` optionally replaces the label table by other ``(doc_id, label...)`` rows, e.g.
+    one split; it should be written data (it is counted). With a small label table the
+    documents are filtered first (broadcast join, less feature work); with a large one
     the features run narrowly on every document and only their small rows are shuffled
     to meet the labels -- the text itself never crosses the network.
     """
-    if labels_broadcastable(spark, sf_dir):
-        return per_document(labelled(spark, sf_dir)).drop("text")
+    if labels is None:
+        labels, small = label_rows(spark, sf_dir), labels_broadcastable(spark, sf_dir)
+    else:
+        small = labels.count() <= LABEL_BROADCAST_ROWS
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    feats = per_document(docs).drop("text")
-    return feats.join(label_rows(spark, sf_dir), "doc_id", "inner")
+    if small:
+        return per_document(docs.join(F.broadcast(labels), "doc_id", "inner")).drop("text")
+    return per_document(docs).drop("text").join(labels, "doc_id", "inner")
 
 
 def conversation_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
