@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillscope.llm import decontaminate as DC
+from quillscope.llm import neardup as ND
 from quillscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +29,12 @@ def query(name: str, sql: str | None = None):
 def op10_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text")
     return DC.digest(DC.decontaminate(docs, read(spark, d, "benchmark"), keep=["doc_id"]))
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: its class (the least doc_id in it), the class's size, and whether it stays."""
+    documents, _ = ND.near_duplicates(read(spark, d, "documents").select("doc_id", "text"))
+    return documents.select(
+        F.col("id").alias("doc_id"), "class_id", "class_docs", "class_texts", F.col("is_rep").alias("kept")
+    )
