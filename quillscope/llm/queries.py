@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.llm import decontaminate as DC
+from quillscope.llm import mixture as MX
 from quillscope.llm import neardup as ND
+from quillscope.llm import quality as QR
+from quillscope.llm import urls as UF
 from quillscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +41,18 @@ def op5_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return documents.select(
         F.col("id").alias("doc_id"), "class_id", "class_docs", "class_texts", F.col("is_rep").alias("kept")
     )
+
+
+@query("op6_quality_rules", QR.SQL)
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return QR.quality(read(spark, d, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
+
+
+@query("op2_mix_sources")
+def op2_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    return MX.mix(read(spark, d, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
+
+
+@query("op3_url_filter", UF.SQL)
+def op3_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return UF.url_filter(read(spark, d, "pages")).withColumnRenamed("id", "page_id")
