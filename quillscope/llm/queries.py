@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.llm import decontaminate as DC
+from quillscope.llm import langid as LI
 from quillscope.llm import mixture as MX
 from quillscope.llm import neardup as ND
 from quillscope.llm import quality as QR
+from quillscope.llm import tokens as TC
 from quillscope.llm import urls as UF
 from quillscope.llm.common import read
 
@@ -56,3 +58,15 @@ def op2_mix_sources(spark: SparkSession, d: str) -> DataFrame:
 @query("op3_url_filter", UF.SQL)
 def op3_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return UF.url_filter(read(spark, d, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return TC.count_tokens(read(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang").withColumn("held_out", LI.held_out())
+    tree = LI.train(docs.where("not held_out").select("text", "lang"))
+    return LI.predict(docs.select("doc_id", "held_out", "text"), tree, keep=["doc_id", "held_out"])
