@@ -12,8 +12,10 @@ from quillscope.llm import langid as LI
 from quillscope.llm import mixture as MX
 from quillscope.llm import neardup as ND
 from quillscope.llm import quality as QR
+from quillscope.llm import secrets as SS
 from quillscope.llm import tokens as TC
 from quillscope.llm import urls as UF
+from quillscope.llm import warc as WZ
 from quillscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +72,13 @@ def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text", "lang").withColumn("held_out", LI.held_out())
     tree = LI.train(docs.where("not held_out").select("text", "lang"))
     return LI.predict(docs.select("doc_id", "held_out", "text"), tree, keep=["doc_id", "held_out"])
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return SS.digest(SS.scan_secrets(read(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
+@query("op9_warc_zip", WZ.SQL)
+def op9_warc_zip(spark: SparkSession, d: str) -> DataFrame:
+    return WZ.round_trip(read(spark, d, "pages").select("page_id", "url", "html"))
