@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillscope.session import checkpoint_root, cut, scratch_path, ship_package  # noqa: F401  (cut: re-exported)
@@ -196,3 +197,14 @@ def map_text(
                 yield pa.RecordBatch.from_arrays([x.slice(a, b - a) for x in own] + made, names=names)
 
     return df.select(*[f"`{c}`" for c in needed]).mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(_in, _text)``: the other columns as a struct, so that no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*(others or [F.lit(0).alias("_")])).alias("_in"), F.col(f"`{text_col}`").alias("_text"))
+
+
+def unpacked(df: DataFrame, columns: list[str], text_col: str, text: str = "_text") -> DataFrame:
+    """The columns that ``packed`` put together, in their order, with ``text`` as the text."""
+    return df.select(*[F.col(text).alias(c) if c == text_col else F.col("_in").getField(c).alias(c) for c in columns])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscope.llm.common import Words, chunks, prepare, text_array, word_hash
+from quillscope.llm.common import Words, chunks, packed, prepare, text_array, unpacked, word_hash
 
 WINDOW = 13  # words of a test phrase
 SHARE = 20  # a document is contaminated if hit words are one in SHARE or more
@@ -276,6 +276,12 @@ def _pass(df: DataFrame, text_col: str, kept: list[str], phrases, earlier: bool)
     return df.select(*[f"`{c}`" for c in fed]).mapInArrow(run, schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, in its columns; others stay as they are."""
+    found = decontaminate(packed(docs, text_col), benchmark, text_col="_text", **how)
+    return unpacked(found.where(~F.col("contaminated")), docs.columns, text_col)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """The contract's digest columns of ``decontaminate``'s result."""
     hit = F.aggregate("hit_words", F.lit(0), lambda s, x: s + x["end"] - x["start"])

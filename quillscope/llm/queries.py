@@ -13,6 +13,7 @@ from quillscope.llm import mixture as MX
 from quillscope.llm import neardup as ND
 from quillscope.llm import quality as QR
 from quillscope.llm import secrets as SS
+from quillscope.llm import substring as SD
 from quillscope.llm import tokens as TC
 from quillscope.llm import urls as UF
 from quillscope.llm import warc as WZ
@@ -82,3 +83,11 @@ def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("op9_warc_zip", WZ.SQL)
 def op9_warc_zip(spark: SparkSession, d: str) -> DataFrame:
     return WZ.round_trip(read(spark, d, "pages").select("page_id", "url", "html"))
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: its class (the least doc_id it shares passages with), and what is removed."""
+    out = SD.repeated_passages(read(spark, d, "documents").select("doc_id", "text"))
+    text = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_words", "n_units", "n_removed", text.alias("spans"))

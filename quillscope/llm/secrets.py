@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscope.llm.common import map_text, prepare, text_array
+from quillscope.llm.common import map_text, packed, prepare, text_array, unpacked
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -277,10 +277,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
         return work
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.col(f"`{text_col}`").alias("_text"))
-    done = map_text(packed, "_text", [T.StructField("_clean", T.StringType())], start, keep=["_in"])
-    t = F.col("_in").getField(text_col)
-    return done.select(*[F.when(t.isNotNull(), F.col("_clean")).alias(c) if c == text_col else F.col("_in").getField(c).alias(c) for c in docs.columns])
+    done = map_text(packed(docs, text_col), "_text", [T.StructField("_clean", T.StringType())], start)
+    done = done.withColumn("_clean", F.when(F.col("_text").isNotNull(), F.col("_clean")))
+    return unpacked(done, docs.columns, text_col, "_clean")
 
 
 def digest(df: DataFrame) -> DataFrame:
