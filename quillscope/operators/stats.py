@@ -20,6 +20,12 @@ def _div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def _num(c: Column) -> Column:
+    """Double value, NaN as NULL (statistics ignore both)."""
+    v = c.cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 # ------------------------------------------------------------------ reshape
 def features_long(wide: DataFrame, features: list[str], id_cols: list[str] = ("doc_id", "label")) -> DataFrame:
     """Wide -> long ``(id..., feature, value double)``."""
@@ -32,29 +38,6 @@ def class_name(label: Column) -> Column:
 
 
 # ------------------------------------------------------------------ moments (one pass)
-def class_moments(wide: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """``(label, feature, n, mean, var)`` with one wide aggregate then an unpivot of the result."""
-    aggs = []
-    for f in features:
-        v = F.col(f).cast("double")
-        aggs += [
-            F.count(v).alias(f"{f}__n"),
-            F.avg(v).alias(f"{f}__mean"),
-            F.var_samp(v).alias(f"{f}__var"),
-        ]
-    g = wide.groupBy(label).agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.col(f"{f}__n").alias("n"),
-            F.col(f"{f}__mean").alias("mean"),
-            F.col(f"{f}__var").alias("var"),
-        )
-        for f in features
-    ]
-    return g.select(label, F.explode(F.array(*rows)).alias("_s")).select(label, "_s.*")
-
-
 def two_class_moments(wide: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """One row per feature with class-0 (human) and class-1 (AI) n, mean, var.
 
@@ -64,7 +47,7 @@ def two_class_moments(wide: DataFrame, features: list[str], label: str = "label"
     aggs = []
     for f in features:
         for c in (0, 1):
-            v = F.when(F.col(label) == c, F.col(f).cast("double"))
+            v = F.when(F.col(label) == c, _num(F.col(f)))
             aggs += [
                 F.count(v).alias(f"{f}__n{c}"),
                 F.avg(v).alias(f"{f}__mean{c}"),
@@ -81,17 +64,6 @@ def two_class_moments(wide: DataFrame, features: list[str], label: str = "label"
     return g.select(F.explode(F.array(*rows)).alias("_s")).select("_s.*")
 
 
-def two_class(moments: DataFrame, label: str = "label") -> DataFrame:
-    """One row per feature with class-0 (human) and class-1 (AI) moments side by side."""
-    a = moments.where(F.col(label) == 0).select(
-        "feature", F.col("n").alias("n0"), F.col("mean").alias("mean0"), F.col("var").alias("var0")
-    )
-    b = moments.where(F.col(label) == 1).select(
-        "feature", F.col("n").alias("n1"), F.col("mean").alias("mean1"), F.col("var").alias("var1")
-    )
-    return a.join(b, "feature")
-
-
 def welch(tc: DataFrame) -> DataFrame:
     s0 = _div(F.col("var0"), F.col("n0"))
     s1 = _div(F.col("var1"), F.col("n1"))
@@ -101,6 +73,16 @@ def welch(tc: DataFrame) -> DataFrame:
     return tc.withColumns({"t": t, "df": df})
 
 
+def welch_interval(tc: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Welch's t with its p-value and the confidence limits of the difference of means."""
+    se = F.sqrt(_div(F.col("var0"), F.col("n0")) + _div(F.col("var1"), F.col("n1")))
+    w = with_t_pvalue(welch(tc)).withColumns({"se": se, "crit": tails.t_critical(alpha, F.col("df"))})
+    gap = F.col("mean0") - F.col("mean1")
+    return w.select(
+        "feature", "t", "df", "p_value", (gap - F.col("crit") * F.col("se")).alias("lo"), (gap + F.col("crit") * F.col("se")).alias("hi")
+    )
+
+
 def student(tc: DataFrame) -> DataFrame:
     dfree = F.col("n0") + F.col("n1") - 2
     sp2 = _div((F.col("n0") - 1) * F.col("var0") + (F.col("n1") - 1) * F.col("var1"), dfree)
@@ -163,13 +145,13 @@ def feature_ranking(tc: DataFrame, exclude: list[str] = ("sentiment_label",)) ->
 
 # ------------------------------------------------------------------ order statistics
 def _values(long: DataFrame, keys: list[str], persisted: bool) -> DataFrame:
-    """Non-null ``(keys..., value)`` rows, read more than once below.
+    """``(keys..., value)`` rows without nulls and NaN, read more than once below.
 
     ``persisted=True`` says ``long`` already starts from written data (e.g. an unpivot over
     a checkpointed wide table, 14x fewer rows to write than the long form); otherwise the
     long rows are checkpointed here so the text pipeline is not recomputed per pass.
     """
-    v = long.where(F.col("value").isNotNull()).select(*keys, "value")
+    v = long.where(F.col("value").isNotNull() & ~F.isnan("value")).select(*keys, "value")
     return v if persisted else cut(v)
 
 
@@ -184,10 +166,8 @@ def class_summary(long: DataFrame, persisted: bool = False) -> DataFrame:
     return m.join(q, keys).select(*keys, "min", "q1", "median", "mean", "q3", "max")
 
 
-def boxplot_stats(long: DataFrame, persisted: bool = False) -> DataFrame:
-    """Tukey hinges (fivenum), whiskers at the extreme values within 1.5 hinge spreads, outlier count."""
-    keys = ["feature", "label"]
-    vals = _values(long, keys, persisted)
+def _hinges(vals: DataFrame, keys: list[str]) -> DataFrame:
+    """Tukey hinges, median and the fences 1.5 hinge spreads beyond, one row per group."""
     n = vals.groupBy(*keys).agg(F.count("*").alias("n"))
     n4 = F.floor((F.col("n") + 3) / 2) / 2.0
     spec = n.select(
@@ -214,7 +194,24 @@ def boxplot_stats(long: DataFrame, persisted: bool = False) -> DataFrame:
         ((F.col("u1") + F.col("u2")) / 2).alias("upper_hinge"),
     )
     spread = F.col("upper_hinge") - F.col("lower_hinge")
-    h = h.withColumns({"lo_fence": F.col("lower_hinge") - 1.5 * spread, "hi_fence": F.col("upper_hinge") + 1.5 * spread})
+    return h.withColumns({"lo_fence": F.col("lower_hinge") - 1.5 * spread, "hi_fence": F.col("upper_hinge") + 1.5 * spread})
+
+
+def boxplot_outliers(long: DataFrame, id_cols: list[str] = ("doc_id",)) -> DataFrame:
+    """The rows ``(id..., feature, label, value)`` beyond the fences. ``long``: over written data."""
+    keys = ["feature", "label"]
+    vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    h = cut(_hinges(vals.select(*keys, "value"), keys).select(*keys, "lo_fence", "hi_fence"))
+    beyond = (F.col("value") < F.col("lo_fence")) | (F.col("value") > F.col("hi_fence"))
+    # one row per feature and class
+    return vals.join(F.broadcast(h), keys).where(beyond).select(*id_cols, *keys, "value")
+
+
+def boxplot_stats(long: DataFrame, persisted: bool = False) -> DataFrame:
+    """Tukey hinges (fivenum), whiskers at the extreme values within 1.5 hinge spreads, outlier count."""
+    keys = ["feature", "label"]
+    vals = _values(long, keys, persisted)
+    h = _hinges(vals, keys)
     inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
     wh = vals.join(F.broadcast(h), keys).groupBy(*keys).agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
@@ -274,7 +271,8 @@ def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0, persis
     p = p.withColumn("bw", 0.9 * lo * F.pow(F.col("n").cast("double"), -0.2))
     p = p.withColumns(
         {"g0": F.col("vmin") - bw_cut * F.col("bw"), "g1": F.col("vmax") + bw_cut * F.col("bw")}
-    ).withColumn("dx", (F.col("g1") - F.col("g0")) / (points - 1)).cache()
+    ).withColumn("dx", (F.col("g1") - F.col("g0")) / (points - 1))
+    p = cut(p)  # one row per feature and class, read twice
     u = (F.col("value") - F.col("g0")) / F.col("dx")
     j = F.floor(u).cast("bigint")
     frac = u - F.floor(u)
@@ -297,6 +295,15 @@ def density_grid(long: DataFrame, points: int = 512, bw_cut: float = 3.0, persis
     return grouped.groupBy(*keys).applyInPandas(_kernel_sum(keys, points), schema)
 
 
+def density_markers(long: DataFrame, grid: DataFrame, persisted: bool = False) -> DataFrame:
+    """What a plot of both classes' curves adds: each class's mean and the shared upper limit of
+    the density axis, per feature."""
+    vals = _values(long, ["feature", "label"], persisted)
+    mean = vals.groupBy("feature", "label").agg(F.avg("value").alias("mean"))
+    top = grid.groupBy("feature").agg(F.max("density").alias("y_max"))
+    return mean.join(top, "feature").select("feature", "label", "mean", "y_max")
+
+
 def _kernel_sum(keys: list[str], points: int):
     def run(pdf):
         import numpy as np
@@ -352,8 +359,9 @@ def log_log_input(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.withColumns({"log_x": F.ln(F.col(x).cast("double")), "log_y": F.ln(F.col(y).cast("double"))})
 
 
-def ols_fit(d: DataFrame, x: str = "log_x", y: str = "log_y") -> DataFrame:
-    """Simple OLS with intercept from one aggregate (numerically stable regr_* moments)."""
+def ols_fit(d: DataFrame, x: str = "log_x", y: str = "log_y", moments: bool = False) -> DataFrame:
+    """Simple OLS with intercept from one aggregate (numerically stable regr_* moments);
+    ``moments`` adds the sum of squares and the mean of x."""
     X, Y = F.col(x), F.col(y)
     s = d.agg(
         F.regr_count(Y, X).alias("n"),
@@ -382,9 +390,57 @@ def ols_fit(d: DataFrame, x: str = "log_x", y: str = "log_y") -> DataFrame:
         ll.alias("log_lik"),
         (-2 * ll + 4).alias("aic"),
         (-2 * ll + 2 * F.log(n)).alias("bic"),
+        *(["sxx", "xbar"] if moments else []),
     )
 
 
+def ols_summary(fit: DataFrame, residuals: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The rest of a regression summary, from the one-row results of ``ols_fit`` and
+    ``ols_residual_stats``: t, p and confidence limits of both coefficients, the F test, the
+    omnibus (D'Agostino-Pearson) and Jarque-Bera tests of the residuals, condition number."""
+    r = ranking.one_row(residuals)
+    j = fit.withColumns({c: r[c] for c in ("skew", "kurtosis", "jarque_bera")})
+    n = F.col("n").cast("double")
+    j = j.withColumns({"df": n - 2, "crit": tails.t_critical(alpha, n - 2)})
+    cols = ["n", F.col("df")]
+    for name in ("slope", "intercept"):
+        b, se = F.col(name), F.col(f"se_{name}")
+        j = j.withColumn(f"t_{name}", _div(b, se))
+        cols += [
+            f"t_{name}",
+            tails.t_pvalue(F.col(f"t_{name}"), F.col("df")).alias(f"p_{name}"),
+            (b - F.col("crit") * se).alias(f"lo_{name}"),
+            (b + F.col("crit") * se).alias(f"hi_{name}"),
+        ]
+    # skewness: Johnson transform; kurtosis: Anscombe-Glynn
+    g1, g2 = F.col("skew"), F.col("kurtosis")
+    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta2 - 1)) - 1
+    q = y / F.sqrt(2 / (w2 - 1))
+    z1 = F.log(q + F.sqrt(q * q + 1)) / F.sqrt(0.5 * F.log(w2))
+    mean, var = 3 * (n - 1) / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (g2 - mean) / F.sqrt(var)
+    b1 = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / b1 * (2 / b1 + F.sqrt(1 + 4 / (b1 * b1)))
+    inner = (1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4)))
+    z2 = (1 - 2 / (9 * a) - F.signum(inner) * F.pow(F.abs(inner), F.lit(1 / 3))) / F.sqrt(2 / (9 * a))
+    k2 = z1 * z1 + z2 * z2
+    # eigenvalues of the 2 x 2 matrix of (1, x)
+    sxx = F.col("sxx") + n * F.col("xbar") * F.col("xbar")
+    half, root = (n + sxx) / 2, F.sqrt(F.pow((n - sxx) / 2, 2) + F.pow(n * F.col("xbar"), 2))
+    cols += [
+        "f_stat",
+        tails.f_upper_pvalue(F.col("f_stat"), F.lit(1.0), F.col("df")).alias("p_f"),
+        k2.alias("omnibus"),
+        F.exp(-k2 / 2).alias("p_omnibus"),
+        "jarque_bera",
+        F.exp(-F.col("jarque_bera") / 2).alias("p_jarque_bera"),
+        F.sqrt(_div(half + root, half - root)).alias("cond_no"),
+    ]
+    return j.select(*cols)
+
+
 def ols_residual_stats(d: DataFrame, fit: DataFrame, x: str = "log_x", y: str = "log_y") -> DataFrame:
     """Residual skew, kurtosis, Jarque-Bera (second pass; the fit is a one-row broadcast)."""
     f = ranking.one_row(fit.select("slope", "intercept"))
@@ -424,7 +480,7 @@ def durbin_watson(d: DataFrame, fit: DataFrame, order_col: str, x: str = "log_x"
     ends = r.groupBy("_bk").agg(
         F.min_by("e", oc).alias("first_e"), F.max_by("e", oc).alias("last_e")
     )
-    # one row per bucket (<= 1,024): the ordered window is over bucket ends only
+    # one row per bucket (at most BUCKET_ROWS rows each): the ordered window is over bucket ends only
     ends = ends.withColumn("prev_last", F.lag("last_e").over(Window.orderBy("_bk")))
     cross = ends.agg(F.sum(F.pow(F.col("first_e") - F.col("prev_last"), 2)).alias("num_x"))
     num_x = cross.select("num_x").scalar()
@@ -436,28 +492,38 @@ def durbin_watson(d: DataFrame, fit: DataFrame, order_col: str, x: str = "log_x"
 
 
 def poly2_fit(train: DataFrame, x: str, y: str) -> DataFrame:
-    """y = b0 + b1 x + b2 x^2 by normal equations (3x3, Cramer's rule) from one aggregate."""
-    X, Y = F.col(x).cast("double"), F.col(y).cast("double")
-    s = train.agg(
-        F.count("*").cast("double").alias("s0"),
-        F.sum(X).alias("s1"),
-        F.sum(X * X).alias("s2"),
-        F.sum(X * X * X).alias("s3"),
-        F.sum(X * X * X * X).alias("s4"),
-        F.sum(Y).alias("t0"),
-        F.sum(X * Y).alias("t1"),
-        F.sum(X * X * Y).alias("t2"),
+    """y = b0 + b1 x + b2 x^2 by least squares; rows with a null or NaN in either are left out.
+
+    A first aggregate finds means and the scale of x; the normal equations are summed and solved
+    in z = (x - mean) / scale, where they are well conditioned, and the solution is
+    transformed back.
+    """
+    d = train.select(_num(F.col(x)).alias("_x"), _num(F.col(y)).alias("_y")).na.drop("any")
+    first = cut(d.agg(F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.stddev_pop("_x").alias("sx")))
+    f = ranking.one_row(first)
+    z = d.select(((F.col("_x") - f["mx"]) / F.when(f["sx"] > 0, f["sx"]).otherwise(1.0)).alias("z"), (F.col("_y") - f["my"]).alias("v"))
+    Z, V = F.col("z"), F.col("v")
+    s = z.agg(
+        F.count("*").cast("double").alias("n"),
+        *[F.avg(F.pow(Z, k)).alias(f"m{k}") for k in (1, 2, 3, 4)],
+        F.avg(V).alias("v0"),
+        F.avg(Z * V).alias("v1"),
+        F.avg(Z * Z * V).alias("v2"),
     )
     c = F.col
-
-    def det3(a, b, cc, d, e, f, g, h, i):
-        return a * (e * i - f * h) - b * (d * i - f * g) + cc * (d * h - e * g)
-
-    D = det3(c("s0"), c("s1"), c("s2"), c("s1"), c("s2"), c("s3"), c("s2"), c("s3"), c("s4"))
-    D0 = det3(c("t0"), c("s1"), c("s2"), c("t1"), c("s2"), c("s3"), c("t2"), c("s3"), c("s4"))
-    D1 = det3(c("s0"), c("t0"), c("s2"), c("s1"), c("t1"), c("s3"), c("s2"), c("t2"), c("s4"))
-    D2 = det3(c("s0"), c("s1"), c("t0"), c("s1"), c("s2"), c("t1"), c("s2"), c("s3"), c("t2"))
-    return s.select(_div(D0, D).alias("intercept"), _div(D1, D).alias("coef_x"), _div(D2, D).alias("coef_x2"))
+    # centred moments: regress v on z and on z^2 - mean, both against the constant
+    s11, s12, s22 = c("m2") - c("m1") * c("m1"), c("m3") - c("m1") * c("m2"), c("m4") - c("m2") * c("m2")
+    t1, t2 = c("v1") - c("m1") * c("v0"), c("v2") - c("m2") * c("v0")
+    det = s11 * s22 - s12 * s12
+    c1, c2 = _div(t1 * s22 - t2 * s12, det), _div(t2 * s11 - t1 * s12, det)
+    s = s.select(c1.alias("c1"), c2.alias("c2"), (c("v0") - c1 * c("m1") - c2 * c("m2")).alias("c0"))
+    s = s.select("*", f["mx"].alias("mx"), f["my"].alias("my"), F.when(f["sx"] > 0, f["sx"]).otherwise(1.0).alias("sx"))
+    m = c("mx") / c("sx")
+    return s.select(
+        (c("my") + c("c0") - c("c1") * m + c("c2") * m * m).alias("intercept"),
+        ((c("c1") - 2 * c("c2") * m) / c("sx")).alias("coef_x"),
+        (c("c2") / (c("sx") * c("sx"))).alias("coef_x2"),
+    )
 
 
 def r2_score(test: DataFrame, fit: DataFrame, x: str, y: str) -> DataFrame:

@@ -153,13 +153,56 @@ def test_variance_ratio_reciprocal(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"label": [0] * 50 + [1] * 70, "f": np.concatenate([rng.normal(0, 1, 50), rng.normal(1, 2, 70)])})
     wide = spark.createDataFrame(pdf)
-    m = stats.class_moments(wide, ["f"])
-    tc = stats.two_class(m)
+    tc = stats.two_class_moments(wide, ["f"])
     r = stats.variance_test(tc).first()
-    swapped = stats.two_class(m.withColumn("label", 1 - F.col("label")))
+    swapped = stats.two_class_moments(wide.withColumn("label", 1 - F.col("label")), ["f"])
     r2 = stats.variance_test(swapped).first()
     assert math.isclose(r.f, 1 / r2.f)
     w = stats.welch(tc).first()
     a, b = pdf[pdf.label == 0].f, pdf[pdf.label == 1].f
     se2 = a.var() / len(a) + b.var() / len(b)
     assert math.isclose(w.t, (a.mean() - b.mean()) / math.sqrt(se2))
+
+
+def test_wide_ranging_values_converge(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([10.0 ** rng.uniform(-300, 300, 120_000), -(10.0 ** rng.uniform(-300, 300, 60_000)), np.zeros(500)])
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "value": v}))
+    got = quantiles.quantiles_type7(df, ["g"], "value", {"a": 0.01, "m": 0.5, "z": 0.99}).first()
+    for name, p in (("a", 0.01), ("m", 0.5), ("z", 0.99)):
+        assert math.isclose(got[name], np.quantile(v, p), rel_tol=1e-12)
+
+
+def test_nan_is_ignored_by_every_statistic(spark):
+    vals = [float(i) for i in range(9)] + [float("nan"), None]
+    rows = [("f", c, x) for c in (0, 1) for x in vals]
+    long = spark.createDataFrame(rows, "feature string, label int, value double")
+    for r in stats.class_summary(long).collect():
+        assert (r["min"], r["median"], r["mean"], r["max"]) == (0.0, 4.0, 4.0, 8.0)
+    for r in stats.boxplot_stats(long).collect():
+        assert (r["n"], r["median"], r["n_outliers"]) == (9, 4.0, 0)
+    assert sum(r["n"] for r in stats.histogram(long, 4).collect()) == 18
+    wide = spark.createDataFrame([(c, x) for c in (0, 1) for x in vals], "label int, f double")
+    m = stats.two_class_moments(wide, ["f"]).first()
+    assert (m["n0"], m["mean0"], m["n1"], m["mean1"]) == (9, 4.0, 9, 4.0)
+    pair = spark.createDataFrame([(x, x) for x in vals], "x double, y double")
+    assert stats.pearson(pair, "x", "y").first()["n"] == 9
+
+
+@pytest.mark.parametrize("mean", [0.0, 100.0, 1000.0])
+def test_poly_fit_far_from_zero(spark, mean):
+    rng = np.random.default_rng(4)
+    x = rng.normal(mean, 1, 20_000)
+    y = 2 + 3 * x + 0.1 * x * x + rng.normal(0, 0.5, len(x))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    got = stats.poly2_fit(df, "x", "y").first()
+    z = x - x.mean()
+    c2, c1, c0 = np.polyfit(z, y, 2)
+    want = (c0 - c1 * x.mean() + c2 * x.mean() ** 2, c1 - 2 * c2 * x.mean(), c2)
+    assert np.allclose([got["intercept"], got["coef_x"], got["coef_x2"]], want, rtol=1e-6, atol=1e-9)
+
+
+def test_boxplot_outlier_rows(spark):
+    rows = [(i, 0, "f", float(i % 10)) for i in range(100)] + [(1000, 0, "f", 99.0), (1001, 0, "f", float("nan"))]
+    long = spark.createDataFrame(rows, "doc_id long, label int, feature string, value double")
+    assert [(r["doc_id"], r["value"]) for r in stats.boxplot_outliers(long).collect()] == [(1000, 99.0)]
