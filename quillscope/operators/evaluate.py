@@ -21,7 +21,7 @@ def threshold(prob: Column, t: float | None = THRESHOLD) -> Column:
 
 
 def verdict(prob: Column, t: float = THRESHOLD) -> Column:
-    return F.when(prob >= t, F.lit("likely AI-generated")).otherwise(F.lit("likely human-written"))
+    return F.when(prob >= t, F.lit("probably machine text")).otherwise(F.lit("probably human text"))
 
 
 def prob_text(prob: Column) -> Column:

@@ -1,40 +1,33 @@
-"""Scoring, losses and multi-task training as distributed Spark jobs.
-
-* Linear heads and the four fixed-weight models are native array expressions
-  (``zip_with`` + ``aggregate``), so scoring stays in whole-stage JVM code.
-* The multi-head network (shared trunk -> main head + optional aux heads) runs in
-  ``mapInPandas``: each task loads the weights once (broadcast variable) and
-  processes Arrow batches with numpy.
-* Training keeps the table cached; every optimizer step is one job whose tasks
-  return per-partition gradient sums, reduced with ``Summarizer`` (tree
-  aggregation, one vector to the driver). The driver only applies AdamW to a
-  model-sized vector.
+"""Scoring, losses and multi-task training as native Spark jobs.
+
+* Scores are array expressions (``zip_with`` + ``aggregate``) over literal weights, so they
+  stay in JVM code and need no join.
+* The model is linear in the encoder's output: a main head (sigmoid) and optional auxiliary heads,
+  trained together. Every optimizer step is one aggregate over a mini-batch: residuals are columns,
+  and the gradient of all heads is a sum of vectors (``Summarizer``, partial sums in
+  every task). The driver applies AdamW to a model-sized vector and keeps nothing else.
+* Models and checkpoints are small Parquet tables ``(tensor, values)``; scoring reads them by glob.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillscope.session import scratch_path
 
 EMBED_DIM = 64
-TREE_FAN_IN = 64  # gradient vectors merged directly by the final task at most
-TRUNK = 256
-HEAD = 128
 NUM_AUX = 2
 GAMMA_POS = 2.0
 GAMMA_NEG = 4.0
 CLAMP = 1e-8
 MODEL_NAMES = ["main", "aux1", "aux2", "aux12"]
+BETA1, BETA2, EPS, DECAY = 0.9, 0.999, 1e-8, 0.01  # AdamW
 
 
 # ------------------------------------------------------------------ fixed linear models
@@ -106,142 +99,94 @@ def parse_weights(spec: str, num_aux: int = NUM_AUX) -> list[float | None]:
     return out[: 1 + num_aux]
 
 
-# ------------------------------------------------------------------ multi-head network (numpy)
-def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = math.sqrt(2.0 / math.pi)
-    u = c * (x + 0.044715 * x**3)
-    t = np.tanh(u)
-    y = 0.5 * x * (1 + t)
-    dy = 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * c * (1 + 3 * 0.044715 * x * x)
-    return y, dy
+# ------------------------------------------------------------------ multi-task heads
+def head_names(aux: list[bool]) -> list[str]:
+    return ["main"] + [f"aux_block{i}" for i, on in enumerate(aux) if on]
 
 
 @dataclass
-class Net:
-    """Shared trunk -> main head (sigmoid) and optional aux heads (linear)."""
+class Heads:
+    """One weight vector per head, the bias last: ``main`` and ``aux_block{i}`` for auxiliary task i."""
 
-    params: dict[str, np.ndarray]
-    aux: list[bool] = field(default_factory=lambda: [False] * NUM_AUX)
+    weights: dict[str, list[float]]
 
     @staticmethod
-    def init(seed: int = 0, aux: list[bool] | None = None, dim: int = EMBED_DIM) -> "Net":
-        rng = np.random.default_rng(seed)
-        aux = aux or [False] * NUM_AUX
-
-        def lin(i: int, o: int) -> tuple[np.ndarray, np.ndarray]:
-            b = 1 / math.sqrt(i)
-            return rng.uniform(-b, b, (i, o)), rng.uniform(-b, b, o)
-
-        p: dict[str, np.ndarray] = {}
-        p["front.w"], p["front.b"] = lin(dim, TRUNK)
-        heads = ["main"] + [f"aux_block{i}" for i, on in enumerate(aux) if on]
-        for h in heads:
-            p[f"{h}.w1"], p[f"{h}.b1"] = lin(TRUNK, HEAD)
-            p[f"{h}.w2"], p[f"{h}.b2"] = lin(HEAD, 1)
-        return Net(p, list(aux))
-
-    def names(self) -> list[str]:
-        return sorted(self.params)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.params[n].ravel() for n in self.names()])
-
-    def unflat(self, v: np.ndarray) -> "Net":
-        out, i = {}, 0
-        for n in self.names():
-            s = self.params[n]
-            out[n] = v[i : i + s.size].reshape(s.shape)
-            i += s.size
-        return Net(out, self.aux)
-
-    def heads(self) -> list[str]:
-        return ["main"] + [f"aux_block{i}" for i, on in enumerate(self.aux) if on]
-
-    def forward(self, x: np.ndarray, training: bool = False) -> dict[str, np.ndarray]:
-        p = self.params
-        z1 = x @ p["front.w"] + p["front.b"]
-        h, _ = _gelu(z1)
-        out = {}
-        for name in self.heads():
-            if name != "main" and not training:
-                continue
-            a, _ = _gelu(h @ p[f"{name}.w1"] + p[f"{name}.b1"])
-            z = (a @ p[f"{name}.w2"] + p[f"{name}.b2"])[:, 0]
-            out[name] = 1 / (1 + np.exp(-z)) if name == "main" else z
-        return out
-
-    def grad(self, x: np.ndarray, y: np.ndarray, aux_y: np.ndarray, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum over rows of the weighted loss gradient, and the per-task loss sums."""
-        p = self.params
-        g = {n: np.zeros_like(v) for n, v in p.items()}
-        z1 = x @ p["front.w"] + p["front.b"]
-        h, dh = _gelu(z1)
-        dH = np.zeros_like(h)
-        losses = np.zeros(1 + NUM_AUX)
-        for name in self.heads():
-            zz = h @ p[f"{name}.w1"] + p[f"{name}.b1"]
-            a, da = _gelu(zz)
-            z = (a @ p[f"{name}.w2"] + p[f"{name}.b2"])[:, 0]
-            if name == "main":
-                pr = np.clip(1 / (1 + np.exp(-z)), CLAMP, 1 - CLAMP)
-                l_pos = -np.log(pr) * (1 - pr) ** GAMMA_POS
-                l_neg = -np.log(1 - pr) * pr**GAMMA_NEG
-                losses[0] = float(np.sum(y * l_pos + (1 - y) * l_neg))
-                d_pos = -((1 - pr) ** (GAMMA_POS + 1) - GAMMA_POS * pr * (1 - pr) ** GAMMA_POS * np.log(pr))
-                d_neg = pr ** (GAMMA_NEG + 1) - GAMMA_NEG * pr**GAMMA_NEG * (1 - pr) * np.log(1 - pr)
-                dz = (y * d_pos + (1 - y) * d_neg) * weights[0]
-            else:
-                i = int(name.replace("aux_block", ""))
-                err = z - aux_y[:, i]
-                losses[1 + i] = float(np.sum(err * err))
-                dz = 2 * err * weights[1 + i]
-            g[f"{name}.w2"] += a.T @ dz[:, None]
-            g[f"{name}.b2"] += dz.sum(keepdims=True)
-            dzz = (dz[:, None] @ p[f"{name}.w2"].T) * da
-            g[f"{name}.w1"] += h.T @ dzz
-            g[f"{name}.b1"] += dzz.sum(axis=0)
-            dH += dzz @ p[f"{name}.w1"].T
-        dz1 = dH * dh
-        g["front.w"] += x.T @ dz1
-        g["front.b"] += dz1.sum(axis=0)
-        return np.concatenate([g[n].ravel() for n in self.names()]), losses
-
-
-def _emb_matrix(col: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, EMBED_DIM))
-
-
-def forward_table(df: DataFrame, net: Net, emb: str = "embedding", key: str = "doc_id", training: bool = False) -> DataFrame:
-    """Batched forward pass in ``mapInPandas``; weights travel once per executor (broadcast)."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((net.params, net.aux))
-    heads = ["main"] + ([f"aux{i + 1}" for i, on in enumerate(net.aux) if on] if training else [])
-    schema = T.StructType(
-        [T.StructField(key, T.LongType())] + [T.StructField(h, T.DoubleType()) for h in heads]
+    def init(aux: list[bool] | None = None, dim: int = EMBED_DIM) -> "Heads":
+        """All zero: a linear model has no symmetry that random weights would have to break."""
+        return Heads({h: [0.0] * (dim + 1) for h in head_names(aux or [False] * NUM_AUX)})
+
+    @property
+    def aux(self) -> list[bool]:
+        return [f"aux_block{i}" in self.weights for i in range(NUM_AUX)]
+
+    def output(self, name: str, emb: Column) -> Column:
+        """Logit of ``main``, value of an auxiliary head."""
+        *w, b = self.weights[name]
+        return dot(emb, w) + F.lit(float(b))
+
+
+def forward(df: DataFrame, heads: Heads, emb: str = "embedding", key: str = "doc_id", training: bool = False) -> DataFrame:
+    """``(key, main)`` and, in training, ``aux1, aux2`` of the heads that exist; one projection."""
+    cols = [sigmoid(heads.output("main", F.col(emb))).alias("main")]
+    if training:
+        cols += [heads.output(f"aux_block{i}", F.col(emb)).alias(f"aux{i + 1}") for i, on in enumerate(heads.aux) if on]
+    return df.select(key, *cols)
+
+
+def _task_columns(heads: Heads, emb: Column) -> dict[str, tuple[Column, Column]]:
+    """For each head its loss and the loss's derivative by the head's output."""
+    y = F.col("main").cast("double")
+    p = F.least(F.greatest(sigmoid(heads.output("main", emb)), F.lit(CLAMP)), F.lit(1 - CLAMP))
+    up = GAMMA_POS * p * F.pow(1 - p, GAMMA_POS) * F.ln(p) - F.pow(1 - p, GAMMA_POS + 1)
+    down = F.pow(p, GAMMA_NEG + 1) - GAMMA_NEG * F.pow(p, GAMMA_NEG) * (1 - p) * F.ln(1 - p)
+    out = {"main": (asymmetric_loss_terms(p, y), y * up + (1 - y) * down)}
+    for i, on in enumerate(heads.aux):
+        if on:
+            err = heads.output(f"aux_block{i}", emb) - F.col("aux")[i].cast("double")
+            out[f"aux_block{i}"] = (err * err, 2 * err)
+    return out
+
+
+def gradient(batch: DataFrame, heads: Heads) -> tuple[dict[str, list[float]], dict[str, float], int]:
+    """Mean gradient and loss of each head over ``(embedding, main, aux)`` rows, and their count.
+
+    One job: residuals are columns, gradients are sums of the scaled inputs, added up inside
+    the tasks first. A model-sized row reaches the driver.
+    """
+    cols = _task_columns(heads, F.col("_x"))
+    rows = batch.select(F.col("embedding").cast("array<double>").alias("_x"), "main", "aux")
+    rows = rows.select(
+        F.concat("_x", F.array(F.lit(1.0))).alias("_x1"),
+        *[c.alias(f"{k}_{h}") for h, pair in cols.items() for k, c in zip("ld", pair)],
     )
 
-    def run(batches):
-        params, aux = bc.value
-        model = Net(params, aux)
-        for pdf in batches:
-            out = model.forward(_emb_matrix(pdf[emb]), training=training)
-            res = {key: pdf[key].astype("int64")}
-            res["main"] = out["main"]
-            for i, on in enumerate(aux):
-                if on and training:
-                    res[f"aux{i + 1}"] = out[f"aux_block{i}"]
-            yield pd.DataFrame(res)
+    def scaled(d: Column) -> Column:
+        return F.transform("_x1", lambda x: x * d)
 
-    return df.select(key, emb).mapInPandas(run, schema)
+    sums = []
+    for h in cols:
+        sums.append(Summarizer.sum(array_to_vector(scaled(F.col(f"d_{h}")))).alias(f"g_{h}"))
+        sums.append(F.avg(f"l_{h}").alias(f"l_{h}"))
+    r = rows.agg(F.count("*").alias("n"), *sums)
+    r = r.select("n", *[vector_to_array(f"g_{h}").alias(f"g_{h}") for h in cols], *[f"l_{h}" for h in cols]).first()
+    if not r["n"]:
+        return {}, {}, 0
+    return {h: [g / r["n"] for g in r[f"g_{h}"]] for h in cols}, {h: r[f"l_{h}"] for h in cols}, r["n"]
 
 
 @dataclass
 class TrainResult:
-    net: Net
+    heads: Heads
     history: list[dict]
     checkpoint_path: str | None = None
 
 
+def batch_of(key: str, seed: int, epoch: int, batches: int) -> Column:
+    """The mini-batch of a row in an epoch: dealt anew by a hash (equal in Spark and DuckDB)."""
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed * 1000 + epoch}")))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(batches))
+
+
 def train(
     table: DataFrame,
     weights: list[float | None],
@@ -249,138 +194,66 @@ def train(
     batches_per_epoch: int = 4,
     lr: float = 1e-3,
     seed: int = 0,
-    net: Net | None = None,
+    heads: Heads | None = None,
     run: str = "run",
     val: DataFrame | None = None,
     accumulation_steps: int = 1,
     checkpoint: bool = True,
 ) -> TrainResult:
-    """AdamW training of the multi-head network on a ``(doc_id, embedding, main, aux)`` table.
+    """AdamW on a ``(doc_id, embedding, main, aux)`` table, which should be written data: it is read
+    once for every step.
 
-    Each epoch re-deals rows to ``batches_per_epoch`` batches by a per-epoch hash;
-    each step is one distributed gradient job. With ``accumulation_steps`` k,
-    gradients of k batches are summed before a step; leftover batches step at epoch end.
+    With ``accumulation_steps`` k the mean gradient of k batches is one step; leftover batches
+    step at the end of the epoch.
     """
-    spark = table.sparkSession
     aux_on = [w is not None for w in weights[1:]]
-    net = net or Net.init(seed, aux_on)
+    heads = heads or Heads.init(aux_on)
     for i, on in enumerate(aux_on):
-        if on and not net.aux[i]:
+        if on and not heads.aux[i]:
             raise ValueError(f"model has no head for auxiliary task {i + 1}")
-    wvec = [0.0 if w is None else float(w) for w in weights]
-    data = table.select("doc_id", "embedding", F.col("main").cast("double").alias("main"), "aux")
-    theta = net.flat()
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    b1, b2, eps, wd = 0.9, 0.999, 1e-8, 0.01
-    step = 0
-    history: list[dict] = []
-    ckpt_root = scratch_path(spark, f"checkpoints-{run}") if checkpoint else None
+    weight = {"main": weights[0] or 0.0} | {f"aux_block{i}": w or 0.0 for i, w in enumerate(weights[1:])}
+    w = {h: list(v) for h, v in heads.weights.items()}
+    first = {h: [0.0] * len(v) for h, v in w.items()}
+    second = {h: [0.0] * len(v) for h, v in w.items()}
+    step, history = 0, []
+    root = scratch_path(table.sparkSession, f"checkpoints-{run}") if checkpoint else None
     for epoch in range(epochs):
-        # rows are dealt to batches by a per-epoch hash and sorted by batch inside each
-        # partition (no shuffle); the in-memory cache keeps min/max per cached batch, so a
-        # step's ``_b == b`` filter skips the other batches instead of scanning the table
-        dealt = (
-            data.withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed * 1000 + epoch)), F.lit(batches_per_epoch)))
-            .sortWithinPartitions("_b")
-            .cache()
-        )
-        ep_loss, pending, pending_n = [], np.zeros_like(theta), 0
+        losses, held = [], []
         for b in range(batches_per_epoch):
-            model = net.unflat(theta)
-            g, losses, n = _distributed_grad(dealt.where(F.col("_b") == b), model, wvec)
-            if n == 0:
-                continue
-            ep_loss.append(losses / n)
-            pending += g / n
-            pending_n += 1
-            if pending_n == accumulation_steps or b == batches_per_epoch - 1:
-                grad = pending / pending_n
+            g, loss, n = gradient(table.where(batch_of("doc_id", seed, epoch, batches_per_epoch) == b), Heads(w))
+            if n:
+                losses.append(loss)
+                held.append(g)
+            if held and (len(held) == accumulation_steps or b == batches_per_epoch - 1):
                 step += 1
-                m1 = b1 * m1 + (1 - b1) * grad
-                m2 = b2 * m2 + (1 - b2) * grad * grad
-                mh, vh = m1 / (1 - b1**step), m2 / (1 - b2**step)
-                theta = theta - lr * (mh / (np.sqrt(vh) + eps) + wd * theta)
-                pending, pending_n = np.zeros_like(theta), 0
-        per_task = np.mean(ep_loss, axis=0) if ep_loss else np.zeros(1 + NUM_AUX)
-        weighted = per_task * np.asarray(wvec)
-        rec = {"run": run, "epoch": epoch, "total": float(weighted.sum())}
-        for i, name in enumerate(["main", "aux1", "aux2"]):
-            rec[name] = float(weighted[i])
-            rec[f"{name}_raw"] = float(per_task[i])
+                for h in w:
+                    for i in range(len(w[h])):
+                        x = sum(g[h][i] for g in held) / len(held) * weight[h]
+                        first[h][i] = BETA1 * first[h][i] + (1 - BETA1) * x
+                        second[h][i] = BETA2 * second[h][i] + (1 - BETA2) * x * x
+                        move = (first[h][i] / (1 - BETA1**step)) / (math.sqrt(second[h][i] / (1 - BETA2**step)) + EPS)
+                        w[h][i] -= lr * (move + DECAY * w[h][i])
+                held = []
+        rec = {"run": run, "epoch": epoch}
+        for h in w:
+            name = "main" if h == "main" else f"aux{int(h[-1]) + 1}"
+            rec[name] = weight[h] * sum(x[h] for x in losses) / max(1, len(losses))
+        rec["total"] = sum(v for k, v in rec.items() if k not in ("run", "epoch"))
         if val is not None:
-            vg = _validation_losses(val, net.unflat(theta), wvec)
-            rec["val_total"] = float((vg * np.asarray(wvec)).sum())
+            _, loss, n = gradient(val, Heads(w))
+            rec["val_total"] = sum(weight[h] * x for h, x in loss.items()) if n else 0.0
         history.append(rec)
-        dealt.unpersist()
-        if ckpt_root:
-            save_checkpoint(spark, net.unflat(theta), f"{ckpt_root}", run, epoch)
-    return TrainResult(net.unflat(theta), history, ckpt_root)
+        if root:
+            save_model(table.sparkSession, Heads(w), f"{root}/run={run}/epoch={epoch}")
+    return TrainResult(Heads(w), history, root)
 
 
-_GRAD_SCHEMA = T.StructType(
-    [
-        T.StructField("g", T.ArrayType(T.DoubleType())),
-        T.StructField("l", T.ArrayType(T.DoubleType())),
-        T.StructField("n", T.LongType()),
-    ]
-)
-
-
-def _distributed_grad(batch: DataFrame, net: Net, wvec: list[float]) -> tuple[np.ndarray, np.ndarray, int]:
-    spark = batch.sparkSession
-    bc = spark.sparkContext.broadcast((net.params, net.aux))
-
-    def part(batches):
-        params, aux = bc.value
-        model = Net(params, aux)
-        g_sum, l_sum, n = None, np.zeros(1 + NUM_AUX), 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _emb_matrix(pdf["embedding"])
-            y = pdf["main"].to_numpy(dtype=np.float64)
-            ay = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["aux"]])
-            g, l = model.grad(x, y, ay, wvec)
-            g_sum = g if g_sum is None else g_sum + g
-            l_sum += l
-            n += len(pdf)
-        if n:
-            yield pd.DataFrame({"g": [g_sum.tolist()], "l": [l_sum.tolist()], "n": [n]})
-
-    per = batch.mapInPandas(part, _GRAD_SCHEMA)
-    vec = per.select(array_to_vector("g").alias("g"), array_to_vector("l").alias("l"), "n")
-
-    def total(df: DataFrame, *keys: Column) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            Summarizer.sum(F.col("g")).alias("g"), Summarizer.sum(F.col("l")).alias("l"), F.sum("n").alias("n")
-        )
-
-    parts = batch.rdd.getNumPartitions()
-    if parts > TREE_FAN_IN:
-        # one model-sized vector per input partition: merge them in about sqrt(parts) tasks
-        # first, so no single task reads every partition's vector (a tree reduction)
-        fan = max(2, math.isqrt(parts))
-        vec = total(vec, F.pmod(F.spark_partition_id(), F.lit(fan)).alias("_r")).drop("_r")
-    red = total(vec)
-    row = red.select(vector_to_array("g").alias("g"), vector_to_array("l").alias("l"), "n").first()
-    bc.unpersist()
-    if row is None or row["n"] is None:
-        return np.zeros(len(net.flat())), np.zeros(1 + NUM_AUX), 0
-    return np.asarray(row["g"]), np.asarray(row["l"]), int(row["n"])
-
-
-def _validation_losses(val: DataFrame, net: Net, wvec: list[float]) -> np.ndarray:
-    """Per-task mean loss on a validation table (no step); aux losses only where heads exist."""
-    _, l, n = _distributed_grad(val.select("doc_id", "embedding", F.col("main").cast("double").alias("main"), "aux"), net, wvec)
-    return l / n if n else l
-
-
-def save_checkpoint(spark: SparkSession, net: Net, root: str, run: str, epoch: int) -> None:
-    """Weight table ``(run, epoch, tensor, values)`` partitioned by run and epoch."""
-    rows = [(n, [float(x) for x in net.params[n].ravel()], list(net.params[n].shape)) for n in net.names()]
-    df = spark.createDataFrame(rows, "tensor string, values array<double>, shape array<int>")
-    df = df.withColumns({"run": F.lit(run), "epoch": F.lit(epoch)})
-    df.write.mode("append").partitionBy("run", "epoch").parquet(root)
+def save_model(spark: SparkSession, heads: Heads, path: str) -> None:
+    """A model as a table ``(tensor, values)``: ``{head}.w`` and ``{head}.b``."""
+    rows = []
+    for h, v in heads.weights.items():
+        rows += [(f"{h}.w", [float(x) for x in v[:-1]]), (f"{h}.b", [float(v[-1])])]
+    spark.createDataFrame(rows, "tensor string, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def checkpoint_heads(ckpt: DataFrame, num_aux: int = NUM_AUX) -> DataFrame:
@@ -397,32 +270,58 @@ def missing_heads(ckpt: DataFrame, weights: list[float | None]) -> list[int]:
     return [i + 1 for i, w in enumerate(weights[1:]) if w is not None and not heads[f"a{i}"]]
 
 
-def load_checkpoint(ckpt: DataFrame, run: str, epoch: int) -> Net:
-    """Rebuild a model from one checkpoint (a model-sized read)."""
-    rows = ckpt.where((F.col("run") == run) & (F.col("epoch") == epoch)).select("tensor", "values", "shape").collect()
-    params = {r["tensor"]: np.asarray(r["values"]).reshape(r["shape"]) for r in rows}
-    aux = [any(k.startswith(f"aux_block{i}.") for k in params) for i in range(NUM_AUX)]
-    return Net(params, aux)
+def load_checkpoint(ckpt: DataFrame, run: str, epoch: int) -> Heads:
+    """One checkpoint's model (a model-sized read)."""
+    rows = ckpt.where((F.col("run") == run) & (F.col("epoch") == epoch)).select("tensor", "values").collect()
+    return _heads({r["tensor"]: list(r["values"]) for r in rows})
+
+
+def _heads(tensors: dict[str, list[float]]) -> Heads:
+    return Heads({k[:-2]: v + tensors[k[:-2] + ".b"] for k, v in tensors.items() if k.endswith(".w")})
+
+
+def collect_models(models: DataFrame, limit: int = 1000) -> dict[str, Heads]:
+    """Model name -> heads of a table ``(model, tensor, values)``; more than ``limit`` models are an error
+    (their weights become literals of one projection)."""
+    names = models.select("model").distinct().limit(limit + 1).count()
+    if names > limit:
+        raise ValueError(f"more than {limit} models")
+    by: dict[str, dict[str, list[float]]] = {}
+    for r in models.select("model", "tensor", "values").collect():
+        by.setdefault(r["model"], {})[r["tensor"]] = list(r["values"])
+    return {m: _heads(t) for m, t in sorted(by.items())}
+
+
+def score_heads_wide(df: DataFrame, models: dict[str, Heads], emb: str = "embedding", keep: list[str] = ("doc_id", "label")) -> DataFrame:
+    """Main-head scores of every model side by side: the score matrix, in one projection."""
+    return df.select(*keep, *[sigmoid(m.output("main", F.col(emb))).alias(name) for name, m in models.items()])
 
 
 # ------------------------------------------------------------------ sentiment (M7)
-def sentiment(train_df: DataFrame, score_df: DataFrame, label: str, tokens_col: str = "tokens", num_features: int = 1 << 18) -> DataFrame:
+def sentiment(train_df: DataFrame, score_df: DataFrame, label: str, tokens_col: str = "tokens", num_features: int | None = None, max_iter: int = 100) -> DataFrame:
     """Text classifier: HashingTF -> IDF -> multinomial LogisticRegression (all Spark ML jobs).
 
     Adds ``sentiment_label`` (argmax class) and ``sentiment_score`` (max softmax probability).
+    ``num_features``: hash buckets, by default four times the distinct tokens of the training rows, as
+    a power of two. A fit that needs more than ``max_iter`` iterations is an error.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
 
+    if num_features is None:
+        kinds = train_df.select(F.explode(tokens_col).alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+        num_features = 1 << min(30, max(10, (4 * int(kinds)).bit_length()))
     pipe = Pipeline(
         stages=[
             HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features),
             IDF(inputCol="_tf", outputCol="_tfidf"),
-            LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=20, regParam=0.01, family="multinomial"),
+            LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=max_iter, regParam=0.01, family="multinomial"),
         ]
     )
     model = pipe.fit(train_df)
+    if model.stages[-1].summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the classifier did not converge in {max_iter} iterations")
     out = model.transform(score_df)
     prob = vector_to_array("probability")
     out = out.withColumn("_p", prob)

@@ -14,7 +14,7 @@ from quillscope.operators import learn as LN
 from quillscope.operators import prep
 from quillscope.plans import sqltext as S
 from quillscope.plans.registry import register
-from quillscope.session import cut
+from quillscope.session import cut, scratch_path
 from quillscope.sources import tables
 
 W = {m: LN.fixed_weights(k) for k, m in enumerate(LN.MODEL_NAMES, start=1)}
@@ -23,26 +23,28 @@ TRUNCATE = 512
 # --- end of fixed values ---
 
 
-# ------------------------------------------------------------------ train_rows
-def train_rows(spark: SparkSession, d: str) -> DataFrame:
-    """embeddings JOIN documents ON vec_id = doc_id; main = label % 2; aux = min-max scaled features."""
+# ------------------------------------------------------------------ rows to score and to train on
+def score_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Encoder output with the binary label; scoring needs no text and no join."""
     emb = tables.load(spark, d, "embeddings")
+    return emb.select(F.col("vec_id").alias("doc_id"), "embedding", (F.col("label") % 2).cast("int").alias("label"))
+
+
+def train_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``score_rows`` JOIN documents ON id, with two min-max scaled text features as auxiliary targets.
+
+    The features are computed where a text is read; only ids and two numbers meet the embeddings.
+    """
     docs = tables.load(spark, d, "documents").select("doc_id", "text")
-    j = emb.join(docs, emb.vec_id == docs.doc_id).select(
-        "doc_id", "text", "embedding", (F.col("label") % 2).cast("int").alias("label")
-    )
-    f = FE.basic_features(j).select(
-        "doc_id",
-        "embedding",
-        "label",
-        F.col("avg_word_length").alias("aux1"),
-        X.func_word_count(X.tokens("text")).alias("aux2"),
+    aux = FE.basic_features(docs).select(
+        "doc_id", F.col("avg_word_length").alias("aux1"), X.func_word_count(X.tokens("text")).alias("aux2")
     )
-    f = cut(f)  # the scaler is fitted on and applied to the same rows
+    f = cut(score_rows(spark, d).join(aux, "doc_id"))  # the scaler is fitted on and applied to the same rows
     fit = prep.minmax_fit(f, ["aux1", "aux2"])
     return prep.minmax_apply(f, fit, ["aux1", "aux2"])
 
 
+SCORE_ROWS_SQL = "tr AS (SELECT vec_id AS doc_id, embedding, (label % 2) AS label FROM embeddings)"
 TRAIN_ROWS_SQL = f"""
 _src AS (SELECT d.doc_id, d.text, e.embedding, (e.label % 2) AS label FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE d.text IS NOT NULL),
 _bw AS (SELECT *, {S.words()} AS _w FROM _src),
@@ -63,23 +65,23 @@ def _sig_sql(z: str) -> str:
     return f"(1.0 / (1.0 + exp(-({z}))))"
 
 
-SCORES_SQL = f"""WITH {TRAIN_ROWS_SQL},
+SCORES_SQL = f"""WITH {SCORE_ROWS_SQL},
 sc AS (SELECT doc_id, label, {', '.join(f'{_sig_sql(_dot_sql(W[m]))} AS {m}' for m in LN.MODEL_NAMES)} FROM tr),
 lg AS (UNPIVOT sc ON {', '.join(LN.MODEL_NAMES)} INTO NAME model VALUE prob)"""
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return LN.score_models(train_rows(spark, d))
+    return LN.score_models(score_rows(spark, d))
 
 
 # ------------------------------------------------------------------ M2 / J6 / M6
 @register(
     "score_linear",
-    sql=f"WITH {TRAIN_ROWS_SQL} SELECT doc_id, {_sig_sql(_dot_sql(W['main']))} AS prob FROM tr",
+    sql=f"WITH {SCORE_ROWS_SQL} SELECT doc_id, {_sig_sql(_dot_sql(W['main']))} AS prob FROM tr",
     doubles=("prob",),
 )
 def score_linear(spark: SparkSession, d: str) -> DataFrame:
-    return train_rows(spark, d).select("doc_id", LN.score_linear(F.col("embedding"), W["main"]).alias("prob"))
+    return score_rows(spark, d).select("doc_id", LN.score_linear(F.col("embedding"), W["main"]).alias("prob"))
 
 
 @register("score_all_models", sql=f"{SCORES_SQL} SELECT doc_id, model, prob, label FROM lg", doubles=("prob",))
@@ -101,7 +103,7 @@ def threshold_predictions(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "verdicts",
     sql=f"""{SCORES_SQL} SELECT doc_id, printf('%.4f', prob) AS prob_text,
-    CASE WHEN prob >= 0.5 THEN 'likely AI-generated' ELSE 'likely human-written' END AS verdict FROM lg WHERE model = 'main'""",
+    CASE WHEN prob >= 0.5 THEN 'probably machine text' ELSE 'probably human text' END AS verdict FROM lg WHERE model = 'main'""",
 )
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     s = _scores(spark, d).where(F.col("model") == "main")
@@ -144,7 +146,7 @@ def eval_metrics_by_model(spark: SparkSession, d: str) -> DataFrame:
 )
 def compare_matrix(spark: SparkSession, d: str) -> DataFrame:
     # all models score in one projection, so the matrix needs no pivot (no shuffle)
-    return LN.score_models_wide(train_rows(spark, d), keep=["doc_id"])
+    return LN.score_models_wide(score_rows(spark, d), keep=["doc_id"])
 
 
 @register(
@@ -153,11 +155,11 @@ def compare_matrix(spark: SparkSession, d: str) -> DataFrame:
     doubles=tuple(LN.MODEL_NAMES),
 )
 def compare_matrix_labelled(spark: SparkSession, d: str) -> DataFrame:
-    return LN.score_models_wide(train_rows(spark, d), keep=["doc_id", "label"])
+    return LN.score_models_wide(score_rows(spark, d), keep=["doc_id", "label"])
 
 
 _PAIRS = [(a, b) for i, a in enumerate(LN.MODEL_NAMES) for b in LN.MODEL_NAMES[i + 1 :]]
-PAIRED_SQL = f"""WITH {TRAIN_ROWS_SQL},
+PAIRED_SQL = f"""WITH {SCORE_ROWS_SQL},
 sc AS (SELECT doc_id, {', '.join(f'{_sig_sql(_dot_sql(W[m]))} AS {m}' for m in LN.MODEL_NAMES)} FROM tr),
 pr AS ({' UNION ALL '.join(f"SELECT {S.q(a)} AS first, {S.q(b)} AS second, {a} - {b} AS d FROM sc" for a, b in _PAIRS)})
 SELECT first, second, count(d)::BIGINT AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t,
@@ -166,10 +168,14 @@ SELECT first, second, count(d)::BIGINT AS n, avg(d) AS mean_diff, avg(d) / (stdd
 
 @register("paired_t", sql=PAIRED_SQL, doubles=("mean_diff", "t", "df"))
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
-    return EV.paired_t(LN.score_models_wide(train_rows(spark, d), keep=["doc_id"]), LN.MODEL_NAMES)
+    return EV.paired_t(LN.score_models_wide(score_rows(spark, d), keep=["doc_id"]), LN.MODEL_NAMES)
 
 
-@register("paired_t_pvalues")
+@register(
+    "paired_t_pvalues",
+    sql=f"WITH pt AS ({PAIRED_SQL}) SELECT *, {S.t_two_sided('t', 'df')} AS p_value FROM pt",
+    doubles=("mean_diff", "t", "df", "p_value"),
+)
 def paired_t_pvalues(spark: SparkSession, d: str) -> DataFrame:
     return EV.paired_t_pvalues(paired_t(spark, d))
 
@@ -197,9 +203,15 @@ def _loss_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register("asymmetric_loss", sql=f"{LOSS_ROWS_SQL} SELECT count(*)::BIGINT AS n, avg(l0) AS loss FROM lr", doubles=("loss",))
+@register(
+    "asymmetric_loss",
+    sql=f"WITH {SCORE_ROWS_SQL}, lr AS (SELECT {_asym_sql(_sig_sql(_dot_sql(W['main'])), 'label')} AS l0 FROM tr) SELECT count(*)::BIGINT AS n, avg(l0) AS loss FROM lr",
+    doubles=("loss",),
+)
 def asymmetric_loss(spark: SparkSession, d: str) -> DataFrame:
-    return _loss_rows(spark, d).agg(F.count("*").alias("n"), F.avg("l0").alias("loss"))
+    p = LN.score_linear(F.col("embedding"), W["main"])
+    rows = score_rows(spark, d).select(LN.asymmetric_loss_terms(p, F.col("label")).alias("l0"))
+    return rows.agg(F.count("*").alias("n"), F.avg("l0").alias("loss"))
 
 
 @register("mse_loss", sql=f"{LOSS_ROWS_SQL} SELECT avg(l1) AS mse_aux1, avg(l2) AS mse_aux2 FROM lr", doubles=("mse_aux1", "mse_aux2"))
@@ -300,22 +312,126 @@ def pad_mask(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"))
 
 
+# ------------------------------------------------------------------ glob of models: J4 / A18 / A19 / S6
+MODEL_FILES = {"epoch0": 1, "epoch1": 2, "other": 3}
+
+
+def _stored_models(spark: SparkSession, d: str) -> dict[str, LN.Heads]:
+    """Three model folders, written and found again by two glob patterns."""
+    root = scratch_path(spark, "models")
+    for name, k in MODEL_FILES.items():
+        folder = f"{root}/{'run' if name.startswith('epoch') else 'alone'}/{name}"
+        LN.save_model(spark, LN.Heads({"main": [*LN.fixed_weights(k), 0.125 * k]}), folder)
+    return LN.collect_models(tables.read_models(spark, [f"{root}/run/epoch*", f"{root}/alone/*"], root_depth=1))
+
+
+_GLOB_SQL = f"""WITH {SCORE_ROWS_SQL},
+sc AS (SELECT doc_id, label, {', '.join(f"{_sig_sql(_dot_sql(LN.fixed_weights(k)) + f' + {0.125 * k}')} AS {m}" for m, k in MODEL_FILES.items())} FROM tr)"""
+
+
+@register(
+    "score_model_glob",
+    sql=f"{_GLOB_SQL} SELECT doc_id, label, {', '.join(MODEL_FILES)} FROM sc",
+    doubles=tuple(MODEL_FILES),
+)
+def score_model_glob(spark: SparkSession, d: str) -> DataFrame:
+    return LN.score_heads_wide(score_rows(spark, d), _stored_models(spark, d))
+
+
+@register(
+    "eval_model_glob",
+    sql=_metrics_sql("model").replace(SCORES_SQL, f"{_GLOB_SQL}, lg AS (UNPIVOT sc ON {', '.join(MODEL_FILES)} INTO NAME model VALUE prob)"),
+    doubles=MET_D,
+)
+def eval_model_glob(spark: SparkSession, d: str) -> DataFrame:
+    models = _stored_models(spark, d)
+    long = LN.score_heads_wide(score_rows(spark, d), models).unpivot(["doc_id", "label"], list(models), "model", "prob")
+    return EV.metrics(long.withColumn("pred", EV.threshold(F.col("prob"))), by=["model"])
+
+
 # ------------------------------------------------------------------ M1 / M5 / M3 / M9 / S7 / S8 / S10 / M7 / J2 / M11
 def _train_table(spark: SparkSession, d: str) -> DataFrame:
     t = train_rows(spark, d)
-    return t.select("doc_id", "embedding", F.col("label").alias("main"), F.array("aux1_s", "aux2_s").alias("aux"))
+    return cut(t.select("doc_id", "embedding", F.col("label").alias("main"), F.array("aux1_s", "aux2_s").alias("aux")))
 
 
-@register("multihead_forward")
+def _fixed_heads(n: int) -> LN.Heads:
+    """Fixed weights as heads, the bias a quarter of the head's number."""
+    return LN.Heads({h: [*LN.fixed_weights(k), 0.25 * k] for k, h in enumerate(["main", "aux_block0", "aux_block1"][:n], start=1)})
+
+
+def _head_sql(k: int) -> str:
+    return f"({_dot_sql(LN.fixed_weights(k))} + {0.25 * k})"
+
+
+@register(
+    "multihead_forward",
+    sql=f"WITH {TRAIN_ROWS_SQL} SELECT doc_id, {_sig_sql(_head_sql(1))} AS main, {_head_sql(2)} AS aux1, {_head_sql(3)} AS aux2 FROM tr",
+    doubles=("main", "aux1", "aux2"),
+)
 def multihead_forward(spark: SparkSession, d: str) -> DataFrame:
-    net = LN.Net.init(seed=7, aux=[True, True])
-    return LN.forward_table(_train_table(spark, d), net, training=True)
+    return LN.forward(_train_table(spark, d), _fixed_heads(3), training=True)
 
 
-@register("score_table")
+@register("score_table", sql=f"WITH {SCORE_ROWS_SQL} SELECT doc_id, {_sig_sql(_head_sql(1))} AS main FROM tr", doubles=("main",))
 def score_table(spark: SparkSession, d: str) -> DataFrame:
-    net = LN.Net.init(seed=7, aux=[True, False])
-    return LN.forward_table(_train_table(spark, d), net, training=False)
+    # outside training only the main head answers, and it needs no auxiliary target
+    return LN.forward(score_rows(spark, d), _fixed_heads(2), training=False)
+
+
+LR = 1e-3
+
+
+def _train_sql(weights: list[float | None], epochs: int, batches: int, where: str = "true", accumulate: int = 1) -> str:
+    """CTEs of a whole training: ``w{k}`` the heads after step k, ``l{k}`` the losses of batch k."""
+    heads = [(h, w) for h, w in zip(("main", "aux_block0", "aux_block1"), weights) if w is not None]
+    out = [
+        TRAIN_ROWS_SQL.strip(),
+        f"tt AS MATERIALIZED (SELECT * FROM tr WHERE {where})",
+        "xv AS MATERIALIZED (SELECT doc_id, unnest(CAST(embedding AS DOUBLE[]) || [1.0]) AS v, unnest(range(65)) AS i FROM tt)",
+        "w0 AS MATERIALIZED (SELECT h, i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM (VALUES "
+        + ", ".join(f"('{h}')" for h, _ in heads)
+        + ") q(h), range(65) r(i))",
+    ]
+    factor = "CASE h " + " ".join(f"WHEN '{h}' THEN {w}" for h, w in heads) + " END"
+    p, k, step, held = "least(greatest(1 / (1 + exp(-z)), 1e-8), 1 - 1e-8)", 0, 0, []
+    for e in range(epochs):
+        for b in range(batches):
+            k += 1
+            mine = f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{e}'), 1, 8) AS BIGINT) % {batches} = {b}"
+            out.append(
+                f"z{k} AS MATERIALIZED (SELECT doc_id, h, sum(v * w) AS z FROM xv JOIN w{step} USING (i) WHERE {mine} GROUP BY doc_id, h)"
+            )
+            out.append(
+                f"""d{k} AS MATERIALIZED (SELECT doc_id, h, CASE WHEN h = 'main' THEN
+  label * ({GP} * p * pow(1 - p, {GP}) * ln(p) - pow(1 - p, {GP} + 1)) + (1 - label) * (pow(p, {GN} + 1) - {GN} * pow(p, {GN}) * (1 - p) * ln(1 - p))
+  ELSE 2 * (z - y) END AS d, CASE WHEN h = 'main' THEN -(label * ln(p) * pow(1 - p, {GP}) + (1 - label) * ln(1 - p) * pow(p, {GN})) ELSE pow(z - y, 2) END AS l
+  FROM (SELECT *, {p} AS p, CASE WHEN h = 'aux_block0' THEN aux1_s ELSE aux2_s END AS y FROM z{k} JOIN tt USING (doc_id)))"""
+            )
+            out.append(f"l{k} AS MATERIALIZED (SELECT h, avg(l) AS l FROM d{k} GROUP BY h)")
+            out.append(f"g{k} AS MATERIALIZED (SELECT h, i, avg(d * v) AS g FROM d{k} JOIN xv USING (doc_id) GROUP BY h, i)")
+            held.append(k)
+            if len(held) == accumulate or b == batches - 1:
+                g = " UNION ALL ".join(f"SELECT * FROM g{x}" for x in held)
+                step += 1
+                out.append(
+                    f"""w{step} AS MATERIALIZED (SELECT h, i, w - {LR} * ((m / (1 - pow(0.9, {step}))) / (sqrt(s / (1 - pow(0.999, {step}))) + 1e-8) + 0.01 * w) AS w, m, s
+  FROM (SELECT h, i, w, 0.9 * m + 0.1 * g AS m, 0.999 * s + 0.001 * g * g AS s
+    FROM w{step - 1} JOIN (SELECT h, i, avg(g) * {factor} AS g FROM ({g}) GROUP BY h, i) USING (h, i)))"""
+                )
+                held = []
+    per = " UNION ALL ".join(f"SELECT {(x - 1) // batches} AS epoch, h, l FROM l{x}" for x in range(1, k + 1))
+    out.append(f"ep AS (SELECT epoch, h, avg(l) * {factor} AS loss FROM ({per}) GROUP BY epoch, h)")
+    return ",\n".join(out)
+
+
+GP, GN = LN.GAMMA_POS, LN.GAMMA_NEG
+
+
+def _history_sql(run: str) -> str:
+    name = "CASE h WHEN 'main' THEN 'main' WHEN 'aux_block0' THEN 'aux1' ELSE 'aux2' END"
+    return f"""SELECT '{run}' AS run, epoch::INTEGER AS epoch, {name} AS task, loss FROM ep
+    UNION ALL SELECT '{run}', epoch::INTEGER, 'total', sum(loss) FROM ep GROUP BY epoch"""
 
 
 def _history_df(spark: SparkSession, hist: list[dict]) -> DataFrame:
@@ -327,61 +443,96 @@ def _history_df(spark: SparkSession, hist: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "run string, epoch int, task string, loss double")
 
 
-@register("train_multitask")
+@register("train_multitask", sql=f"WITH {_train_sql([1.0, 0.5, 0.5], 2, 2)} {_history_sql('mt')}", doubles=("loss",))
 def train_multitask(spark: SparkSession, d: str) -> DataFrame:
-    res = LN.train(_train_table(spark, d), LN.parse_weights("1.0,0.5,0.5"), epochs=2, batches_per_epoch=2, run="mt", checkpoint=False)
+    res = LN.train(_train_table(spark, d), LN.parse_weights("1.0,0.5,0.5"), epochs=2, batches_per_epoch=2, lr=LR, run="mt", checkpoint=False)
     return _history_df(spark, res.history)
 
 
-@register("validation_loss")
+_TEST_SQL = "(SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS rn, count(*) OVER () AS n FROM tr) WHERE rn <= ceil(0.2 * n))"
+
+
+def _val_sql(step: int) -> str:
+    loss = _asym_sql("(1.0 / (1.0 + exp(-z0)))", "label")
+    return f"""SELECT avg({loss}) + 0.5 * avg(pow(z1 - aux1_s, 2)) FROM (SELECT label, aux1_s,
+      sum(v * w) FILTER (WHERE h = 'main') AS z0, sum(v * w) FILTER (WHERE h = 'aux_block0') AS z1
+      FROM (SELECT doc_id, label, aux1_s, unnest(CAST(embedding AS DOUBLE[]) || [1.0]) AS v, unnest(range(65)) AS i FROM tr WHERE doc_id IN {_TEST_SQL})
+      JOIN w{step} USING (i) GROUP BY doc_id, label, aux1_s)"""
+
+
+@register(
+    "validation_loss",
+    sql=f"""WITH {_train_sql([1.0, 0.5, None], 2, 2, where=f"doc_id NOT IN {_TEST_SQL}")} {_history_sql('val')}
+    UNION ALL SELECT 'val', 0, 'val_total', ({_val_sql(2)}) UNION ALL SELECT 'val', 1, 'val_total', ({_val_sql(4)})""",
+    doubles=("loss",),
+)
 def validation_loss(spark: SparkSession, d: str) -> DataFrame:
-    t = prep.split_random(_train_table(spark, d), "doc_id", 0.2, 42)
+    t = cut(prep.split_random(_train_table(spark, d), "doc_id", 0.2, 42))
     res = LN.train(
-        t.where(F.col("split") == "train"), LN.parse_weights("1.0,0.5"), epochs=2, batches_per_epoch=2,
+        t.where(F.col("split") == "train"), LN.parse_weights("1.0,0.5"), epochs=2, batches_per_epoch=2, lr=LR,
         run="val", val=t.where(F.col("split") == "test"), checkpoint=False,
     )
     return _history_df(spark, res.history)
 
 
 def _trained_checkpoints(spark: SparkSession, d: str):
-    res = LN.train(_train_table(spark, d), LN.parse_weights("1.0,,0.5"), epochs=2, batches_per_epoch=2, run="ck", accumulation_steps=2)
+    res = LN.train(_train_table(spark, d), LN.parse_weights("1.0,,0.5"), epochs=2, batches_per_epoch=2, lr=LR, run="ck", accumulation_steps=2)
     return res, spark.read.parquet(res.checkpoint_path)
 
 
-@register("train_checkpoints")
+_CK_SQL = f"WITH {_train_sql([1.0, None, 0.5], 2, 2, accumulate=2)}"
+
+
+@register(
+    "train_checkpoints",
+    sql=f"""{_CK_SQL}, a AS (SELECT 0 AS epoch, * FROM w1 UNION ALL SELECT 1, * FROM w2)
+    SELECT 'ck' AS run, epoch::INTEGER AS epoch, h || CASE WHEN i < 64 THEN '.w' ELSE '.b' END AS tensor, count(*)::BIGINT AS n_values,
+      sum(w) AS total, sum(w * w) AS squares FROM a GROUP BY ALL""",
+    doubles=("total", "squares"),
+)
 def train_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     _, ck = _trained_checkpoints(spark, d)
-    return ck.groupBy("run", "epoch").agg(F.count("*").alias("n_tensors"), F.sum(F.size("values")).alias("n_values"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return ck.select(
+        "run", "epoch", "tensor", F.size("values").cast("bigint").alias("n_values"),
+        add("values").alias("total"), add(F.transform("values", lambda x: x * x)).alias("squares"),
+    )
 
 
-@register("checkpoint_heads")
+@register(
+    "checkpoint_heads",
+    sql=f"{_CK_SQL} SELECT 'ck' AS run, epoch::INTEGER AS epoch, bool_or(h = 'aux_block0') AS has_aux1, bool_or(h = 'aux_block1') AS has_aux2, "
+    "(2 * count(DISTINCT h))::BIGINT AS n_tensors FROM (SELECT 0 AS epoch, h FROM w1 UNION ALL SELECT 1, h FROM w2) GROUP BY epoch",
+)
 def checkpoint_heads(spark: SparkSession, d: str) -> DataFrame:
     _, ck = _trained_checkpoints(spark, d)
     return LN.checkpoint_heads(ck)
 
 
-@register("loss_history")
+@register("loss_history", sql=f"WITH {_train_sql([1.0, 0.5, 0.5], 2, 2)} {_history_sql('lh')}", doubles=("loss",))
 def loss_history(spark: SparkSession, d: str) -> DataFrame:
-    from quillscope.session import scratch_path
-
-    res = LN.train(_train_table(spark, d), LN.parse_weights("1.0,0.5,0.5"), epochs=2, batches_per_epoch=2, run="lh", checkpoint=False)
+    res = LN.train(_train_table(spark, d), LN.parse_weights("1.0,0.5,0.5"), epochs=2, batches_per_epoch=2, lr=LR, run="lh", checkpoint=False)
     path = scratch_path(spark, "loss_history")
     _history_df(spark, res.history).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+ABLATION = {"main": "1.0", "aux1": "1.0,0.5", "aux2": "1.0,,0.5", "aux12": "1.0,0.5,0.5"}
+
+
 @register("model_ablation")
 def model_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Four trainings (main, +aux1, +aux2, +both), scored on held-out rows, then paired t-tests."""
+    """Four trainings (main, +aux1, +aux2, +both), scored on held-out rows, then paired t-tests.
+
+    The heads share no weights, so auxiliary tasks cannot change the main head: all differences are 0.
+    """
     t = cut(prep.split_random(_train_table(spark, d), "doc_id", 0.2, 42))
     train_t, test_t = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
-    specs = {"main": "1.0", "aux1": "1.0,0.5", "aux2": "1.0,,0.5", "aux12": "1.0,0.5,0.5"}
-    long = None
-    for name, spec in specs.items():
-        res = LN.train(train_t, LN.parse_weights(spec), epochs=1, batches_per_epoch=2, run=name, checkpoint=False)
-        s = LN.forward_table(test_t, res.net).select("doc_id", F.lit(name).alias("model"), F.col("main").alias("prob"))
-        long = s if long is None else long.unionByName(s)
-    return EV.paired_t_pvalues(EV.paired_t(EV.score_matrix(long, list(specs)), list(specs)))
+    models = {
+        name: LN.train(train_t, LN.parse_weights(spec), epochs=1, batches_per_epoch=2, lr=LR, run=name, checkpoint=False).heads
+        for name, spec in ABLATION.items()
+    }
+    return EV.paired_t_pvalues(EV.paired_t(LN.score_heads_wide(test_t, models, keep=["doc_id"]), list(models)))
 
 
 def _sentiment_scored(spark: SparkSession, d: str) -> DataFrame:

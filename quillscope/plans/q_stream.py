@@ -13,7 +13,7 @@ from quillscope.streaming import verdicts as V
     "stream_verdicts",
     sql=f"""WITH s AS (SELECT vec_id, {_sig_sql(_dot_sql(W['main']))} AS prob FROM embeddings)
     SELECT vec_id, prob, printf('%.4f', prob) AS prob_text,
-      CASE WHEN prob >= 0.5 THEN 'likely AI-generated' ELSE 'likely human-written' END AS verdict FROM s""",
+      CASE WHEN prob >= 0.5 THEN 'probably machine text' ELSE 'probably human text' END AS verdict FROM s""",
     doubles=("prob",),
 )
 def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:

@@ -139,7 +139,7 @@ x AS (SELECT * EXCLUDE (_t, _s), {english_cols()} FROM _ks)
 
 
 # ------------------------------------------------------------------ distribution tails by quadrature
-_POINTS = 20000
+_POINTS = 100000
 
 
 def beta_inc(a: str, b: str, x: str) -> str:
