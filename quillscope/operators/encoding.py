@@ -1,41 +1,42 @@
 """Text -> id sequences (X22-X24): vocabulary, encode, truncate, pad.
 
-The vocabulary is a Spark job (token frequencies with map-side partial counts, then
-the ``size`` most frequent tokens). Its size is the parameter, so it is a bounded
-model artifact: it reaches the driver once and travels to every task as a broadcast
-variable. Encoding is then a narrow pass: ``mapInArrow`` looks every token of an
-Arrow batch up in one vectorized hash lookup (``pyarrow.compute.index_in``) and
-assembles ``[CLS] ids [SEP]`` with array arithmetic. Nothing is exploded or
-shuffled, and a row never leaves its partition.
+The vocabulary is a Spark job: token frequencies with map-side partial counts, then positions by
+frequency, for every token of the corpus. Its first ``HEAD`` tokens are broadcast; ``mapInArrow``
+looks the tokens of a batch up there (one vectorized hash lookup) and assembles
+``[CLS] ids [SEP]`` with array arithmetic. Only tokens beyond the head, the rare ones, leave
+their row: they are exploded with their place, joined with the rest of the vocabulary and put
+back per row. The result does not depend on ``HEAD``; with a vocabulary of no more tokens
+the second step has nothing to do and is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillscope.functions import text as X
+from quillscope.operators import ranking
+from quillscope.session import cut
 
 # --- fixed values: special token ids ---
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 # --- end of fixed values ---
-VOCAB_SIZE = 30000
+HEAD = 500_000  # most frequent tokens that are broadcast: some 10 MB
 
 
-def vocabulary(corpus_tokens: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
+def vocabulary(corpus_tokens: DataFrame, size: int | None = None) -> DataFrame:
     """Token -> id by descending frequency (ties by token); ids start after the special ids.
 
-    ``size`` is the vocabulary size (the limit is the feature): the top-``size`` step keeps
-    at most ``size`` rows per partition, so the ranking window is bounded by it.
+    ``size`` keeps the most frequent tokens only (the others become UNK); by default every token has an id.
     """
     counts = corpus_tokens.groupBy("token").agg(F.count("*").alias("c"))
-    top = counts.orderBy(F.col("c").desc(), F.col("token")).limit(size)
-    order = Window.orderBy(F.col("c").desc(), F.col("token"))
-    return top.select("token", (F.row_number().over(order) + SEP).alias("id"))
+    ids = ranking.row_number_all(counts, [F.col("c").desc(), F.col("token")], "_pos")
+    ids = ids.select("token", (F.col("_pos") + SEP).cast("int").alias("id"))
+    return ids if size is None else ids.where(F.col("id") <= size + SEP)
 
 
-def _lookup(vocab_bc, key: str):
+def _lookup(vocab_bc, key: str, missing: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -52,7 +53,7 @@ def _lookup(vocab_bc, key: str):
             lens = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = pc.list_flatten(toks)
             found = pc.take(ids_arr, pc.index_in(flat, value_set=value_set))
-            tok_ids = pc.fill_null(found, UNK).to_numpy(zero_copy_only=False).astype(np.int32)
+            tok_ids = pc.fill_null(found, missing).to_numpy(zero_copy_only=False).astype(np.int32)
             offsets = np.zeros(n + 1, dtype=np.int64)
             np.cumsum(lens + 2, out=offsets[1:])
             vals = np.empty(int(offsets[-1]), dtype=np.int32)
@@ -61,31 +62,56 @@ def _lookup(vocab_bc, key: str):
             # token j of row r lands after the r earlier [CLS]/[SEP] pairs and this row's [CLS]
             vals[np.arange(len(tok_ids)) + 2 * np.repeat(np.arange(n), lens) + 1] = tok_ids
             seq = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(vals))
-            yield pa.RecordBatch.from_arrays([b.column(key), seq], names=[key, "ids"])
+            if missing == UNK:
+                yield pa.RecordBatch.from_arrays([b.column(key), seq], names=[key, "ids"])
+                continue
+            # places (1-based, in ids) and tokens that the head doesn't have
+            row = np.repeat(np.arange(n), lens)
+            at = np.flatnonzero(tok_ids == missing)
+            place = at + 2 * row[at] + 2 - offsets[row[at]]
+            stops = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=n))]).astype(np.int32)
+            rare = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), flat.take(pa.array(at)).cast(pa.string())], names=["place", "token"])
+            yield pa.RecordBatch.from_arrays([b.column(key), seq, pa.ListArray.from_arrays(stops, rare)], names=[key, "ids", "rare"])
 
     return run
 
 
 def encode(
-    df: DataFrame, key: str, text: str = "text", max_len: int | None = None, size: int = VOCAB_SIZE
+    df: DataFrame, key: str, text: str = "text", max_len: int | None = None, size: int | None = None, head: int = HEAD
 ) -> DataFrame:
-    """``ids`` = [CLS] + token ids (unknown -> UNK) + [SEP], truncated to ``max_len`` in total.
+    """``ids`` = [CLS] + token ids + [SEP], truncated to ``max_len`` in total. ``key`` is a row's unique key.
 
-    The vocabulary is fitted on the whole, untruncated input.
+    The vocabulary is fitted on the whole, untruncated input; with ``size`` it is cut and the rest is UNK.
     """
     spark = df.sparkSession
-    vocab = vocabulary(df.select(F.explode(X.tokens(text)).alias("token")), size)
-    rows = vocab.collect()  # at most ``size`` rows (the vocabulary itself)
+    vocab = cut(vocabulary(df.select(F.explode(X.tokens(text)).alias("token")), size))
+    kinds = vocab.count()
+    rows = vocab.where(F.col("id") <= head + SEP).collect()  # at most ``head`` rows
     bc = spark.sparkContext.broadcast(([r.token for r in rows], [int(r.id) for r in rows]))
     tok = df.select(key, X.tokens(text).alias("_t"))
     if max_len is not None:
         tok = tok.withColumn("_t", F.slice("_t", 1, max(max_len - 2, 0)))
-    schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return tok.mapInArrow(_lookup(bc, key), schema)
+    fields = [df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if kinds <= head:
+        return tok.mapInArrow(_lookup(bc, key, UNK), T.StructType(fields))
+    pair = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("token", T.StringType())])
+    known = cut(tok.mapInArrow(_lookup(bc, key, -1), T.StructType([*fields, T.StructField("rare", T.ArrayType(pair))])))
+    # rare tokens by definition have no hot key; one row's places are bounded by its length
+    rest = vocab.where(F.col("id") > head + SEP)
+    found = known.select(key, F.explode("rare").alias("r")).select(key, "r.place", "r.token").join(rest, "token", "left")
+    found = found.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_m")
+    )
+    filled = F.transform("ids", lambda x, i: F.when(x == -1, F.element_at("_m", i + 1)).otherwise(x))
+    out = known.join(found, key, "left")
+    return out.select(key, F.when(F.size("rare") > 0, filled).otherwise(F.col("ids")).alias("ids"))
 
 
 def pad(enc: DataFrame, key: str) -> DataFrame:
-    """Pad to the longest row of the table and add the attention mask (max is a 1-row aggregate)."""
+    """Pad to the longest row of the table and add the attention mask (max is a 1-row aggregate).
+
+    ``enc`` should be written data: it is read for the longest row and again to pad.
+    """
     m = enc.agg(F.max(F.size("ids"))).scalar()
     fill = m - F.size("ids")
     return enc.select(

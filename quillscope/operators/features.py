@@ -85,6 +85,11 @@ def english_features(df: DataFrame, text: str = "text", keep_tokens: bool = Fals
     return out.select(*base, *(["_t"] if keep_tokens else []), *cols)
 
 
+def with_token_count(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``token_count`` behind a barrier, so a filter on it does not tokenize again; null texts go."""
+    return materialize(non_null_text(df, text).withColumn("token_count", X.token_count(X.tokens(text))))
+
+
 def outlier_columns(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_t`` tokens, ``token_count`` and the outlier ``reason`` (NULL = kept)."""
     out = df if "_t" in df.columns else with_tokens(df, text)
@@ -109,10 +114,8 @@ def remove_outliers(df: DataFrame, text: str = "text", allow_outliers: bool = Fa
     """Keep rows with token_count <= 768, no '[' prefix and avg word length <= 120."""
     if allow_outliers:
         return with_tokens(df, text)
-    tok = X.tokens(text)
-    out = df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns], tok.alias("_t")))))
-    kept = out.where(X.is_kept(text, X.token_count(F.col("_t")), F.col("avg_word_length")))
-    return kept
+    out = materialize(df.withColumn("_t", X.tokens(text)))
+    return out.where(X.is_kept(text, X.token_count(F.col("_t")), F.col("avg_word_length")))
 
 
 def extended_features(

@@ -87,6 +87,27 @@ def global_position(df: DataFrame, id_col: str, seed: int, out: str = "pos") ->
     )
 
 
+def row_number_all(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out`` = 1-based position of every row in ``order``, without a one-task window.
+
+    The rows are range-partitioned and sorted, then written with an id that holds partition and
+    place; one row count per partition reaches the driver and becomes its offset.
+    """
+    d = cut(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_rid", 33), F.col("_rid").bitwiseAND((1 << 33) - 1)
+    sizes = d.groupBy(part.alias("_part")).agg(F.max(place).alias("_last")).orderBy("_part").collect()
+    base, rows = 1, []
+    for r in sizes:
+        rows.append((r["_part"], base))
+        base += r["_last"] + 1
+    offsets = d.sparkSession.createDataFrame(rows, "_part long, _base long")
+    return (
+        d.join(F.broadcast(offsets), part == F.col("_part"))
+        .withColumn(out, F.col("_base") + place)
+        .drop("_rid", "_part", "_base")
+    )
+
+
 def kth_hash(df: DataFrame, id_col: str, seed: int, k_col: Column, by: list[str] | tuple = ()) -> DataFrame:
     """Per group of ``by``: the (hash, id) key ``(_hk, _idk)`` at 1-based position k in hash order.
 

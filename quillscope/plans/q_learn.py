@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillscope.functions import text as X
 from quillscope.operators import evaluate as EV
-from quillscope.operators.encoding import CLS, PAD, SEP, UNK, VOCAB_SIZE, encode, pad  # noqa: F401
+from quillscope.operators.encoding import CLS, SEP, UNK, encode, pad
 from quillscope.operators import features as FE
 from quillscope.operators import learn as LN
 from quillscope.operators import prep
@@ -270,7 +270,7 @@ def _enc_sql(max_len: int | None, table: str = "documents", key: str = "doc_id")
     sl = f"[1:{max(max_len - 2, 0)}]" if max_len is not None else ""
     return f"""vt AS (SELECT unnest({S.tokens()}) AS token FROM {table} WHERE text IS NOT NULL),
     vc AS (SELECT token, count(*) AS c FROM vt GROUP BY token),
-    vocab AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) + {SEP} AS id FROM vc QUALIFY row_number() OVER (ORDER BY c DESC, token) <= {VOCAB_SIZE}),
+    vocab AS (SELECT token, row_number() OVER (ORDER BY c DESC, token) + {SEP} AS id FROM vc),
     tk AS (SELECT {key}, ({S.tokens()}){sl} AS t FROM {table} WHERE text IS NOT NULL),
     fl AS (SELECT {key}, unnest(t) AS token, unnest(generate_series(1, len(t))) AS pos FROM tk),
     sq AS (SELECT fl.{key}, list(coalesce(v.id, {UNK}) ORDER BY pos) AS s FROM fl LEFT JOIN vocab v USING (token) GROUP BY fl.{key}),
@@ -308,7 +308,8 @@ def truncate_ids(spark: SparkSession, d: str) -> DataFrame:
     FROM enc, m""",
 )
 def pad_mask(spark: SparkSession, d: str) -> DataFrame:
-    p = pad(encode(_corpus(spark, d), "doc_id", max_len=TRUNCATE), "doc_id")
+    # short id rows are written once: the longest row and the padding read them, not the texts
+    p = pad(cut(encode(_corpus(spark, d), "doc_id", max_len=TRUNCATE)), "doc_id")
     return p.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.functions import text as X
+from quillscope.operators import features as FE
 from quillscope.operators import prep
 from quillscope.plans import sqltext as S
 from quillscope.plans.q_text import extended, labelled
@@ -137,11 +138,9 @@ def test_set_final(spark: SparkSession, d: str) -> DataFrame:
     # has to travel to the labels
     s = prep.split_random(tables.labelled_ids(spark, d))
     test = cut(s.where(F.col("split") == "test").select("doc_id", "label"))
-    counts = tables.features_then_labels(
-        spark, d, lambda df: df.withColumn("token_count", X.token_count(X.tokens("text"))), labels=test
-    )
-    ok = counts.where(F.col("token_count") <= X.TOKEN_LIMIT).select("doc_id", "label")
-    both = prep.union_classes(ok.where(F.col("label") == 1), ok.where(F.col("label") == 0))
+    counts = tables.features_then_labels(spark, d, FE.with_token_count, labels=test)
+    # ids and labels of the kept rows are written once; numbering them reads no text again
+    both = cut(counts.where((F.col("token_count") <= X.TOKEN_LIMIT) & F.col("label").isin(0, 1)).select("doc_id", "label"))
     return prep.shuffle(both, "doc_id", 42).select("doc_id", "label", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -168,7 +167,8 @@ def _train_ext(spark: SparkSession, d: str) -> DataFrame:
     doubles=("aux1",),
 )
 def training_table(spark: SparkSession, d: str) -> DataFrame:
-    t = prep.training_table(_train_ext(spark, d))
+    # four narrow columns are written once; numbering them does not run the features again
+    t = cut(prep.training_table(_train_ext(spark, d)).select("doc_id", "label", "aux1", "aux2"))
     return prep.shuffle(t, "doc_id", 128).select("doc_id", "label", "aux1", "aux2", F.col("pos").cast("bigint").alias("pos"))
 
 

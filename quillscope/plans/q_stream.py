@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillscope.plans.q_learn import W, _dot_sql, _sig_sql
+from quillscope.plans import sqltext as S
 from quillscope.plans.registry import register
 from quillscope.streaming import verdicts as V
 
@@ -17,5 +18,14 @@ from quillscope.streaming import verdicts as V
     doubles=("prob",),
 )
 def stream_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    sink = V.run_available(spark, d, W["main"])
+    sink = V.verdicts_available(spark, f"{d.rstrip('/')}/embeddings.parquet", W["main"])
     return spark.read.parquet(sink)
+
+
+@register(
+    "stream_text_features",
+    sql=f"SELECT * EXCLUDE (text, _w) FROM (SELECT *, {S.basic_cols()} FROM (SELECT doc_id, text, {S.words()} AS _w FROM documents WHERE text IS NOT NULL))",
+    doubles=("avg_word_length", "word_density", "lexical_diversity"),
+)
+def stream_text_features(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(V.text_features_available(spark, f"{d.rstrip('/')}/documents.parquet"))

@@ -55,7 +55,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
         F.size("w").cast("bigint").alias("n_words"),
         F.try_element_at("w", F.lit(1)).alias("first_word"),
         F.try_element_at("w", F.lit(-1)).alias("last_word"),
-        X.word_chars("text").cast("bigint").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
     )
 
 
@@ -239,10 +239,8 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     WHERE {S.token_count('t')} <= {X.TOKEN_LIMIT}""",
 )
 def token_limit_filter(spark: SparkSession, d: str) -> DataFrame:
-    def kept(df: DataFrame) -> DataFrame:
-        return df.where(F.col("text").isNotNull() & (X.token_count(X.tokens("text")) <= X.TOKEN_LIMIT))
-
-    return tables.features_then_labels(spark, d, kept).select("doc_id", "label")
+    counts = tables.features_then_labels(spark, d, FE.with_token_count)
+    return counts.where(F.col("token_count") <= X.TOKEN_LIMIT).select("doc_id", "label")
 
 
 # ------------------------------------------------------------------ P9 / P10 / J5
@@ -282,14 +280,18 @@ def extended_features(spark: SparkSession, d: str) -> DataFrame:
     return extended(spark, d).select(*EXT_COLS)
 
 
+_CONV = """(SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS label,
+  conv_id::VARCHAR || '/' || turn::VARCHAR AS doc_id FROM conversations WHERE role IN ('user', 'assistant'))"""
+
+
 @register(
     "extended_conversations",
-    sql=f"""WITH {S.extended_cte(source="(SELECT conv_id * 1000 + turn AS doc_id, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS label FROM conversations WHERE role IN ('user', 'assistant'))")}
-    SELECT {', '.join(EXT_COLS)} FROM x""",
+    sql=f"WITH {S.extended_cte(source=_CONV)} SELECT split_part(doc_id, '/', 1)::BIGINT AS conv_id, split_part(doc_id, '/', 2)::BIGINT AS turn, "
+    f"{', '.join(EXT_COLS[1:])} FROM x",
     doubles=EXT_D,
 )
 def extended_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return FE.extended_features(tables.conversation_corpus(spark, d)).select(*EXT_COLS)
+    return FE.extended_features(tables.conversation_corpus(spark, d)).select("conv_id", "turn", *EXT_COLS[1:])
 
 
 # ------------------------------------------------------------------ W2 / X15: most frequent adjacent pairs

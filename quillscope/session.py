@@ -69,7 +69,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (cluster checkpoints)")
         root = tempfile.mkdtemp(prefix="quillscope-ckpt-")
     if not sc.getCheckpointDir():
@@ -79,13 +79,25 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for one written table."""
-    root = checkpoint_root(spark)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
     return path
 
 
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote with ``scratch_path``, through the file system
+    that holds them. For the end of a job: results that still read them must be consumed first.
+    (Checkpoints of ``cut`` go with ``spark.cleaner.referenceTracking.cleanCheckpoints``.)"""
+    n = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (eager).
 

@@ -23,7 +23,7 @@ TEXT_SCHEMA = T.StructType(
 # row key of tables whose rows carry CPU-heavy text/array work
 SPREAD_KEYS = {
     "documents": "doc_id",
-    "conversations": "conv_id",
+    "conversations": ("conv_id", "turn"),
     "embeddings": "vec_id",
     "benchmark": "item_id",
     "pages": "page_id",
@@ -33,22 +33,31 @@ SPREAD_KEYS = {
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture table; column pruning and filters reach the Parquet scan.
 
-    Text tables are spread over the cluster when the scan yields fewer splits than
-    there are task slots (a file with one row group is one split): hash on the row key,
-    so the exchange is deterministic on retry and later joins on the key can reuse it.
-    With many files (the large-scale case) the scan is left as it is: no shuffle.
+    A small file with one row group is one split, so one task would do all the work on its texts.
+    Text tables of at most ``SPREAD_BYTES`` with fewer splits than task slots are therefore
+    spread by a hash of the row key. Larger tables are read as they are split and never shuffled here.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     key = SPREAD_KEYS.get(name)
     if key is not None:
         slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, key)
+        if df.rdd.getNumPartitions() < slots and table_bytes(spark, path) <= SPREAD_BYTES:
+            df = df.repartition(slots, *((key,) if isinstance(key, str) else key))
     return df
 
 
+SPREAD_BYTES = 1 << 30
+
+
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a table's files, by the file system that holds them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 # label rows (doc_id, label: 16 bytes) broadcast at most: ~32 MB per executor
 LABEL_BROADCAST_ROWS = 2_000_000
 
@@ -57,16 +66,9 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
-_LABEL_ROWS: dict[tuple[str, str], int] = {}
-
-
 def labels_broadcastable(spark: SparkSession, sf_dir: str) -> bool:
-    """True when the label table is proven small (its row count comes from Parquet footers,
-    read once per application and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _LABEL_ROWS:
-        _LABEL_ROWS[key] = load(spark, sf_dir, "labels").count()
-    return _LABEL_ROWS[key] <= LABEL_BROADCAST_ROWS
+    """True when the label table is proven small now (its row count comes from Parquet footers)."""
+    return load(spark, sf_dir, "labels").count() <= LABEL_BROADCAST_ROWS
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,24 +120,16 @@ def features_then_labels(
 
 
 def conversation_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as a second two-class corpus: user = 0 (human), assistant = 1."""
+    """conversations as a second two-class corpus: user = 0 (human), assistant = 1; key ``(conv_id, turn)``."""
     conv = load(spark, sf_dir, "conversations")
     return conv.where(F.col("role").isin("user", "assistant")).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        "conv_id",
+        "turn",
         "text",
         F.when(F.col("role") == "assistant", 1).otherwise(0).cast("int").alias("label"),
     )
 
 
-def resolve_source(spark: SparkSession, source: DataFrame | str, schema: T.StructType | None = None) -> DataFrame:
-    """A DataFrame passes through; a path is read as Parquet or as a CSV text table."""
-    if isinstance(source, DataFrame):
-        return source
-    if source.endswith(".csv") or source.endswith(".csv/"):
-        return read_text_csv(spark, source, schema)
-    return spark.read.parquet(source)
-
-
 def read_text_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with quoted multi-line text cells, header, explicit schema (no inference pass)."""
     return (

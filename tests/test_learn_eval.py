@@ -110,3 +110,16 @@ def test_encode_edges(spark):
     padded = {r.doc_id: (r.input_ids, r.attention_mask) for r in EN.pad(EN.encode(df, "doc_id", size=2), "doc_id").collect()}
     assert padded[1] == ([C, S] + [EN.PAD] * 5, [1, 1] + [0] * 5)
     assert all(len(v[0]) == 7 for v in padded.values())
+
+
+def test_encoding_does_not_depend_on_the_broadcast_head(spark):
+    from quillscope.operators import encoding as EN
+
+    rows = [(i, " ".join(f"t{(i * j) % 37}" for j in range(i % 23))) for i in range(60)] + [(100, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = {r.doc_id: r.ids for r in EN.encode(df, "doc_id").collect()}
+    assert all(EN.UNK not in ids for ids in whole.values())
+    for head in (0, 1, 5, 36):
+        assert {r.doc_id: r.ids for r in EN.encode(df, "doc_id", head=head).collect()} == whole
+    short = {r.doc_id: r.ids for r in EN.encode(df, "doc_id", max_len=6, head=3).collect()}
+    assert short == {k: v[:5] + [EN.SEP] if len(v) > 6 else v for k, v in whole.items()}

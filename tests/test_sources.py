@@ -21,13 +21,6 @@ def test_csv_roundtrip_hostile_cells(spark):
     assert back[3].text is None
 
 
-def test_resolve_source_overload(spark):
-    df = spark.range(3)
-    assert tables.resolve_source(spark, df) is df
-    p = f"{SF001}/labels.parquet"
-    assert tables.resolve_source(spark, p).count() == spark.read.parquet(p).count()
-
-
 def test_fanout_sink_partitions(spark):
     df = spark.createDataFrame([(1, "train", 0), (2, "test", 1), (3, "train", 1)], "doc_id long, split string, label int")
     path = scratch_path(spark, "fanout-test")
@@ -39,8 +32,7 @@ def test_fanout_sink_partitions(spark):
 def test_model_glob(spark):
     root = scratch_path(spark, "models")
     for name in ("m_epoch0", "m_epoch1", "other"):
-        net = LN.Net.init(0, [True, False], dim=4)
-        LN.save_checkpoint(spark, net, f"{root}/{name}", name, 0)
+        LN.save_model(spark, LN.Heads.init([True, False], dim=4), f"{root}/{name}/run={name}/epoch=0")
     got = tables.read_models(spark, [f"{root}/m_epoch*", f"{root}/other"])
     models = {r.model for r in got.select("model").distinct().collect()}
     assert models == {"m_epoch0", "m_epoch1", "other"}
@@ -48,7 +40,7 @@ def test_model_glob(spark):
 
 def test_stream_equals_batch(spark):
     weights = LN.fixed_weights(1)
-    sink = V.run_available(spark, SF001, weights)
+    sink = V.verdicts_available(spark, f"{SF001}/embeddings.parquet", weights)
     streamed = spark.read.parquet(sink)
     batch = V.score_stream(spark.read.parquet(f"{SF001}/embeddings.parquet"), weights)
     assert streamed.count() == batch.count() > 0
@@ -75,3 +67,27 @@ def test_features_then_labels_paths_agree(spark, monkeypatch):
     a = sorted(tuple(r) for r in small.select(*cols).collect())
     b = sorted(tuple(r) for r in large.select(*cols).collect())
     assert a == b and len(a) == 87
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    weights = LN.fixed_weights(1)
+    spark.read.parquet(f"{SF001}/embeddings.parquet").repartition(7).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for how in ({}, {"files_per_trigger": 3}):
+        sink = V.verdicts_available(spark, f"{tmp_path}/embeddings.parquet", weights, **how)
+        assert spark.read.parquet(sink).count() == 500
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from quillscope.session import drop_scratch, scratch_path
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and drop_scratch(spark) >= 1 and not os.path.exists(path)
+
+
+def test_large_tables_are_not_spread(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 0)
+    plan = tables.load(spark, SF001, "documents")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
