@@ -1,9 +1,10 @@
 """Connected components of an edge table as rounds of joins and aggregates (no collect).
 
-Alternating large-star and small-star steps. A node that is already the least of its
-neighbourhood keeps its edges as they are, so only nodes with a lesser neighbour are joined: the
-hub of a star, which may hold a third of all edges, is never the key of a skewed join once it
-is the least node, and before that the join is one that adaptive execution can split.
+Every node hooks to the least of its lesser neighbours (a map-side combined minimum), labels
+jump one pointer further, and the edges are contracted to their ends' labels, until no edge is
+left. A star of any size is gone after one round and a path is halved by each, so rounds grow
+with the logarithm of the longest path and tables shrink from round to round. Joins on a hub
+are between written tables, which adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -21,62 +22,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def relabel(df: DataFrame, node: str, labels: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``: the label of ``node``, which is its own if it has none."""
+    return (
+        df.join(labels.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col(node) == F.col("_node"), "left")
+        .withColumn(out, F.coalesce("_label", F.col(node)))
+        .drop("_node", "_label")
+    )
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for every node of an edge; root is the least node of the component.
 
     Loops, repeated and reversed edges are fine; an edge with a null end is ignored; no edges
-    give no rows. The number of rounds grows with the logarithm of the longest path.
+    give no rows.
     """
     x, y = F.col(a), F.col(b)
-    nodes = edges.where(x.isNotNull() & y.isNotNull())
-    loops = nodes.where(x == y).select(x.alias("node")).distinct()
-    # a: the greater node
     e = stored(
-        nodes.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges"
+        edges.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges"
     )
-    state = _sign(e)
-    while state[0]:
-        # large star: every greater neighbour of u links to the least node around u
-        least = e.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        moved = stored(least.join(e.select(F.col("b").alias("u")).distinct(), "u", "left_semi"), "least")
-        big = (
-            e.join(small(moved), F.col("b") == F.col("u"), "left")
-            .select("a", F.coalesce("m", "b").alias("b"))
-            .distinct()
-        )
-        big = stored(big, "large")
-        # small star: every lesser neighbour of a links to the least of them
-        most = big.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.max("b").alias("x"))
-        torn = stored(most.where("m < x").select("u", "m"), "torn")
-        new = (
-            big.join(small(torn), F.col("a") == F.col("u"), "left")
-            .select(
-                F.explode(
-                    F.when(F.col("u").isNull(), F.array(F.struct("a", "b"))).otherwise(
-                        F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
-                    )
-                ).alias("e")
-            )
-            .select("e.a", "e.b")
-            .where("a != b")
-            .distinct()
-        )
-        e = stored(new, "small")
-        now = _sign(e)
-        if now == state:
-            break
-        state = now
-    linked = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = e.select(F.col("b").alias("node")).distinct()
-    alone = loops.join(linked.select("node").union(roots), "node", "left_anti")
-    return linked.union(roots.union(alone).select("node", F.col("node").alias("root")))
-
-
-def _sign(e: DataFrame) -> tuple[int, int]:
-    """Rows and an order-free checksum of an edge table."""
-    r = e.agg(
-        F.count("*"),
-        F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-        F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)")),
-    ).first()
-    return r[0], r[1], r[2]
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    open_ = e.where("a != b")
+    while not open_.isEmpty():
+        hook = stored(open_.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "hooks")
+        labels = small(stored(relabel(hook.withColumnRenamed("label", "_hook"), "_hook", small(hook), "label").drop("_hook"), "labels"))
+        nodes = relabel(nodes, "root", labels, "root")
+        both = relabel(relabel(open_, "a", labels, "a"), "b", labels, "b")
+        both = both.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        open_ = stored(both, "contracted")
+    return nodes
