@@ -12,6 +12,7 @@ the counts don't depend on them.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -122,7 +123,7 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str = "text", most: int = FRE
     return [r["t"] for r in top.collect()]
 
 
-_workers: dict[int, Lengths] = {}
+_workers: dict[str, Lengths] = {}
 
 
 def count_tokens(
@@ -138,13 +139,14 @@ def count_tokens(
     proto = model_bytes(model)
     sp = processor(proto)
     words = frequent_pre_tokens(docs, text_col)
+    name = uuid.uuid4().hex  # a worker keeps its cache from task to task of this count
     table = sc.broadcast((proto, {w: len(x) for w, x in zip(words, sp.encode(words))} if words else {}))
 
     def start():
-        lengths = _workers.get(table.id if hasattr(table, "id") else id(table))
+        lengths = _workers.get(name)
         if lengths is None:
             _workers.clear()
-            lengths = _workers[table.id if hasattr(table, "id") else id(table)] = Lengths(*table.value)
+            lengths = _workers[name] = Lengths(*table.value)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             return [pa.array([lengths.count(t) for t in text_array(texts).to_pylist()], pa.int64())]
