@@ -298,39 +298,23 @@ def score_heads_wide(df: DataFrame, models: dict[str, Heads], emb: str = "embedd
 
 
 # ------------------------------------------------------------------ sentiment (M7)
-def sentiment(train_df: DataFrame, score_df: DataFrame, label: str, tokens_col: str = "tokens", num_features: int | None = None, max_iter: int = 100) -> DataFrame:
-    """Text classifier: HashingTF -> IDF -> multinomial LogisticRegression (all Spark ML jobs).
+def sentiment(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tokens_col: str = "tokens", num_features: int = 1 << 20) -> DataFrame:
+    """Text classifier: HashingTF -> multinomial naive Bayes (Spark ML; the fit is one aggregate).
 
-    Adds ``sentiment_label`` (argmax class) and ``sentiment_score`` (max softmax probability).
-    ``num_features``: hash buckets, by default four times the distinct tokens of the training rows, as
-    a power of two. A fit that needs more than ``max_iter`` iterations is an error.
+    ``docs``: ``(key, tokens)``; ``labels``: ``(key, label)`` of some of them. Token arrays become sparse
+    counts where they are read, and only these meet the labels. Returns ``(key, sentiment_label,
+    sentiment_score)``: argmax class and max posterior probability. ``num_features``: hash buckets, to be
+    chosen above the number of distinct tokens (tokens that share a bucket share their weight).
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
-
-    if num_features is None:
-        kinds = train_df.select(F.explode(tokens_col).alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-        num_features = 1 << min(30, max(10, (4 * int(kinds)).bit_length()))
-    pipe = Pipeline(
-        stages=[
-            HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=max_iter, regParam=0.01, family="multinomial"),
-        ]
-    )
-    model = pipe.fit(train_df)
-    if model.stages[-1].summary.totalIterations >= max_iter:
-        raise RuntimeError(f"the classifier did not converge in {max_iter} iterations")
-    out = model.transform(score_df)
-    prob = vector_to_array("probability")
-    out = out.withColumn("_p", prob)
-    return out.withColumns(
-        {
-            "sentiment_label": (F.array_position("_p", F.array_max("_p")) - 1).cast("int"),
-            "sentiment_score": F.array_max("_p"),
-        }
-    ).drop("_tf", "_tfidf", "rawPrediction", "probability", "prediction", "_p")
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import HashingTF
+
+    counted = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features).transform(docs).select(key, "_tf")
+    rows = counted.join(labels.select(key, label), key)
+    model = NaiveBayes(featuresCol="_tf", labelCol=label, smoothing=1.0, modelType="multinomial").fit(rows)
+    out = model.transform(counted).select(key, vector_to_array("probability").alias("_p"))
+    top = F.array_max("_p")
+    return out.select(key, (F.array_position("_p", top) - 1).cast("int").alias("sentiment_label"), top.alias("sentiment_score"))
 
 
 def softmax_argmax(logits: Column) -> tuple[Column, Column]:

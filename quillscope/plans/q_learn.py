@@ -539,9 +539,7 @@ def model_ablation(spark: SparkSession, d: str) -> DataFrame:
 def _sentiment_scored(spark: SparkSession, d: str) -> DataFrame:
     docs = tables.load(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", X.tokens("text").alias("tokens"))
     labs = tables.load(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("toxic"))
-    # a label table of proven small size is broadcast: the token arrays are then not shuffled
-    train_df = docs.join(F.broadcast(labs) if tables.labels_broadcastable(spark, d) else labs, "doc_id")
-    return LN.sentiment(train_df, docs, "toxic")
+    return LN.sentiment(docs, F.broadcast(labs) if tables.labels_broadcastable(spark, d) else labs, "toxic")
 
 
 @register("sentiment")
