@@ -17,9 +17,9 @@ from quillscope.llm.common import stored
 BROADCAST_ROWS = 200_000  # rows of (node, node) broadcast at most: a few MB
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` (written data) with a broadcast hint if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def relabel(df: DataFrame, node: str, labels: DataFrame, out: str) -> DataFrame:
