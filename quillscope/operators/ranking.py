@@ -31,6 +31,7 @@ POSITION_PREFIX = 4  # global_position buckets: 16**4 = 65,536
 HASH_LEN = 32  # hex digits of an md5
 RANK_BUCKETS = 1024  # fewest range buckets
 BUCKET_ROWS = 1_000_000  # most rows one window bucket (one task) is meant to sort
+HEAVY = 1000  # a value with more than one in HEAVY of all rows is a hot key
 BROADCAST_ROWS = 200_000  # small tables (targets, distinct-value ranks) are broadcast below this many rows
 
 
@@ -167,6 +168,7 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     w = Window.partitionBy("_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = bucketed.join(F.broadcast(offsets), "_bk").select(
         value,
+        "_c",
         (
             F.col("_off")
             + F.coalesce(F.sum("_c").over(w), F.lit(0))
@@ -177,6 +179,11 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     if n_distinct <= BROADCAST_ROWS:
         # one row per distinct value, proven small: no shuffle of the rows, and a value
         # holding a third of all rows cannot skew a join partition
-        return df.join(F.broadcast(ranks), value, "left")
-    # many distinct values: a shuffled join; AQE's skew-join split handles a hot value
-    return df.join(ranks, value, "left")
+        return df.join(F.broadcast(ranks.drop("_c")), value, "left")
+    # many distinct values: the few that hold more than a thousandth of all rows each (so at most
+    # a thousand) are broadcast, and only rows of the other values are shuffled
+    ranks = cut(ranks)
+    total = ranks.agg(F.sum("_c")).first()[0]
+    heavy = F.col("_c") * HEAVY > total
+    hot, rest = F.broadcast(ranks.where(heavy).drop("_c")), ranks.where(~heavy).drop("_c")
+    return df.join(hot, value).unionByName(df.join(hot, value, "left_anti").join(rest, value, "left"))

@@ -206,3 +206,16 @@ def test_boxplot_outlier_rows(spark):
     rows = [(i, 0, "f", float(i % 10)) for i in range(100)] + [(1000, 0, "f", 99.0), (1001, 0, "f", float("nan"))]
     long = spark.createDataFrame(rows, "doc_id long, label int, feature string, value double")
     assert [(r["doc_id"], r["value"]) for r in stats.boxplot_outliers(long).collect()] == [(1000, 99.0)]
+
+
+def test_average_rank_with_hot_values_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.full(700, 5.0), rng.integers(0, 3000, 1300).astype(float)])
+    pdf = pd.DataFrame({"i": np.arange(len(v) + 1), "v": [*v, None]})
+    df = spark.createDataFrame(pdf).replace(float("nan"), None).repartition(5)
+    want = pdf.v.rank(method="average")
+    for bound in (200_000, 0):
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", bound)
+        got = {r["i"]: r["rank"] for r in ranking.average_rank(df, "v", "rank").collect()}
+        assert len(got) == len(pdf) and got[len(v)] is None
+        assert all(got[i] == want[i] for i in range(len(v)))
