@@ -80,9 +80,10 @@ def test_code_lengths_match_a_plain_walk(spark):
     tests = ["the chat", "Straße", "q", "", "a b  c", "中 hat", "THAT MAT"]
     got = tree.lengths(pa.array(tests))
     assert np.allclose(got, [_plain_bits(train, langs, t) for t in tests], atol=1e-3)
-    rows = spark.createDataFrame([(t, "x") for t in [*tests, None, "123 ."]], "text string, score string")
+    rows = spark.createDataFrame([(t, "x") for t in [*tests, None, "123 .", "le chat " * 20_000, "THAT MAT"]], "text string, score string")
     out = {r["text"]: (r["lang_pred"], r["score"]) for r in LI.predict(rows, tree).collect()}
     assert out["Straße"][0] == "de" and out["THAT MAT"][0] == "en" and out[None] == ("und", 0.0) and out["123 ."] == ("und", 0.0) and out[""] == ("und", 0.0)
+    assert out["le chat " * 20_000][0] == "fr" and LI.predict(rows, tree).count() == len(tests) + 4
     assert LI.predict(rows, LI.train(df.limit(0))).where("lang_pred != 'und'").count() == 0
     assert LI.predict(rows.limit(0), tree).count() == 0
 
