@@ -316,3 +316,22 @@ def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object,
         digest_ = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         out[doc] = (len(w), len(hit), len(names), digest_, bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH iw AS (SELECT item_id::VARCHAR AS item, {_WORDS.format('text')} AS w FROM benchmark),
+ph AS (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM iw WHERE len(w) > 0),
+pg AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM ph),
+ns AS (SELECT DISTINCT n FROM pg),
+dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+dg AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM dw, ns WHERE len(w) >= n)),
+m AS (SELECT doc_id, p, n, item FROM dg JOIN pg USING (n, g)),
+hw AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS i FROM m),
+hc AS (SELECT doc_id, count(*) AS n_hit FROM hw GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hc USING (doc_id) LEFT JOIN it USING (doc_id)
+"""

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op10_decontaminate")
+@query("op10_decontaminate", DC.SQL)
 def op10_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "text")
     return DC.digest(DC.decontaminate(docs, read(spark, d, "benchmark"), keep=["doc_id"]))
