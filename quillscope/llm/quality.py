@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillscope.llm.common import prepare, stored
 from quillscope.llm.components import small
+from quillscope.operators.features import materialize
 from quillscope.operators.ranking import one_row
 
 WINDOW = 5
@@ -142,7 +143,10 @@ def filter_rejected(docs: DataFrame, text_col: str = "text", host_col: str = "so
     the hosts' counts, one for the verdicts; no text is shuffled or written."""
     prepare(docs.sparkSession)
     verdicts = host_verdicts(measure(docs, text_col, host_col, []))
-    return _with_verdicts(measure(docs, text_col, host_col), verdicts).where("kept").select("_in.*")
+    # the barrier keeps the optimizer from pushing the filter below the measures, which would
+    # compute them once more for each use in the condition
+    rows = materialize(measure(docs, text_col, host_col))
+    return _with_verdicts(rows, verdicts).where("kept").select("_in.*")
 
 
 def _with_verdicts(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
