@@ -15,6 +15,7 @@ stray files but no double records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
@@ -223,18 +224,36 @@ def data_offset(f, m: Member) -> int:
 
 
 def locate(path: str) -> Iterator[tuple[int, int]]:
-    """(offset in the package, length) of every record of a package, by its indexes."""
+    """(offset in the package, length) of every record of a package, by all its indexes (plain or gzipped).
+
+    A line's ``filename`` names its archive, which may be left out where the package holds only one.
+    """
     fs, p = open_fs(path)
     with fs.open_input_file(p) as f:
-        members = central_directory(f, f.size())
-        data = {m.name: m for m in members if m.name.startswith("archive/")}
-        base = data_offset(f, data[DATA])
-        for m in members:
-            if m.name.startswith("indexes/") and m.name.endswith(".cdxj") and m.size:
-                f.seek(data_offset(f, m))
-                for line in f.read(m.size).split(b"\n"):
-                    entry = json.loads(line)
-                    yield base + entry["offset"], entry["length"]
+        members = [m for m in central_directory(f, f.size()) if not m.name.endswith("/")]
+        base = {m.name: data_offset(f, m) for m in members if m.name.startswith("archive/")}
+        indexes = [m for m in members if m.name.startswith("indexes/") and m.size]
+        listed = {m.name.removeprefix("indexes/") for m in indexes}
+        for m in indexes:
+            f.seek(data_offset(f, m))
+            lines = f.read(m.size)
+            if lines[:2] == b"\x1f\x8b":
+                lines = gzip.decompress(lines)
+            for line in lines.split(b"\n"):
+                _, brace, fields = line.partition(b"{")  # a key and a date may stand before the fields
+                if not brace:
+                    continue
+                entry = json.loads(brace + fields)
+                name = entry.get("filename")
+                if name is None:
+                    if len(base) != 1:
+                        raise ValueError(f"{path}: a line of {m.name} names none of {len(base)} archives")
+                    at = next(iter(base.values()))
+                elif name.removeprefix("indexes/") in listed:
+                    continue  # an index of an index
+                else:
+                    at = base["archive/" + name.removeprefix("archive/")]
+                yield at + int(entry["offset"]), int(entry["length"])
 
 
 def parse(data: bytes) -> dict:

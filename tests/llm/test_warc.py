@@ -70,3 +70,28 @@ def test_bad_packages_are_errors():
     (m,) = WZ.central_directory(io.BytesIO(raw), len(raw))
     with pytest.raises(ValueError):
         WZ.data_offset(io.BytesIO(raw), m)
+
+
+def test_two_archives_and_other_index_names(tmp_path):
+    import gzip
+
+    parts = {"archive/a.warc.gz": b"first|second", "archive/b.warc.gz": b"third"}
+    plain = b'com,h)/ 2024 {"offset": "0", "length": "5", "filename": "a.warc.gz"}\n{"offset": 6, "length": 6, "filename": "archive/a.warc.gz"}\n'
+    packed = gzip.compress(b'{"offset": 0, "length": 5, "filename": "b.warc.gz"}\n')
+    path = str(tmp_path / "two.wacz")
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in {**parts, "indexes/one.cdx": plain, "indexes/two.cdx.gz": packed, "indexes/two.idx": b'k {"offset": 0, "length": 9, "filename": "two.cdx.gz"}\n'}.items():
+            z.writestr(name, data)
+    raw = open(path, "rb").read()
+    assert [raw[a : a + n] for a, n in WZ.locate(path)] == [b"first", b"second", b"third"]
+    other = str(tmp_path / "other.wacz")
+    for names in (["archive/x.warc.gz"], ["archive/x.warc.gz", "archive/y.warc.gz"]):
+        with zipfile.ZipFile(other, "w") as z:
+            for name in names:
+                z.writestr(name, b"record")
+            z.writestr("indexes/index.cdxj", b'{"offset": 2, "length": 4}')
+        if len(names) == 1:
+            assert [open(other, "rb").read()[a : a + n] for a, n in WZ.locate(other)] == [b"cord"]
+        else:
+            with pytest.raises(ValueError):
+                list(WZ.locate(other))
