@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillscope.llm import alignment as AL
+from quillscope.llm import bpe as BP
 from quillscope.llm import decontaminate as DC
 from quillscope.llm import langid as LI
 from quillscope.llm import mixture as MX
 from quillscope.llm import neardup as ND
 from quillscope.llm import quality as QR
+from quillscope.llm import ranked as RS
 from quillscope.llm import secrets as SS
 from quillscope.llm import substring as SD
 from quillscope.llm import tokens as TC
@@ -91,3 +94,19 @@ def op4_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = SD.repeated_passages(read(spark, d, "documents").select("doc_id", "text"))
     text = F.concat_ws(",", F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])))
     return out.select(F.col("id").alias("doc_id"), "class_id", "n_words", "n_units", "n_removed", text.alias("spans"))
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    ids = BP.encode(read(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"], packed=True)
+    return BP.digest(BP.decode(ids))
+
+
+@query("op12_ranked_search", RS.SQL)
+def op12_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    return RS.search(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return AL.align(read(spark, d, "documents").select("doc_id", "text"), keep=["doc_id"])[0]
