@@ -2,10 +2,13 @@
 
 * Scores are array expressions (``zip_with`` + ``aggregate``) over literal weights, so they
   stay in JVM code and need no join.
-* The model is linear in the encoder's output: a main head (sigmoid) and optional auxiliary heads,
-  trained together. Every optimizer step is one aggregate over a mini-batch: residuals are columns,
-  and the gradient of all heads is a sum of vectors (``Summarizer``, partial sums in
-  every task). The driver applies AdamW to a model-sized vector and keeps nothing else.
+* The model is a main head (sigmoid) and optional auxiliary heads, trained together. They read the
+  encoder's output, or a front block that all heads share: a projection to a few units with a
+  tanh-GELU, so that auxiliary tasks move what the main head sees. Every optimizer step is one
+  aggregate over a mini-batch: residuals are columns, and the gradient of all heads, with the matrix of
+  the front block, is one sum of vectors (``Summarizer``, partial sums in every task).
+  The driver applies AdamW to a model-sized vector and keeps nothing else.
+* An epoch's mini-batches are written once, partitioned by batch number; a step reads its own files.
 * Models and checkpoints are small Parquet tables ``(tensor, values)``; scoring reads them by glob.
 """
 
@@ -100,78 +103,141 @@ def parse_weights(spec: str, num_aux: int = NUM_AUX) -> list[float | None]:
 
 
 # ------------------------------------------------------------------ multi-task heads
+FRONT = "front_block"
+GELU_C, GELU_A = math.sqrt(2 / math.pi), 0.044715  # tanh form of the GELU
+
+
 def head_names(aux: list[bool]) -> list[str]:
     return ["main"] + [f"aux_block{i}" for i, on in enumerate(aux) if on]
 
 
+def gelu(z: Column) -> Column:
+    return 0.5 * z * (1 + F.tanh(GELU_C * (z + GELU_A * z * z * z)))
+
+
+def gelu_slope(z: Column) -> Column:
+    t = F.tanh(GELU_C * (z + GELU_A * z * z * z))
+    return 0.5 * (1 + t) + 0.5 * z * (1 - t * t) * GELU_C * (1 + 3 * GELU_A * z * z)
+
+
 @dataclass
 class Heads:
-    """One weight vector per head, the bias last: ``main`` and ``aux_block{i}`` for auxiliary task i."""
+    """One weight vector per head, the bias last: ``main`` and ``aux_block{i}`` for auxiliary task i.
+
+    With a shared front block also one vector for each of its units, ``front_block{r}``; heads
+    then have a weight for each unit instead of each value of the encoder's output.
+    """
 
     weights: dict[str, list[float]]
 
     @staticmethod
-    def init(aux: list[bool] | None = None, dim: int = EMBED_DIM) -> "Heads":
-        """All zero: a linear model has no symmetry that random weights would have to break."""
-        return Heads({h: [0.0] * (dim + 1) for h in head_names(aux or [False] * NUM_AUX)})
+    def init(aux: list[bool] | None = None, dim: int = EMBED_DIM, shared: int = 0) -> "Heads":
+        """All zero without a front block: a linear model has no symmetry that other weights would have to
+        break. With ``shared`` units fixed waves part the units, and the heads."""
+        names = head_names(aux or [False] * NUM_AUX)
+        if not shared:
+            return Heads({h: [0.0] * (dim + 1) for h in names})
+        w = {f"{FRONT}{r}": [math.sin((r + 1) * i) / math.sqrt(dim) for i in range(1, dim + 1)] + [0.0] for r in range(shared)}
+        number = {"main": 1} | {f"aux_block{i}": i + 2 for i in range(NUM_AUX)}  # of a head, whichever others there are
+        return Heads(w | {h: [math.cos(number[h] * r) / math.sqrt(shared) for r in range(1, shared + 1)] + [0.0] for h in names})
 
     @property
     def aux(self) -> list[bool]:
         return [f"aux_block{i}" in self.weights for i in range(NUM_AUX)]
 
+    @property
+    def names(self) -> list[str]:
+        return head_names(self.aux)
+
+    @property
+    def front(self) -> list[list[float]]:
+        """The front block's units in order; none if the heads read the encoder's output themselves."""
+        n = sum(k.startswith(FRONT) for k in self.weights)
+        return [self.weights[f"{FRONT}{r}"] for r in range(n)]
+
+    def units(self, emb: Column) -> Column:
+        """The front block's sums before the activation."""
+        return F.array(*[dot(emb, w[:-1]) + F.lit(float(w[-1])) for w in self.front])
+
+    def hidden(self, emb: Column) -> Column:
+        """What the heads read."""
+        return F.transform(self.units(emb), gelu) if self.front else emb
+
+    def head(self, name: str, hidden: Column) -> Column:
+        *w, b = self.weights[name]
+        return dot(hidden, w) + F.lit(float(b))
+
     def output(self, name: str, emb: Column) -> Column:
         """Logit of ``main``, value of an auxiliary head."""
-        *w, b = self.weights[name]
-        return dot(emb, w) + F.lit(float(b))
+        return self.head(name, self.hidden(emb))
 
 
 def forward(df: DataFrame, heads: Heads, emb: str = "embedding", key: str = "doc_id", training: bool = False) -> DataFrame:
     """``(key, main)`` and, in training, ``aux1, aux2`` of the heads that exist; one projection."""
-    cols = [sigmoid(heads.output("main", F.col(emb))).alias("main")]
+    rows = df.select(key, heads.hidden(F.col(emb)).alias("_h"))
+    cols = [sigmoid(heads.head("main", F.col("_h"))).alias("main")]
     if training:
-        cols += [heads.output(f"aux_block{i}", F.col(emb)).alias(f"aux{i + 1}") for i, on in enumerate(heads.aux) if on]
-    return df.select(key, *cols)
+        cols += [heads.head(f"aux_block{i}", F.col("_h")).alias(f"aux{i + 1}") for i, on in enumerate(heads.aux) if on]
+    return rows.select(key, *cols)
 
 
-def _task_columns(heads: Heads, emb: Column) -> dict[str, tuple[Column, Column]]:
+def _task_columns(heads: Heads, hidden: Column) -> dict[str, tuple[Column, Column]]:
     """For each head its loss and the loss's derivative by the head's output."""
     y = F.col("main").cast("double")
-    p = F.least(F.greatest(sigmoid(heads.output("main", emb)), F.lit(CLAMP)), F.lit(1 - CLAMP))
+    p = F.least(F.greatest(sigmoid(heads.head("main", hidden)), F.lit(CLAMP)), F.lit(1 - CLAMP))
     up = GAMMA_POS * p * F.pow(1 - p, GAMMA_POS) * F.ln(p) - F.pow(1 - p, GAMMA_POS + 1)
     down = F.pow(p, GAMMA_NEG + 1) - GAMMA_NEG * F.pow(p, GAMMA_NEG) * (1 - p) * F.ln(1 - p)
     out = {"main": (asymmetric_loss_terms(p, y), y * up + (1 - y) * down)}
     for i, on in enumerate(heads.aux):
         if on:
-            err = heads.output(f"aux_block{i}", emb) - F.col("aux")[i].cast("double")
+            err = heads.head(f"aux_block{i}", hidden) - F.col("aux")[i].cast("double")
             out[f"aux_block{i}"] = (err * err, 2 * err)
     return out
 
 
-def gradient(batch: DataFrame, heads: Heads) -> tuple[dict[str, list[float]], dict[str, float], int]:
-    """Mean gradient and loss of each head over ``(embedding, main, aux)`` rows, and their count.
+def gradient(
+    batch: DataFrame, heads: Heads, weight: dict[str, float] | None = None
+) -> tuple[dict[str, list[float]], dict[str, float], int]:
+    """Mean gradient of each tensor and loss of each head over ``(embedding, main, aux)`` rows, and their count.
 
     One job: residuals are columns, gradients are sums of the scaled inputs, added up inside
-    the tasks first. A model-sized row reaches the driver.
+    the tasks first. A head's gradient is that of its own loss; the front block's is that of
+    the total by ``weight`` (default 1 each), carried back through the heads: the outer product of a
+    row's unit residuals and its input, flattened. A model-sized row reaches the driver.
     """
-    cols = _task_columns(heads, F.col("_x"))
+    weight = weight or {h: 1.0 for h in heads.names}
+    shared = len(heads.front)
     rows = batch.select(F.col("embedding").cast("array<double>").alias("_x"), "main", "aux")
+    rows = rows.withColumn("_z", heads.units(F.col("_x"))) if shared else rows
+    rows = rows.withColumn("_h", F.transform("_z", gelu) if shared else F.col("_x"))
+    cols = _task_columns(heads, F.col("_h"))
+    one = F.array(F.lit(1.0))
     rows = rows.select(
-        F.concat("_x", F.array(F.lit(1.0))).alias("_x1"),
+        F.concat("_x", one).alias("_x1"), F.concat("_h", one).alias("_h1"), *(["_z"] if shared else []),
         *[c.alias(f"{k}_{h}") for h, pair in cols.items() for k, c in zip("ld", pair)],
     )
 
-    def scaled(d: Column) -> Column:
-        return F.transform("_x1", lambda x: x * d)
+    def scaled(values: str, d: Column) -> Column:
+        return F.transform(values, lambda x: x * d)
 
     sums = []
     for h in cols:
-        sums.append(Summarizer.sum(array_to_vector(scaled(F.col(f"d_{h}")))).alias(f"g_{h}"))
+        sums.append(Summarizer.sum(array_to_vector(scaled("_h1", F.col(f"d_{h}")))).alias(f"g_{h}"))
         sums.append(F.avg(f"l_{h}").alias(f"l_{h}"))
+    if shared:
+        back = [sum((F.col(f"d_{h}") * (weight[h] * heads.weights[h][r]) for h in cols), F.lit(0.0)) * gelu_slope(F.col("_z")[r]) for r in range(shared)]
+        outer = F.flatten(F.array(*[scaled("_x1", b) for b in back]))
+        sums.append(Summarizer.sum(array_to_vector(outer)).alias("g_front"))
     r = rows.agg(F.count("*").alias("n"), *sums)
-    r = r.select("n", *[vector_to_array(f"g_{h}").alias(f"g_{h}") for h in cols], *[f"l_{h}" for h in cols]).first()
+    vectors = [f"g_{h}" for h in cols] + (["g_front"] if shared else [])
+    r = r.select("n", *[vector_to_array(v).alias(v) for v in vectors], *[f"l_{h}" for h in cols]).first()
     if not r["n"]:
         return {}, {}, 0
-    return {h: [g / r["n"] for g in r[f"g_{h}"]] for h in cols}, {h: r[f"l_{h}"] for h in cols}, r["n"]
+    g = {h: [x / r["n"] for x in r[f"g_{h}"]] for h in cols}
+    if shared:
+        width = len(r["g_front"]) // shared
+        g |= {f"{FRONT}{i}": [x / r["n"] for x in r["g_front"][i * width : (i + 1) * width]] for i in range(shared)}
+    return g, {h: r[f"l_{h}"] for h in cols}, r["n"]
 
 
 @dataclass
@@ -187,6 +253,23 @@ def batch_of(key: str, seed: int, epoch: int, batches: int) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(batches))
 
 
+def write_batches(table: DataFrame, seed: int, epoch: int, batches: int, name: str = "batches") -> DataFrame:
+    """An epoch's rows written once with their ``_batch``, one folder for each: a filter on it reads that folder only.
+
+    Rows are dealt to tasks by batch and a spread of the key, so that there are about as many files as
+    the input had partitions, however many batches they make.
+    """
+    spark = table.sparkSession
+    parts = max(1, table.rdd.getNumPartitions())
+    spread = max(1, parts // batches)
+    rows = table.withColumn("_batch", batch_of("doc_id", seed, epoch, batches).cast("int"))
+    if batches > 1:
+        rows = rows.repartition(max(parts, min(batches, 10 * parts)), "_batch", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+    path = scratch_path(spark, name)
+    rows.write.partitionBy("_batch").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def train(
     table: DataFrame,
     weights: list[float | None],
@@ -199,19 +282,21 @@ def train(
     val: DataFrame | None = None,
     accumulation_steps: int = 1,
     checkpoint: bool = True,
+    shared: int = 0,
 ) -> TrainResult:
-    """AdamW on a ``(doc_id, embedding, main, aux)`` table, which should be written data: it is read
-    once for every step.
+    """AdamW on a ``(doc_id, embedding, main, aux)`` table, read once for an epoch; a step reads its mini-batch.
 
     With ``accumulation_steps`` k the mean gradient of k batches is one step; leftover batches
-    step at the end of the epoch.
+    step at the end of the epoch. ``shared``: units of the front block of a new model. ``heads`` goes on from
+    a model, e.g. one that ``load_checkpoint`` read; it must have a head for every weighted task.
     """
     aux_on = [w is not None for w in weights[1:]]
-    heads = heads or Heads.init(aux_on)
+    heads = heads or Heads.init(aux_on, shared=shared)
     for i, on in enumerate(aux_on):
         if on and not heads.aux[i]:
             raise ValueError(f"model has no head for auxiliary task {i + 1}")
-    weight = {"main": weights[0] or 0.0} | {f"aux_block{i}": w or 0.0 for i, w in enumerate(weights[1:])}
+    task = {"main": weights[0] or 0.0} | {f"aux_block{i}": w or 0.0 for i, w in enumerate(weights[1:])}
+    weight = {h: task.get(h, 1.0) for h in heads.weights}  # the front block's gradient is that of the weighted total
     w = {h: list(v) for h, v in heads.weights.items()}
     first = {h: [0.0] * len(v) for h, v in w.items()}
     second = {h: [0.0] * len(v) for h, v in w.items()}
@@ -219,8 +304,9 @@ def train(
     root = scratch_path(table.sparkSession, f"checkpoints-{run}") if checkpoint else None
     for epoch in range(epochs):
         losses, held = [], []
+        rows = write_batches(table, seed, epoch, batches_per_epoch)
         for b in range(batches_per_epoch):
-            g, loss, n = gradient(table.where(batch_of("doc_id", seed, epoch, batches_per_epoch) == b), Heads(w))
+            g, loss, n = gradient(rows.where(F.col("_batch") == b), Heads(w), weight)
             if n:
                 losses.append(loss)
                 held.append(g)
@@ -235,12 +321,12 @@ def train(
                         w[h][i] -= lr * (move + DECAY * w[h][i])
                 held = []
         rec = {"run": run, "epoch": epoch}
-        for h in w:
+        for h in heads.names:
             name = "main" if h == "main" else f"aux{int(h[-1]) + 1}"
             rec[name] = weight[h] * sum(x[h] for x in losses) / max(1, len(losses))
         rec["total"] = sum(v for k, v in rec.items() if k not in ("run", "epoch"))
         if val is not None:
-            _, loss, n = gradient(val, Heads(w))
+            _, loss, n = gradient(val, Heads(w), weight)
             rec["val_total"] = sum(weight[h] * x for h, x in loss.items()) if n else 0.0
         history.append(rec)
         if root:
@@ -297,26 +383,7 @@ def score_heads_wide(df: DataFrame, models: dict[str, Heads], emb: str = "embedd
     return df.select(*keep, *[sigmoid(m.output("main", F.col(emb))).alias(name) for name, m in models.items()])
 
 
-# ------------------------------------------------------------------ sentiment (M7)
-def sentiment(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tokens_col: str = "tokens", num_features: int = 1 << 20) -> DataFrame:
-    """Text classifier: HashingTF -> multinomial naive Bayes (Spark ML; the fit is one aggregate).
-
-    ``docs``: ``(key, tokens)``; ``labels``: ``(key, label)`` of some of them. Token arrays become sparse
-    counts where they are read, and only these meet the labels. Returns ``(key, sentiment_label,
-    sentiment_score)``: argmax class and max posterior probability. ``num_features``: hash buckets, to be
-    chosen above the number of distinct tokens (tokens that share a bucket share their weight).
-    """
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import HashingTF
-
-    counted = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features).transform(docs).select(key, "_tf")
-    rows = counted.join(labels.select(key, label), key)
-    model = NaiveBayes(featuresCol="_tf", labelCol=label, smoothing=1.0, modelType="multinomial").fit(rows)
-    out = model.transform(counted).select(key, vector_to_array("probability").alias("_p"))
-    top = F.array_max("_p")
-    return out.select(key, (F.array_position("_p", top) - 1).cast("int").alias("sentiment_label"), top.alias("sentiment_score"))
-
-
+# ------------------------------------------------------------------ M8
 def softmax_argmax(logits: Column) -> tuple[Column, Column]:
     """(argmax index, max softmax probability) of a logit array."""
     mx = F.array_max(logits)

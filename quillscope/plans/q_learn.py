@@ -12,7 +12,10 @@ from quillscope.operators.encoding import CLS, SEP, UNK, encode, pad
 from quillscope.operators import features as FE
 from quillscope.operators import learn as LN
 from quillscope.operators import prep
+from quillscope.operators import textmodel as TM
+from quillscope.operators.idfilter import maybe_in
 from quillscope.plans import sqltext as S
+from quillscope.plans.q_text import EXT_COLS, EXT_D, extended
 from quillscope.plans.registry import register
 from quillscope.session import cut, scratch_path
 from quillscope.sources import tables
@@ -33,13 +36,15 @@ def score_rows(spark: SparkSession, d: str) -> DataFrame:
 def train_rows(spark: SparkSession, d: str) -> DataFrame:
     """``score_rows`` JOIN documents ON id, with two min-max scaled text features as auxiliary targets.
 
-    The features are computed where a text is read; only ids and two numbers meet the embeddings.
+    The features are computed where a text is read, for ids that have an embedding (a bit table of
+    these lets few others through); only ids and two numbers meet the embeddings.
     """
-    docs = tables.load(spark, d, "documents").select("doc_id", "text")
+    rows = score_rows(spark, d)
+    docs = maybe_in(tables.load(spark, d, "documents").select("doc_id", "text"), rows.select("doc_id"), "doc_id")
     aux = FE.basic_features(docs).select(
         "doc_id", F.col("avg_word_length").alias("aux1"), X.func_word_count(X.tokens("text")).alias("aux2")
     )
-    f = cut(score_rows(spark, d).join(aux, "doc_id"))  # the scaler is fitted on and applied to the same rows
+    f = cut(rows.join(aux, "doc_id"))  # the scaler is fitted on and applied to the same rows
     fit = prep.minmax_fit(f, ["aux1", "aux2"])
     return prep.minmax_apply(f, fit, ["aux1", "aux2"])
 
@@ -518,39 +523,177 @@ def loss_history(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# ------------------------------------------------------------------ the front block that all heads share
+SHARED = 4  # units
+_GELU_SQL = f"(0.5 * z * (1 + tanh({LN.GELU_C!r} * (z + {LN.GELU_A} * z * z * z))))"
+_SLOPE_SQL = (
+    f"(0.5 * (1 + tanh({LN.GELU_C!r} * (z + {LN.GELU_A} * z * z * z))) + 0.5 * z * (1 - pow(tanh({LN.GELU_C!r} * (z + {LN.GELU_A} * z * z * z)), 2))"
+    f" * {LN.GELU_C!r} * (1 + {3 * LN.GELU_A!r} * z * z))"
+)
+
+
+def _weights_sql(heads: LN.Heads) -> str:
+    rows = ", ".join(f"('{h}', {i}, {float(x)!r}::DOUBLE)" for h, v in heads.weights.items() for i, x in enumerate(v))
+    return f"SELECT h, i, w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM (VALUES {rows}) q(h, i, w)"
+
+
+def _forward_sql(name: str, inputs: str, w: str, where: str = "true") -> list[str]:
+    """CTEs of a pass through the front block and the heads: ``{name}a`` units, ``{name}o`` outputs."""
+    return [
+        f"{name}a AS MATERIALIZED (SELECT doc_id, CAST(substr(h, {len(LN.FRONT) + 1}) AS INTEGER) AS r, {_GELU_SQL} AS a, {_SLOPE_SQL} AS da FROM "
+        f"(SELECT doc_id, h, sum(v * w) AS z FROM {inputs} JOIN {w} USING (i) WHERE h LIKE '{LN.FRONT}%' AND {where} GROUP BY doc_id, h))",
+        f"{name}h AS MATERIALIZED (SELECT doc_id, r AS i, a FROM {name}a UNION ALL SELECT DISTINCT doc_id, {SHARED}, 1.0 FROM {name}a)",
+        f"{name}o AS MATERIALIZED (SELECT doc_id, h, sum(a * w) AS z FROM {name}h JOIN {w} USING (i) WHERE h NOT LIKE '{LN.FRONT}%' GROUP BY doc_id, h)",
+    ]
+
+
+def _shared_train_sql(weights: list[float | None], epochs: int, batches: int, run: str = "t") -> tuple[list[str], str]:
+    """CTEs of a training with a front block over ``tt`` (rows) and ``xv`` (their input values), and the last weights' name."""
+    heads = [(h, w) for h, w in zip(("main", "aux_block0", "aux_block1"), weights) if w is not None]
+    aux = [w is not None for w in weights[1:]]
+    out = [f"{run}_w0 AS MATERIALIZED ({_weights_sql(LN.Heads.init(aux, shared=SHARED))})"]
+    factor = "CASE {} " + " ".join(f"WHEN '{h}' THEN {w}" for h, w in heads) + " ELSE 1.0 END"
+    p, step = "least(greatest(1 / (1 + exp(-z)), 1e-8), 1 - 1e-8)", 0
+    for e in range(epochs):
+        for b in range(batches):
+            k, w = f"{run}_{step + 1}", f"{run}_w{step}"
+            out += _forward_sql(k, "xv", w, f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{e}'), 1, 8) AS BIGINT) % {batches} = {b}")
+            out.append(
+                f"""{k}d AS MATERIALIZED (SELECT doc_id, h, CASE WHEN h = 'main' THEN
+  label * ({GP} * p * pow(1 - p, {GP}) * ln(p) - pow(1 - p, {GP} + 1)) + (1 - label) * (pow(p, {GN} + 1) - {GN} * pow(p, {GN}) * (1 - p) * ln(1 - p))
+  ELSE 2 * (z - y) END AS d, CASE WHEN h = 'main' THEN -(label * ln(p) * pow(1 - p, {GP}) + (1 - label) * ln(1 - p) * pow(p, {GN})) ELSE pow(z - y, 2) END AS l
+  FROM (SELECT *, {p} AS p, CASE WHEN h = 'aux_block0' THEN aux1_s ELSE aux2_s END AS y FROM {k}o JOIN tt USING (doc_id)))"""
+            )
+            out.append(f"{k}l AS MATERIALIZED (SELECT h, avg(l) AS l FROM {k}d GROUP BY h)")
+            out.append(
+                f"""{k}g AS MATERIALIZED (SELECT h, i, avg(d * a) * {factor.format('h')} AS g FROM {k}d JOIN {k}h USING (doc_id) GROUP BY h, i
+  UNION ALL SELECT '{LN.FRONT}' || r, xv.i, avg(back * v) FROM
+  (SELECT doc_id, r, sum({factor.format('x.h')} * x.d * w.w) * any_value(da) AS back FROM {k}a JOIN {k}d x USING (doc_id) JOIN {w} w ON w.h = x.h AND w.i = r GROUP BY doc_id, r)
+  JOIN xv USING (doc_id) GROUP BY r, xv.i)"""
+            )
+            step += 1
+            out.append(
+                f"""{run}_w{step} AS MATERIALIZED (SELECT h, i, w - {LR} * ((m / (1 - pow(0.9, {step}))) / (sqrt(s / (1 - pow(0.999, {step}))) + 1e-8) + 0.01 * w) AS w, m, s
+  FROM (SELECT h, i, w, 0.9 * m + 0.1 * g AS m, 0.999 * s + 0.001 * g * g AS s FROM {w} JOIN {k}g USING (h, i)))"""
+            )
+    per = " UNION ALL ".join(f"SELECT {x // batches} AS epoch, h, l FROM {run}_{x + 1}l" for x in range(epochs * batches))
+    out.append(f"{run}_ep AS (SELECT epoch, h, avg(l) * {factor.format('h')} AS loss FROM ({per}) GROUP BY epoch, h)")
+    return out, f"{run}_w{step}"
+
+
+_XV = "SELECT doc_id, unnest(CAST(embedding AS DOUBLE[]) || [1.0]) AS v, unnest(range(65)) AS i FROM"
+
+
+def _shared_rows_sql(where: str = "true") -> list[str]:
+    return [TRAIN_ROWS_SQL.strip(), f"tt AS MATERIALIZED (SELECT * FROM tr WHERE {where})", f"xv AS MATERIALIZED ({_XV} tt)"]
+
+
+def _shared_sql(weights: list[float | None], epochs: int, batches: int) -> str:
+    return ",\n".join(_shared_rows_sql() + _shared_train_sql(weights, epochs, batches)[0])
+
+
+_FIXED_SHARED = LN.Heads.init([True, True], shared=SHARED)
+
+
+@register(
+    "shared_forward",
+    sql=",\n".join([f"WITH {TRAIN_ROWS_SQL.strip()}", f"xv AS ({_XV} tr)", f"w AS ({_weights_sql(_FIXED_SHARED)})", *_forward_sql("f", "xv", "w")])
+    + " SELECT doc_id, 1 / (1 + exp(-max(z) FILTER (WHERE h = 'main'))) AS main, max(z) FILTER (WHERE h = 'aux_block0') AS aux1, max(z) FILTER (WHERE h = 'aux_block1') AS aux2 FROM fo GROUP BY doc_id",
+    doubles=("main", "aux1", "aux2"),
+)
+def shared_forward(spark: SparkSession, d: str) -> DataFrame:
+    """All heads over the shared front block."""
+    return LN.forward(_train_table(spark, d), _FIXED_SHARED, training=True)
+
+
+@register("train_shared", sql=f"WITH {_shared_sql([1.0, 0.5, 0.5], 2, 2)} {_history_sql('sh').replace('ep', 't_ep').replace('t_epoch', 'epoch')}", doubles=("loss",))
+def train_shared(spark: SparkSession, d: str) -> DataFrame:
+    res = LN.train(
+        _train_table(spark, d), LN.parse_weights("1.0,0.5,0.5"), epochs=2, batches_per_epoch=2, lr=LR, run="sh", checkpoint=False, shared=SHARED
+    )
+    return _history_df(spark, res.history)
+
+
+@register(
+    "train_shared_weights",
+    sql=f"WITH {_shared_sql([1.0, None, 0.5], 2, 2)} SELECT h || CASE WHEN i = max(i) OVER (PARTITION BY h) THEN '.b' ELSE '.w' END AS tensor, i::INTEGER AS i, w AS value FROM t_w4",
+    doubles=("value",),
+)
+def train_shared_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Every weight of the last checkpoint, read back from its table."""
+    weights = LN.parse_weights("1.0,,0.5")
+    res = LN.train(_train_table(spark, d), weights, epochs=2, batches_per_epoch=2, lr=LR, run="sw", shared=SHARED)
+    ck = spark.read.parquet(res.checkpoint_path).where("epoch = 1")
+    rows = ck.select("tensor", F.posexplode("values").alias("i", "value"))
+    bias = F.when(~F.col("tensor").startswith(LN.FRONT), SHARED).otherwise(LN.EMBED_DIM)
+    return rows.select("tensor", F.when(F.col("tensor").endswith(".b"), bias).otherwise(F.col("i")).cast("int").alias("i"), "value")
+
+
 ABLATION = {"main": "1.0", "aux1": "1.0,0.5", "aux2": "1.0,,0.5", "aux12": "1.0,0.5,0.5"}
 
 
-@register("model_ablation")
-def model_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Four trainings (main, +aux1, +aux2, +both), scored on held-out rows, then paired t-tests.
+def _ablation_sql() -> str:
+    ctes = _shared_rows_sql(f"doc_id NOT IN {_TEST_SQL}") + [f"xt AS MATERIALIZED ({_XV} tr WHERE doc_id IN {_TEST_SQL})"]
+    scores = []
+    for name, spec in ABLATION.items():
+        more, last = _shared_train_sql(LN.parse_weights(spec), 1, 2, name)
+        ctes += more + _forward_sql(f"{name}_s", "xt", last)
+        scores.append(f"(SELECT doc_id, 1 / (1 + exp(-z)) AS {name} FROM {name}_so WHERE h = 'main')")
+    ctes.append(f"sc AS (SELECT * FROM {scores[0]}" + "".join(f" JOIN {x} USING (doc_id)" for x in scores[1:]) + ")")
+    pairs = [(a, b) for i, a in enumerate(ABLATION) for b in list(ABLATION)[i + 1 :]]
+    ctes.append("pr AS (" + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, {a} - {b} AS d FROM sc" for a, b in pairs) + ")")
+    ctes.append(
+        "pt AS (SELECT first, second, count(d)::BIGINT AS n, avg(d) AS mean_diff, avg(d) / NULLIF(stddev_samp(d) / sqrt(count(d)), 0) AS t, (count(d) - 1)::DOUBLE AS df FROM pr GROUP BY first, second)"
+    )
+    return "WITH " + ",\n".join(ctes) + f" SELECT *, {S.t_two_sided('t', 'df')} AS p_value FROM pt"
 
-    The heads share no weights, so auxiliary tasks cannot change the main head: all differences are 0.
-    """
+
+@register("model_ablation", sql=_ablation_sql(), doubles=("mean_diff", "t", "df", "p_value"))
+def model_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Four trainings (main, +aux1, +aux2, +both) over a shared front block, scored on held-out rows, then paired t-tests."""
     t = cut(prep.split_random(_train_table(spark, d), "doc_id", 0.2, 42))
     train_t, test_t = t.where(F.col("split") == "train"), t.where(F.col("split") == "test")
     models = {
-        name: LN.train(train_t, LN.parse_weights(spec), epochs=1, batches_per_epoch=2, lr=LR, run=name, checkpoint=False).heads
+        name: LN.train(train_t, LN.parse_weights(spec), epochs=1, batches_per_epoch=2, lr=LR, run=name, checkpoint=False, shared=SHARED).heads
         for name, spec in ABLATION.items()
     }
     return EV.paired_t_pvalues(EV.paired_t(LN.score_heads_wide(test_t, models, keep=["doc_id"]), list(models)))
 
 
+# ------------------------------------------------------------------ M7 / J2 sentiment
+def _text_model_sql(label: str) -> str:
+    """CTEs of the naive Bayes text classifier: ``pb``, the probability of class 1 (of classes 0 and 1), for each text."""
+    return f"""nt AS MATERIALIZED (SELECT doc_id, {S.tokens()} AS t FROM documents WHERE text IS NOT NULL),
+    nx AS MATERIALIZED (SELECT doc_id, unnest(t) AS token FROM nt),
+    ny AS (SELECT doc_id, {label} AS y FROM labels JOIN nt USING (doc_id) WHERE {label} IS NOT NULL),
+    nc AS MATERIALIZED (SELECT token, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM nx LEFT JOIN ny USING (doc_id) GROUP BY token),
+    nk AS (SELECT ln(sum(n0) + count(*)) AS b0, ln(sum(n1) + count(*)) AS b1 FROM nc),
+    np AS (SELECT ln(count(*) FILTER (WHERE y = 0) / count(*)) AS p0, ln(count(*) FILTER (WHERE y = 1) / count(*)) AS p1 FROM ny),
+    ns AS (SELECT doc_id, sum(ln(n0 + 1)) AS s0, sum(ln(n1 + 1)) AS s1 FROM nx JOIN nc USING (token) GROUP BY doc_id),
+    nl AS (SELECT doc_id, p0 - len(t) * b0 + coalesce(s0, 0) AS l0, p1 - len(t) * b1 + coalesce(s1, 0) AS l1 FROM nt LEFT JOIN ns USING (doc_id), nk, np),
+    pb AS (SELECT doc_id, exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p FROM nl),
+    sn AS (SELECT doc_id, CASE WHEN p > 0.5 THEN 1 ELSE 0 END::INTEGER AS sentiment_label, greatest(p, 1 - p) AS sentiment_score FROM pb)"""
+
+
+def token_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of every text, written once: fitting and scoring read them, not the texts."""
+    docs = tables.load(spark, d, "documents").where(F.col("text").isNotNull())
+    return TM.written(docs.select("doc_id", X.tokens("text").alias("tokens")), "tokens")
+
+
 def _sentiment_scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.load(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", X.tokens("text").alias("tokens"))
-    labs = tables.load(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("toxic"))
-    return LN.sentiment(docs, F.broadcast(labs) if tables.labels_broadcastable(spark, d) else labs, "toxic")
+    return TM.sentiment(token_rows(spark, d), tables.load(spark, d, "labels").select("doc_id", "toxic"), "toxic")
 
 
-@register("sentiment")
+@register("sentiment", sql=f"WITH {_text_model_sql('toxic')} SELECT doc_id, sentiment_label, sentiment_score FROM sn", doubles=("sentiment_score",))
 def sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return _sentiment_scored(spark, d).select("doc_id", "sentiment_label", "sentiment_score")
+    return _sentiment_scored(spark, d)
 
 
-@register("sentiment_attach")
+@register(
+    "sentiment_attach",
+    sql=f"WITH {S.extended_cte()}, {_text_model_sql('toxic')} SELECT {', '.join(EXT_COLS)}, sentiment_label, sentiment_score FROM x LEFT JOIN sn USING (doc_id)",
+    doubles=(*EXT_D, "sentiment_score"),
+)
 def sentiment_attach(spark: SparkSession, d: str) -> DataFrame:
-    from quillscope.plans.q_text import extended
-
-    s = _sentiment_scored(spark, d).select("doc_id", "sentiment_label", "sentiment_score")
-    ext = extended(spark, d).drop("text")
-    return ext.join(s, "doc_id", "left")
+    return extended(spark, d).select(*EXT_COLS).join(_sentiment_scored(spark, d), "doc_id", "left")

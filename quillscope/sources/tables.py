@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillscope.operators.idfilter import maybe_in
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -58,42 +60,24 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
-# label rows (doc_id, label: 16 bytes) broadcast at most: ~32 MB per executor
-LABEL_BROADCAST_ROWS = 2_000_000
-
-
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
-def labels_broadcastable(spark: SparkSession, sf_dir: str) -> bool:
-    """True when the label table is proven small now (its row count comes from Parquet footers)."""
-    return load(spark, sf_dir, "labels").count() <= LABEL_BROADCAST_ROWS
-
-
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents JOIN labels USING (doc_id), label := quality (the two-class corpus).
 
-    A label table of proven small size is broadcast, so documents are filtered where
-    they are read and no text moves. Above the bound both sides shuffle on doc_id; callers
-    that only need per-document results use ``features_then_labels`` instead, which moves
-    feature rows rather than text.
+    A bit table of the label ids keeps other documents from leaving their task; callers that only
+    need per-document results use ``features_then_labels`` instead, which moves feature rows rather than text.
     """
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labs = label_rows(spark, sf_dir)
-    if labels_broadcastable(spark, sf_dir):
-        labs = F.broadcast(labs)
-    return docs.join(labs, "doc_id", "inner")
+    return maybe_in(load(spark, sf_dir, "documents").select("doc_id", "text"), labs, "doc_id").join(labs, "doc_id", "inner")
 
 
 def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, label)`` of the labelled corpus: the same rows as ``labelled`` without the
     text, so the join moves keys only (enough for splits and class counts)."""
-    docs = load(spark, sf_dir, "documents").select("doc_id")
-    labs = label_rows(spark, sf_dir)
-    if labels_broadcastable(spark, sf_dir):
-        labs = F.broadcast(labs)
-    return docs.join(labs, "doc_id", "inner")
+    return load(spark, sf_dir, "documents").select("doc_id").join(label_rows(spark, sf_dir), "doc_id", "inner")
 
 
 def features_then_labels(
@@ -101,21 +85,15 @@ def features_then_labels(
 ) -> DataFrame:
     """``per_document(documents)`` joined to the labels, without the text column.
 
-    ``per_document`` maps a ``(doc_id, text[, label])`` table to per-document rows, keeps
-    the input columns, and must not depend on the label (feature extraction does not).
-    ``labels`` optionally replaces the label table by other ``(doc_id, label...)`` rows, e.g.
-    one split; it should be written data (it is counted). With a small label table the
-    documents are filtered first (broadcast join, less feature work); with a large one
-    the features run narrowly on every document and only their small rows are shuffled
-    to meet the labels -- the text itself never crosses the network.
+    ``per_document`` maps a ``(doc_id, text)`` table to per-document rows and keeps the input
+    columns. ``labels`` optionally replaces the label table by other ``(doc_id, label...)`` rows,
+    e.g. one split. Where a text is read, a bit table of the label ids (bounded in bytes at any
+    number of labels) lets labelled documents and few others through; features are computed for these,
+    and only their small rows are joined exactly. The text itself never crosses the network.
     """
     if labels is None:
-        labels, small = label_rows(spark, sf_dir), labels_broadcastable(spark, sf_dir)
-    else:
-        small = labels.count() <= LABEL_BROADCAST_ROWS
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    if small:
-        return per_document(docs.join(F.broadcast(labels), "doc_id", "inner")).drop("text")
+        labels = label_rows(spark, sf_dir)
+    docs = maybe_in(load(spark, sf_dir, "documents").select("doc_id", "text"), labels, "doc_id")
     return per_document(docs).drop("text").join(labels, "doc_id", "inner")
 
 

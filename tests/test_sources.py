@@ -52,21 +52,17 @@ def test_stream_equals_batch(spark):
     assert streamed.where(F.col("vec_id").isNull()).count() == 0
 
 
-def test_features_then_labels_paths_agree(spark, monkeypatch):
+def test_features_then_labels_equals_a_plain_join(spark):
     from quillscope.operators import features as FE
     from quillscope.sources import tables
 
-    def feats(df):
-        return FE.basic_features(df)
-
-    small = tables.features_then_labels(spark, "/root/testdata/sf0.001", feats)
-    monkeypatch.setattr(tables, "LABEL_BROADCAST_ROWS", 0)  # the large-label path
-    large = tables.features_then_labels(spark, "/root/testdata/sf0.001", feats)
-    assert "text" not in small.columns and "text" not in large.columns
-    cols = sorted(small.columns)
-    a = sorted(tuple(r) for r in small.select(*cols).collect())
-    b = sorted(tuple(r) for r in large.select(*cols).collect())
-    assert a == b and len(a) == 87
+    got = tables.features_then_labels(spark, SF001, FE.basic_features)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    want = FE.basic_features(docs.join(tables.label_rows(spark, SF001), "doc_id")).drop("text")
+    assert "text" not in got.columns
+    cols = sorted(got.columns)
+    a = sorted(tuple(r) for r in got.select(*cols).collect())
+    assert a == sorted(tuple(r) for r in want.select(*cols).collect()) and len(a) == 87
 
 
 def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
