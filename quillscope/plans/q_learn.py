@@ -697,3 +697,30 @@ def sentiment(spark: SparkSession, d: str) -> DataFrame:
 )
 def sentiment_attach(spark: SparkSession, d: str) -> DataFrame:
     return extended(spark, d).select(*EXT_COLS).join(_sentiment_scored(spark, d), "doc_id", "left")
+
+
+# ------------------------------------------------------------------ S3: a path or a frame
+def evaluate_source(spark: SparkSession, source: DataFrame | str, model: TM.TextModel) -> DataFrame:
+    """Metrics of a text model on labelled texts ``(doc_id, text, label)``: a frame, or the path of CSV or Parquet files."""
+    rows = tables.rows_of(spark, source).where(F.col("text").isNotNull())
+    tokens = TM.written(rows.select("doc_id", "label", X.tokens("text").alias("tokens")), "source-tokens")
+    prob = F.col("probabilities")[model.classes.index(1.0)]
+    scored = TM.class_probabilities(tokens.select("doc_id", "tokens"), model).select("doc_id", prob.alias("prob"))
+    return EV.metrics(scored.join(tokens.select("doc_id", "label"), "doc_id").withColumn("pred", EV.threshold(F.col("prob"))))
+
+
+@register(
+    "eval_text_source",
+    sql=f"""WITH {_text_model_sql('quality')}, p AS (SELECT quality AS label, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS pred FROM pb JOIN labels USING (doc_id)),
+    c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+      count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn FROM p),
+    r AS (SELECT *, coalesce(tp / NULLIF(tp + fp, 0), 0.0) AS precision, coalesce(tp / NULLIF(tp + fn, 0), 0.0) AS recall FROM c)
+    SELECT tp, fp, fn, tn, (tp + tn) / n AS accuracy, precision, recall, coalesce(2 * precision * recall / NULLIF(precision + recall, 0), 0.0) AS f1 FROM r""",
+    doubles=MET_D,
+)
+def eval_text_source(spark: SparkSession, d: str) -> DataFrame:
+    """A text model scored on a CSV file of labelled texts."""
+    path = scratch_path(spark, "labelled") + ".csv"
+    tables.write_csv(tables.labelled(spark, d).select("doc_id", "text", "label"), path)
+    model = TM.fit_text_model(token_rows(spark, d), tables.load(spark, d, "labels").select("doc_id", "quality"), "quality")
+    return evaluate_source(spark, path, model)

@@ -126,6 +126,17 @@ def split_partition_counts(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("split", "label").agg(F.count("*").cast("bigint").alias("n"))
 
 
+@register("written_counts", sql=f"SELECT split, label, count(*)::BIGINT AS n FROM ({SPLIT_SQL}) GROUP BY ALL")
+def written_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each split and class, counted by the fan-out write itself."""
+    path = scratch_path(spark, "written_counts")
+    s = prep.split_random(labelled(spark, d))
+    n = tables.write_counted(
+        s, lambda df: tables.write_partitioned(df, path, "split", "label"), "split", "label", values={"split": ["train", "test"], "label": [0, 1]}
+    )
+    return spark.createDataFrame([(r["split"], r["label"], r["n"]) for r in n if r["n"]], "split string, label int, n long")
+
+
 # ---------------------------------------------------------------- SP7 final test set
 @register(
     "test_set_final",

@@ -175,9 +175,9 @@ ALL_FEATS = FEATS + FE.SENTIMENT_FEATURES
 _SENT_SQL = f"""{EXT}, se AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
 sp AS (SELECT doc_id, (list_position(z, list_max(z)) - 1)::BIGINT AS sentiment_label,
   1.0 / list_reduce(list_transform(z, lambda v: exp(v - list_max(z))), lambda a, b: a + b) AS sentiment_score FROM se),
-x16 AS (SELECT x.*, sentiment_label, sentiment_score FROM x JOIN sp USING (doc_id)),
+x16 AS (SELECT x.*, sentiment_label, sentiment_score FROM x LEFT JOIN sp USING (doc_id)),
 xl AS (SELECT doc_id, label, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in ALL_FEATS)} FROM x16),
-lg AS (UNPIVOT xl ON {', '.join(ALL_FEATS)} INTO NAME feature VALUE value)"""
+lg AS (FROM xl UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(ALL_FEATS)})))"""
 TC16_SQL = f"""{_SENT_SQL},
 m AS (SELECT feature, label, count(value)::BIGINT AS n, avg(value) AS mean, var_samp(value) AS var FROM lg GROUP BY ALL),
 tc AS (SELECT a.feature, a.n AS n0, a.mean AS mean0, a.var AS var0, b.n AS n1, b.mean AS mean1, b.var AS var1
@@ -186,10 +186,10 @@ tc AS (SELECT a.feature, a.n AS n0, a.mean AS mean0, a.var AS var0, b.n AS n1, b
 
 def _extended16(spark: SparkSession, d: str) -> DataFrame:
     """The feature table with sentiment label and score: class and probability of the encoder's
-    output vector of the same id (documents without one have no sentiment and are left out)."""
+    output vector of the same id (null for documents without one)."""
     e = tables.load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("z"))
     label, score = LN.softmax_argmax(F.col("z"))
-    return extended(spark, d).join(e.select("doc_id", label.alias("sentiment_label"), score.alias("sentiment_score")), "doc_id")
+    return extended(spark, d).join(e.select("doc_id", label.alias("sentiment_label"), score.alias("sentiment_score")), "doc_id", "left")
 
 
 @register(

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+from itertools import product
+from operator import and_
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillscope.operators.idfilter import maybe_in
+from quillscope.sources import csvtext
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -109,27 +115,49 @@ def conversation_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_text_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with quoted multi-line text cells, header, explicit schema (no inference pass)."""
-    return (
-        spark.read.schema(schema or TEXT_SCHEMA)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    """CSV with quoted multi-line text cells, header, explicit schema (no inference pass), read by many tasks.
+
+    Blanks belong to a text; an empty cell is null, a quoted empty one the empty text.
+    """
+    return csvtext.read_csv(spark, path, schema or TEXT_SCHEMA)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV sink without an index column; text with quotes/newlines is quoted and escaped."""
+    """CSV sink without an index column: a cell with quotes, commas or line breaks is quoted, blanks are
+    kept, the empty text is written as quotes and null as nothing, so that ``read_text_csv`` gives equal rows."""
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("quoteAll", False)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
+def write_counted(df: DataFrame, write: Callable[[DataFrame], None], *by: str, values: dict[str, list] | None = None) -> list[dict]:
+    """``write(df)`` and the numbers of rows it wrote, observed while writing: no second read.
+
+    With columns ``by`` and their ``values`` one count for each combination, as ``{column: value, ..., "n": rows}``;
+    rows with other values are not counted. Without, one count.
+    """
+    groups = list(product(*[(values or {})[c] for c in by]))
+    counts = [F.count(F.when(reduce(and_, [F.col(c) == v for c, v in zip(by, g)], F.lit(True)), 1)).alias(f"n{i}") for i, g in enumerate(groups)]
+    seen = Observation()
+    write(df.observe(seen, *counts))
+    return [dict(zip(by, g)) | {"n": seen.get[f"n{i}"]} for i, g in enumerate(groups)]
+
+
+def rows_of(spark: SparkSession, source: DataFrame | str, schema: T.StructType | None = None) -> DataFrame:
+    """A frame as it is, or the rows of a path: CSV files with ``schema`` (a ``.csv`` path or folder), else Parquet."""
+    if isinstance(source, DataFrame):
+        return source
+    if source.rstrip("/").endswith(".csv"):
+        return read_text_csv(spark, source, schema)
+    return spark.read.parquet(source)
+
+
 def write_partitioned(df: DataFrame, path: str, *cols: str) -> None:
     """Fan-out sink: one directory per value combination (split x class) in a single job."""
     df.write.mode("overwrite").partitionBy(*cols).parquet(path)
