@@ -3,12 +3,14 @@ matrix (models as columns), paired t-tests between models."""
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscope.functions import tails
+from quillscope.session import scratch_path
 
 THRESHOLD = 0.5
 
@@ -57,10 +59,28 @@ def metrics(scored: DataFrame, by: list[str] = (), label: str = "label", pred: s
     )
 
 
-def score_matrix(long: DataFrame, models: list[str], key: str = "doc_id", with_label: bool = False) -> DataFrame:
-    """Models-as-rows -> models-as-columns (explicit pivot values: no extra distinct pass)."""
-    keys = [key, "label"] if with_label else [key]
-    return long.groupBy(*keys).pivot("model", models).agg(F.first("prob"))
+def store_scores(scored: DataFrame, model: str, buckets: int = 64, key: str = "doc_id", prob: str = "prob") -> str:
+    """A model's scores ``(key, prob)`` as a table of ``buckets`` sorted buckets in the shared folder; returns its name.
+
+    Tables with the same number of buckets, also of separate jobs, are joined on ``key`` where they lie. A bucket is one
+    file: choose them so that it fits a task (scores have 16 bytes a row).
+    """
+    name = f"scores_{uuid.uuid4().hex}"
+    rows = scored.select(key, F.col(prob).alias("prob")).repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(scored.sparkSession, f"scores-{model}")).saveAsTable(name)
+    return name
+
+
+def side_by_side(spark: SparkSession, names: dict[str, str], key: str = "doc_id") -> DataFrame:
+    """Models as columns: the stored tables (model -> name) joined on ``key``, bucket by bucket, without an exchange.
+
+    Rows that every model scored are kept; a key is one row of each table.
+    """
+    out = None
+    for model, name in names.items():
+        t = spark.table(name).select(key, F.col("prob").alias(model))
+        out = t if out is None else out.hint("merge").join(t.hint("merge"), key)
+    return out
 
 
 def paired_t(matrix: DataFrame, models: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -10,26 +10,21 @@
   (three more hex digits per round) until the bucket holding the position has at most
   ``BUCKET_ROWS`` rows, then one ``row_number`` inside that bucket. Exact, and the
   sorted work per group is bounded however large the group is.
-* ``average_rank``: tie-averaged rank of a value column. Ties collapse first
-  (group by value), value ranges come from approximate quantiles of the distinct
-  values, so no bucket holds a hot value twice; the bucket count grows with the
-  number of distinct values.
+* ``average_rank``: tie-averaged rank of a value column. Ties collapse first (group by value), so
+  a hot value is one row; a prefix scan over the distinct values adds up their numbers.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillscope.operators import scan
 from quillscope.session import cut
 
 HASH_PREFIX = 3  # hex digits added per kth_hash round -> 4,096 sub-buckets
 POSITION_PREFIX = 4  # global_position buckets: 16**4 = 65,536
 HASH_LEN = 32  # hex digits of an md5
-RANK_BUCKETS = 1024  # fewest range buckets
 BUCKET_ROWS = 1_000_000  # most rows one window bucket (one task) is meant to sort
 HEAVY = 1000  # a value with more than one in HEAVY of all rows is a hot key
 BROADCAST_ROWS = 200_000  # small tables (targets, distinct-value ranks) are broadcast below this many rows
@@ -40,29 +35,6 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
 
 
-def bucket_count(n: int) -> int:
-    """Range buckets for ``n`` rows: at least ``RANK_BUCKETS``, at most ``BUCKET_ROWS`` rows each."""
-    return max(RANK_BUCKETS, math.ceil(n / BUCKET_ROWS))
-
-
-def range_buckets(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Adds ``out``: a monotone bucket of ``value`` with near-equal row counts.
-
-    Cut points are approximate quantiles (``buckets - 1`` numbers reach the driver:
-    about 1e5 at 1e11 rows); rows are placed by binary search in the JVM
-    (``Bucketizer``). ``df`` should be persisted: it is counted (when ``buckets`` is
-    not given) and scanned for the quantile sketch before the caller's pass.
-    """
-    if buckets is None:
-        buckets = bucket_count(df.count())
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * buckets))))
-    splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
-    tmp = f"{out}__d"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(tmp, F.col(value).cast("double"))).drop(tmp)
-
-
 def hash_key(id_col: Column | str, seed: int) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
@@ -158,31 +130,16 @@ def kth_hash(df: DataFrame, id_col: str, seed: int, k_col: Column, by: list[str]
 
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds ``out`` = tie-averaged 1-based rank of non-null ``value`` (rows with NULL get NULL)."""
-    # distinct values with their multiplicity; written once, read by the count, the
-    # quantile sketch and the bucketing below
-    d = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")))
-    n_distinct = d.count()
-    bucketed = range_buckets(d, value, "_bk", bucket_count(n_distinct))
-    sizes = bucketed.groupBy("_bk").agg(F.sum("_c").alias("_bn"))
-    offsets = sizes.select("_bk", (F.sum("_bn").over(Window.orderBy("_bk")) - F.col("_bn")).alias("_off"))
-    w = Window.partitionBy("_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = bucketed.join(F.broadcast(offsets), "_bk").select(
-        value,
-        "_c",
-        (
-            F.col("_off")
-            + F.coalesce(F.sum("_c").over(w), F.lit(0))
-            + 1
-            + (F.col("_c") - 1) / 2.0
-        ).alias(out),
-    )
+    d = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    scanned = scan.prefix_scan(d, [F.col(value)], "_c", before="_before")
+    ranks = cut(scanned.select(value, "_c", (F.col("_before") + 1 + (F.col("_c") - 1) / 2.0).alias(out)))
+    n_distinct = ranks.count()
     if n_distinct <= BROADCAST_ROWS:
         # one row per distinct value, proven small: no shuffle of the rows, and a value
         # holding a third of all rows cannot skew a join partition
         return df.join(F.broadcast(ranks.drop("_c")), value, "left")
     # many distinct values: the few that hold more than a thousandth of all rows each (so at most
     # a thousand) are broadcast, and only rows of the other values are shuffled
-    ranks = cut(ranks)
     total = ranks.agg(F.sum("_c")).first()[0]
     heavy = F.col("_c") * HEAVY > total
     hot, rest = F.broadcast(ranks.where(heavy).drop("_c")), ranks.where(~heavy).drop("_c")

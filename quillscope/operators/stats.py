@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillscope.functions import tails
-from quillscope.operators import quantiles, ranking
-from quillscope.session import cut
+from quillscope.operators import quantiles, ranking, scan
+from quillscope.session import cut, ship_package
 
 CLASS_NAMES = {0: "Human", 1: "AI"}
 
@@ -339,6 +339,45 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
 
 
+def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
+    """Correlations of every two features: ``(first, second, n, r)``, each over the rows that have both.
+
+    One aggregate of Gram matrices: a task adds up counts, sums and products of its rows by matrix products (of
+    values around the features' means, nulls and NaN as 0, and of the masks of present values), and only
+    one row for each pair leaves it. ``r`` is null where a feature does not vary.
+    """
+    ship_package(df.sparkSession)
+    wide = df.select(*[_num(F.col(f)).alias(f) for f in features])
+    middle = wide.agg(*[F.avg(f).alias(f) for f in features]).first()  # one row
+    centre = [middle[f] or 0.0 for f in features]
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        k = len(features)
+        total = np.zeros((len(names), k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x - centre, 0.0), there.astype(float)
+            s, q = x.T @ m, (x * x).T @ m
+            total += [m.T @ m, s, s.T, q, q.T, x.T @ x]
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t[i, j]) for t in total]], names=["i", "j", *names])
+
+    parts = wide.mapInArrow(run, "i long, j long, " + ", ".join(f"{c} double" for c in names))
+    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    n = F.col("n")
+    sxx, syy = F.col("sxx") - _div(F.col("sx") * F.col("sx"), n), F.col("syy") - _div(F.col("sy") * F.col("sy"), n)
+    r = _div(F.col("sxy") - _div(F.col("sx") * F.col("sy"), n), F.sqrt(sxx) * F.sqrt(syy))
+    flat = (sxx <= 1e-12 * F.col("sxx")) | (syy <= 1e-12 * F.col("syy"))
+    name = lambda c: F.element_at(F.array(*[F.lit(f) for f in features]), (F.col(c) + 1).cast("int"))
+    r = F.when(flat | r.isNull(), None).when(F.col("i") == F.col("j"), 1.0).otherwise(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    return g.select(name("i").alias("first"), name("j").alias("second"), n.cast("bigint").alias("n"), r.alias("r"))
+
+
 def spearman(df: DataFrame, x: str, y: str, id_col: str = "doc_id") -> DataFrame:
     """Spearman rho = Pearson correlation of tie-averaged ranks (ranks without a global window)."""
     d = cut(df.select(id_col, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop("any"))
@@ -461,34 +500,13 @@ def ols_residual_stats(d: DataFrame, fit: DataFrame, x: str = "log_x", y: str =
 
 
 def durbin_watson(d: DataFrame, fit: DataFrame, order_col: str, x: str = "log_x", y: str = "log_y") -> DataFrame:
-    """sum((e_t - e_{t-1})^2) / sum(e_t^2) in ``order_col`` order.
-
-    Rows are range-bucketed on ``order_col`` (approximate quantile cuts of a unique key);
-    ``lag`` runs inside a bucket and the first row of each bucket takes its predecessor
-    from the previous non-empty bucket's last row (a bucket-sized table).
-    """
+    """sum((e_t - e_{t-1})^2) / sum(e_t^2) in ``order_col`` order (a unique key): a prefix scan carries each
+    row's residual to the next one, also from one partition to the next."""
     f = ranking.one_row(fit.select("slope", "intercept"))
     r = d.select(order_col, (F.col(y) - f["intercept"] - f["slope"] * F.col(x)).alias("e"))
-    oc = F.col(order_col)
-    r = ranking.range_buckets(r, order_col, "_bk")
-    w = Window.partitionBy("_bk").orderBy(order_col)
-    r = r.withColumn("_prev", F.lag("e").over(w))
-    inner = r.agg(
-        F.sum(F.when(F.col("_prev").isNotNull(), F.pow(F.col("e") - F.col("_prev"), 2))).alias("num_in"),
-        F.sum(F.col("e") * F.col("e")).alias("den"),
-    )
-    ends = r.groupBy("_bk").agg(
-        F.min_by("e", oc).alias("first_e"), F.max_by("e", oc).alias("last_e")
-    )
-    # one row per bucket (at most BUCKET_ROWS rows each): the ordered window is over bucket ends only
-    ends = ends.withColumn("prev_last", F.lag("last_e").over(Window.orderBy("_bk")))
-    cross = ends.agg(F.sum(F.pow(F.col("first_e") - F.col("prev_last"), 2)).alias("num_x"))
-    num_x = cross.select("num_x").scalar()
-    return inner.select(
-        _div(F.coalesce(F.col("num_in"), F.lit(0.0)) + F.coalesce(num_x, F.lit(0.0)), F.col("den")).alias(
-            "durbin_watson"
-        )
-    )
+    r = scan.prefix_scan(r, [F.col(order_col)], "e", previous="prev")
+    sums = r.agg(F.sum(F.pow(F.col("e") - F.col("prev"), 2)).alias("num"), F.sum(F.col("e") * F.col("e")).alias("den"))
+    return sums.select(_div(F.coalesce("num", F.lit(0.0)), F.col("den")).alias("durbin_watson"))
 
 
 def poly2_fit(train: DataFrame, x: str, y: str) -> DataFrame:

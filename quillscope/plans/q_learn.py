@@ -355,6 +355,34 @@ def eval_model_glob(spark: SparkSession, d: str) -> DataFrame:
     return EV.metrics(long.withColumn("pred", EV.threshold(F.col("prob"))), by=["model"])
 
 
+SCORE_BUCKETS = 8
+
+
+def separate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of models that were scored by a job each, side by side."""
+    rows = score_rows(spark, d)
+    models = _stored_models(spark, d)
+    return EV.side_by_side(spark, {m: EV.store_scores(LN.forward(rows, h), m, SCORE_BUCKETS, prob="main") for m, h in models.items()})
+
+
+@register("compare_separate", sql=f"{_GLOB_SQL} SELECT doc_id, {', '.join(MODEL_FILES)} FROM sc", doubles=tuple(MODEL_FILES))
+def compare_separate(spark: SparkSession, d: str) -> DataFrame:
+    return separate_scores(spark, d)
+
+
+_SEPARATE_PAIRS = [(a, b) for i, a in enumerate(MODEL_FILES) for b in list(MODEL_FILES)[i + 1 :]]
+
+
+@register(
+    "paired_t_separate",
+    sql=f"""{_GLOB_SQL}, pr AS ({' UNION ALL '.join(f"SELECT '{a}' AS first, '{b}' AS second, {a} - {b} AS d FROM sc" for a, b in _SEPARATE_PAIRS)})
+    SELECT first, second, count(d)::BIGINT AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, (count(d) - 1)::DOUBLE AS df FROM pr GROUP BY first, second""",
+    doubles=("mean_diff", "t", "df"),
+)
+def paired_t_separate(spark: SparkSession, d: str) -> DataFrame:
+    return EV.paired_t(separate_scores(spark, d), list(MODEL_FILES))
+
+
 # ------------------------------------------------------------------ M1 / M5 / M3 / M9 / S7 / S8 / S10 / M7 / J2 / M11
 def _train_table(spark: SparkSession, d: str) -> DataFrame:
     t = train_rows(spark, d)

@@ -338,6 +338,24 @@ rk AS (SELECT doc_id, x, y,
   rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM pr)"""
 
 
+_MATRIX_PAIRS = [(a, b) for i, a in enumerate(ALL_FEATS) for b in ALL_FEATS[i:]]
+
+
+@register(
+    "pearson_matrix",
+    sql=f"WITH {_SENT_SQL.replace('x16 AS (', 'x16 AS MATERIALIZED (')} "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS first, '{b}' AS second, count(*)::BIGINT AS n, "
+        + (f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END" if a == b else f"CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END")
+        + f" AS r FROM x16 WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for a, b in _MATRIX_PAIRS
+    ),
+    doubles=("r",),
+)
+def pearson_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pearson_matrix(_extended16(spark, d), ALL_FEATS)
+
+
 @register("spearman", sql=f"WITH {RANK_SQL} SELECT count(*)::BIGINT AS n, corr(rx, ry) AS rho FROM rk", doubles=("rho",))
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     return stats.spearman(extended(spark, d), X_COL, Y_COL)

@@ -93,10 +93,8 @@ def test_kth_hash_narrowing_rounds(spark, monkeypatch):
         assert set(st[(st.split == "test") & (st.label == lab)].doc_id) == want
 
 
-def test_rank_buckets_grow_with_rows(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BUCKET_ROWS", 2)
+def test_ranks_by_a_shuffled_join(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)  # shuffled join of the ranks
-    assert ranking.bucket_count(10_000) == 5000
     rng = np.random.default_rng(5)
     v = rng.integers(0, 3000, 4000).astype(float)
     pdf = pd.DataFrame({"id": np.arange(len(v)), "value": v})

@@ -82,17 +82,17 @@ def test_asymmetric_loss_nonnegative(spark):
     assert all(v >= 0 and math.isfinite(v) for v in vals)
 
 
-def test_pivoted_long_scores_equal_wide_projection(spark):
+def test_stored_scores_equal_the_wide_projection(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(i % 2), [float(v) for v in rng.normal(size=LN.EMBED_DIM)]) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, label int, embedding array<double>")
     wide = {r.doc_id: r for r in LN.score_models_wide(df).collect()}
-    piv = EV.score_matrix(LN.score_models(df), LN.MODEL_NAMES, with_label=True).collect()
-    assert len(piv) == len(wide)
-    for r in piv:
-        for m in LN.MODEL_NAMES:
-            assert math.isclose(r[m], wide[r.doc_id][m])
-        assert r.label == wide[r.doc_id].label
+    long = LN.score_models(df)
+    names = {m: EV.store_scores(long.where(F.col("model") == m), m, 3) for m in LN.MODEL_NAMES}
+    out = EV.side_by_side(spark, names).collect()
+    assert len(out) == len(wide)
+    for r in out:
+        assert all(math.isclose(r[m], wide[r.doc_id][m]) for m in LN.MODEL_NAMES)
 
 
 def test_encode_edges(spark):
