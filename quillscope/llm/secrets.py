@@ -1,22 +1,27 @@
 """Secret scans through nested encodings.
 
-Every text is scanned by three patterns. Then parts of it that look encoded are decoded (percent
-escapes, backslash and character-reference escapes, base64, and gzip, zlib or bzip2 data under
-base64), and each decoded layer joins a worklist: it is scanned and unwrapped in turn until nothing
-new comes up. A layer seen before in the text (by digest) is not entered again, which ends cycles.
-Spans of findings are mapped back, layer by layer, to code points of the original text: exactly
-through escapes, to the whole encoded part through base64 and compression.
+Every text is scanned by three patterns. Then what looks encoded in it is decoded, and each decoded layer joins
+a worklist: it is scanned and unwrapped in turn until nothing new comes up. A layer seen before at its place
+(by digest) is not entered again, which ends cycles. The decoders:
+
+* percent escapes, and backslash escapes and character references, undone over the whole layer;
+* base64, plain or URL-safe, also broken over lines, and from each of the four positions in a group, as a
+  path or a prefix may be glued to it. Decoded bytes are read as UTF-8, else Latin-1, and as UTF-16;
+* gzip (all members), zlib and bzip2 data anywhere in decoded bytes, and in one another.
+
+A layer keeps where its pieces come from, as few numbers as it has escapes, so spans of findings are mapped back to
+code points of the original text: exactly through escapes, to the whole encoded part through base64.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import html
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -35,13 +40,19 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: what holds every hex run of 24, key of 20 or base64 part of 16 characters or more
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
-TOKEN = re.compile(r"\S+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|&(quot|amp|apos|lt|gt|equals|colon);"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-LAYER_BYTES = 64 << 20  # a compressed part that unfolds further is reported in n_bombs and scanned up to here
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: the shortest finding has 12 characters, all of ASCII, as have the encodings; other bytes hold nothing
+ASCII = re.compile(rb"[\t\r\n\x20-\x7e]{12,}")
+UTF16 = (("utf-16-le", re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}")), ("utf-16-be", re.compile(rb"(?:\x00[\t\r\n\x20-\x7e]){12,}")))
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+LAYER_BYTES = 64 << 20  # compressed data that unfold further are scanned up to here and counted in n_bombs
+NESTED = 64  # compressed data in one another, likewise
 
 FIELD = T.StructField(
     "secrets",
@@ -72,73 +83,54 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text; ``start[i], end[i]`` are its character i's place in the original."""
-
-    __slots__ = ("text", "start", "end", "via")
-
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, via: tuple[str, ...]):
-        self.text, self.start, self.end, self.via = text, start, end, via
-
-
-def _plain(data: bytes) -> str | None:
-    """Text of decoded bytes, if it is text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if not (c.isprintable() or c in "\t\r\n"))
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _unpack(data: bytes) -> tuple[str, bytes, bool] | None:
-    """(kind, content, whether more would follow) of gzip, zlib or bzip2 data."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            return "gzip", d.decompress(data, LAYER_BYTES), bool(d.unconsumed_tail)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            d = zlib.decompressobj()
-            return "zlib", d.decompress(data, LAYER_BYTES), bool(d.unconsumed_tail)
-        if data[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            return "bzip2", b.decompress(data, LAYER_BYTES), not b.eof and not b.needs_input
-    except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    return None
-
-
-def _percent(part: str) -> tuple[str, list[int], list[int]]:
-    """A part with percent escapes undone, and where each character was."""
-    text, start, end, at = [], [], [], 0
-
-    def copy(a: int, b: int) -> None:
-        text.append(part[a:b])
-        start.extend(range(a, b))
-        end.extend(range(a + 1, b + 1))
-
-    for m in PERCENT.finditer(part):
-        copy(at, m.start())
-        raw, k = unquote_to_bytes(m[0]), 0
-        for c in raw.decode("utf-8", "replace"):
-            n = len(c.encode()) if c != "\ufffd" else 1
-            text.append(c)
-            start.append(min(m.start() + 3 * k, m.end() - 3))
-            end.append(min(m.start() + 3 * (k + n), m.end()))
-            k += n
-        at = m.end()
-    copy(at, len(part))
-    return "".join(text), start, end
+    """A decoded text and where it comes from in the layer above.
 
+    Piece i begins at character ``at[i]``; it is a copy of the characters from ``start[i]`` on, or
+    (``end[i]`` > 0) what ``start[i]`` to ``end[i]`` decode to as a whole. The original text has no layer above.
+    """
 
-def _escapes(text: str) -> tuple[str, list[int], list[int]]:
-    """A text with backslash and character-reference escapes undone, and where each character was."""
-    out, start, end, at = [], [], [], 0
+    __slots__ = ("text", "above", "at", "start", "end", "via")
+
+    def __init__(self, text: str, above: Layer | None = None, pieces: list[tuple[int, int, int]] = (), how: tuple[str, ...] = ()):
+        self.text, self.above = text, above
+        self.at, self.start, self.end = (np.array(x, np.int64) for x in zip(*pieces)) if pieces else (None, None, None)
+        self.via = how if above is None else (*above.via, *how)
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        """Characters ``start`` to ``end`` in the original text."""
+        layer = self
+        while layer.above is not None:
+            i, j = np.searchsorted(layer.at, [start, end - 1], "right") - 1
+            start = int(layer.start[i] + (0 if layer.end[i] else start - layer.at[i]))
+            end = int(layer.end[j] or layer.start[j] + end - layer.at[j])
+            layer = layer.above
+        return start, end
+
+
+def _percent(text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with percent escapes undone, and its pieces."""
+    out, pieces, at, n = [], [], 0, 0
+    for m in PERCENT.finditer(text):
+        if m.start() > at:
+            out.append(text[at : m.start()])
+            pieces.append((n, at, 0))
+            n += m.start() - at
+        k = 0
+        for c in unquote_to_bytes(m[0]).decode("utf-8", "replace"):
+            size = len(c.encode()) if c != "\ufffd" else 1
+            pieces.append((n, min(m.start() + 3 * k, m.end() - 3), min(m.start() + 3 * (k + size), m.end())))
+            out.append(c)
+            n, k = n + 1, k + size
+        at = m.end()
+    if at < len(text):
+        out.append(text[at:])
+        pieces.append((n, at, 0))
+    return "".join(out), pieces
 
-    def copy(a: int, b: int) -> None:
-        out.append(text[a:b])
-        start.extend(range(a, b))
-        end.extend(range(a + 1, b + 1))
 
+def _escapes(text: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text with backslash escapes and character references undone, and its pieces."""
+    out, pieces, at, n = [], [], 0, 0
     for m in ESCAPE.finditer(text):
         code = next((int(g, 10 if k == 4 else 16) for k, g in enumerate(m.groups()[:6]) if g), None)
         if code is None:
@@ -147,99 +139,151 @@ def _escapes(text: str) -> tuple[str, list[int], list[int]]:
             continue
         else:
             c = chr(code)
-        copy(at, m.start())
+        if m.start() > at:
+            out.append(text[at : m.start()])
+            pieces.append((n, at, 0))
+            n += m.start() - at
         out.append(c)
-        start.extend([m.start()] * len(c))
-        end.extend([m.end()] * len(c))
-        at = m.end()
-    copy(at, len(text))
-    return "".join(out), start, end
-
-
-def _base64(part: str) -> list[tuple[str, bytes]]:
-    body = part.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1 or not re.search(r"[A-Z]", body) and not re.search(r"[0-9+/]", body):
-        return []
-    try:
-        return [("base64", base64.b64decode(body + "=" * (-len(body) % 4), validate=True))]
-    except (binascii.Error, ValueError):
-        return []
-
-
-def unwrap(layer: Layer) -> tuple[list[Layer], int]:
-    """The layers directly under one layer, and how many were cut at ``LAYER_BYTES``."""
-    out, bombs, text = [], 0, layer.text
-    if "%" in text:
-        for m in TOKEN.finditer(text):
-            if not PERCENT.search(m[0]):
-                continue
-            plain, s, e = _percent(m[0])
-            out.append(Layer(plain, layer.start[m.start() + np.array(s)], layer.end[m.start() + np.array(e) - 1], (*layer.via, "url")))
-    if ("\\" in text or "&" in text) and ESCAPE.search(text):
-        plain, s, e = _escapes(text)
-        if plain != text and plain:
-            out.append(Layer(plain, layer.start[np.array(s)], layer.end[np.array(e) - 1], (*layer.via, "unicode")))
+        pieces.append((n, m.start(), m.end()))
+        n, at = n + len(c), m.end()
+    if at < len(text):
+        out.append(text[at:])
+        pieces.append((n, at, 0))
+    return "".join(out), pieces
+
+
+def _unpack(data: bytes | memoryview) -> tuple[str, bytes, bool] | None:
+    """(kind, content, whether more would follow) of gzip (all members), zlib or bzip2 data at the start of ``data``."""
+    kind = "gzip" if data[:2] == b"\x1f\x8b" else "bzip2" if data[:3] == b"BZh" else "zlib"
+    out, room = [], LAYER_BYTES
+    while data and room > 0:
+        d = bz2.BZ2Decompressor() if kind == "bzip2" else zlib.decompressobj(31 if kind == "gzip" else 15)
+        try:
+            part = d.decompress(data, room)
+        except (zlib.error, OSError, ValueError, EOFError):
+            break
+        out.append(part)
+        room -= len(part)
+        if not d.eof:  # cut off, or no room
+            return kind, b"".join(out), room <= 0
+        data = d.unused_data
+        if kind == "zlib" or data[:2] not in (b"\x1f\x8b", b"BZ"):
+            break
+        if room <= 0:
+            return kind, b"".join(out), True
+    return (kind, b"".join(out), False) if out else None
+
+
+def _contents(data: bytes) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The texts that decoded bytes may be, with what they are encoded by beside UTF-8."""
+    if ASCII.search(data):
+        try:
+            yield (), data.decode("utf-8")
+        except UnicodeDecodeError:
+            yield (), data.decode("latin-1")
+    if b"\x00" in data:
+        for name, pattern in UTF16:
+            for m in pattern.finditer(data):
+                yield ("utf-16",), m[0].decode(name)
+
+
+def _unfolded(data: bytes, bombs: list[int], depth: int = 0, known: set[bytes] | None = None) -> Iterator[tuple[tuple[str, ...], str]]:
+    """The texts in decoded bytes and in compressed data anywhere in them; ``bombs`` counts what is cut.
+
+    The same content by two ways (stored data show through their container) is unfolded once.
+    """
+    known = set() if known is None else known
+    yield from _contents(data)
+    for m in PACKED.finditer(data):
+        found = _unpack(memoryview(data)[m.start() :])
+        if found is None:
+            continue
+        kind, content, cut = found
+        key = hashlib.sha256(content).digest()
+        if key in known:
+            continue
+        known.add(key)
+        bombs[0] += cut or depth + 1 >= NESTED
+        if depth + 1 < NESTED:
+            for how, text in _unfolded(content, bombs, depth + 1, known):
+                yield (kind, *how), text
+
+
+def _parts(text: str) -> Iterator[tuple[int, int, str]]:
+    """Base64 parts with their places. Of those over several lines also without the last one and two, which may be words."""
     for m in BASE64.finditer(text):
-        for kind, data in _base64(m[0]):
-            via = (*layer.via, kind)
-            packed = _unpack(data)
-            while packed is not None:
-                via, data = (*via, packed[0]), packed[1]
-                bombs += packed[2]
-                packed = _unpack(data) if len(via) < 64 else None
-            plain = _plain(data)
-            if plain is not None:
-                n = len(plain)
-                a, b = layer.start[m.start()], layer.end[m.end() - 1]
-                out.append(Layer(plain, np.full(n, a), np.full(n, b), via))
-    return out, bombs
+        yield m.start(), m.end(), m[0].rstrip("=")
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            lines = list(LINE.finditer(m[0]))
+            for n in range(len(lines), max(len(lines) - 3, 1), -1):
+                end = m.end() if n == len(lines) else m.start() + lines[n - 1].end()
+                yield m.start(), end, "".join(x[0] for x in lines[:n])
+
+
+def unwrap(layer: Layer, bombs: list[int]) -> Iterator[Layer]:
+    """The layers directly under one layer, one at a time; ``bombs`` counts what is cut at ``LAYER_BYTES`` or ``NESTED``."""
+    text = layer.text
+    if "%" in text and PERCENT.search(text):
+        plain, pieces = _percent(text)
+        yield Layer(plain, layer, pieces, ("url",))
+    if ("\\" in text or "&" in text) and ESCAPE.search(text):
+        plain, pieces = _escapes(text)
+        if plain and plain != text:
+            yield Layer(plain, layer, pieces, ("unicode",))
+    for start, end, part in _parts(text):
+        body = part.replace("-", "+").replace("_", "/")
+        for k in range(4):
+            n = len(body) - k
+            n -= n % 4 == 1
+            data = binascii.a2b_base64(body[k : k + n] + "=" * (-n % 4))
+            for how, plain in _unfolded(data, bombs):
+                yield Layer(plain, layer, [(0, start + k, end)], ("base64", *how))
+            if k == 0 and ASCII.fullmatch(data):
+                break  # text from the first to the last character
 
 
 def find_secrets(text: str) -> tuple[list[str], list[str], list[str], int, int]:
     """Base findings, all findings, their ways, layers and cut layers of one text."""
     base = scan(text)
     found = {(s, k, e): "" for s, k, e in base}
-    layers = bombs = 0
-    if "%" in text or "\\" in text or "&" in text or LONG.search(text):
-        n = len(text)
-        todo = None
-        seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-        if _encoded(text):
-            todo = [Layer(text, np.arange(n), np.arange(1, n + 1), ())]
+    layers, bombs = 0, [0]
+    if _encoded(text):
+        digest = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
+        seen = {digest(text)}
+        todo = [unwrap(Layer(text), bombs)]
         while todo:
-            layer = todo.pop()
-            under, cut = unwrap(layer)
-            bombs += cut
-            for x in under:
-                key = hashlib.sha256(x.text.encode("utf-8", "surrogatepass") + x.start[:1].tobytes()).digest()
-                plain = hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest()
-                if key in seen or plain in seen:
-                    continue
-                seen.add(key)
-                layers += 1
-                for s, k, e in scan(x.text):
-                    found.setdefault((int(x.start[s]), k, int(x.end[e - 1])), ">".join(x.via))
-                todo.append(x)
+            x = next(todo[-1], None)
+            if x is None:
+                todo.pop()
+                continue
+            plain = digest(x.text)
+            key = (plain, x.place(0, 1)[0])
+            if key in seen or plain in seen:
+                continue
+            seen.add(key)
+            layers += 1
+            for s, k, e in scan(x.text):
+                a, b = x.place(s, e)
+                found.setdefault((a, k, b), ">".join(x.via))
+            if _encoded(x.text):
+                todo.append(unwrap(x, bombs))
     every = sorted(found)
     name = lambda x: f"{KINDS[x[1]]}:{x[0]}:{x[2]}"
-    return [name(x) for x in base], [name(x) for x in every], [found[x] for x in every], layers, bombs
+    return [name(x) for x in base], [name(x) for x in every], [found[x] for x in every], layers, bombs[0]
 
 
 def _encoded(text: str) -> bool:
     """Whether any decoder could find a part of its kind."""
-    return bool(
-        ("%" in text and PERCENT.search(text))
-        or (("\\" in text or "&" in text) and ESCAPE.search(text))
-        or any(_base64(m[0]) for m in BASE64.finditer(text))
-    )
+    return bool(("%" in text and PERCENT.search(text)) or (("\\" in text or "&" in text) and ESCAPE.search(text)) or BASE64.search(text))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs``' columns ``keep`` (default all) with the struct ``secrets`` (replacing such a column).
 
     One narrow pass; null and empty texts hold none, repeated rows are scanned alike, an empty table
-    gives none. Texts of any length are scanned whole, but a compressed part that unfolds to more than
-    ``LAYER_BYTES`` only so far (counted in ``n_bombs``).
+    gives none. Texts of any length are scanned whole, but compressed data that unfold to more than
+    ``LAYER_BYTES``, or ``NESTED`` times, only so far (counted in ``n_bombs``).
     """
     prepare(docs.sparkSession)
 
@@ -292,4 +336,5 @@ def digest(df: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
         F.concat_ws(",", "secrets.all").alias("spans"),
         F.col("secrets.n_layers").alias("n_layers"),
+        F.col("secrets.n_bombs").alias("n_bombs"),
     )

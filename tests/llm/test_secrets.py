@@ -76,10 +76,82 @@ def test_escapes_map_exactly():
     assert SS.find_secrets("bad %zz %ff%fe \\ud800 &#99999999; %")[1] == []
 
 
+def _ways(text):
+    base, every, ways, _, bombs = SS.find_secrets(text)
+    return [(w, *map(int, x.split(":")[1:])) for x, w in zip(every, ways) if x not in base]
+
+
+def test_layers_across_blanks_lines_and_prefixes():
+    long = f"some words before {SECRET} and after, {KEY} too. " * 3
+    wrap = lambda b, end="\n": end.join(_b64(b)[i : i + 76] for i in range(0, len(_b64(b)), 76))
+    cases = {
+        "password%3A hunter2secret": ["url"],
+        "token = %61bcdefgh": ["url"],
+        f"GET /cb/{_b64(SECRET.encode())}": ["base64"],
+        f"data-{_b64(SECRET.encode())} x": ["base64"],
+        f"a/b/{_b64(SECRET.encode()).rstrip('=')}": ["base64"],
+        f"see\n{wrap(gzip.compress(long.encode(), mtime=0))}\nThanks and bye": ["base64>gzip"],
+        f"see\r\n  {wrap(long.encode(), chr(13) + chr(10) + '  ')}\r\n": ["base64"],
+        "q " + _b64(gzip.compress(b"nothing", mtime=0) + gzip.compress(SECRET.encode(), mtime=0)): ["base64>gzip"],
+        "q " + _b64(bz2.compress(b"nothing") + bz2.compress(SECRET.encode())): ["base64>bzip2"],
+        "q " + _b64(b"\x00\x01head" + zlib.compress(SECRET.encode())): ["base64>zlib"],
+        "q " + _b64(f"café à {SECRET}".encode("latin-1")): ["base64"],
+        "q " + _b64(SECRET.encode("utf-16")): ["base64>utf-16"],
+        "q " + _b64(gzip.compress(SECRET.encode("utf-16-be"), mtime=0)): ["base64>gzip>utf-16"],
+        "q " + _b64(gzip.compress(bz2.compress(_b64(SECRET.encode()).encode()), mtime=0)): ["base64>gzip>bzip2>base64"],
+    }
+    for text, ways in cases.items():
+        got = _ways(text)
+        assert set(ways) <= {w for w, *_ in got}, (text, got)
+        for w, a, b in got:
+            assert 0 <= a < b <= len(text) and (w != "url" or text[a:b] in ("password%3A hunter2secret", "token = %61bcdefgh"))
+
+
+def test_every_place_and_alignment_is_found():
+    """Brute force: a secret under any two encodings, behind any prefix, is found and its span covers the encoded part."""
+    coders = {
+        "base64": lambda t: _b64(t.encode()),
+        "url": lambda t: "".join(f"%{b:02x}" for b in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "html": lambda t: "".join(f"&#x{ord(c):x};" for c in t),
+        "gzip": lambda t: _b64(gzip.compress(t.encode(), mtime=0)),
+        "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    }
+    for first in coders.values():
+        for second in coders.values():
+            part = second(first(f"~~~ {SECRET} ???"))
+            for prefix in ("", "x", "ab/", "é-_", "k=", "12345 "):
+                text = f"{prefix}{part} tail"
+                spans = [(a, b) for _, a, b in _ways(text)]
+                assert spans, (prefix, part)
+                assert all(b <= len(prefix) + len(part) and b > len(prefix) for a, b in spans)
+
+
+def test_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    text = "lorem ipsum dolor " * 60_000 + "\\u0070assword=abcdefgh" + " %20" * 1000
+    tracemalloc.start()
+    got = _ways(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any(text[a:b] == "\\u0070assword=abcdefgh" for _, a, b in got) and peak < 40 * len(text)
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     monkeypatch.setattr(SS, "LAYER_BYTES", 1000)
     bomb = _b64(gzip.compress(b"a " * 100_000))
     assert SS.find_secrets(bomb)[4] == 1
+    nested = SECRET.encode()
+    for _ in range(6):
+        nested = gzip.compress(nested, mtime=0)
+    assert SS.find_secrets(_b64(nested))[2][0].count("gzip") >= 1
+    monkeypatch.setattr(SS, "NESTED", 4)
+    assert SS.find_secrets(_b64(nested))[2:4] == ([], 0) and SS.find_secrets(_b64(nested))[4] >= 1
+    monkeypatch.setattr(SS, "NESTED", 64)
+    for _ in range(60):  # stored data show through every container: one way is enough
+        nested = gzip.compress(nested, 0, mtime=0)
+    assert SS.find_secrets(_b64(nested))[4] >= 1
     deep = SECRET
     for _ in range(12):
         deep = _b64(deep.encode())
