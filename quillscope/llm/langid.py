@@ -8,9 +8,10 @@ escape (method C: distinct followers / (followers + distinct)) is paid and the n
 is asked, down to a uniform byte. The language of the least code length wins; the score is its
 posterior probability under equal priors.
 
-Frozen statistics make the code length a function of (context, byte), so the tree is laid
-out as a table of states and a text is scored by gathers, not by walking it byte by byte.
-``MAX_STATES`` bounds the contexts kept at each order (the most frequent ones of all languages).
+Frozen statistics make the code length a function of (context, byte): it is computed by Spark for every
+(language, context, byte) that training counted and laid out as sorted arrays by order. A chunk of
+texts looks its distinct grams up there, language by language, and adds the lengths of its places. Languages
+go in blocks of bounded bytes; texts pass once for each block. No count is dropped.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from quillscope.llm.common import LOWER, buffers, chunks, map_text, prepare, sto
 from quillscope.llm.components import small
 
 ORDER = 3  # bytes of the longest context
-MAX_STATES = {2: 6_000, 3: 16_000}  # contexts kept of each order
 MAX_LANGUAGES = 1000
-MAX_CELLS = 16_000_000  # state x byte x language entries of the table: 64 MB
+BLOCK_BYTES = 64 << 20  # arrays of a block of languages that are broadcast together (a language is not divided)
 PAD = 0x20  # what stands before a text
 
 
@@ -82,112 +82,104 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str, langs: list[str])
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _level(counts: DataFrame, order: int, most: int | None) -> list[np.ndarray]:
-    """(language, context, byte, n) of the kept contexts of an order, as arrays."""
-    mask = (1 << (8 * (order + 1))) - 1
-    g = counts
-    if order < ORDER:
-        g = counts.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-        g = stored(g, f"order{order}")
-    g = g.withColumn("ctx", F.shiftright("gram", 8))
-    if most is not None:
-        totals = stored(g.groupBy("ctx").agg(F.sum("n").alias("all")), "contexts")
-        # the least count for which at most `most` contexts remain, by halves of powers of two
-        steps = totals.groupBy(F.floor(F.log2("all") * 8).cast("int").alias("k")).count().collect()
-        room, least = most, None
-        for r in sorted(steps, key=lambda r: -r["k"]):
-            room -= r["count"]
-            if room < 0:
-                break
-            least = r["k"]
-        keep = totals.where(F.floor(F.log2("all") * 8) >= (least if least is not None else 1 << 30))
-        g = g.join(small(stored(keep.select("ctx"), "kept")), "ctx")
-    t = g.select("lang", "ctx", F.col("gram").bitwiseAND(255).alias("byte"), "n").toArrow()
-    return [t.column(c).to_numpy() for c in ("lang", "ctx", "byte", "n")]
-
-
-class Tree:
-    """Frozen context trees of all languages as tables."""
-
-    def __init__(self, langs: list[str], levels: list[list[np.ndarray]]):
-        self.langs = langs
-        n_lang = len(langs)
-        seen = np.unique(levels[0][2])
-        self.symbol = np.full(256, len(seen), np.int64)  # bytes that training never saw share the last symbol
-        self.symbol[seen] = np.arange(len(seen))
-        size = self.size = len(seen) + 1
-        # states: one per symbol (order 1), then the kept contexts of order 2 and 3
-        contexts = [np.unique(x[1]) for x in levels[2:]]
-        while (size + sum(map(len, contexts))) * size * n_lang > MAX_CELLS and len(contexts[-1]):
-            top = contexts[-1] if len(contexts[-1]) else contexts[-2]  # many languages or bytes: a smaller tree
-            k = -1 if len(contexts[-1]) else -2
-            level = levels[k]
-            total = np.bincount(np.searchsorted(top, level[1][np.isin(level[1], top)]), level[3][np.isin(level[1], top)], len(top))
-            contexts[k] = np.sort(top[np.argsort(-total, kind="stable")[: len(top) // 2]])
-        states = size + sum(map(len, contexts))
-        cost = np.empty((states, size, n_lang), np.float32)
-        zero = np.full((1, size, n_lang), 8.0)
-        self._fill(zero, np.zeros(1, np.int64), levels[0], lambda c: np.zeros(len(c), np.int64), 1)
-        first = np.repeat(zero, size, axis=0)
-        self._fill(first, None, levels[1], lambda c: self.symbol[c], size)
-        cost[:size] = first
-        self.pair = np.repeat(np.arange(size)[None, :], size, axis=0)  # [two before, one before] -> state
-        at = size
-        if len(contexts):
-            c2 = contexts[0]
-            older, newer = self.symbol[c2 >> 8], self.symbol[c2 & 255]
-            self.pair[older, newer] = at + np.arange(len(c2))
-            part = cost[newer].astype(np.float64)
-            self._fill(part, None, levels[2], lambda c: self._where(c2, c), len(c2))
-            cost[at : at + len(c2)] = part
-            at += len(c2)
-        self.triple = np.repeat(np.arange(at)[None, :], size, axis=0)  # [three before, state of two] -> state
-        if len(contexts) > 1:
-            c3 = contexts[1]
-            two = self.pair[self.symbol[(c3 >> 8) & 255], self.symbol[c3 & 255]]
-            part = cost[two].astype(np.float64)
-            self.triple[self.symbol[c3 >> 16], two] = np.where(two >= size, at + np.arange(len(c3)), two)
-            self._fill(part, None, levels[3], lambda c: self._where(c3, c), len(c3))
-            cost[at:] = part
-        self.pair = self.pair.astype(np.int32).ravel()
-        self.width = self.triple.shape[1]
-        self.triple = self.triple.astype(np.int32).ravel()
-        self.cost = cost.reshape(-1, n_lang)
-        self.symbol = self.symbol.astype(np.int32)
-
-    @staticmethod
-    def _where(kept: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(kept, ctx), max(len(kept) - 1, 0))
-        return np.where(kept[at] == ctx, at, -1) if len(kept) else np.full(len(ctx), -1)
-
-    def _fill(self, part: np.ndarray, _, level: list[np.ndarray], index, n: int) -> None:
-        """Code lengths of one order over those of the next shorter one (in ``part``)."""
-        lang, ctx, byte, count = level
-        at = index(ctx)
-        ok = at >= 0
-        lang, at, byte, count = lang[ok], at[ok], byte[ok], count[ok].astype(np.float64)
-        cell = at * len(self.langs) + lang
-        total = np.bincount(cell, count, n * len(self.langs))
-        kinds = np.bincount(cell, minlength=n * len(self.langs))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0).reshape(n, 1, -1)
-        part += escape
-        part[at, self.symbol[byte], lang] = np.log2((total + kinds)[cell] / count)
+def code_lengths(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order ``(lang, gram, bits)``, the length of a gram's last byte after its first ones, and ``(lang, gram, bits)``
+    of the escapes, by context. Both written."""
+    out = []
+    for order in range(ORDER + 1):
+        mask = (1 << (8 * (order + 1))) - 1
+        g = counts if order == ORDER else stored(counts.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n")), f"order{order}")
+        g = g.withColumn("ctx", F.shiftright("gram", 8))
+        ctx = stored(g.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")), f"contexts{order}")
+        both = F.col("all") + F.col("kinds")
+        found = g.join(small(ctx), ["lang", "ctx"]).select("lang", "gram", F.log2(both / F.col("n")).cast("float").alias("bits"))
+        escapes = ctx.select("lang", F.col("ctx").alias("gram"), F.log2(both / F.col("kinds")).cast("float").alias("bits"))
+        out.append((stored(found, f"lengths{order}"), stored(escapes, f"escapes{order}")))
+    return out
+
+
+class Table:
+    """Bits by gram for some languages: sorted grams, one stretch for each language."""
+
+    def __init__(self, df: DataFrame, first: int, last: int):
+        t = df.where(F.col("lang").between(first, last)).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
+        self.gram = t.column("gram").to_numpy().astype(np.uint32)
+        self.bits = t.column("bits").to_numpy()
+        self.stop = np.searchsorted(t.column("lang").to_numpy(), np.arange(first, last + 2))
+
+    def find(self, lang: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams the block's ``lang``-th language has, and their bits."""
+        a, b = self.stop[lang], self.stop[lang + 1]
+        if a == b:
+            return np.zeros(len(gram), bool), np.zeros(len(gram), np.float32)
+        at = a + np.minimum(np.searchsorted(self.gram[a:b], gram), b - a - 1)
+        return self.gram[at] == gram, self.bits[at]
+
+
+class Block:
+    """The context trees of the languages ``first`` to ``last``."""
+
+    def __init__(self, levels: list[tuple[DataFrame, DataFrame]], first: int, last: int):
+        self.languages = last - first + 1
+        self.tables = [(Table(found, first, last), Table(escape, first, last)) for found, escape in levels]
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code lengths of (distinct) grams in each language: the longest context first, escapes on the way down."""
+        out = np.zeros((len(gram), self.languages))
+        for lang in range(self.languages):
+            todo, left = np.arange(len(gram)), gram
+            for order in range(ORDER, -1, -1):
+                mine = left & np.uint32((1 << (8 * (order + 1))) - 1)
+                found, escape = self.tables[order]
+                hit, bits = found.find(lang, mine)
+                out[todo[hit], lang] += bits[hit]
+                todo, left, mine = todo[~hit], left[~hit], mine[~hit]
+                known, bits = escape.find(lang, mine >> np.uint32(8))
+                out[todo[known], lang] += bits[known]
+            out[todo, lang] += 8.0
+        return out
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text in each language."""
         bytes_, offsets = grams(texts)
-        s = [self.symbol[x] for x in bytes_]
-        state = self.triple[s[3] * self.width + self.pair[s[2] * self.size + s[1]]]
-        bits = self.cost[state.astype(np.int64) * self.size + s[0]]
-        out = np.zeros((len(texts), len(self.langs)))
+        code = np.zeros(len(bytes_[0]), np.uint32)
+        for x in reversed(bytes_):
+            code = (code << np.uint32(8)) | x
+        kinds, at = np.unique(code, return_inverse=True)
+        out = np.zeros((len(texts), self.languages))
         full = np.flatnonzero(np.diff(offsets) > 0)
         if len(full):
-            out[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
+            out[full] = np.add.reduceat(self.bits(kinds)[at], offsets[full], axis=0)
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tree | None:
+class Tree:
+    """Frozen context trees of all languages; written tables, read a block of languages at a time."""
+
+    def __init__(self, langs: list[str], levels: list[tuple[DataFrame, DataFrame]], block_bytes: int = BLOCK_BYTES):
+        self.langs, self.levels = langs, levels
+        size = [0] * len(langs)
+        for df in (x for level in levels for x in level):
+            for r in df.groupBy("lang").count().collect():  # a row for each language
+                size[r["lang"]] += 8 * r["count"]
+        self.ranges, held = [], 0
+        for i, n in enumerate(size):
+            if self.ranges and held + n <= block_bytes:
+                self.ranges[-1] = (self.ranges[-1][0], i)
+                held += n
+            else:
+                self.ranges.append((i, i))
+                held = n
+
+    def block(self, k: int) -> Block:
+        return Block(self.levels, *self.ranges[k])
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Bits of each text in each language, in this process."""
+        return np.concatenate([self.block(k).lengths(texts) for k in range(len(self.ranges))], axis=1)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> Tree | None:
     """The tree of all rows with a language and a text; None if there are none."""
     prepare(docs.sparkSession)
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & (F.col(f"`{text_col}`") != ""))
@@ -198,38 +190,54 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tr
     if not langs:
         return None
     counts = stored(gram_counts(rows, text_col, lang_col, langs), "grams")
-    return Tree(langs, [_level(counts, k, MAX_STATES.get(k)) for k in range(ORDER + 1)])
+    return Tree(langs, code_lengths(counts), block_bytes)
 
 
 def predict(docs: DataFrame, tree: Tree | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs``' columns ``keep`` (default all) with ``lang_pred, score`` (replacing such columns).
 
-    A null text, one without letters, or a tree of no language: ``und`` with score 0. Only the
-    text is looked at. Repeated rows are predicted alike; an empty table gives none.
+    A null text, one without letters, or a tree of no language: ``und`` with score 0. Of languages with equal
+    lengths the first by name wins. Only the text is looked at. Repeated rows are predicted alike; an
+    empty table gives none.
     """
-    prepare(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(tree)
+    spark = docs.sparkSession
+    prepare(spark)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    und = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")]
+    if tree is None:
+        return docs.select(*[F.col(f"`{c}`") for c in kept], *und)
+    # a struct holds the kept columns, so that no name of theirs can clash
+    rows = docs.select(F.struct(*([F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("_")])).alias("_in"), F.col(f"`{text_col}`").alias("_text"))
+    for k in range(len(tree.ranges)):
+        rows = map_text(rows, "_text", [T.StructField(f"_bits{k}", T.ArrayType(T.DoubleType()))], _measure(spark.sparkContext.broadcast(tree.block(k))), limit=1 << 20)
+    letters = T.StructField("_letters", T.BooleanType())
+    look = lambda t: [pc.match_substring_regex(text_array(t), r"\pL")]
+    rows = map_text(rows, "_text", [letters], lambda: look, keep=["_in", *[f"_bits{k}" for k in range(len(tree.ranges))]])
+    rows = rows.select("_in", "_letters", F.concat(*[f"_bits{k}" for k in range(len(tree.ranges))]).alias("_b"))
+    rows = rows.select("_in", "_letters", "_b", F.array_min("_b").alias("_m"))
+    total = F.aggregate("_b", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), F.greatest(F.col("_m") - x, F.lit(-1000.0))))
+    name = F.element_at(F.array(*[F.lit(x) for x in tree.langs]), F.array_position("_b", F.col("_m")).cast("int"))
+    return rows.select(
+        *[F.col("_in").getField(c).alias(c) for c in kept],
+        F.when(F.col("_letters"), name).otherwise("und").alias("lang_pred"),
+        F.when(F.col("_letters"), 1 / total).otherwise(0.0).alias("score"),
+    )
+
+
+def _measure(model):
+    """The pass of a block: bits in each of its languages."""
 
     def start():
-        t = model.value
+        block = model.value
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            texts = text_array(texts)
-            letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
-            if t is None:
-                letters[:] = False
-                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            else:
-                bits = t.lengths(texts)
-                best = bits.argmin(axis=1)
-                score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            names = [t.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
-            return [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
+            bits = block.lengths(text_array(texts))
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * block.languages
+            return [pa.ListArray.from_arrays(ends, pa.array(bits.ravel()))]
 
         return work
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_text(docs, text_col, fields, start, keep=keep, limit=1 << 20)
+    return start
 
 
 def held_out(id_col: str = "doc_id"):

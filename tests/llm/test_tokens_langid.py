@@ -88,6 +88,40 @@ def test_code_lengths_match_a_plain_walk(spark):
     assert LI.predict(rows.limit(0), tree).count() == 0
 
 
+def _languages(spark, n, per=12):
+    """Texts of ``n`` made-up languages, each with an alphabet and words of its own."""
+    import random
+
+    rows = []
+    for k in range(n):
+        rng = random.Random(k)
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèñøåбвгдж") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+        rows += [(" ".join(rng.choice(words) for _ in range(30)), f"l{k:02}") for _ in range(per)]
+    return rows
+
+
+@pytest.mark.parametrize("block_bytes", [LI.BLOCK_BYTES, 150_000])
+def test_24_languages_equal_a_plain_walk(spark, block_bytes):
+    """Every counted context is kept, whatever the number of languages and of their blocks."""
+    rows = _languages(spark, 24, 3)
+    tree = LI.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), block_bytes=block_bytes)
+    assert (len(tree.ranges) == 1) == (block_bytes == LI.BLOCK_BYTES) and len(tree.ranges) < 24
+    tests = [rows[0][0], rows[-1][0][:50], "жж äö zz", "\u4e2d x"]
+    want = np.array([_plain_bits(rows, tree.langs, t) for t in tests])
+    assert np.allclose(tree.lengths(pa.array(tests)), want, rtol=1e-5, atol=1e-2)
+    got = LI.predict(spark.createDataFrame([(t, 1) for t in tests], "text string, _BITS0 int"), tree).collect()
+    assert {r["text"]: r["lang_pred"] for r in got} == {t: tree.langs[i] for t, i in zip(tests, want.argmin(axis=1))}
+
+
+@pytest.mark.parametrize("n", [2, 24])
+def test_accuracy_by_number_of_languages(spark, n):
+    rows = _languages(spark, n)
+    df = spark.createDataFrame([(*r, i % 4 == 0) for i, r in enumerate(rows)], "text string, truth string, test boolean")
+    tree = LI.train(df.where("not test"), lang_col="truth")
+    out = LI.predict(df.where("test"), tree).collect()
+    assert sum(r["lang_pred"] == r["truth"] for r in out) / len(out) >= 0.98
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op7_language_id"](spark, SF001)
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "lang")
