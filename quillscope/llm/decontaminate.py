@@ -8,7 +8,7 @@ matrix for rank queries, and sampled suffix positions. All test phrases are sear
 at once; their occurrences are located by walking to sampled positions, checked byte by byte,
 and merged to spans of the document.
 
-The documents pass by once for each block of the test set (``block_bytes`` of test text,
+The documents pass by once for each block of the test set (``block_phrases`` test phrases,
 the bound of what is broadcast), with no shuffle; spans and items of earlier blocks ride along.
 """
 
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscope.llm.common import Words, chunks, packed, prepare, text_array, unpacked, word_hash
+from quillscope.llm.common import Words, chunks, packed, prepare, text_array, unpacked
 
 WINDOW = 13  # words of a test phrase
 SHARE = 20  # a document is contaminated if hit words are one in SHARE or more
-BLOCK_BYTES = 32 << 20  # of test text in one broadcast
+BLOCK_PHRASES = 200_000  # of test items in one broadcast: some 25 MB, and some 180 MB on the driver while it is made
 SAMPLE = 8  # every SAMPLE-th suffix position is kept
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,7 +55,8 @@ class Phrases:
             for i in range(len(words) - n + 1 if n else 0):
                 owners.setdefault(tuple(words[i : i + n]), set()).add(item)
         vocab = sorted({w for p in owners for w in p})
-        by_hash = sorted((word_hash(w.encode()), w) for w in vocab)
+        hashes = Words(pa.array(vocab, pa.string()), np.ones(256, bool), lower=False).hash.tolist() if vocab else []
+        by_hash = sorted(zip(hashes, vocab))
         symbol = {w: k + 2 for k, (_, w) in enumerate(by_hash)}  # 0: end of the shard, 1: separator
         self.hashes = np.array([h for h, _ in by_hash], np.uint64)
         self.bytes = [w.encode() for _, w in by_hash]
@@ -206,7 +207,7 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = WINDOW,
     share: int = SHARE,
-    block_bytes: int = BLOCK_BYTES,
+    block_phrases: int = BLOCK_PHRASES,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_words``, merged ``hit_words`` / ``hit_chars`` spans, ``hit_items`` and
@@ -222,9 +223,10 @@ def decontaminate(
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text")
     ).where("text != ''")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    own = [c for c in (docs.columns if keep is None else keep) if c not in {*OUT, "contaminated"}]
+    # an item has at most one phrase for each word
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_phrases))
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {*OUT, "contaminated"}]
     out = docs
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == k) if blocks > 1 else items

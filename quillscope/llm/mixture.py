@@ -183,5 +183,5 @@ def mix(
     new = ("size", "source_size", "target", "taken")
     if keep is not None and set(keep) == {id_col}:
         return out.select(F.col("_id").alias(id_col), *new)
-    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     return out.select(*[F.col("_in").getField(c).alias(c) for c in own], *new)

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from quillscope.llm.common import prepare, stored
 from quillscope.llm.components import small
 from quillscope.operators.features import materialize
-from quillscope.operators.ranking import one_row
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -117,10 +116,10 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
         spread = F.col(f"{r}_sq") / F.col("n") - mean * mean
         weight = F.when(spread > 0, mean * (1 - mean) / spread - 1).otherwise(PRIOR_MAX)
         prior += [mean.alias(f"{r}_mean"), F.least(F.greatest(weight, F.lit(1.0)), F.lit(PRIOR_MAX)).alias(f"{r}_weight")]
-    p = one_row(all_.select(*prior))
-    rated = per.select("host", "n", *RULES, p.alias("_p"))
-    rates = {r: (F.col(r) + F.col(f"_p.{r}_mean") * F.col(f"_p.{r}_weight")) / (F.col("n") + F.col(f"_p.{r}_weight")) for r in RULES}
-    out = rated.select("host", "n", *[x.alias(f"{r}_rate") for r, x in rates.items()])
+    p = all_.select(*prior).first().asDict()  # one row: literals of the rates
+    p = {name: F.lit(value).cast("double") for name, value in p.items()}
+    rates = {r: (F.col(r) + p[f"{r}_mean"] * p[f"{r}_weight"]) / (F.col("n") + p[f"{r}_weight"]) for r in RULES}
+    out = per.select("host", "n", *[x.alias(f"{r}_rate") for r, x in rates.items()])
     worst = F.greatest(*[F.col(f"{r}_rate") for r in RULES])
     return out.withColumn("host_kept", worst < limit)
 
@@ -132,7 +131,7 @@ def quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", k
     hosts are judged. A document of a null host stands by its own rules. An empty table gives none.
     """
     prepare(docs.sparkSession)
-    own = [c for c in (docs.columns if keep is None else keep) if c not in {*MEASURES, "kept"}]
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {*MEASURES, "kept"}]
     measured = stored(measure(docs, text_col, host_col, own), "measured")
     judged = _with_verdicts(measured, host_verdicts(measured))
     return judged.select(*([] if not own else ["_in.*"]), *MEASURES, "kept")

@@ -153,7 +153,7 @@ def count_tokens(
 
         return work
 
-    own = [c for c in (docs.columns if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     rows = docs.select(*[f"`{c}`" for c in {**dict.fromkeys(own), text_col: 0}], F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("bigint").alias("n_bytes"))
     out = map_text(rows, text_col, [T.StructField("n_tokens", T.LongType())], start, keep=[*own, "n_bytes"])
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -15,6 +15,7 @@ stray files but no double records.
 
 from __future__ import annotations
 
+import math
 import gzip
 import hashlib
 import json
@@ -41,8 +42,19 @@ DATE = "2024-01-01T00:00:00Z"  # fixed, so reruns write equal records
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host of the file system that Spark would take it from, settled on the driver:
+    a path without a scheme is on the cluster's default file system, not on an executor's own disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    """The file system and the place there of a qualified path. (A path without a scheme is this process's own; jobs
+    qualify theirs first.)"""
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
 
 
 class _Out:
@@ -92,6 +104,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     id, revisits; if all ids are null, all are responses.
     """
     prepare(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"),
@@ -333,9 +346,14 @@ def read_archives(manifest: DataFrame, archive_col: str = "archive", columns: li
         if f is not None:
             f.close()
 
-    pointers = manifest.select(F.col(f"`{archive_col}`").alias("archive")).mapInArrow(point, "archive string, offset long, length long")
-    stretch = F.floor(F.col("offset") / RANGE_BYTES)
-    dealt = pointers.repartition(F.col("archive"), stretch).sortWithinPartitions("archive", "offset")
+    a = F.col(f"`{archive_col}`")
+    here = qualified(manifest.sparkSession, "/").rstrip("/")  # e.g. file: or hdfs://name
+    whole = F.when(a.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), a).otherwise(F.concat(F.lit(here + "/"), F.ltrim(a, F.lit("/"))))
+    pointers = stored(manifest.select(whole.alias("archive")).mapInArrow(point, "archive string, offset long, length long"), "pointers")
+    # neighbours go to one task, as many tasks as there are stretches, however few bytes the pointers have
+    total = pointers.agg(F.sum("length")).first()[0] or 0
+    tasks = max(math.ceil(total / RANGE_BYTES), manifest.sparkSession.sparkContext.defaultParallelism)
+    dealt = pointers.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(fetch, schema)
 
 

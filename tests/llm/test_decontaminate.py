@@ -37,7 +37,7 @@ def test_edge_rows_one_and_many_blocks(spark):
     docs = spark.createDataFrame([(d, t, "clash") for d, t in ROWS], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
     assert _result(DC.decontaminate(docs, bench)) == _expected(ROWS, ITEMS)
-    assert _result(DC.decontaminate(docs, bench, block_bytes=30, keep=["doc_id"])) == _expected(ROWS, ITEMS)
+    assert _result(DC.decontaminate(docs, bench, block_phrases=5, keep=["doc_id"])) == _expected(ROWS, ITEMS)
 
 
 def test_empty_tables(spark):

@@ -5,6 +5,7 @@ import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillscope.llm import warc as WZ
 
@@ -27,7 +28,7 @@ def test_payloads_come_back_and_packages_roll(spark, monkeypatch, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
     manifest = WZ.write_archives(pages, str(tmp_path))
     assert manifest.agg({"records": "sum"}).first()[0] == 60 and manifest.count() == 2
-    with zipfile.ZipFile(manifest.first()["archive"]) as z:  # an ordinary reader agrees
+    with zipfile.ZipFile(manifest.first()["archive"].removeprefix("file:")) as z:  # an ordinary reader agrees
         assert z.testzip() is None and z.namelist() == [WZ.DATA, WZ.INDEX]
     got = {r["page"]: (r["url"], bytes(r["payload"]).decode()) for r in WZ.read_archives(manifest).collect()}
     assert got == {str(i): (u, h) for i, u, h in rows}
@@ -95,3 +96,15 @@ def test_two_archives_and_other_index_names(tmp_path):
         else:
             with pytest.raises(ValueError):
                 list(WZ.locate(other))
+
+
+def test_records_are_dealt_to_many_tasks_and_paths_are_qualified(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 40) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    manifest = WZ.write_archives(pages, str(tmp_path))
+    (archive,) = [r["archive"] for r in manifest.collect()]
+    assert archive.startswith("file:/")
+    out = WZ.read_archives(manifest)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert out.select(F.spark_partition_id()).distinct().count() > 1 and out.count() == 300
+    plain = spark.createDataFrame([(archive.removeprefix("file:"),)], "archive string")  # without a scheme: the default file system
+    assert WZ.read_archives(plain).count() == 300
