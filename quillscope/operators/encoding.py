@@ -1,28 +1,30 @@
 """Text -> id sequences (X22-X24): vocabulary, encode, truncate, pad.
 
 The vocabulary is a Spark job: token frequencies with map-side partial counts, then positions by
-frequency, for every token of the corpus. Its first ``HEAD`` tokens are broadcast; ``mapInArrow``
-looks the tokens of a batch up there (one vectorized hash lookup) and assembles
+frequency, for every token of the corpus. Texts are tokenized once and the tokens written. The most frequent
+tokens, ``HEAD_BYTES`` of them, are broadcast as Arrow arrays; ``mapInArrow`` looks the tokens of a batch up there (one vectorized hash lookup) and assembles
 ``[CLS] ids [SEP]`` with array arithmetic. Only tokens beyond the head, the rare ones, leave
 their row: they are exploded with their place, joined with the rest of the vocabulary and put
-back per row. The result does not depend on ``HEAD``; with a vocabulary of no more tokens
+back per row. The result does not depend on that bound; with a vocabulary of no more bytes
 the second step has nothing to do and is left out.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillscope.functions import text as X
 from quillscope.operators import ranking
+from quillscope.operators.textmodel import written
 from quillscope.session import cut
 
 # --- fixed values: special token ids ---
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 # --- end of fixed values ---
-HEAD = 500_000  # most frequent tokens that are broadcast: some 10 MB
+HEAD_BYTES = 16 << 20  # of the most frequent tokens and their ids, broadcast
 
 
 def vocabulary(corpus_tokens: DataFrame, size: int | None = None) -> DataFrame:
@@ -32,7 +34,7 @@ def vocabulary(corpus_tokens: DataFrame, size: int | None = None) -> DataFrame:
     """
     counts = corpus_tokens.groupBy("token").agg(F.count("*").alias("c"))
     ids = ranking.row_number_all(counts, [F.col("c").desc(), F.col("token")], "_pos")
-    ids = ids.select("token", (F.col("_pos") + SEP).cast("int").alias("id"))
+    ids = ids.select("token", (F.col("_pos") + SEP).cast("bigint").alias("id"))
     return ids if size is None else ids.where(F.col("id") <= size + SEP)
 
 
@@ -42,21 +44,20 @@ def _lookup(vocab_bc, key: str, missing: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        words, ids = vocab_bc.value
-        ids_arr = pa.array(ids, pa.int32())
+        words, ids_arr = vocab_bc.value
         value_set = None
         for b in batches:
             toks = b.column("_t")
             if value_set is None:
-                value_set = pa.array(words, pa.string()).cast(toks.type.value_type)
+                value_set = words.cast(toks.type.value_type)
             n = len(toks)
             lens = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = pc.list_flatten(toks)
             found = pc.take(ids_arr, pc.index_in(flat, value_set=value_set))
-            tok_ids = pc.fill_null(found, missing).to_numpy(zero_copy_only=False).astype(np.int32)
+            tok_ids = pc.fill_null(found, missing).to_numpy(zero_copy_only=False).astype(np.int64)
             offsets = np.zeros(n + 1, dtype=np.int64)
             np.cumsum(lens + 2, out=offsets[1:])
-            vals = np.empty(int(offsets[-1]), dtype=np.int32)
+            vals = np.empty(int(offsets[-1]), dtype=np.int64)
             vals[offsets[:-1]] = CLS
             vals[offsets[1:] - 1] = SEP
             # token j of row r lands after the r earlier [CLS]/[SEP] pairs and this row's [CLS]
@@ -76,31 +77,45 @@ def _lookup(vocab_bc, key: str, missing: int):
     return run
 
 
+def head_size(vocab: DataFrame, most: int) -> int:
+    """The last id of the most frequent tokens that have ``most`` bytes together at most: whole bands of ids, an eighth of a doubling each."""
+    band = F.floor(F.log2(F.col("id") - SEP) * 8)
+    sizes = vocab.groupBy(band.alias("band")).agg(F.sum(F.octet_length("token") + 16).alias("bytes"), F.max("id").alias("last"))
+    total, last = 0, SEP
+    for r in sorted(sizes.collect(), key=lambda r: r["band"]):  # 8 * 63 rows at most
+        total += r["bytes"]
+        if total > most:
+            break
+        last = r["last"]
+    return last
+
+
 def encode(
-    df: DataFrame, key: str, text: str = "text", max_len: int | None = None, size: int | None = None, head: int = HEAD
+    df: DataFrame, key: str, text: str = "text", max_len: int | None = None, size: int | None = None, head_bytes: int = HEAD_BYTES
 ) -> DataFrame:
     """``ids`` = [CLS] + token ids + [SEP], truncated to ``max_len`` in total. ``key`` is a row's unique key.
 
     The vocabulary is fitted on the whole, untruncated input; with ``size`` it is cut and the rest is UNK.
     """
     spark = df.sparkSession
-    vocab = cut(vocabulary(df.select(F.explode(X.tokens(text)).alias("token")), size))
-    kinds = vocab.count()
-    rows = vocab.where(F.col("id") <= head + SEP).collect()  # at most ``head`` rows
-    bc = spark.sparkContext.broadcast(([r.token for r in rows], [int(r.id) for r in rows]))
-    tok = df.select(key, X.tokens(text).alias("_t"))
+    tokens = written(df.select(key, X.tokens(text).alias("_t")), "encode-tokens")
+    vocab = cut(vocabulary(tokens.select(F.explode("_t").alias("token")), size))
+    kinds, last = vocab.count(), head_size(vocab, head_bytes)
+    top = vocab.where(F.col("id") <= last).select("token", "id").toArrow().combine_chunks()
+    bc = spark.sparkContext.broadcast(tuple(pa.concat_arrays(top[c].chunks) if top[c].chunks else pa.array([], top.schema.field(c).type) for c in ("token", "id")))
+    tok = tokens
     if max_len is not None:
         tok = tok.withColumn("_t", F.slice("_t", 1, max(max_len - 2, 0)))
-    fields = [df.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    if kinds <= head:
+    fields = [df.schema[key], T.StructField("ids", T.ArrayType(T.LongType()))]
+    if kinds <= last - SEP:
         return tok.mapInArrow(_lookup(bc, key, UNK), T.StructType(fields))
     pair = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("token", T.StringType())])
     known = cut(tok.mapInArrow(_lookup(bc, key, -1), T.StructType([*fields, T.StructField("rare", T.ArrayType(pair))])))
     # rare tokens by definition have no hot key; one row's places are bounded by its length
-    rest = vocab.where(F.col("id") > head + SEP)
+    rest = vocab.where(F.col("id") > last)
     found = known.select(key, F.explode("rare").alias("r")).select(key, "r.place", "r.token").join(rest, "token", "left")
     found = found.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("place", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("_m")
+        F.map_from_entries(F.collect_list(F.struct("place", F.coalesce("id", F.lit(UNK).cast("bigint")).alias("id")))).alias("_m")
     )
     filled = F.transform("ids", lambda x, i: F.when(x == -1, F.element_at("_m", i + 1)).otherwise(x))
     out = known.join(found, key, "left")
@@ -116,6 +131,6 @@ def pad(enc: DataFrame, key: str) -> DataFrame:
     fill = m - F.size("ids")
     return enc.select(
         key,
-        F.concat("ids", F.array_repeat(F.lit(PAD), fill)).alias("input_ids"),
+        F.concat("ids", F.array_repeat(F.lit(PAD).cast("bigint"), fill)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), fill)).alias("attention_mask"),
     )

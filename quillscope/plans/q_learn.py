@@ -575,11 +575,13 @@ def _forward_sql(name: str, inputs: str, w: str, where: str = "true") -> list[st
     ]
 
 
-def _shared_train_sql(weights: list[float | None], epochs: int, batches: int, run: str = "t") -> tuple[list[str], str]:
-    """CTEs of a training with a front block over ``tt`` (rows) and ``xv`` (their input values), and the last weights' name."""
+def _shared_train_sql(weights: list[float | None], epochs: int, batches: int, run: str = "t", start: str | None = None) -> tuple[list[str], str]:
+    """CTEs of a training with a front block over ``tt`` (rows) and ``xv`` (their input values), and the last weights' name.
+    ``start``: weights to go on from."""
     heads = [(h, w) for h, w in zip(("main", "aux_block0", "aux_block1"), weights) if w is not None]
     aux = [w is not None for w in weights[1:]]
-    out = [f"{run}_w0 AS MATERIALIZED ({_weights_sql(LN.Heads.init(aux, shared=SHARED))})"]
+    first = _weights_sql(LN.Heads.init(aux, shared=SHARED)) if start is None else f"SELECT h, i, w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM {start}"
+    out = [f"{run}_w0 AS MATERIALIZED ({first})"]
     factor = "CASE {} " + " ".join(f"WHEN '{h}' THEN {w}" for h, w in heads) + " ELSE 1.0 END"
     p, step = "least(greatest(1 / (1 + exp(-z)), 1e-8), 1 - 1e-8)", 0
     for e in range(epochs):
@@ -657,6 +659,25 @@ def train_shared_weights(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tensor", F.when(F.col("tensor").endswith(".b"), bias).otherwise(F.col("i")).cast("int").alias("i"), "value")
 
 
+def _resume_sql() -> str:
+    first, last = _shared_train_sql([1.0, 0.5, None], 1, 2, "a")
+    more, _ = _shared_train_sql([1.0, 0.5, None], 1, 2, "b", last)
+    history = _history_sql("resumed").replace("FROM ep", "FROM b_ep")
+    return "WITH " + ",\n".join(_shared_rows_sql() + first + more) + " " + history
+
+
+@register("resume_training", sql=_resume_sql(), doubles=("loss",))
+def resume_training(spark: SparkSession, d: str) -> DataFrame:
+    """A model is read from its checkpoint's table, checked for the heads that the weights need, and trained further."""
+    table, weights = _train_table(spark, d), LN.parse_weights("1.0,0.5")
+    how = {"epochs": 1, "batches_per_epoch": 2, "lr": LR}
+    ck = spark.read.parquet(LN.train(table, weights, run="first", shared=SHARED, **how).checkpoint_path)
+    if LN.missing_heads(ck, weights):
+        raise ValueError("the checkpoint has no head for a weighted task")
+    res = LN.train(table, weights, run="resumed", heads=LN.load_checkpoint(ck, "first", 0), checkpoint=False, **how)
+    return _history_df(spark, res.history)
+
+
 ABLATION = {"main": "1.0", "aux1": "1.0,0.5", "aux2": "1.0,,0.5", "aux12": "1.0,0.5,0.5"}
 
 

@@ -37,7 +37,7 @@ def test_oracle_sf0001(spark, name):
 # builders that run whole trainings / ML fits while building (their plans read small results)
 TRAINING = {
     "sentiment", "sentiment_attach", "model_ablation", "train_multitask", "validation_loss",
-    "train_shared", "train_shared_weights", "stream_text_verdicts",
+    "train_shared", "train_shared_weights", "resume_training", "stream_text_verdicts",
     "train_checkpoints", "loss_history", "checkpoint_heads",
 }
 
