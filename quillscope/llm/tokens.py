@@ -5,7 +5,7 @@ pre-token: a run of spaces and the characters up to the next space. A first pass
 each task's heavy hitters (Misra-Gries summaries of all its pre-tokens, at most ``SUMMARY``
 rows a task); the ``FREQUENT`` most frequent ones are encoded once and broadcast with their
 lengths. The counting pass looks pre-tokens up there, then in a bounded cache of the worker,
-and encodes what neither has. Pre-tokens are never shuffled, and the tables only save work:
+and encodes what neither has. Texts are never shuffled, only these summaries are, and the tables only save work:
 the counts don't depend on them.
 """
 
