@@ -115,26 +115,28 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of least rank, the leftmost of equals, is joined until none has a rank.
 
     Parts are linked by their first bytes: ``after[i]`` is where the part at i ends, 0 once it is
-    joined to the one before. An entry of the heap counts only if its pair still stands.
+    joined to the one before. An entry of the heap, (rank, begin, border, end), counts only if its pair still stands.
     """
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     rank = ranks.get
-    heap = [(r, i) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        r, i = heapq.heappop(heap)
-        j = after[i]
-        if not 0 < j < n or rank(piece[i : after[j]]) != r:
+        _, i, j, k = pop(heap)
+        if after[i] != j or after[j] != k:
             continue
-        k = after[i] = after[j]
-        after[j] = 0
+        after[i], after[j] = k, 0
         if k < n:
             before[k] = i
-            if (r := rank(piece[i : after[k]])) is not None:
-                heapq.heappush(heap, (r, i))
-        if (p := before[i]) >= 0 and (r := rank(piece[p:k])) is not None:
-            heapq.heappush(heap, (r, p))
+            end = after[k]
+            if (r := rank(piece[i:end])) is not None:
+                push(heap, (r, i, k, end))
+        if i:
+            p = before[i]
+            if (r := rank(piece[p:k])) is not None:
+                push(heap, (r, p, i, k))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
