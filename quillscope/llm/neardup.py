@@ -13,8 +13,10 @@ components. In each draw every open bucket, one whose members are in more than o
 leader that is compared with the members outside its component: first the member with most company
 in all its buckets, then others by a hash. In some draws a bucket's members are parted by further bands
 first, a leader for each part, so that a few like texts find each other among many unlike ones. A draw
-compares a member with one leader, so pairs grow with the rows, not with the square of a bucket. Open buckets of
-few members are settled pair by pair at the end. A link stands if the exact weighted Jaccard
+compares a member with one leader, so pairs grow with the rows, not with the square of a bucket. Buckets that
+are still open are settled exactly at the end: those of few members pair by pair, the members of wide ones by a
+prefix join that loses no pair at the threshold (a text's rarest shingles, of which two like texts share one, with
+bounds by size and place). A link stands if the exact weighted Jaccard
 similarity is at least the threshold; classes are the connected components of the links.
 """
 
@@ -36,6 +38,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares no band with probability 5e-5
 ROUNDS = ((0,), (0, 1, 1), (0, 0, 0, 1, 1, 2, 2, 2))  # draws of each round: further bands that part a bucket
 FEW = 32  # members of an open bucket that is settled pair by pair: at most 16 pairs a member
+BLOCK = 1000  # rows of a prefix's key in one block of the join
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
 
@@ -171,10 +174,77 @@ def linked(members: DataFrame, bands: DataFrame, texts: DataFrame, threshold: fl
         leaders = small(stored(leaders.where("x != y").select("sub", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root")), "leaders"))
         parts = with_links(parts, parted.join(leaders, "sub").where("root != lead_root"), texts, threshold, size)
     rows = open_buckets(rows, parts)
-    few = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= FEW).select("key"), "few")
-    rows = rows.join(small(few), "key").select("key", "node", "root")
-    other = rows.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    return with_links(parts, rows.join(other, "key").where("node < lead and root != lead_root"), texts, threshold, size)
+    if rows.isEmpty():
+        return parts
+    few = small(stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= FEW).select("key"), "few"))
+    pairs = rows.join(few, "key").select("key", "node", "root")
+    other = pairs.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    parts = with_links(parts, pairs.join(other, "key").where("node < lead and root != lead_root"), texts, threshold, size)
+    wide = open_buckets(rows.join(few, "key", "left_anti"), parts).select("node").distinct()
+    return settled(wide, parts, texts, threshold, size)
+
+
+def multisets(texts: pa.Array, size: int) -> pa.Array:
+    """The shingles of each text as a set of hashes: further occurrences of a shingle are elements of their own."""
+    r, h = shingles(Words(text_array(texts)), size)
+    key = mix(h + mix(r.astype(np.uint64) + _GOLD))
+    order = np.argsort(key, kind="stable")
+    place = np.arange(len(key))
+    again = np.zeros(len(key), bool)
+    again[1:] = key[order[1:]] == key[order[:-1]]
+    nth = np.empty(len(key), np.uint64)
+    nth[order] = place - np.maximum.accumulate(np.where(again, 0, place))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(texts)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(mix(h + nth * _GOLD).view(np.int64)))
+
+
+def prefixes(texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """``(key, node, at, size)``: the rarest shingles of each of the texts ``(node, text)``, so many that any two
+    texts of the threshold's similarity share one; those of one text only are left out. ``at``: the place in the
+    order from rare to frequent, ``size``: the text's shingles. Written.
+    """
+    field = T.StructField("keys", T.ArrayType(T.LongType()))
+    own = stored(map_text(texts, "text", [field], lambda: lambda t: [multisets(t, size)], keep=["node"]), "elements")
+    each = own.select("node", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    rows = each.join(small(shared), "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("e"))
+    alone = F.col("size") - F.size("e")
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1 - alone  # an overlap has size * threshold elements
+    rows = rows.select("node", "size", alone.alias("alone"), F.posexplode(F.slice("e", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "e"))
+    return stored(rows.select(F.col("e.key").alias("key"), "node", (F.col("at") + F.col("alone")).alias("at"), "size"), "prefixes")
+
+
+def settled(nodes: DataFrame, parts: DataFrame | None, texts: DataFrame, threshold: float, size: int) -> DataFrame | None:
+    """The components with all links between the nodes that are in different ones.
+
+    A key's rows of the component that has most of them are never compared with each other, and the rows
+    are dealt over blocks. First each text is compared with one text of each other component, then with all that are
+    still in another.
+    """
+    nodes = stored(nodes, "wide")
+    if nodes.isEmpty():
+        return parts
+    rows = prefixes(texts.join(small(nodes), "node", "left_semi"), threshold, size)
+    for one in (True, False):
+        rooted = stored(rows.withColumn("root", F.col("node")) if parts is None else with_component(rows, parts), "prefix-roots")
+        per = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+            F.max_by("root", "n").alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y")
+        )
+        per = stored(per.where("x != y").select("key", "main", "blocks"), "prefix-keys")
+        open_ = stored(rooted.join(small(per), "key"), "prefix-open")
+        x = open_.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "at", "size", "main")
+        y = open_.select(
+            "key", F.pmod(F.hash("node"), F.col("blocks")).alias("block"),
+            F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("at").alias("lead_at"), F.col("size").alias("lead_size"),
+        )
+        # the first shingle that two texts share bounds what they can share in all
+        most = F.least(F.col("size") - F.col("at"), F.col("lead_size") - F.col("lead_at"))
+        enough = most >= F.ceil((F.col("size") + F.col("lead_size")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+        pairs = x.join(y, ["key", "block"]).where("root != lead_root and (lead_root = main or node < lead)").where(enough)
+        if one:
+            pairs = pairs.groupBy("node", "lead_root").agg(F.min("lead").alias("lead"))
+        parts = with_links(parts, pairs.select("node", "lead"), texts, threshold, size)
+    return parts
 
 
 def draws(t: int, levels: tuple[int, ...]) -> list:

@@ -190,3 +190,19 @@ def test_near_copies_of_a_large_group_come_together(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["id"]: r["class_id"] for r in ND.near_duplicates(docs)[0].collect()}
     assert sum(got[i] != root[i] for i in range(400)) <= 1 and (sim >= 0.8).mean() < 0.9
+
+
+def test_wide_buckets_are_settled_exactly(spark):
+    """Pairs of like texts among many unlike ones in one bucket: all are found, also where only one text of a pair's component fits."""
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common = [word() for _ in range(40)]  # unlike texts share a third of their words
+    texts = [[word() for _ in range(80)] + common for _ in range(900)]
+    texts += [t[:77] + ["end"] * 3 + t[80:] for t in texts[:300]]
+    texts += [[word() for _ in range(12)] + t[12:] for t in texts[900:950]]  # like the edited text only
+    texts = [" ".join(t) for t in texts]
+    assert _plain_similarity(texts[900], texts[1200]) >= 0.8 > _plain_similarity(texts[0], texts[1200])
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(4)
+    members = spark.createDataFrame([(1, i, len(texts)) for i in range(len(texts))], "key long, node long, n long")
+    want = [[i, 900 + i, 1200 + i] if i < 50 else [i, 900 + i] for i in range(300)]
+    assert _groups(ND.linked(members, _bands(spark, texts), nodes, 0.8, 5)) == want
