@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillscope.functions import lexicon
 from quillscope.functions import text as X
+from quillscope.operators import bigrams as BG
 from quillscope.operators import features as FE
+from quillscope.operators import textmodel as TM
 from quillscope.plans import sqltext as S
 from quillscope.plans.registry import register
 from quillscope.sources import tables
@@ -304,6 +306,5 @@ def extended_conversations(spark: SparkSession, d: str) -> DataFrame:
 def bigram_top(spark: SparkSession, d: str) -> DataFrame:
     # a top-k report: the limit is the operator (planned as a distributed take-ordered)
     docs = tables.load(spark, d, "documents").where(F.col("text").isNotNull())
-    bg = docs.select(F.explode(X.bigrams(X.tokens("text"))).alias("bg"))
-    top = bg.groupBy("bg").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("bg")).limit(20)
+    top = BG.top_pairs(TM.written(docs.select(X.tokens("text").alias("tokens")), "bigram-tokens"), 20, X.BIGRAM_SEP)
     return top.select(F.replace("bg", F.lit(X.BIGRAM_SEP), F.lit(" ")).alias("bigram"), "n")

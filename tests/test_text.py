@@ -122,3 +122,23 @@ def test_noun_ratio_zero_tokens(spark):
     r = df.select(X.noun_ratio(X.tokens("text")).alias("nr")).first()
     assert r.nr == 0.0
     assert df.select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("first", [2, 5, 1000])
+def test_top_pairs_match_a_plain_count(spark, monkeypatch, first):
+    """Whether the first tokens settle it, the tokens that reach the bound do, or all pairs are counted by text."""
+    import random
+    from collections import Counter
+
+    from quillscope.operators import bigrams as BG
+
+    rng = random.Random(first)
+    rows = [[f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.choice([0, 1, 2, 40]))] for _ in range(200)] + [["x", "y"]] * 90
+    want = Counter(f"{a}\x01{b}" for r in rows for a, b in zip(r, r[1:]))
+    want = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:20]
+    tokens = spark.createDataFrame([(r,) for r in rows], "tokens array<string>")
+    monkeypatch.setattr(BG, "FIRST", first)
+    for most in (BG.MOST, 3):
+        monkeypatch.setattr(BG, "MOST", most)
+        assert [tuple(r) for r in BG.top_pairs(tokens, 20, "\x01").collect()] == want
+    assert BG.top_pairs(tokens.limit(0), 20, "\x01").count() == 0
