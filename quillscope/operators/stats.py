@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillscope.functions import tails
 from quillscope.operators import quantiles, ranking, scan
+from quillscope.operators.textmodel import written
 from quillscope.session import cut, ship_package
 
 CLASS_NAMES = {0: "Human", 1: "AI"}
@@ -347,7 +348,8 @@ def pearson_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     one row for each pair leaves it. ``r`` is null where a feature does not vary.
     """
     ship_package(df.sparkSession)
-    wide = df.select(*[_num(F.col(f)).alias(f) for f in features])
+    # written once: the means and the products read numbers, not the texts that these come from
+    wide = written(df.select(*[_num(F.col(f)).alias(f) for f in features]), "correlation-input")
     middle = wide.agg(*[F.avg(f).alias(f) for f in features]).first()  # one row
     centre = [middle[f] or 0.0 for f in features]
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]

@@ -71,3 +71,16 @@ def test_separately_scored_models_meet_without_an_exchange(spark):
 def test_oracle(spark, name):
     ok, msg = compare(spark, duck(SF001), SF001, name, E.queries()[name], E.oracle_sql()[name])
     assert ok, msg
+
+
+def test_the_correlation_matrix_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(0, 50, 1, 2).selectExpr("id * 1.0D as a", "id * id * 1.0D as b").mapInPandas(count, "a double, b double")
+    assert stats.pearson_matrix(df, ["a", "b"]).count() == 3
+    assert seen.value == 50
