@@ -23,6 +23,8 @@ from quillscope.session import scratch_path
 HEAD_BYTES = 32 << 20  # token rows that are broadcast
 ROW_BYTES = 48  # what a row costs beside its token and weights
 CLASSES = 1000  # labels at most
+LABEL_ROWS = 500_000  # labels that are broadcast at most: 16 bytes each
+PARTS = 4  # parts of an exchange for each split of the tokens, as rows are larger there than in files
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,7 +66,11 @@ def fit_text_model(tokens: DataFrame, labels: DataFrame, label: str, key: str =
     classes = sorted(r["_y"] for r in labelled.join(tokens.select(key), key).select("_y").distinct().limit(CLASSES + 1).collect())
     if len(classes) > CLASSES:
         raise ValueError(f"more than {CLASSES} classes")
-    rows = tokens.join(labelled, key, "left")
+    if labelled.count() <= LABEL_ROWS:
+        rows = tokens.join(F.broadcast(labelled), key, "left")
+    else:  # the tokens move: as many parts as their size asks for
+        parts = PARTS * tokens.rdd.getNumPartitions()
+        rows = tokens.repartition(parts, key).join(labelled.repartition(parts, key), key, "left")
     docs = rows.groupBy("_y").agg(F.count("*").alias("n")).where("_y is not null").collect()
     n_docs = {r["_y"]: r["n"] for r in docs}
     occurs = F.array(*[F.count(F.when(F.col("_y") == y, 1)) for y in classes]) if classes else F.array().cast("array<bigint>")

@@ -56,12 +56,10 @@ def text_verdicts(
         session = batch.sparkSession
         version = newest(session, models)
         model = TM.load_text_model(session, f"{models}/version={version}")
-        tokens = batch.where(F.col("text").isNotNull()).select("doc_id", X.tokens("text").alias("tokens")).persist()
-        try:
-            rows = verdict_rows(tokens, model, positive=positive).withColumn("model_version", F.lit(version))
-            rows.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        finally:
-            tokens.unpersist()
+        # written, so that a task reads a bounded part of the tokens, however the texts were split
+        tokens = TM.written(batch.where(F.col("text").isNotNull()).select("doc_id", X.tokens("text").alias("tokens")), "stream-tokens")
+        rows = verdict_rows(tokens, model, positive=positive).withColumn("model_version", F.lit(version))
+        rows.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     stream = table_stream(spark, table, DOCUMENT_SCHEMA, files_per_trigger)
     q = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
