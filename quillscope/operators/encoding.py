@@ -25,6 +25,19 @@ from quillscope.session import cut
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 # --- end of fixed values ---
 HEAD_BYTES = 16 << 20  # of the most frequent tokens and their ids, broadcast
+BATCH_ROWS = 1000  # rows of one Arrow batch
+SLICE_TOKENS = 1 << 19  # tokens handled at once in a Python worker (a longer single row is one slice)
+
+
+def slices(tokens: pa.Array, limit: int = SLICE_TOKENS) -> list[tuple[int, int]]:
+    """Row ranges ``[a, b)`` of a list column with at most ``limit`` tokens in all, or of one row."""
+    ends = tokens.offsets.to_numpy()[1:].astype("int64")
+    out, a, before = [], 0, int(tokens.offsets[0].as_py())
+    while a < len(tokens):
+        b = max(a + 1, int(ends.searchsorted(before + limit, "right")))
+        out.append((a, b))
+        a, before = b, int(ends[b - 1])
+    return out
 
 
 def vocabulary(corpus_tokens: DataFrame, size: int | None = None) -> DataFrame:
@@ -46,7 +59,7 @@ def _lookup(vocab_bc, key: str, missing: int):
 
         words, ids_arr = vocab_bc.value
         value_set = None
-        for b in batches:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in slices(whole.column("_t"))):
             toks = b.column("_t")
             if value_set is None:
                 value_set = words.cast(toks.type.value_type)
@@ -98,6 +111,7 @@ def encode(
     The vocabulary is fitted on the whole, untruncated input; with ``size`` it is cut and the rest is UNK.
     """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # bounds the memory of a Python worker
     tokens = written(df.select(key, X.tokens(text).alias("_t")), "encode-tokens")
     vocab = cut(vocabulary(tokens.select(F.explode("_t").alias("token")), size))
     kinds, last = vocab.count(), head_size(vocab, head_bytes)

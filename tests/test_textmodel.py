@@ -189,3 +189,26 @@ def test_oracle(spark, name):
 def test_ablation_differs(spark):
     rows = E.queries()["model_ablation"](spark, SF001).collect()
     assert len(rows) == 6 and all(r["mean_diff"] != 0 and r["t"] is not None for r in rows)
+
+
+def test_the_fit_does_not_depend_on_how_labels_are_joined(spark, monkeypatch):
+    rows = [(i, [f"w{j}" for j in range(i % 7)]) for i in range(60)]
+    tokens = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(0, 60, 3)], "doc_id long, y double")
+    out = []
+    for most in (TM.LABEL_ROWS, -1):
+        monkeypatch.setattr(TM, "LABEL_ROWS", most)
+        m = TM.fit_text_model(tokens, labels, "y")
+        out.append((m.classes, m.prior, m.base, sorted(map(tuple, m.weights.collect()))))
+    assert out[0] == out[1]
+
+
+def test_token_rows_are_handled_in_slices():
+    import pyarrow as pa
+
+    from quillscope.operators.encoding import slices
+
+    lists = pa.array([["a"] * n for n in (3, 0, 2, 9, 1, 1)], pa.list_(pa.string()))
+    assert slices(lists, 5) == [(0, 3), (3, 4), (4, 6)]
+    assert slices(lists.slice(2), 5) == [(0, 1), (1, 2), (2, 4)]
+    assert slices(lists.slice(0, 0), 5) == []
