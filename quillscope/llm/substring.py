@@ -1,12 +1,14 @@
-"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
+"""Substring dedup: passages that repeat across documents, by bottom-k MinHash sketches of paragraphs.
 
 Repeated passages seldom begin where a line does, so paragraphs are cut by content: in every
 stretch of ``WINDOW`` consecutive five-word shingles the one of least hash begins a paragraph of
 ``UNIT`` words (paragraphs may overlap). Equal passages of ``WINDOW + UNIT`` words or more thus
-share a whole paragraph wherever they stand. Paragraphs get MinHash signatures over their
-shingles, one row in a band for high recall, and a key of the whole paragraph; of the paragraphs
-that collide, the first document's leads and is compared with those of other documents by exact
-Jaccard similarity, never all with all. A paragraph linked to one of an earlier document is removed and
+share a whole paragraph wherever they stand. Equal paragraphs collapse first: the earliest document's
+stays, and only one row of each content goes on. All contents have as many shingles, so two that meet
+the threshold share one of their few least shingle hashes (bottom-k MinHash) and differ in few
+shingles, hence in few bits of a sketch of parities. Both tests lose no pair; what passes them is
+compared by exact Jaccard similarity. In buckets of very frequent shingles the rarest shingles
+take the place of those of least hash. A paragraph linked to one of an earlier document is removed and
 spans of removed paragraphs are merged; documents that share passages are clustered by components.
 
 Exact copies of a text collapse first: all later copies are removed where the text holds paragraphs.
@@ -20,34 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillscope.llm.common import Words, chunks, map_text, mix, prepare, shingles, stored, text_array
-from quillscope.llm.components import connected_components, small
-from quillscope.llm.neardup import buckets, verified, with_component
+from quillscope.llm.common import Words, chunks, map_text, mix, prepare, stored, text_array
+from quillscope.llm.components import BROADCAST_ROWS, connected_components, small
+from quillscope.llm.neardup import prefixes, verified, with_component
+from quillscope.operators.idfilter import maybe_in
 
 SHINGLE = 5
 WINDOW = 20  # shingles of which one begins a paragraph
 UNIT = 30  # words of a paragraph
-BANDS, ROWS = 2, 1  # a pair of similarity 0.8 shares no band with probability 0.04; equal ones have a key of their own
-ROUNDS = 4  # coordinates by which paragraphs that no leader took are parted further
+COUNT = UNIT - SHINGLE + 1  # shingles of a paragraph
+WIDE = 256  # contents of a bucket that is joined as it is, and of a block of wider ones
 THRESHOLD = 0.8
 SHIFT = 25  # bits of a paragraph's number in its document: a string can't hold more words
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
-FIELDS = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("starts", T.ArrayType(T.IntegerType())),  # first word of each paragraph
-    T.StructField("keys", T.ArrayType(T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("key", T.LongType())]))),
-]
-
 
 def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Rows and first words (in the chunk) of all paragraphs; ordered."""
     n = len(words.hash)
     if n < WINDOW + SHINGLE:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
-        h[: n - j] = h[: n - j] * _GOLD + words.hash[j:]
+    h = shingle_hashes(words)
     # the least shingle of each window, by doubling; the low bits hold its place
     least = (mix(h) & ~np.uint64(0xFFFFFFF)) | np.arange(n, dtype=np.uint64)
     size = 1
@@ -63,41 +58,65 @@ def paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.row[at], at
 
 
-def min_hashes(words: Words, at: np.ndarray, k: int) -> np.ndarray:
-    """``k`` MinHash values of the shingles of each paragraph."""
+def shingle_hashes(words: Words) -> np.ndarray:
+    """A hash of the ``SHINGLE`` words from each word of the chunk on."""
     n = len(words.hash)
     h = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         h[: n - j] = h[: n - j] * _GOLD + words.hash[j:]
-    out = np.empty((len(at), k), np.uint64)
-    count = UNIT - SHINGLE + 1
-    for c in range(k):
-        least, size = mix(h + np.uint64((c + 1) * int(_GOLD) % 2**64)), 1
-        while size * 2 <= count:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        least = np.minimum(least[: len(least) - (count - size)], least[count - size :])
-        out[:, c] = least[at]
-    return out
-
-
-def paragraph_keys(texts: pa.Array) -> list[pa.Array]:
+    return h
+
+
+def elements(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``(len(at), COUNT)`` hashes of the shingles of each paragraph, ascending before they are mixed; further
+    occurrences of a shingle are elements of their own."""
+    m = np.sort(h[at[:, None] + np.arange(COUNT)], axis=1)
+    if (m[:, 1:] == m[:, :-1]).any():
+        nth = np.zeros(m.shape, np.uint64)
+        for j in range(1, COUNT):
+            nth[:, j] = np.where(m[:, j] == m[:, j - 1], nth[:, j - 1] + np.uint64(1), np.uint64(0))
+        m = m + nth * (_GOLD ^ np.uint64(0x5555))
+    return mix(m + _GOLD)
+
+
+def min_hashes(words: Words, at: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least hashes of the shingles of each paragraph."""
+    return np.sort(elements(shingle_hashes(words), at), axis=1)[:, :k]
+
+
+def differing(threshold: float) -> int:
+    """How many shingles of a paragraph may be missing in another one of this similarity."""
+    return min(COUNT - int(np.ceil(threshold / (1 + threshold) * 2 * COUNT - 1e-9)), COUNT - 1)
+
+
+def content_fields(k: int) -> list[T.StructField]:
+    names = ["whole", "sketch", *[f"least{i}" for i in range(k)]]
+    return [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("starts", T.ArrayType(T.IntegerType())),  # first word of each paragraph
+        T.StructField("keys", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in names]))),
+    ]
+
+
+def paragraph_keys(texts: pa.Array, k: int) -> list[pa.Array]:
+    """For each paragraph a key of the whole, the parities of its shingles' hashes by their low bits, and the ``k`` least hashes."""
     words = Words(texts)
     row, at = paragraphs(words)
     per = np.bincount(row, minlength=len(texts))
     offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
     starts = pa.ListArray.from_arrays(offsets, pa.array((at - words.first[row]).astype(np.int32)))
-    keys = np.zeros((len(at), BANDS + 1), np.uint64)
-    if len(at):
-        sig = min_hashes(words, at, BANDS * ROWS)
-        for r in range(ROWS):
-            keys[:, :BANDS] = keys[:, :BANDS] * _GOLD + sig[:, r * BANDS : (r + 1) * BANDS]
-        for j in range(UNIT):  # the last key: the whole paragraph
-            keys[:, BANDS] = keys[:, BANDS] * _GOLD + words.hash[at + j]
-        keys = mix(keys + np.arange(BANDS + 1, dtype=np.uint64))
-    unit = np.repeat(np.arange(len(at)) - offsets[row], BANDS + 1).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(unit), pa.array(keys.ravel().view(np.int64))], names=["unit", "key"])
-    return [pa.array(words.count, pa.int64()), starts, pa.ListArray.from_arrays(offsets * (BANDS + 1), pairs)]
+    keys = np.zeros((len(at), 2 + k), np.uint64)
+    h = shingle_hashes(words)
+    for j in range(UNIT):
+        keys[:, 0] = keys[:, 0] * _GOLD + words.hash[at + j]
+    keys[:, 0] = mix(keys[:, 0])
+    for a in range(0, len(at), 1 << 14):
+        m = elements(h, at[a : a + (1 << 14)])
+        keys[a : a + len(m), 1] = np.bitwise_xor.reduce(np.uint64(1) << (m & np.uint64(63)), axis=1)
+        keys[a : a + len(m), 2:] = np.partition(m, k - 1, axis=1)[:, :k]
+    names = [f.name for f in content_fields(k)[2].dataType.elementType]
+    units = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i in range(2 + k)], names=names)
+    return [pa.array(words.count, pa.int64()), starts, pa.ListArray.from_arrays(offsets, units)]
 
 
 def paragraph_texts(docs: DataFrame) -> DataFrame:
@@ -122,43 +141,68 @@ def paragraph_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "units", "text").mapInArrow(run, "node long, text string")
 
 
-def unit_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified links ``(a, b)`` of paragraphs of different documents in the buckets ``(key, node, n)``.
+def like(rows: DataFrame, errors: int, also: str = "true") -> DataFrame:
+    """Pairs ``(a, b)`` of contents that share a key of ``rows`` (``key, node, sketch, n`` and what ``also`` reads),
+    of which a's document is earlier and whose sketches allow the threshold. A wide bucket is dealt over blocks.
+    """
+    blocks = F.ceil(F.col("n") / WIDE).cast("int")
+    others = [c for c in rows.columns if c not in ("key", "n")]
+    x = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"{c}_a") for c in others])
+    y = rows.select("key", F.pmod(F.hash("node"), blocks).alias("block"), *[F.col(c).alias(f"{c}_b") for c in others])
+    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 2 * errors
+    earlier = F.shiftright("node_a", SHIFT) < F.shiftright("node_b", SHIFT)
+    return x.join(y, ["key", "block"]).where(earlier & near & F.expr(also)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def counted(rows: DataFrame, name: str) -> DataFrame:
+    """The rows ``(key, node, sketch)`` of the buckets of several documents, with their number ``n``; written."""
+    doc = F.shiftright("node", SHIFT)
+    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(doc).alias("x"), F.max(doc).alias("y")).where("x != y")
+    return stored(rows.join(small(stored(several.select("key", "n"), "several")), "key"), name)
 
-    In each bucket the paragraph of the first document leads and the others are compared with it.
-    Those without a link to an earlier document stay together only as far as they agree in one
-    more MinHash coordinate, and the first of each such part leads it in the next round: bands of
-    one row, two rows and so on, so a bucket that many unrelated paragraphs share falls apart at once.
+
+def content_buckets(contents: DataFrame, shared: DataFrame, k: int, texts_of, threshold: float) -> DataFrame:
+    """Buckets ``(key, node, sketch, n)`` of contents, two of which share one if they meet the threshold.
+
+    ``shared``: the keys that several texts hold; others lead nowhere.
     """
-    doc = lambda c: F.shiftright(c, SHIFT)
-    used = BANDS * ROWS
-
-    def more(t: pa.Array) -> list[pa.Array]:
-        words = Words(text_array(t))
-        sig = min_hashes(words, words.first[:-1], used + ROUNDS)[:, used:]
-        return [pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * ROUNDS, pa.array(sig.ravel().view(np.int64)))]
-
-    field = T.StructField("sig", T.ArrayType(T.LongType()))
-    sigs = stored(map_text(texts, "text", [field], lambda: more, keep=["node"]), "coordinates")
-    links, rows = None, members
-    for t in range(ROUNDS + 1):
-        leaders = stored(rows.groupBy("key").agg(F.min("node").alias("lead")), "leaders")
-        pairs = rows.join(small(leaders), "key").where(doc("node") != doc("lead"))
-        pairs = stored(pairs.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        found = stored(verified(pairs, texts, threshold, SHINGLE), "links")
-        links = found if links is None else links.union(found)
-        if t == ROUNDS:
-            break
-        gone = stored(links.select(F.col("b").alias("node")).distinct(), "linked")
-        led = leaders.select("key", doc("lead").alias("_doc"))
-        left = rows.where("n > 2").select("key", "node", doc("node").alias("_doc"))
-        left = left.join(small(gone), "node", "left_anti").join(small(led), ["key", "_doc"], "left_anti")
-        left = stored(left.join(sigs, "node").select(F.xxhash64("key", F.col("sig")[t]).alias("key"), "node"), "left")
-        counts = left.groupBy("key").agg(F.min(doc("node")).alias("x"), F.max(doc("node")).alias("y"), F.count("*").alias("n"))
-        rows = stored(left.join(counts.where("x != y").select("key", "n"), "key"), "waiting")
-        if rows.isEmpty():
-            break
-    return links
+    keyed = contents.select("node", "sketch", F.explode(F.array(*[f"least{i}" for i in range(k)])).alias("key"))
+    if shared.count() > BROADCAST_ROWS:  # few other rows leave their task
+        keyed = maybe_in(keyed, shared, "key")
+    members = counted(stored(keyed.join(small(shared), "key").select("key", "node", "sketch"), "keyed"), "members")
+    wide = stored(members.where(F.col("n") > WIDE).select("node", "sketch").distinct(), "wide")
+    if wide.isEmpty():
+        return members
+    rarest = prefixes(texts_of(wide), threshold, SHINGLE).select("key", "node").join(wide, "node").select("key", "node", "sketch")
+    return members.where(F.col("n") <= WIDE).unionByName(counted(stored(rarest, "rarest"), "rare-members"))
+
+
+def unit_links(rows: DataFrame, errors: int, texts_of, threshold: float, components) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` of contents in the buckets ``rows``, a's document earlier, and the documents' components ``(node, root)``.
+
+    Each content that has a link to an earlier document is the ``b`` of one, and all links between documents count in the
+    components, though not all stand among the links: first a content is compared with the first one like it,
+    then those that found none, and those whose documents are still apart, with all like them.
+    """
+    pairs = like(rows, errors)
+    ends = F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("lead")), F.struct(F.col("a").alias("node"), F.lit(None).cast("bigint").alias("lead")))
+    first = stored(pairs.select(F.inline(ends)).groupBy("node").agg(F.min("lead").alias("lead")), "like")
+    pairs = first.where("lead is not null").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = stored(verified(pairs, texts_of(first), threshold, SHINGLE), "links")
+    parts = components(links)
+    doc = F.shiftright("node", SHIFT)
+    gone = links.select(F.col("b").alias("node"), F.lit(True).alias("gone")).distinct()
+    rest = first.join(small(stored(gone, "linked")), "node", "left").select("node", (F.col("gone").isNull() & F.col("lead").isNotNull()).alias("due"), doc.alias("doc"))
+    rest = stored(with_component(rest, parts, "doc"), "rest")
+    rows = stored(rows.select("key", "node", "sketch").join(small(rest.select("node", "due", "root")), "node"), "rest-rows")
+    open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.max("due").alias("due"))
+    rows = stored(rows.join(small(stored(open_.where("n > 1 and (due or x != y)").select("key", "n"), "open")), "key"), "open-rows")
+    pairs = stored(like(rows, errors, "due_b or root_a != root_b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return links, parts
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    more = stored(verified(pairs, texts_of(nodes), threshold, SHINGLE), "more-links")
+    return (links, parts) if more.isEmpty() else (links.union(more), components(more, parts))
 
 
 def dense(df: DataFrame, out: str) -> DataFrame:
@@ -186,34 +230,54 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     prepare(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.md5(f"`{text_col}`").alias("digest"), F.col(f"`{text_col}`").alias("text"))
-    signed = map_text(own, "text", FIELDS, lambda: paragraph_keys, keep=["id", "digest"])
+    errors = differing(threshold)
+    k = errors + 1
+    signed = map_text(own, "text", content_fields(k), lambda: lambda t: paragraph_keys(t, k), keep=["id", "digest"])
     signed = stored(signed.withColumn("rid", F.monotonically_increasing_id()), "paragraphs")
     rows = dense(signed, "doc")
     narrow = stored(rows.where("size(starts) > 0").select("doc", "digest", "id"), "documents")
     firsts = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     copies = stored(narrow.join(small(stored(firsts.where("n > 1"), "copied")), "digest").where("doc != first").select("doc", "first"), "copies")
     # paragraphs of the first document of each text
-    whole = rows.where("size(starts) > 0").join(small(copies.select("doc")), "doc", "left_anti")
-    keyed = whole.select("doc", F.explode("keys").alias("k")).select(
-        F.col("k.key").alias("key"), (F.shiftleft("doc", SHIFT) + F.col("k.unit")).alias("node")
-    )
-    members = buckets(keyed, SHIFT)
-    units = members.select("node").distinct().groupBy(F.shiftright("node", SHIFT).alias("doc")).agg(
-        F.collect_list(F.col("node").bitwiseAND((1 << SHIFT) - 1)).alias("units")
-    )
-    units = stored(units, "units")
-    needed = stored(units.select("doc").join(narrow.select("doc", "digest"), "doc"), "needed")
-    # equal texts are copies: any one row of each digest serves
-    text = own.select("digest", "text").join(small(needed), "digest").groupBy("doc").agg(F.any_value("text").alias("text"))
-    text = text.join(units, "doc")
-    pieces = stored(paragraph_texts(text), "pieces")
-    links = unit_links(members, pieces, threshold)
-    # links go from the greater to the lesser document: nodes are ordered by document
-    gone = links.select(F.greatest("a", "b").alias("node")).distinct().groupBy(F.shiftright("node", SHIFT).alias("doc")).agg(
-        F.collect_list(F.col("node").bitwiseAND((1 << SHIFT) - 1).cast("int")).alias("gone")
+    whole = rows.where("size(starts) > 0").join(small(copies.select("doc")), "doc", "left_anti").select("doc", "keys")
+    each = whole.select("doc", F.posexplode("keys").alias("unit", "k")).select((F.shiftleft("doc", SHIFT) + F.col("unit")).alias("node"), "k.*")
+    key = ["whole", "sketch"]  # 128 bits: equal ones are the same paragraph
+    contents = each.groupBy(*key).agg(
+        F.min("node").alias("node"), F.shiftright(F.max("node"), SHIFT).alias("last"), *[F.any_value(f"least{i}").alias(f"least{i}") for i in range(k)]
     )
-    edges = links.select(F.shiftright("a", SHIFT).alias("a"), F.shiftright("b", SHIFT).alias("b")).union(copies.select("first", "doc"))
-    parts = stored(connected_components(stored(edges.distinct(), "doc-links"), "a", "b"), "doc-parts")
+    contents = stored(contents, "contents")
+    repeated = stored(contents.where(F.shiftright("node", SHIFT) != F.col("last")).select(*key, F.shiftright("node", SHIFT).alias("lead")), "repeated")
+    doc, unit = F.shiftright("node", SHIFT), F.col("node").bitwiseAND((1 << SHIFT) - 1).cast("int")
+    equal = each.select(*key, doc.alias("doc"), unit.alias("unit")).join(small(repeated), key).where("doc != lead").select("doc", "unit", "lead")
+    equal = stored(equal, "equal")
+    edges = stored(equal.select("lead", "doc").union(copies.select("first", "doc")).distinct().toDF("a", "b"), "equal-docs")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """``(node, text)`` of the paragraphs of the written ``nodes``."""
+        units = nodes.groupBy(doc.alias("doc")).agg(F.collect_list(unit).alias("units")).join(narrow.select("doc", "digest"), "doc")
+        units = stored(units, "needed")
+        text = own.select("digest", "text")
+        if units.count() > BROADCAST_ROWS:  # few other texts leave their task
+            text = maybe_in(text, units.select("digest"), "digest")
+        # equal texts are copies: any one row of each digest serves
+        text = text.join(small(units.select("doc", "digest")), "digest").groupBy("doc").agg(F.any_value("text").alias("text"))
+        return stored(paragraph_texts(text.join(units.select("doc", "units"), "doc")), "pieces")
+
+    def components(links: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        own_edges = links.select(F.shiftright("a", SHIFT).alias("a"), F.shiftright("b", SHIFT).alias("b")).distinct()
+        known = edges if parts is None else parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return stored(connected_components(stored(own_edges.union(known), "doc-links"), "a", "b"), "doc-parts")
+
+    least = F.flatten(F.transform("keys", lambda x: F.array(*[x[f"least{i}"] for i in range(k)])))  # once a text: its paragraphs overlap
+    shared = whole.select(F.explode(F.array_distinct(least)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    shared = stored(shared.where("n > 1").select("key"), "shared-keys")
+    buckets = content_buckets(contents, shared, k, texts_of, threshold)
+    links, parts = unit_links(buckets, errors, texts_of, threshold, components)
+    linked = stored(contents.join(small(stored(links.select(F.col("b").alias("node")).distinct(), "gone")), "node").select(*key), "gone-contents")
+    gone = equal.select("doc", "unit")
+    if not linked.isEmpty():
+        gone = gone.union(each.select(*key, doc.alias("doc"), unit.alias("unit")).join(small(linked), key).select("doc", "unit"))
+    gone = gone.groupBy("doc").agg(F.collect_set("unit").alias("gone"))
     named = with_component(narrow.select("id", F.col("doc").alias("node")), parts)
     heads = named.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
     classes = stored(named.join(small(stored(heads, "heads")), "root").select(F.col("node").alias("doc"), "class_id"), "classes")

@@ -74,3 +74,37 @@ def test_min_hash_matches_plain_minimum():
     sig = SD.min_hashes(words, np.array([0, 7]), 3)
     again = SD.min_hashes(Words(pa.array([" ".join(_text(random.Random(1), 90)[7:])])), np.array([0]), 3)
     assert (sig[1] == again[0]).all() and (sig[0] != sig[1]).any()
+
+
+def test_every_link_counts(spark, monkeypatch):
+    """Against all pairs of paragraphs: removed spans and classes of a chain of edits, also where buckets count as wide."""
+    from collections import Counter
+
+    rng = random.Random(21)
+    base = [_text(rng, 140) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        w = list(base[i % 3])
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    words = Words(pa.array([t for _, t in rows]))
+    row, at = SD.paragraphs(words)
+    flat = [x for _, t in rows for x in t.split()]
+    sets = [Counter(tuple(flat[a + j : a + j + SD.SHINGLE]) for j in range(SD.COUNT)) for a in at.tolist()]
+    removed, root = {i: set() for i, _ in rows}, list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for b in range(len(at)):
+        for a in range(b):
+            both = sum((sets[a] & sets[b]).values())
+            if row[a] != row[b] and both / (2 * SD.COUNT - both) >= SD.THRESHOLD:
+                start = int(at[b] - words.first[row[b]])
+                removed[int(row[b])] |= set(range(start, start + SD.UNIT))
+                x, y = sorted((find(int(row[a])), find(int(row[b]))))
+                root[y] = x
+    want = [(i, len(removed[i]), find(i)) for i, _ in rows]
+    assert len({c for *_, c in want}) > 3
+    for wide in (SD.WIDE, 5):
+        monkeypatch.setattr(SD, "WIDE", wide)
+        assert sorted((r["id"], r["n_removed"], r["class_id"]) for r in SD.repeated_passages(docs).collect()) == want
