@@ -10,8 +10,8 @@ weighted Jaccard similarity.
 
 Exact copies collapse first (MD5 of the text). Bands of the signatures give buckets, and links make
 components. In each draw every open bucket, one whose members are in more than one component, has a
-leader that is compared with the members outside its component: first the member with most company
-in all its buckets, then others by a hash. In some draws a bucket's members are parted by further bands
+leader that is compared with the members outside its component: the member with most company
+in all its buckets. In a second draw a bucket's members are parted by a further band
 first, a leader for each part, so that a few like texts find each other among many unlike ones. A draw
 compares a member with one leader, so pairs grow with the rows, not with the square of a bucket. Buckets that
 are still open are settled exactly at the end: those of few members pair by pair, the members of wide ones by a
@@ -36,8 +36,9 @@ from quillscope.llm.components import BROADCAST_ROWS, connected_components, smal
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares no band with probability 5e-5
-ROUNDS = ((0,), (0, 1, 1), (0, 0, 0, 1, 1, 2, 2, 2))  # draws of each round: further bands that part a bucket
+ROUNDS = ((0, 1),)  # draws of each round: further bands that part a bucket
 FEW = 32  # members of an open bucket that is settled pair by pair: at most 16 pairs a member
+SLOTS = 1 << 20  # counters of shingles that order them from rare to frequent: 8 MB
 BLOCK = 1000  # rows of a prefix's key in one block of the join
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -198,20 +199,64 @@ def multisets(texts: pa.Array, size: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(mix(h + nth * _GOLD).view(np.int64)))
 
 
+def slot_counts(elements: DataFrame, total: int) -> np.ndarray:
+    """How many elements of the written rows ``(node, keys)`` fall in each of ``total`` slots: counts that are never too low.
+
+    Each task counts its own; a slot is a row at most, so what reaches the driver is bounded.
+    """
+
+    def run(batches):
+        own = np.zeros(total, np.int64)
+        for batch in batches:
+            slot, n = np.unique(slots(flat_keys(batch.column(0))[0], total), return_counts=True)
+            own[slot] += n
+        for a in range(0, total, 1 << 16):
+            some = np.flatnonzero(own[a : a + (1 << 16)]) + a
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some])], names=["slot", "n"])
+
+    each = elements.select("keys").mapInArrow(run, "slot int, n long")
+    table = each.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(total, np.int64)
+    out[table["slot"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
+def slots(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(n)).astype(np.int64)
+
+
+def flat_keys(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a list column end to end, and how many each row has."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
 def prefixes(texts: DataFrame, threshold: float, size: int) -> DataFrame:
     """``(key, node, at, size)``: the rarest shingles of each of the texts ``(node, text)``, so many that any two
-    texts of the threshold's similarity share one; those of one text only are left out. ``at``: the place in the
-    order from rare to frequent, ``size``: the text's shingles. Written.
+    texts of the threshold's similarity share one; those known to be of one text only are left out. ``at``: the place in
+    the order from rare to frequent, ``size``: the text's shingles. Written.
+
+    Any one order of all shingles loses no pair; this one is by the counts of their slots, then by their hashes.
     """
     field = T.StructField("keys", T.ArrayType(T.LongType()))
     own = stored(map_text(texts, "text", [field], lambda: lambda t: [multisets(t, size)], keep=["node"]), "elements")
-    each = own.select("node", F.size("keys").alias("size"), F.explode("keys").alias("key"))
-    shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    rows = each.join(small(shared), "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("e"))
-    alone = F.col("size") - F.size("e")
-    first = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1 - alone  # an overlap has size * threshold elements
-    rows = rows.select("node", "size", alone.alias("alone"), F.posexplode(F.slice("e", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "e"))
-    return stored(rows.select(F.col("e.key").alias("key"), "node", (F.col("at") + F.col("alone")).alias("at"), "size"), "prefixes")
+    counts = texts.sparkSession.sparkContext.broadcast(slot_counts(own, SLOTS))
+
+    def run(batches):
+        often = counts.value
+        for batch in batches:
+            keys, sizes = flat_keys(batch.column(1))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            n = often[slots(keys, len(often))]
+            order = np.lexsort((keys, n, row))
+            at = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[row]
+            first = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1  # an overlap has size * threshold elements
+            keep = (at < first[row]) & (n[order] > 1)
+            made = [keys[order][keep], batch.column(0).to_numpy()[row[keep]], at[keep].astype(np.int32), sizes[row[keep]].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "node", "at", "size"])
+
+    return stored(own.mapInArrow(run, "key long, node long, at int, size int"), "prefixes")
 
 
 def settled(nodes: DataFrame, parts: DataFrame | None, texts: DataFrame, threshold: float, size: int) -> DataFrame | None:

@@ -206,3 +206,44 @@ def test_wide_buckets_are_settled_exactly(spark):
     members = spark.createDataFrame([(1, i, len(texts)) for i in range(len(texts))], "key long, node long, n long")
     want = [[i, 900 + i, 1200 + i] if i < 50 else [i, 900 + i] for i in range(300)]
     assert _groups(ND.linked(members, _bands(spark, texts), nodes, 0.8, 5)) == want
+
+
+def test_prefixes_make_few_rows_and_lose_no_pair(spark, monkeypatch):
+    """One large group of edited texts: no pass makes a row of each shingle, and like texts share a key, however few the counters."""
+    rng = random.Random(26)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string").coalesce(2)
+    sim = ND.similarity(pa.array([a for a in texts for _ in texts]), pa.array(texts * len(texts))).reshape(120, 120)
+    written, write = [], ND.stored
+    monkeypatch.setattr(ND, "stored", lambda df, name: written.append((name, write(df, name))) or written[-1][1])
+    for few in (None, 7):
+        if few:
+            monkeypatch.setattr(ND, "SLOTS", few)
+        keys = {}
+        for r in ND.prefixes(docs, 0.8, 5).collect():
+            assert r["size"] == 146 and r["at"] <= 29
+            keys.setdefault(r["node"], {})[r["key"]] = r["at"]
+        for i in range(120):
+            for j in range(i):
+                if sim[i, j] >= 0.8 and texts[i] != texts[j]:
+                    both = set(keys[i]) & set(keys[j])
+                    assert both and min(max(keys[i][k], keys[j][k]) for k in both) <= 29
+    assert all(t.count() <= 30 * 120 for _, t in written)
+
+
+def test_settling_takes_few_tables(spark, monkeypatch):
+    """Unlike texts in a wide bucket: the buckets are drawn over once, then settled."""
+    rng = random.Random(27)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) for _ in range(100)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string").coalesce(2)
+    members = spark.createDataFrame([(1, i, 100) for i in range(100)], "key long, node long, n long").coalesce(2)
+    written, write = [], ND.stored
+    monkeypatch.setattr(ND, "stored", lambda df, name: written.append(name) or write(df, name))
+    assert ND.linked(members, _bands(spark, texts), nodes, 0.8, 5) is None
+    assert written.count("parted") == 1 and len(written) < 32
