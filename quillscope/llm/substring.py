@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from quillscope.llm.common import Words, chunks, map_text, mix, prepare, stored, text_array
 from quillscope.llm.components import BROADCAST_ROWS, connected_components, small
-from quillscope.llm.neardup import prefixes, verified, with_component
+from quillscope.llm.neardup import multisets, prefixes, verified, with_component
 from quillscope.operators.idfilter import maybe_in
 
 SHINGLE = 5
@@ -33,6 +33,7 @@ UNIT = 30  # words of a paragraph
 COUNT = UNIT - SHINGLE + 1  # shingles of a paragraph
 WIDE = 256  # contents of a bucket that is joined as it is, and of a block of wider ones
 THRESHOLD = 0.8
+MORE = [f"sketch{i}" for i in range(1, 6)]  # further sketches of contents that have one like them
 SHIFT = 25  # bits of a paragraph's number in its document: a string can't hold more words
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,30 +182,45 @@ def unit_links(rows: DataFrame, errors: int, texts_of, threshold: float, compone
     """Links ``(a, b)`` of contents in the buckets ``rows``, a's document earlier, and the documents' components ``(node, root)``.
 
     Each content that has a link to an earlier document is the ``b`` of one, and all links between documents count in the
-    components, though not all stand among the links: first a content is compared with the first one like it,
-    then those that found none, and those whose documents are still apart, with all like them.
+    components, though not all stand among the links. Contents that have one like them by the sketch get further sketches,
+    which hardly any pair below the threshold passes (and each pair above it): a content is compared with the first one like
+    it by all, then those that found no link, and those whose documents are still apart, with all like them.
     """
+    doc = F.shiftright("node", SHIFT)
     pairs = like(rows, errors)
-    ends = F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("lead")), F.struct(F.col("a").alias("node"), F.lit(None).cast("bigint").alias("lead")))
-    first = stored(pairs.select(F.inline(ends)).groupBy("node").agg(F.min("lead").alias("lead")), "like")
-    pairs = first.where("lead is not null").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = stored(verified(pairs, texts_of(first), threshold, SHINGLE), "links")
+    near = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
+    texts = texts_of(near)
+    rows = stored(rows.select("key", "node", "sketch").join(small(stored(more_sketches(texts), "sketches")), "node"), "near-rows")
+    also = " and ".join(f"bit_count({c}_a ^ {c}_b) <= {2 * errors}" for c in MORE)
+    pairs = like(counted(rows, "near-members"), errors, also).groupBy("b").agg(F.min("a").alias("a"))
+    first = stored(pairs.select("a", "b"), "first")
+    links = stored(verified(first, texts, threshold, SHINGLE), "links")
     parts = components(links)
-    doc = F.shiftright("node", SHIFT)
-    gone = links.select(F.col("b").alias("node"), F.lit(True).alias("gone")).distinct()
-    rest = first.join(small(stored(gone, "linked")), "node", "left").select("node", (F.col("gone").isNull() & F.col("lead").isNotNull()).alias("due"), doc.alias("doc"))
+    due = first.select("b").subtract(links.select("b")).select(F.col("b").alias("node"), F.lit(True).alias("due"))
+    rest = near.join(small(stored(due, "due")), "node", "left").select("node", F.coalesce("due", F.lit(False)).alias("due"), doc.alias("doc"))
     rest = stored(with_component(rest, parts, "doc"), "rest")
-    rows = stored(rows.select("key", "node", "sketch").join(small(rest.select("node", "due", "root")), "node"), "rest-rows")
+    rows = stored(rows.join(small(rest.select("node", "due", "root")), "node"), "rest-rows")
     open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.max("due").alias("due"))
     rows = stored(rows.join(small(stored(open_.where("n > 1 and (due or x != y)").select("key", "n"), "open")), "key"), "open-rows")
-    pairs = stored(like(rows, errors, "due_b or root_a != root_b").distinct(), "pairs")
+    pairs = stored(like(rows, errors, f"(due_b or root_a != root_b) and {also}").distinct(), "pairs")
     if pairs.isEmpty():
         return links, parts
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    more = stored(verified(pairs, texts_of(nodes), threshold, SHINGLE), "more-links")
+    more = stored(verified(pairs, texts, threshold, SHINGLE), "more-links")
     return (links, parts) if more.isEmpty() else (links.union(more), components(more, parts))
 
 
+def more_sketches(texts: DataFrame) -> DataFrame:
+    """``node`` with further sketches (columns ``MORE``) of the paragraphs ``(node, text)``: parities by other bits of the hashes."""
+
+    def sketches(t: pa.Array) -> list[pa.Array]:
+        keys = multisets(t, SHINGLE)
+        h, starts = keys.values.to_numpy().view(np.uint64), keys.offsets.to_numpy()[:-1]  # no paragraph is without shingles
+        bits = [np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63)) for i in range(len(MORE))]
+        return [pa.array(np.bitwise_xor.reduceat(x, starts).view(np.int64)) for x in bits]
+
+    return map_text(texts, "text", [T.StructField(c, T.LongType()) for c in MORE], lambda: sketches, keep=["node"])
+
+
 def dense(df: DataFrame, out: str) -> DataFrame:
     """``df`` (written data with the column ``rid``, a monotonically increasing id) with numbers from 0
     without gaps. The rows of each partition are counted; one number a partition reaches the driver."""
