@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -30,6 +32,13 @@ MODEL_A = "byte_bpe_50k.json"
 MODEL_B = "piece_bpe_32k.model"
 HEAD = 500_000  # pairs whose counts are broadcast: 17 bytes each
 HOT = 1000  # a text of more than one in HOT documents is joined by broadcast (fewer than HOT texts)
+KEPT_WORDS = 1 << 18  # words whose tokens a worker keeps, and
+KEPT_CHARS = 1 << 23  # their characters: some 60 MB at most
+JOINED = 500  # new words encoded in one call
+# printable characters up to U+02AF; a space between two of them begins a match of the byte-level pattern, whatever stands around
+SHOWN = "[!-~\u00a1-\u00ac\u00ae-\u02af]"
+BETWEEN = re.compile(f"(?<={SHOWN}) (?={SHOWN})")
+WHOLE = re.compile(f"{SHOWN}(?:.*{SHOWN})?", re.S)
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -54,6 +63,84 @@ class Tokens:
         return self.data[ragged(self.start[ids], self.size[ids])]
 
 
+class WordTokens(dict):
+    """The tokens of texts by A, each word (up to a space between two of ``SHOWN``) encoded once.
+
+    A's pattern never matches across such a space, so the words of a text have the tokens of the whole. What
+    is kept is dropped when it is full.
+    """
+
+    def __init__(self, encode, size: np.ndarray):
+        self.encode = encode  # texts -> their lists of ids
+        self.bytes = size  # of each id
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.chars = 0
+        self.ids, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, a space before each, and their numbers."""
+        if len(self) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            self._empty()
+        words = [BETWEEN.split(t) for t in texts]
+        per = [len(w) for w in words]
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(per))
+        if self.new:
+            self._add()
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(per)] if per else np.zeros(0, np.int64)
+        return self.ids[ragged(self.start[at], size)], np.diff(ends, prepend=0)
+
+    def _add(self) -> None:
+        """Encodes the new words: many joined by spaces where those part them again, others each on its own."""
+        joint = [WHOLE.fullmatch(w) is not None for w in self.new]
+        several = [w for w, x in zip(self.new, joint) if x]
+        alone = [w for w, x in zip(self.new, joint) if not x]
+        groups = [several[i : i + JOINED] for i in range(0, len(several), JOINED)]
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        for words, ids in zip(groups, self.encode(["".join([" " + w for w in g]) for g in groups])):
+            ids = np.array(ids, np.int64)
+            stops, ends = np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])
+            last = np.searchsorted(stops, ends)
+            if len(ids) and stops[-1] == ends[-1] and (stops[last] == ends).all():
+                made.append((ids, np.diff(last + 1, prepend=0)))
+            else:  # tokens that do not spell the words
+                made.append(flat(self.encode([" " + w for w in words])))
+        made.append(flat(self.encode([" " + w for w in alone])))
+        ids, size = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+        order = np.argsort(~np.array(joint), kind="stable")  # where each word of several, then of alone, stands
+        start = np.empty(len(size), np.int64)
+        start[order] = len(self.ids) + np.cumsum(size) - size
+        of = np.empty(len(size), np.int64)
+        of[order] = size
+        self.ids, self.start, self.size = (np.concatenate(x) for x in ((self.ids, ids), (self.start, start), (self.size, of)))
+        self.chars += sum(map(len, self.new))
+        self.new = []
+
+
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists end to end, and their lengths."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+
+def by_words(model: bytes) -> bool:
+    """Whether a tokenizer (JSON) parts texts by the byte-level pattern alone before it merges."""
+    m = json.loads(model)
+    cut = m.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    special = all(t["special"] for t in m.get("added_tokens") or [])  # they are plain text here
+    return plain and special and not m.get("normalizer") and not m.get("truncation") and not m.get("padding")
+
+
 class Aligner:
     """Both tokenizers in a worker."""
 
@@ -70,16 +157,18 @@ class Aligner:
         self.of_a = Tokens({i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab(True).items()})
         pieces = {i: self.b.id_to_piece(i) for i in range(self.b.get_piece_size())}
         self.of_b = Tokens({i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces.items()})
+        self.words = WordTokens(self._encode, self.of_a.size) if by_words(a) else None
         self.width = len(self.of_b.size)  # a pair's key is a * width + b
         top = max(len(self.of_a.size), self.width)
         self.text = np.array([[f"{i}{s}" for i in range(top)] for s in ",|;"], object)
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and numbers of tokens by A (of space and text) and by B."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        flat = [np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b)]
-        return flat[0], np.array([len(x) for x in a]), flat[1], np.array([len(x) for x in b])
+        a = self.words.tokens(texts) if self.words is not None else flat(self._encode([" " + t for t in texts]))
+        return *a, *flat(self.b.encode(texts, num_threads=1))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def align(self, texts: pa.Array, groups: bool = True) -> dict[str, pa.Array]:
         """Measures, groups and linked pairs of each text (all without nulls)."""

@@ -54,3 +54,25 @@ def test_query(spark):
     want = AL.brute_force(rows)
     got = {r["doc_id"]: tuple(r[c] for c in OUT) for r in QUERIES["op13_token_alignment"](spark, SF001).collect()}
     assert got == want
+
+
+def test_words_are_encoded_once_and_as_in_the_whole_text():
+    """A word that many texts hold goes to the tokenizer once; the tokens are those of whole texts, also around odd blanks."""
+    import random
+
+    rng = random.Random(4)
+    al = AL.Aligner(AL.model_bytes(AL.MODEL_A), AL.model_bytes(AL.MODEL_B))
+    units = [*" \n\t\x0b\x1c\x85 　 a1é中.'~\x00́", "'s", "don't", " a", "a ", "  ", " 's", "é é", "­ ", " !", "<|endoftext|>", "word and word"]
+    odd = ["".join(rng.choice(units) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    plain = [" ".join(rng.choice(["one", "two,", "three.", "vier", "fünf"]) for _ in range(200)) for _ in range(50)]
+    seen, encode = [], al.words.encode
+    al.words.encode = lambda texts: seen.extend(texts) or encode(texts)
+    for texts in (odd, plain, []):
+        ids, sizes = al.words.tokens(texts)
+        want = [x.ids for x in al.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    seen.clear()
+    ids = al.tokens(plain)[0]
+    assert not seen and len(ids) > 10_000  # kept since the last call
+    al.words.chars = AL.KEPT_CHARS + 1
+    assert (al.tokens(plain)[0] == ids).all() and sum(map(len, seen)) < 100
