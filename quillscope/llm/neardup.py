@@ -39,6 +39,7 @@ BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares no band with probability
 ROUNDS = ((0, 1),)  # draws of each round: further bands that part a bucket
 FEW = 32  # members of an open bucket that is settled pair by pair: at most 16 pairs a member
 SLOTS = 1 << 20  # counters of shingles that order them from rare to frequent: 8 MB
+SLOT_BLOCK = 1 << 14  # counters in one row
 BLOCK = 1000  # rows of a prefix's key in one block of the join
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -202,23 +203,36 @@ def multisets(texts: pa.Array, size: int) -> pa.Array:
 def slot_counts(elements: DataFrame, total: int) -> np.ndarray:
     """How many elements of the written rows ``(node, keys)`` fall in each of ``total`` slots: counts that are never too low.
 
-    Each task counts its own; a slot is a row at most, so what reaches the driver is bounded.
+    Each task counts its own and hands on a row for each block of slots, which holds those that it has met; the counts
+    of a block are added as they come in. What reaches the driver is one count a slot.
     """
+    types = np.dtype(np.int32), np.dtype(np.int64)
 
     def run(batches):
         own = np.zeros(total, np.int64)
         for batch in batches:
             slot, n = np.unique(slots(flat_keys(batch.column(0))[0], total), return_counts=True)
             own[slot] += n
-        for a in range(0, total, 1 << 16):
-            some = np.flatnonzero(own[a : a + (1 << 16)]) + a
+        for a in range(0, total, SLOT_BLOCK):
+            some = np.flatnonzero(own[a : a + SLOT_BLOCK])
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some])], names=["slot", "n"])
+                made = [x.astype(t).tobytes() for x, t in zip((some, own[a + some]), types)]
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), *[pa.array([x], pa.binary()) for x in made]], names=["first", "slots", "n"])
 
-    each = elements.select("keys").mapInArrow(run, "slot int, n long")
-    table = each.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for a, *packed in zip(*[c.to_pylist() for c in batch.columns]):
+                slot, n = map(np.frombuffer, packed, types)
+                sums.setdefault(a, np.zeros(min(SLOT_BLOCK, total - a), np.int64))[slot] += n
+        for a, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["first", "n"])
+
+    each = elements.select("keys").mapInArrow(run, "first long, slots binary, n binary")
+    table = each.repartition("first").mapInArrow(add, "first long, n binary").toArrow()
     out = np.zeros(total, np.int64)
-    out[table["slot"].to_numpy()] = table["n"].to_numpy()
+    for a, n in zip(table["first"].to_pylist(), table["n"].to_pylist()):
+        out[a : a + SLOT_BLOCK] = np.frombuffer(n, np.int64)
     return out
 
 

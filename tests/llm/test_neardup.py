@@ -247,3 +247,19 @@ def test_settling_takes_few_tables(spark, monkeypatch):
     monkeypatch.setattr(ND, "stored", lambda df, name: written.append(name) or write(df, name))
     assert ND.linked(members, _bands(spark, texts), nodes, 0.8, 5) is None
     assert written.count("parted") == 1 and len(written) < 32
+
+
+def test_slot_counts_hand_on_few_rows(spark, monkeypatch):
+    """Counts of many tasks with many slots each: a row a task and block leaves the tasks, and the counts are right."""
+    rng = np.random.default_rng(28)
+    keys = rng.integers(-(2**62), 2**62, (80, 500))
+    keys[:, :200] = keys[0, :200]  # shared by all
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys.tolist())], "node long, keys array<long>").repartition(40)
+    made, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    for total in (ND.SLOTS, 3 * ND.SLOT_BLOCK + 5, 7):
+        want = np.bincount(ND.slots(keys.ravel(), total), minlength=total)
+        assert (ND.slot_counts(df, total) == want).all()
+    blocks = ND.SLOTS // ND.SLOT_BLOCK
+    assert made[0].count() <= 40 * blocks < keys.size / 10 and made[1].count() <= blocks
+    assert not ND.slot_counts(df.limit(0), 7).any()
