@@ -16,9 +16,12 @@ Exact copies of a text collapse first: all later copies are removed where the te
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,7 @@ COUNT = UNIT - SHINGLE + 1  # shingles of a paragraph
 WIDE = 256  # contents of a bucket that is joined as it is, and of a block of wider ones
 THRESHOLD = 0.8
 MORE = [f"sketch{i}" for i in range(1, 6)]  # further sketches of contents that have one like them
+ROUNDS = 4  # leaders that a bucket has, one after the other
 SHIFT = 25  # bits of a paragraph's number in its document: a string can't hold more words
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,17 +146,66 @@ def paragraph_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "units", "text").mapInArrow(run, "node long, text string")
 
 
-def like(rows: DataFrame, errors: int, also: str = "true") -> DataFrame:
-    """Pairs ``(a, b)`` of contents that share a key of ``rows`` (``key, node, sketch, n`` and what ``also`` reads),
-    of which a's document is earlier and whose sketches allow the threshold. A wide bucket is dealt over blocks.
+def alike(errors: int, columns: list[str]) -> Column:
+    """Whether the sketches ``columns`` of two contents (names end in ``_a`` and ``_b``) allow the threshold."""
+    return reduce(and_, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) <= 2 * errors for c in columns])
+
+
+def side(rows: DataFrame, suffix: str) -> DataFrame:
+    """``rows`` with ``suffix`` behind the names."""
+    return rows.select(*[F.col(c).alias(c + suffix) for c in rows.columns])
+
+
+def in_company(rows: DataFrame, errors: int) -> DataFrame:
+    """The rows ``(key, node, sketch)`` of the buckets ``rows`` with a row of another document like them; of wide buckets all."""
+    few = rows.where(F.col("n") <= WIDE).drop("n")
+    apart = F.shiftright("node_a", SHIFT) != F.shiftright("node_b", SHIFT)
+    paired = side(few, "_a").join(side(few, "_b"), (F.col("key_a") == F.col("key_b")) & apart & alike(errors, ["sketch"]), "left_semi")
+    return paired.toDF(*few.columns).unionByName(rows.where(F.col("n") > WIDE).drop("n"))
+
+
+def led(rows: DataFrame, errors: int) -> DataFrame:
+    """Pairs ``(a, b)`` of contents like by the sketch in the written buckets ``rows``, a's document earlier; one for a row at most.
+
+    In each round a bucket has a leader drawn at random, mostly from many like ones; the first of the contents like it is
+    compared with them. Those like both leave the bucket, the others go on.
+    """
+    doc, one, out = F.shiftright("node", SHIFT), F.struct("node", "sketch"), []
+    near = lambda other: F.bit_count(F.col("sketch").bitwiseXOR(F.col(other))) <= 2 * errors
+    for t in range(ROUNDS):
+        leaders = rows.groupBy("key").agg(F.max_by(one, F.xxhash64("node", "key", F.lit(t))).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        leaders = small(stored(leaders.select("key", F.col("lead.sketch").alias("lead")), "leaders"))
+        # rows that are alone in their bucket go
+        close = rows.join(leaders, "key").withColumn("near", near("lead")).drop("lead")
+        heads = close.where("near").groupBy("key").agg(F.min(one).alias("head"))
+        heads = small(stored(heads.select("key", F.col("head.node").alias("head"), F.col("head.sketch").alias("head_sketch")), "heads"))
+        close = stored(close.join(heads, "key").withColumn("near", F.col("near") & near("head_sketch")).drop("head_sketch"), "led")
+        out.append(close.where("near").where(F.shiftright("head", SHIFT) < doc).select(F.col("head").alias("a"), F.col("node").alias("b")))
+        rows = close.where("not near").select("key", "node", "sketch")
+    return reduce(DataFrame.union, out).distinct()
+
+
+def opened(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of buckets in which links may be missing (``due``: to an earlier document, or between two ``root``), with their
+    number ``n`` and the component ``main`` of most; written."""
+    per = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("due").alias("due")).groupBy("key")
+    per = per.agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), F.max("due").alias("due"), F.count("*").alias("roots"))
+    per = per.where("n > 1 and (due or roots > 1)").select("key", "main", "n")
+    return stored(rows.join(small(stored(per, f"{name}-keys")), "key"), name)
+
+
+def like(rows: DataFrame, errors: int, columns: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """Two sides of the buckets ``rows`` of ``opened`` and the condition of the pairs of them that may be missing links, like by the
+    sketches ``columns``. Rows that have a link and the component of most are on the second side only; a wide bucket is dealt over blocks.
     """
     blocks = F.ceil(F.col("n") / WIDE).cast("int")
-    others = [c for c in rows.columns if c not in ("key", "n")]
-    x = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"{c}_a") for c in others])
-    y = rows.select("key", F.pmod(F.hash("node"), blocks).alias("block"), *[F.col(c).alias(f"{c}_b") for c in others])
-    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 2 * errors
-    earlier = F.shiftright("node_a", SHIFT) < F.shiftright("node_b", SHIFT)
-    return x.join(y, ["key", "block"]).where(earlier & near & F.expr(also)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    x = rows.where("due or root != main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    y = rows.withColumn("block", F.pmod(F.hash("node"), blocks))
+    x, y = side(x.drop("n", "main"), "_a"), side(y.drop("n", "main"), "_b")
+    doc_a, doc_b = F.shiftright("node_a", SHIFT), F.shiftright("node_b", SHIFT)
+    missing = (F.col("root_a") != F.col("root_b")) | F.when(doc_a < doc_b, F.col("due_b")).otherwise(F.col("due_a"))
+    same = (F.col("key_a") == F.col("key_b")) & (F.col("block_a") == F.col("block_b"))
+    return x, y, same & (doc_a != doc_b) & missing & alike(errors, columns)
 
 
 def counted(rows: DataFrame, name: str) -> DataFrame:
@@ -182,27 +235,31 @@ def unit_links(rows: DataFrame, errors: int, texts_of, threshold: float, compone
     """Links ``(a, b)`` of contents in the buckets ``rows``, a's document earlier, and the documents' components ``(node, root)``.
 
     Each content that has a link to an earlier document is the ``b`` of one, and all links between documents count in the
-    components, though not all stand among the links. Contents that have one like them by the sketch get further sketches,
-    which hardly any pair below the threshold passes (and each pair above it): a content is compared with the first one like
-    it by all, then those that found no link, and those whose documents are still apart, with all like them.
+    components, though not all stand among the links. Large groups of like contents are compared with one of theirs
+    first (``led``), as their pairs grow with their square. Of the others, and those whose documents are still apart, the
+    contents that have one like them by the sketch get further sketches, which hardly any pair below the threshold passes
+    (and each pair above it), and are compared with all like them.
     """
     doc = F.shiftright("node", SHIFT)
-    pairs = like(rows, errors)
-    near = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
-    texts = texts_of(near)
-    rows = stored(rows.select("key", "node", "sketch").join(small(stored(more_sketches(texts), "sketches")), "node"), "near-rows")
-    also = " and ".join(f"bit_count({c}_a ^ {c}_b) <= {2 * errors}" for c in MORE)
-    pairs = like(counted(rows, "near-members"), errors, also).groupBy("b").agg(F.min("a").alias("a"))
-    first = stored(pairs.select("a", "b"), "first")
-    links = stored(verified(first, texts, threshold, SHINGLE), "links")
+    rows = stored(in_company(rows, errors), "company")
+    first = stored(led(rows, errors), "first")
+    named = stored(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
+    links = stored(verified(first, texts_of(named), threshold, SHINGLE), "links")
     parts = components(links)
-    due = first.select("b").subtract(links.select("b")).select(F.col("b").alias("node"), F.lit(True).alias("due"))
-    rest = near.join(small(stored(due, "due")), "node", "left").select("node", F.coalesce("due", F.lit(False)).alias("due"), doc.alias("doc"))
-    rest = stored(with_component(rest, parts, "doc"), "rest")
-    rows = stored(rows.join(small(rest.select("node", "due", "root")), "node"), "rest-rows")
-    open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.max("due").alias("due"))
-    rows = stored(rows.join(small(stored(open_.where("n > 1 and (due or x != y)").select("key", "n"), "open")), "key"), "open-rows")
-    pairs = stored(like(rows, errors, f"(due_b or root_a != root_b) and {also}").distinct(), "pairs")
+    found = small(stored(links.select(F.col("b").alias("node"), F.lit(False).alias("due")).distinct(), "found"))
+    nodes = rows.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("due", F.lit(True)).alias("due"), doc.alias("doc"))
+    nodes = stored(with_component(nodes, parts, "doc").drop("doc"), "rooted")
+    rows = opened(stored(rows.join(small(nodes), "node"), "rooted-rows"), "open")
+    x, y, pair = like(rows, errors, ["sketch"])
+    near = x.join(y, pair, "left_semi").select(F.col("node_a").alias("node")).union(y.join(x, pair, "left_semi").select("node_b"))
+    near = stored(near.distinct(), "near")
+    if near.isEmpty():
+        return links, parts
+    texts = texts_of(near)
+    rows = rows.select("key", "node", "sketch", "due", "root").join(small(stored(more_sketches(texts), "sketches")), "node")
+    x, y, pair = like(opened(stored(rows, "near-rows"), "near-open"), errors, ["sketch", *MORE])
+    pairs = x.join(y, pair).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    pairs = stored(pairs.distinct(), "pairs")
     if pairs.isEmpty():
         return links, parts
     more = stored(verified(pairs, texts, threshold, SHINGLE), "more-links")

@@ -124,3 +124,26 @@ def test_further_sketches_tell_pairs_below_the_threshold(spark):
     below = [near(got[3 * i], got[3 * i + 1]) for i in range(300)]
     assert len(got) == 900 and all(all(near(got[3 * i], got[3 * i + 2])) for i in range(300))
     assert sum(x[0] for x in below) > 20 and sum(map(all, below)) <= 2
+
+
+def test_a_large_group_of_like_paragraphs_makes_few_pairs(spark, monkeypatch):
+    """150 documents of one paragraph whose last word differs: all are like each other, and pairs grow with the rows."""
+    rng = random.Random(23)
+    begins = lambda w: SD.paragraphs(Words(pa.array([" ".join(w)])))[1].tolist()
+    while begins(base := _text(rng, SD.UNIT)) != [0]:
+        pass
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made, plain = [], type(docs).select
+
+    def select(df, *columns):
+        out = plain(df, *columns)
+        if set(out.columns) == {"a", "b"}:
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(type(docs), "select", select)
+    monkeypatch.setattr(SD, "WIDE", 100)
+    got = [(r["id"], r["n_removed"], r["class_id"]) for r in SD.repeated_passages(docs).collect()]
+    assert sum(n for _, n, _ in got) == 149 * SD.UNIT and {c for *_, c in got} == {0}
+    assert made and max(df.count() for df in made) <= 5 * len(rows)
