@@ -125,10 +125,13 @@ def paragraph_keys(texts: pa.Array, k: int) -> list[pa.Array]:
 
 
 def paragraph_texts(docs: DataFrame) -> DataFrame:
-    """``(node, text)`` of the paragraphs named by ``units`` of the documents ``(doc, units, text)``."""
+    """``(node, text)`` of the paragraphs named by ``units`` of the documents ``(doc, units, text)``; of a document's further rows
+    in a task none."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
+            batch = batch.filter(pa.array([not (d in seen or seen.add(d)) for d in batch.column(0).to_pylist()], pa.bool_()))
             texts = text_array(batch.column(2))
             docs_, units = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -332,9 +335,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         text = own.select("digest", "text")
         if units.count() > BROADCAST_ROWS:  # few other texts leave their task
             text = maybe_in(text, units.select("digest"), "digest")
-        # equal texts are copies: any one row of each digest serves
-        text = text.join(small(units.select("doc", "digest")), "digest").groupBy("doc").agg(F.any_value("text").alias("text"))
-        return stored(paragraph_texts(text.join(units.select("doc", "units"), "doc")), "pieces")
+        # equal texts are copies: any one row of each digest serves; paragraphs are shuffled, not texts
+        pieces = paragraph_texts(text.join(small(units), "digest"))
+        return stored(pieces.groupBy("node").agg(F.any_value("text").alias("text")), "pieces")
 
     def components(links: DataFrame, parts: DataFrame | None = None) -> DataFrame:
         own_edges = links.select(F.shiftright("a", SHIFT).alias("a"), F.shiftright("b", SHIFT).alias("b")).distinct()

@@ -147,3 +147,12 @@ def test_a_large_group_of_like_paragraphs_makes_few_pairs(spark, monkeypatch):
     got = [(r["id"], r["n_removed"], r["class_id"]) for r in SD.repeated_passages(docs).collect()]
     assert sum(n for _, n, _ in got) == 149 * SD.UNIT and {c for *_, c in got} == {0}
     assert made and max(df.count() for df in made) <= 5 * len(rows)
+
+
+def test_paragraphs_of_copies_come_once_from_a_task(spark):
+    rng = random.Random(24)
+    texts = [" ".join(_text(rng, 120)) for _ in range(3)]
+    docs = spark.createDataFrame([(i % 3, [0, 1], texts[i % 3]) for i in range(30)], "doc long, units array<int>, text string").coalesce(1)
+    got = [tuple(r) for r in SD.paragraph_texts(docs).collect()]
+    assert len(got) == 6 and {n for n, _ in got} == {(d << SD.SHIFT) + u for d in range(3) for u in (0, 1)}
+    assert all(t in texts[n >> SD.SHIFT] for n, t in got)
