@@ -17,7 +17,7 @@ Exact copies of a text collapse first: all later copies are removed where the te
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillscope.llm.common import Words, chunks, map_text, mix, prepare, stored, text_array
-from quillscope.llm.components import BROADCAST_ROWS, connected_components, small
+from quillscope.llm.components import BROADCAST_ROWS, connected_components
 from quillscope.llm.neardup import multisets, prefixes, verified, with_component
-from quillscope.operators.idfilter import maybe_in
+from quillscope.operators.idfilter import bit_rows, hashed, maybe_in, table_bits, with_bit
 
 SHINGLE = 5
 WINDOW = 20  # shingles of which one begins a paragraph
@@ -37,6 +37,7 @@ COUNT = UNIT - SHINGLE + 1  # shingles of a paragraph
 WIDE = 256  # contents of a bucket that is joined as it is, and of a block of wider ones
 THRESHOLD = 0.8
 MORE = [f"sketch{i}" for i in range(1, 6)]  # further sketches of contents that have one like them
+SMALL_ROWS = 2_000  # rows of a table that goes to all tasks at most: larger inputs exchange what smaller ones do
 ROUNDS = 4  # leaders that a bucket has, one after the other
 SHIFT = 25  # bits of a paragraph's number in its document: a string can't hold more words
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -149,6 +150,33 @@ def paragraph_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "units", "text").mapInArrow(run, "node long, text string")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (written data) with a broadcast hint if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def id_bits(ids: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """A written table of bits for the written ``ids`` that grows with them, and how many bits it has."""
+    bits = table_bits(ids.count())
+    return stored(bit_rows(ids.select(hashed(key, bits).alias("place")), "place", bits), name), bits
+
+
+def among(rows: DataFrame, table: tuple[DataFrame, int], columns: list[str]) -> DataFrame:
+    """The ``rows`` that have one of the ids of ``id_bits`` in one of the ``columns``, and few others; they stay where they are read."""
+    flags = [f"_in{i}" for i in range(len(columns))]
+    out = rows
+    for c, flag in zip(columns, flags):
+        out = with_bit(out, table[0], hashed(c, table[1]), flag)
+    return out.where(reduce(or_, map(F.col, flags))).select(*rows.columns)
+
+
+def matched(rows: DataFrame, table: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``rows`` joined with the written ``table``; few rows without a partner leave their task."""
+    if table.count() > SMALL_ROWS:
+        rows = among(rows, id_bits(table, key[0], name), key[:1])
+    return rows.join(small(table), key)
+
+
 def alike(errors: int, columns: list[str]) -> Column:
     """Whether the sketches ``columns`` of two contents (names end in ``_a`` and ``_b``) allow the threshold."""
     return reduce(and_, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) <= 2 * errors for c in columns])
@@ -161,10 +189,10 @@ def side(rows: DataFrame, suffix: str) -> DataFrame:
 
 def in_company(rows: DataFrame, errors: int) -> DataFrame:
     """The rows ``(key, node, sketch)`` of the buckets ``rows`` with a row of another document like them; of wide buckets all."""
-    few = rows.where(F.col("n") <= WIDE).drop("n")
+    few = rows.where("not wide").drop("wide")
     apart = F.shiftright("node_a", SHIFT) != F.shiftright("node_b", SHIFT)
     paired = side(few, "_a").join(side(few, "_b"), (F.col("key_a") == F.col("key_b")) & apart & alike(errors, ["sketch"]), "left_semi")
-    return paired.toDF(*few.columns).unionByName(rows.where(F.col("n") > WIDE).drop("n"))
+    return paired.toDF(*few.columns).unionByName(rows.where("wide").drop("wide"))
 
 
 def led(rows: DataFrame, errors: int) -> DataFrame:
@@ -212,26 +240,29 @@ def like(rows: DataFrame, errors: int, columns: list[str]) -> tuple[DataFrame, D
 
 
 def counted(rows: DataFrame, name: str) -> DataFrame:
-    """The rows ``(key, node, sketch)`` of the buckets of several documents, with their number ``n``; written."""
+    """The written rows ``(key, node, ..)`` of the buckets of several documents, and few others, with whether theirs is ``wide``;
+    written. The rows stay where they are read as long as the wide buckets are few."""
     doc = F.shiftright("node", SHIFT)
     several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(doc).alias("x"), F.max(doc).alias("y")).where("x != y")
-    return stored(rows.join(small(stored(several.select("key", "n"), "several")), "key"), name)
+    several = stored(several.select("key", "n"), "several")
+    wide = stored(several.where(F.col("n") > WIDE).select("key", F.lit(True).alias("wide")), "wide-keys")
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
+    members = among(rows, id_bits(several, "key", "several-bits"), ["key"]).join(wide, "key", "left")
+    return stored(members.withColumn("wide", F.coalesce("wide", F.lit(False))), name)
 
 
-def content_buckets(contents: DataFrame, shared: DataFrame, k: int, texts_of, threshold: float) -> DataFrame:
-    """Buckets ``(key, node, sketch, n)`` of contents, two of which share one if they meet the threshold.
+def content_buckets(contents: DataFrame, shared: tuple[DataFrame, int], k: int, texts_of, threshold: float) -> DataFrame:
+    """Buckets ``(key, node, sketch, wide)`` of contents, two of which share one if they meet the threshold.
 
-    ``shared``: the keys that several texts hold; others lead nowhere.
+    ``shared``: the bits of the keys that several texts hold; others lead nowhere.
     """
     keyed = contents.select("node", "sketch", F.explode(F.array(*[f"least{i}" for i in range(k)])).alias("key"))
-    if shared.count() > BROADCAST_ROWS:  # few other rows leave their task
-        keyed = maybe_in(keyed, shared, "key")
-    members = counted(stored(keyed.join(small(shared), "key").select("key", "node", "sketch"), "keyed"), "members")
-    wide = stored(members.where(F.col("n") > WIDE).select("node", "sketch").distinct(), "wide")
+    members = counted(stored(among(keyed, shared, ["key"]).select("key", "node", "sketch"), "keyed"), "members")
+    wide = stored(members.where("wide").select("node", "sketch").distinct(), "wide")
     if wide.isEmpty():
         return members
-    rarest = prefixes(texts_of(wide), threshold, SHINGLE).select("key", "node").join(wide, "node").select("key", "node", "sketch")
-    return members.where(F.col("n") <= WIDE).unionByName(counted(stored(rarest, "rarest"), "rare-members"))
+    rarest = counted(prefixes(texts_of(wide), threshold, SHINGLE).select("key", "node"), "rare-members")
+    return members.where("not wide").unionByName(stored(rarest.join(small(wide), "node").select(*members.columns), "rarest"))
 
 
 def unit_links(rows: DataFrame, errors: int, texts_of, threshold: float, components) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +290,8 @@ def unit_links(rows: DataFrame, errors: int, texts_of, threshold: float, compone
     if near.isEmpty():
         return links, parts
     texts = texts_of(near)
-    rows = rows.select("key", "node", "sketch", "due", "root").join(small(stored(more_sketches(texts), "sketches")), "node")
-    x, y, pair = like(opened(stored(rows, "near-rows"), "near-open"), errors, ["sketch", *MORE])
+    rows = stored(rows.join(small(stored(more_sketches(texts), "sketches")), "node"), "near-rows")
+    x, y, pair = like(rows, errors, ["sketch", *MORE])
     pairs = x.join(y, pair).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     pairs = stored(pairs.distinct(), "pairs")
     if pairs.isEmpty():
@@ -314,18 +345,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     narrow = stored(rows.where("size(starts) > 0").select("doc", "digest", "id"), "documents")
     firsts = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     copies = stored(narrow.join(small(stored(firsts.where("n > 1"), "copied")), "digest").where("doc != first").select("doc", "first"), "copies")
-    # paragraphs of the first document of each text
-    whole = rows.where("size(starts) > 0").join(small(copies.select("doc")), "doc", "left_anti").select("doc", "keys")
+    # paragraphs of the first document of each text; documents are numbered without gaps, so a bit for each tells the copies
+    copied = stored(bit_rows(copies.select("doc"), "doc", signed.count() + 1), "copy-bits")
+    whole = with_bit(rows.where("size(starts) > 0"), copied, F.col("doc"), "copy").where("not copy").select("doc", "keys")
+    least = [f"least{i}" for i in range(k)]
+    every = F.flatten(F.transform("keys", lambda x: F.array(*[x[c] for c in least])))  # once a text: its paragraphs overlap
+    shared = whole.select(F.explode(F.array_distinct(every)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    shared = id_bits(stored(shared.where("n > 1").select("key"), "shared-keys"), "key", "shared-bits")
     each = whole.select("doc", F.posexplode("keys").alias("unit", "k")).select((F.shiftleft("doc", SHIFT) + F.col("unit")).alias("node"), "k.*")
     key = ["whole", "sketch"]  # 128 bits: equal ones are the same paragraph
-    contents = each.groupBy(*key).agg(
-        F.min("node").alias("node"), F.shiftright(F.max("node"), SHIFT).alias("last"), *[F.any_value(f"least{i}").alias(f"least{i}") for i in range(k)]
+    # equal and like paragraphs share a least hash, so of those with hashes of one text only none goes on
+    contents = among(each, shared, least).groupBy(*key).agg(
+        F.min("node").alias("node"), F.shiftright(F.max("node"), SHIFT).alias("last"), *[F.any_value(c).alias(c) for c in least]
     )
     contents = stored(contents, "contents")
     repeated = stored(contents.where(F.shiftright("node", SHIFT) != F.col("last")).select(*key, F.shiftright("node", SHIFT).alias("lead")), "repeated")
     doc, unit = F.shiftright("node", SHIFT), F.col("node").bitwiseAND((1 << SHIFT) - 1).cast("int")
-    equal = each.select(*key, doc.alias("doc"), unit.alias("unit")).join(small(repeated), key).where("doc != lead").select("doc", "unit", "lead")
-    equal = stored(equal, "equal")
+    places = each.select(*key, doc.alias("doc"), unit.alias("unit"))
+    equal = stored(matched(places, repeated, key, "repeated-bits").where("doc != lead").select("doc", "unit", "lead"), "equal")
     edges = stored(equal.select("lead", "doc").union(copies.select("first", "doc")).distinct().toDF("a", "b"), "equal-docs")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -336,7 +373,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if units.count() > BROADCAST_ROWS:  # few other texts leave their task
             text = maybe_in(text, units.select("digest"), "digest")
         # equal texts are copies: any one row of each digest serves; paragraphs are shuffled, not texts
-        pieces = paragraph_texts(text.join(small(units), "digest"))
+        units = F.broadcast(units) if units.count() <= BROADCAST_ROWS else units
+        pieces = paragraph_texts(text.join(units, "digest"))
         return stored(pieces.groupBy("node").agg(F.any_value("text").alias("text")), "pieces")
 
     def components(links: DataFrame, parts: DataFrame | None = None) -> DataFrame:
@@ -344,15 +382,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         known = edges if parts is None else parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
         return stored(connected_components(stored(own_edges.union(known), "doc-links"), "a", "b"), "doc-parts")
 
-    least = F.flatten(F.transform("keys", lambda x: F.array(*[x[f"least{i}"] for i in range(k)])))  # once a text: its paragraphs overlap
-    shared = whole.select(F.explode(F.array_distinct(least)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    shared = stored(shared.where("n > 1").select("key"), "shared-keys")
     buckets = content_buckets(contents, shared, k, texts_of, threshold)
     links, parts = unit_links(buckets, errors, texts_of, threshold, components)
-    linked = stored(contents.join(small(stored(links.select(F.col("b").alias("node")).distinct(), "gone")), "node").select(*key), "gone-contents")
+    later = stored(links.select(F.col("b").alias("node")).distinct(), "later")
+    linked = stored(matched(contents, later, ["node"], "later-bits").select(*key), "gone-contents")
     gone = equal.select("doc", "unit")
     if not linked.isEmpty():
-        gone = gone.union(each.select(*key, doc.alias("doc"), unit.alias("unit")).join(small(linked), key).select("doc", "unit"))
+        gone = gone.union(matched(places, linked, key, "gone-bits").select("doc", "unit"))
     gone = gone.groupBy("doc").agg(F.collect_set("unit").alias("gone"))
     named = with_component(narrow.select("id", F.col("doc").alias("node")), parts)
     heads = named.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1")
@@ -375,8 +411,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(s.alias("start"), (s + UNIT).alias("end"))))),
     )
-    every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
-    spans = F.when(F.col("first").isNotNull(), every).when(F.col("gone").isNotNull(), merged).otherwise(
+    all_words = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    spans = F.when(F.col("first").isNotNull(), all_words).when(F.col("gone").isNotNull(), merged).otherwise(
         F.array().cast("array<struct<start:int,end:int>>")
     )
     out = out.withColumn("spans", spans)

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillscope.llm import substring as SD
 from quillscope.llm.common import Words
+from quillscope.operators.idfilter import bit_rows, with_bit
 
 
 def _text(rng, n):
@@ -156,3 +158,31 @@ def test_paragraphs_of_copies_come_once_from_a_task(spark):
     got = [tuple(r) for r in SD.paragraph_texts(docs).collect()]
     assert len(got) == 6 and {n for n, _ in got} == {(d << SD.SHIFT) + u for d in range(3) for u in (0, 1)}
     assert all(t in texts[n >> SD.SHIFT] for n, t in got)
+
+
+def test_paragraphs_of_one_text_only_are_not_grouped(spark, monkeypatch):
+    """Few texts share a passage: only paragraphs with a hash that several texts hold reach the grouping, with the same
+    result where tables are exchanged and where they are broadcast."""
+    rng = random.Random(25)
+    passage = _text(rng, 80)
+    rows = [(i, " ".join(_text(rng, 300) + (passage if i % 20 == 0 else []))) for i in range(100)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    written, plain = {}, SD.stored
+    monkeypatch.setattr(SD, "stored", lambda df, name: written.setdefault(name, plain(df, name)) if name == "contents" else plain(df, name))
+    results = []
+    for most in (SD.SMALL_ROWS, 0):
+        monkeypatch.setattr(SD, "SMALL_ROWS", most)
+        results.append(sorted((r["id"], r["n_units"], r["n_removed"], r["class_id"]) for r in SD.repeated_passages(docs).collect()))
+        shared = written.pop("contents").count()
+        units = sum(n for i, n, *_ in results[-1] if i < 100)
+        assert 0 < shared < units / 10
+    assert results[0] == results[1]
+    assert {i for i, _, n, _ in results[0] if n} >= {100, 101, 102, 103, 104} and len({c for i, *_, c in results[0] if i < 100 and i % 20 == 0}) == 1
+
+
+def test_bits_by_number_are_exact(spark):
+    numbers = spark.createDataFrame([(n,) for n in (0, 63, 64, 32767, 32768, 99999)], "n long")
+    table = bit_rows(numbers, "n", 100000)
+    got = with_bit(spark.range(100000).withColumnRenamed("id", "n"), table, F.col("n"), "set").where("set")
+    assert sorted(r["n"] for r in got.collect()) == [0, 63, 64, 32767, 32768, 99999] and table.count() == 4
