@@ -178,7 +178,9 @@ def test_paragraphs_of_one_text_only_are_not_grouped(spark, monkeypatch):
         units = sum(n for i, n, *_ in results[-1] if i < 100)
         assert 0 < shared < units / 10
     assert results[0] == results[1]
-    assert {i for i, _, n, _ in results[0] if n} >= {100, 101, 102, 103, 104} and len({c for i, *_, c in results[0] if i < 100 and i % 20 == 0}) == 1
+    removed = {i: n for i, _, n, _ in results[0]}
+    assert all((removed[i] >= 300) != (removed[100 + i] >= 300) for i in range(5))  # which copy stays is a matter of storage order
+    assert len({c for i, *_, c in results[0] if i < 100 and i % 20 == 0}) == 1
 
 
 def test_bits_by_number_are_exact(spark):
